@@ -4,24 +4,68 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import tokens
+from . import exact, language, lm, near, personal, quality, tokens, vectors
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_personal_data(spark, sf_dir):
+    return personal.find(table(spark, sf_dir, "documents"))
+
+
+def op2_exact_copies(spark, sf_dir):
+    return exact.exact_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark, sf_dir):
     return tokens.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(MULTI_RANKS))
 
 
+def op4_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_near_copies(spark, sf_dir):
+    return near.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_binary_packing(spark, sf_dir):
     return tokens.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op7_near_vectors(spark, sf_dir):
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op8_language(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark, sf_dir):
     return tokens.length_report(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op6_binary_packing, op9_token_counts)}
-ORACLES: dict[str, str] = {}
+def op10_suffix_tree(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_exact_copies, op3_byte_bpe, op4_quality, op5_near_copies, op6_binary_packing, op7_near_vectors, op8_language, op9_token_counts, op10_suffix_tree)}
+
+#: DuckDB twins where SQL can express the whole result.
+ORACLES: dict[str, str] = {
+    "op2_exact_copies": """
+        WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
+        g AS (SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size, sha256(body) AS text_sha256 FROM t)
+        SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, false) AS kept, text_sha256 FROM g
+    """,
+    "op7_near_vectors": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL),
+        l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+        r(node, seen) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.y, r.seen FROM r JOIN l ON l.x = r.node)
+        SELECT m.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.least, m.vec_id) AS component_id, coalesce(c.least, m.vec_id) = m.vec_id AS kept
+        FROM embeddings m LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) n ON n.x = m.vec_id
+        LEFT JOIN (SELECT node, min(seen) AS least FROM r GROUP BY node) c ON c.node = m.vec_id
+    """,
+}
