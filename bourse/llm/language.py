@@ -56,7 +56,8 @@ class Model:
     def __init__(self, langs, code, lang_of, n):
         self.langs = list(langs)
         parts = [(code >> (8 * k)) & 255 for k in range(ORDER, -1, -1)]  # oldest first
-        seen = np.unique(parts[-1])
+        common_bytes = np.argsort(-np.bincount(parts[-1], n, 256), kind="stable")[:126]
+        seen = np.sort(common_bytes[np.isin(common_bytes, parts[-1])])
         self.symbol = np.zeros(256, np.int64)
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         self.size = a = len(seen) + 1
