@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,21 +13,25 @@ from .components import components
 WORDS = 5
 #: Documents are linked when 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Minwise tokens of a document; the trees' nodes branch on some of them.
-COORDS = 64
-#: Independent trees, and the tokens that each node branches on. A pair at the threshold survives a token
-#: with 0.75; where nodes are small it is missed with 0.25 ** (TREES * BRANCH) = 4e-6, at any depth with 7e-6.
-TREES, BRANCH = 3, 3
-#: Nodes up to this size are compared exhaustively.
-LEAF = 48
-#: Agreeing tokens out of COORDS below which a pair of a small node isn't compared on its full sets: a
-#: pair at the threshold has so few with a probability of 4e-6.
-SKETCH = 32
+#: Minwise tokens of a document's sketch, a byte each, and the multipliers that make two of them each.
+COORDS, MULTIPLIERS = 128, 64
+#: Independent trees. A pair at the threshold shares a tree's root token with 0.75; where nodes are small it is
+#: missed with 0.25 ** TREES = 1e-6.
+TREES = 10
+#: Tokens that a node branches on; at any depth a pair at the threshold is missed with 0.34 ** TREES = 2e-5.
+BRANCH = 2
+#: Nodes up to this size are compared exhaustively on the sketches.
+LEAF = 4096
+#: Agreeing tokens from which a pair is a candidate; a pair at the threshold has fewer with a probability of 5e-6.
+SKETCH = 75
+#: Shingles and documents of a cluster that one task compares; larger clusters are compared in pairs of blocks.
+CLUSTER_SHINGLES, CLUSTER_DOCS = 1_000_000, 3_000
 
 _MASK = (1 << 64) - 1
 _SEEDS = np.random.default_rng(20240229)
 _SHIFT = _SEEDS.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_COORD = _SEEDS.integers(1, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_COORD = _SEEDS.integers(1, 1 << 63, MULTIPLIERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ROOT = _SEEDS.integers(1, 1 << 63, TREES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,16 +72,18 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def minwise(found: np.ndarray) -> np.ndarray:
-    """The minwise tokens: for each of COORDS hash orders, the set's least."""
-    least = np.full(COORDS, np.uint64(_MASK))
-    for i in range(0, len(found), 4096):
-        np.minimum(least, (found[i : i + 4096, None] * _COORD).min(0), out=least)
-    return _mixed(least)
+def sketch(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The set's least in COORDS hash orders, a byte of each, and in TREES others, whole."""
+    least, roots = np.full(2 * MULTIPLIERS, 0xFFFFFFFF, np.uint32), np.full(TREES, np.uint64(_MASK))
+    for i in range(0, len(found), 2048):
+        part = found[i : i + 2048, None]
+        np.minimum(least, (part * _COORD).view(np.uint32).min(0), out=least)
+        np.minimum(roots, (part * _ROOT).min(0), out=roots)
+    return (_mixed(least.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8), _mixed(roots)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id; n (size of its set); digest (of the set); sketch (16 bits of each minwise token); roots (whole tokens)."""
+    """doc_id; n (size of its set); digest (of the set); sketch; roots (the trees' root tokens)."""
     from hashlib import blake2b
 
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary()), ("roots", pa.list_(pa.int64()))])
@@ -88,79 +92,50 @@ def sketches(docs: DataFrame) -> DataFrame:
         out = ([], [], [], [])
         for text in batch.column(1).to_pylist():
             found = shingles(text)
-            tokens = minwise(found)
+            own, roots = sketch(found)
             out[0].append(len(found))
             out[1].append(blake2b(found.tobytes(), digest_size=16).digest())
-            out[2].append((tokens >> np.uint64(48)).astype("<u2").tobytes())
-            out[3].append(tokens[: TREES * BRANCH].view(np.int64))
+            out[2].append(own.tobytes())
+            out[3].append(roots.view(np.int64))
         return [batch.column(0), *out]
 
     return docs.select(F.col("doc_id").cast("long"), common.text_binary().alias("body")).mapInArrow(common.batches(rows, schema), "doc_id long, n long, digest binary, sketch binary, roots array<long>")
 
 
 def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), COORDS)
-
-
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Size of intersection and union of the full sets of each pair (a, b)."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64()), ("either", pa.int64())])
-
-    def run(stream):
-        @functools.lru_cache(maxsize=64)
-        def of(text):
-            return shingles(text)
-
-        def rows(batch):
-            both, either = [], []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = of(x), of(y)
-                n = len(np.intersect1d(x, y, assume_unique=True))
-                both.append(n)
-                either.append(len(x) + len(y) - n)
-            return [batch.column(0), batch.column(1), both, either]
-
-        yield from common.batches(rows, schema)(stream)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), COORDS)
 
-    left, right = texts.select(F.col("cid").alias("a"), F.col("body").alias("x")), texts.select(F.col("cid").alias("b"), F.col("body").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, both long, either long")
 
+def _forest(n: int, near) -> list[tuple[int, int]]:
+    """A spanning forest by breadth-first search; ``near(i, left)`` says which of the unvisited are linked to i."""
+    left, edges = np.arange(n), []
+    while len(left):
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            i = todo.pop()
+            hit = near(i, left)
+            if hit.any():
+                todo += left[hit].tolist()
+                edges += [(i, j) for j in left[hit].tolist()]
+                left = left[~hit]
+    return edges
 
-def linked(measured: DataFrame) -> DataFrame:
-    return measured.filter(F.col("both") * 100 >= F.col("either") * PERCENT)
 
-
-def leaf_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of each small node whose sketches agree enough; ``first``: on its maximum spanning forest."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("first", pa.bool_())])
+def leaf_edges(members: DataFrame) -> DataFrame:
+    """A spanning forest of the candidate pairs in each node, every pair of it compared on the sketches."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def rows(batch):
-        out = ([], [], [])
-        for group in batch.column(0).to_pylist():
-            group.sort(key=lambda m: m["cid"])
-            ids = [m["cid"] for m in group]
-            own = np.frombuffer(b"".join(m["sketch"] for m in group), "<u2").reshape(len(ids), COORDS)
-            agree = (own[:, None, :] == own[None, :, :]).sum(2)
-            i, j = np.nonzero(np.triu(agree >= SKETCH, 1))
-            order = np.lexsort((j, i, -agree[i, j]))
-            root = list(range(len(ids)))
-
-            def top(x):
-                while root[x] != x:
-                    root[x] = x = root[root[x]]
-                return x
-
-            for x, y in zip(i[order].tolist(), j[order].tolist()):
-                if ids[x] != ids[y]:
-                    p, q = top(x), top(y)
-                    root[q] = p
-                    out[0].append(ids[x])
-                    out[1].append(ids[y])
-                    out[2].append(p != q)
+        out = ([], [])
+        for ids, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = np.frombuffer(b"".join(packed), np.uint8).reshape(len(ids), COORDS)
+            for i, j in _forest(len(ids), lambda i, left: (own[left] == own[i]).sum(1) >= SKETCH):
+                out[0].append(ids[i])
+                out[1].append(ids[j])
         return out
 
-    groups = members.groupBy("node").agg(F.collect_list(F.struct("cid", "sketch")).alias("group")).select("group")
-    return groups.mapInArrow(common.batches(rows, schema), "a long, b long, first boolean")
+    groups = members.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("cid", "sketch"))).alias("m")).select(F.col("m.cid").alias("ids"), F.col("m.sketch").alias("sketches"))
+    return groups.mapInArrow(common.batches(rows, schema), "a long, b long")
 
 
 def branch(members: DataFrame) -> DataFrame:
@@ -174,74 +149,123 @@ def branch(members: DataFrame) -> DataFrame:
         nodes = []
         for k in range(BRANCH):
             at = (start + k * step) % COORDS
-            value = own[np.arange(len(own)), at].astype(np.uint64) + at.astype(np.uint64) * np.uint64(1 << 16)
+            value = own[np.arange(len(own)), at].astype(np.uint64) + at.astype(np.uint64) * np.uint64(256)
             nodes.append(_mixed(_mixed(node * _SHIFT[0] + value * _SHIFT[1])).view(np.int64))
-        ids = batch.column(1).to_numpy(zero_copy_only=False)
-        return [np.concatenate(nodes), np.tile(ids, BRANCH)]
+        return [np.concatenate(nodes), np.tile(batch.column(1).to_numpy(zero_copy_only=False), BRANCH)]
 
     return members.select("node", "cid", "sketch").mapInArrow(common.batches(rows, schema), "node long, cid long")
 
 
 def populated(front: DataFrame) -> DataFrame:
-    """Members of the nodes with two or more, with the node's size and leader."""
-    sizes = front.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("cid").alias("h"), "cid"))["cid"].alias("leader")).filter("size > 1")
-    return common.materialise(front.join(common.materialise(sizes, "nodes"), "node"), "members")
+    """Members of the nodes with two or more, with the node's size."""
+    sizes = common.materialise(front.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "nodes")
+    return common.materialise(front.join(sizes, "node"), "members")
+
+
+def linked_parts(ids: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """For each document the least id that its links lead to; all pairs are compared on their full sets."""
+    sets = [shingles(t) for t in texts]
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    own = [place[e - n : e] for e, n in zip(ends, sizes)]
+    mark = np.zeros(place.max() + 1, bool)
+
+    def near(i, left):
+        n = sizes[left]
+        fits = (100 * np.minimum(n, sizes[i]) >= PERCENT * np.maximum(n, sizes[i])) & (n > 0)
+        out = np.zeros(len(left), bool)
+        if fits.any():
+            mark[own[i]] = True
+            at = left[fits]
+            starts = np.concatenate([[0], np.cumsum(sizes[at])[:-1]])
+            both = np.add.reduceat(mark[np.concatenate([own[j] for j in at])].astype(np.int64), starts)
+            mark[own[i]] = False
+            out[fits] = 100 * both >= PERCENT * (sizes[at] + sizes[i] - both)
+        return out
+
+    part = ids.copy()
+    group = list(range(len(ids)))
+
+    def top(x):
+        while group[x] != x:
+            group[x] = x = group[group[x]]
+        return x
+
+    for i, j in _forest(len(ids), near):
+        group[top(j)] = top(i)
+    root = np.array([top(x) for x in range(len(ids))])
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, part)
+    return least[root]
+
+
+def _parts(rows: DataFrame, *keys: str) -> DataFrame:
+    """(cid, component) of each group's documents."""
+
+    def fn(table: pa.Table) -> pa.Table:
+        ids = table.column("cid").to_numpy()
+        return pa.table({"cid": ids, "component": linked_parts(ids, table.column("body").to_pylist())})
+
+    return rows.select(*keys, "cid", "body").groupBy(*keys).applyInArrow(fn, "cid long, component long")
+
+
+def resolve(clusters: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cid, component): the links within each cluster of candidates, on full sets; each text is sent once.
+
+    A cluster above the bounds is dealt into blocks and compared in pairs of blocks, exactly as well.
+    """
+    weight = clusters.groupBy("cluster").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("docs"))
+    blocks = F.ceil(F.greatest(F.col("shingles") / CLUSTER_SHINGLES, F.col("docs") / CLUSTER_DOCS))
+    weight = common.materialise(weight.select("cluster", blocks.alias("blocks")), "weights")
+    texts = docs.select(F.col("doc_id").cast("long").alias("cid"), common.text_binary().alias("body"))
+    rows = texts.join(common.materialise(clusters.join(weight, "cluster").select("cid", "cluster", "blocks"), "clusters"), "cid")
+    large = common.materialise(rows.filter("blocks > 1"), "large")
+    small = _parts(rows.filter("blocks = 1"), "cluster")
+    if large.isEmpty():
+        return common.materialise(small, "parts")
+    own = F.pmod(F.xxhash64("cid"), 2 * F.col("blocks"))
+    other = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), 2 * F.col("blocks") - 1)))
+    pairs = other.select("cid", "body", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    edges = common.materialise(_parts(pairs, "cluster", "i", "j").filter("cid <> component"), "edges")
+    whole = components(edges, "cid", "component").select(F.col("node").alias("cid"), "component")
+    return common.materialise(small.unionByName(whole), "parts")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents with equal sets are one class, found by pre-aggregation, so copies make no pairs. The
-    classes branch down TREES trees by the minwise tokens that each node selects. A small node's pairs
-    are compared exhaustively, first on sketches, then on the full sets: the pairs of a spanning forest
-    first, of the others those that still join two components. In a large node every member is measured
-    against one leader, which is as much as the node has rows. Jaccard distance is a metric: a member
-    linked to the leader that is nearer to it, by more than the threshold distance, than every member
-    that isn't linked can have no link beyond the leader's component, and leaves the node; the others
-    branch on. So a large group of near copies makes one pair per member, and a passage that many
-    documents share keeps branching until its nodes are small. No caps: large nodes branch until none is
-    left, and each level takes one member at least from each.
-
-    Null and empty texts have an empty set and are linked with nothing. Rows that repeat a doc_id count
-    as one document: their texts share its component. A row with a null doc_id gets a null component and
-    isn't kept. No rows give no rows; columns other than doc_id and text are ignored.
+    classes start in TREES trees by their root tokens; a node of more than LEAF branches by the minwise
+    tokens that it selects, and a smaller one is compared exhaustively on the sketches. A node gives a
+    spanning forest of its candidate pairs, one edge a member at most. The forests' components are the
+    candidate clusters: each class is in one, so its text is sent once, and all pairs of a cluster that
+    could still join two parts are compared on their full sets. A large group of near copies costs a
+    search of its cluster, and a passage that many documents share makes no candidates. No node or cluster is
+    capped: large nodes branch until they are small, and large clusters are compared in pairs of blocks.
+
+    Null and empty texts have an empty set and are linked with nothing. Rows that repeat a doc_id are
+    compared each by its own text. A row with a null doc_id gets a null component and isn't kept. No
+    rows give no rows; columns other than doc_id and text are ignored.
     """
     own = common.materialise(sketches(docs), "sketches")
     firsts = common.materialise(own.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("cid")), "classes")
     members = common.materialise(own.select("doc_id", "n", "digest").join(firsts, "digest", "left").select("doc_id", "n", "cid"), "classed")
-    rep = own.join(firsts, (own["digest"] == firsts["digest"]) & (own["doc_id"] == firsts["cid"])).select("cid", "sketch", "roots").dropDuplicates(["cid", "sketch"])
-    roots = F.explode(F.transform("roots", lambda x, i: F.xxhash64(i, x)))
-    found = populated(rep.select(roots.alias("node"), "cid"))
-    touched = found.select("cid").distinct()
-    sketch = common.materialise(rep.select("cid", "sketch").join(touched, "cid"), "touched")
-    texts = docs.select(F.col("doc_id").cast("long").alias("cid"), common.text_binary().alias("body"))
-    texts = common.materialise(texts.join(touched, "cid"), "texts")
-    pairs, edges = None, None
+    rep = own.join(firsts.withColumnRenamed("digest", "of"), (F.col("digest") == F.col("of")) & (F.col("doc_id") == F.col("cid"))).select("cid", "n", "sketch", "roots").dropDuplicates(["cid"])
+    rep = common.materialise(rep, "representatives")
+    found = populated(rep.select(F.explode(F.transform("roots", lambda x, i: F.xxhash64(i, x))).alias("node"), "cid"))
+    edges = None
     while True:
-        small = leaf_pairs(found.filter(F.col("size") <= LEAF).join(sketch, "cid").select("node", "cid", "sketch"))
-        pairs = small if pairs is None else pairs.unionByName(small)
-        large = found.filter(F.col("size") > LEAF)
-        if large.isEmpty():
+        at = found.join(rep.select("cid", "sketch"), "cid").select("node", "cid", "sketch", "size")
+        small = common.materialise(leaf_edges(at.filter(F.col("size") <= LEAF)), "candidates")
+        edges = small if edges is None else edges.unionByName(small)
+        large = at.filter(F.col("size") > LEAF)
+        if found.filter(F.col("size") > LEAF).isEmpty():
             break
-        stars = common.materialise(confirm(large.filter("cid <> leader").select(F.col("cid").alias("a"), F.col("leader").alias("b")).distinct(), texts), "stars")
-        edges = linked(stars).select("a", "b") if edges is None else edges.unionByName(linked(stars).select("a", "b"))
-        near = large.join(stars, (F.col("cid") == F.col("a")) & (F.col("leader") == F.col("b")), "left")
-        near = near.select("node", "cid", F.coalesce(1 - F.col("both") / F.col("either"), F.lit(0.0)).alias("d"), F.coalesce(F.col("both") * 100 >= F.col("either") * PERCENT, F.lit(True)).alias("link"))
-        near = common.materialise(near, "measured")
-        apart = common.materialise(near.groupBy("node").agg(F.min(F.when(~F.col("link"), F.col("d"))).alias("nearest")).filter("nearest IS NOT NULL"), "apart")
-        stay = near.join(apart, "node").filter(~F.col("link") | (F.col("d") + (1 - PERCENT / 100) >= F.col("nearest") - 1e-9))
-        found = populated(branch(stay.select("node", "cid").join(sketch, "cid").select("node", "cid", "sketch")))
-    pairs = common.materialise(pairs.groupBy("a", "b").agg(F.max("first").alias("first")), "pairs")
-    sure = linked(confirm(pairs.filter("first"), texts)).select("a", "b")
-    sure = common.materialise(sure if edges is None else sure.unionByName(edges), "links")
-    so_far = common.materialise(components(sure), "components")
-    rest = pairs.filter("NOT first")
-    for side in ("a", "b"):
-        rest = rest.join(so_far.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
-    rest = rest.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    late = common.materialise(linked(confirm(rest, texts)).select("a", "b"), "links")
-    found = so_far if late.isEmpty() else components(sure.unionByName(late))
-    out = members.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left")
+        found = populated(branch(large).distinct())
+    clusters = components(edges).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
+    parts = resolve(clusters.join(rep.select("cid", "n"), "cid"), docs)
+    out = members.join(parts, "cid", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "cid", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
