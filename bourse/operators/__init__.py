@@ -1 +1 @@
-
+"""Operators on bars, orders, portfolios and surfaces."""

@@ -1 +1 @@
-
+"""Tables, files and canonical views."""
