@@ -24,23 +24,23 @@ def normalised(docs: DataFrame) -> DataFrame:
         return [batch.column(0), low, [sha256(b).digest() for b in low.to_pylist()]]
 
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(common.batches(rows, schema), "doc_id long, body binary, sha binary")
+    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(common.batches(rows, schema), "doc_id long, body binary, sha binary").withColumn("bytes", F.length("body"))
 
 
 def prefixes(docs: DataFrame, width: int) -> DataFrame:
-    """The first digit alone: as many leading characters hold at least as many bytes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("body", pa.binary())])
+    """The length and the first digit alone: as many leading characters hold at least as many bytes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("bytes", pa.int32()), ("body", pa.binary())])
 
     def rows(batch):
-        return [batch.column(0), pc.ascii_lower(batch.column(1)).cast(pa.binary())]
+        return [batch.column(0), batch.column(1), pc.ascii_lower(batch.column(2)).cast(pa.binary())]
 
-    text = F.substring(F.coalesce(F.col("text"), F.lit("")), 1, width + 1).alias("text")
-    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(common.batches(rows, schema), "doc_id long, body binary")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    start = docs.select(F.col("doc_id").cast("long"), F.octet_length(text).alias("bytes"), F.substring(text, 1, width).alias("text"))
+    return start.mapInArrow(common.batches(rows, schema), "doc_id long, bytes int, body binary")
 
 
 def digits(rows: DataFrame, width: int) -> DataFrame:
-    """``digit``: the next ``width`` bytes; ``ended``: the text has no more after them."""
-    return rows.withColumns({"digit": F.expr(f"substring(body, 1, {width})"), "ended": F.length("body") <= width})
+    return rows.withColumn("digit", F.expr(f"substring(body, 1, {width})"))
 
 
 def buckets(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,24 +52,26 @@ def buckets(rows: DataFrame, keys: list[str]) -> DataFrame:
 def exact_groups(docs: DataFrame, first: int = FIRST, growth: int = GROWTH, widest: int = WIDEST) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when identical after lower-casing A-Z; a null text counts as empty. Each round splits
-    every bucket by the next bytes of its texts. A text that is alone in its bucket is done, and so is a
-    bucket whose texts have ended; only the unread bytes of the others go to the next round. Equality is
-    that of all bytes: the digest is a reported column and decides nothing.
+    Texts are equal when identical after lower-casing A-Z; a null text counts as empty. The most
+    significant digit is a text's length and first bytes; each round splits every bucket by the next
+    bytes of its texts. A text that is alone in its bucket is done, and so is a bucket whose texts have
+    ended; only the unread bytes of the others go to the next round. Equality is that of all bytes: the
+    digest is a reported column and decides nothing.
 
     A bucket may hold a third of all rows: its size and largest id are pre-aggregated in every task, and
-    the join back reads one row per bucket, so that adaptive execution can split the rows' side.
+    the join back reads one row per bucket. The number of shared buckets grows with the input, so that
+    join is a merge join at every size, whose hot buckets adaptive execution splits.
 
     Rows with a null doc_id count in their group but never stay unless all ids are null, where keep_id is
     null and kept false. Rows that repeat one doc_id and text all count and carry the same kept. No rows
     give no rows; other columns are ignored.
     """
-    width, keys = first, ["digit", "ended"]
+    width, keys = first, ["bytes", "digit"]
     shared = buckets(digits(prefixes(docs, width), width), keys)
-    active, done, spent = normalised(docs), [], []
+    active, done = normalised(docs), []
     while True:
-        found = digits(active, width).join(shared, keys, "left")
-        going = F.col("next_bucket").isNotNull() & ~F.col("ended")
+        found = digits(active, width).join(shared.hint("merge"), keys, "left")
+        going = F.col("next_bucket").isNotNull() & (F.length("body") > width)
         found = common.materialise(
             found.select(
                 "doc_id", "sha", F.coalesce("size", F.lit(1)).alias("size"), F.when(F.col("next_bucket").isNull(), F.col("doc_id")).otherwise(F.col("top")).alias("top"),
@@ -78,11 +80,10 @@ def exact_groups(docs: DataFrame, first: int = FIRST, growth: int = GROWTH, wide
             "radix",
         )
         done.append(found.filter("bucket IS NULL").select("doc_id", "top", "size", "sha"))
-        spent.append(shared)
         active = found.filter("bucket IS NOT NULL").select("doc_id", "sha", "bucket", "body")
         if active.isEmpty():
             break
-        width, keys = min(width * growth, widest), ["bucket", "digit", "ended"]
+        width, keys = min(width * growth, widest), ["bucket", "digit"]
         shared = buckets(digits(active, width), keys)
     out = done[0]
     for part in done[1:]:
@@ -91,6 +92,6 @@ def exact_groups(docs: DataFrame, first: int = FIRST, growth: int = GROWTH, wide
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows that ``exact_groups`` keeps, one for each doc_id and text, with the columns of ``docs``."""
+    """The rows whose doc_id ``exact_groups`` keeps, with the columns of ``docs``; rows without a doc_id go."""
     kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
