@@ -1,0 +1,351 @@
+"""Operators of the llm subpackage against brute force, round trips and held-out rows, with the odd inputs."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from bourse.llm import components, exact, language, lm, near, personal, quality, tokens, vectors
+
+DDL = "doc_id long, text string, lang string, source string, n_chars long, digit string, body string, size int"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def frame(spark, texts, ids=None, lang="en"):
+    """Documents with nulls, and columns whose names clash with the operators' own."""
+    ids = list(range(len(texts))) if ids is None else ids
+    return spark.createDataFrame([(i, t, lang, None, None, "x", "y", 1) for i, t in zip(ids, texts)], DDL)
+
+
+def words(rng, n, base=60):
+    return " ".join(f"w{rng.randrange(base)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd():
+    rng = random.Random(5)
+    long = words(rng, 30_000, 5000)
+    return [None, "", " ", "a", "Same Text Here", "same text here", "SAME TEXT HERE", "Été été", "été été", long, long + " x", long, "x y z w v u", "tail", None]
+
+
+def lower_bytes(t):
+    return (t or "").translate(LOWER)
+
+
+def brute_exact(texts):
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(lower_bytes(t), []).append(i)
+    return {i: (max(g), len(g), i == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g}
+
+
+def test_exact(spark, odd):
+    rng = random.Random(1)
+    texts = odd + [words(rng, 40, 2) for _ in range(60)] + ["p" * 70 + c for c in "abcab"] + ["q" * 64, "q" * 64, "q" * 65]
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact.exact_groups(frame(spark, texts)).collect()}
+    assert got == brute_exact(texts)
+    assert exact.exact_groups(frame(spark, [])).count() == 0
+    nulls = exact.exact_groups(frame(spark, ["a", "A", "b"], [None, None, None])).collect()
+    assert sorted(r.group_size for r in nulls) == [1, 2, 2] and not any(r.kept for r in nulls)
+    assert exact.drop_copies(frame(spark, texts)).columns == frame(spark, []).columns
+
+
+def sets_of(t):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", lower_bytes(t)) if x]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_near(texts):
+    sets, top = [sets_of(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                top[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i), find(i) == i) for i in range(len(texts))}
+
+
+def edited(rng, text, n):
+    w = text.split()
+    for _ in range(n):
+        w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def near_texts():
+    rng = random.Random(2)
+    base, shared = words(rng, 120, 4000), words(rng, 30, 4000)
+    family = [edited(rng, base, rng.randrange(1, 7)) for _ in range(150)]
+    return family + [shared + " " + words(rng, 60, 4000) for _ in range(80)] + [base, base.upper()] + [edited(rng, words(rng, 200, 4000), 0) for _ in range(5)]
+
+
+def test_near(spark, odd):
+    texts = odd + near_texts()
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near.near_groups(frame(spark, texts)).collect()}
+    assert got == brute_near(texts)
+    assert near.near_groups(frame(spark, [])).count() == 0
+    some = near.near_groups(frame(spark, ["a b c d e f", "a b c d e f"], [None, 3])).collect()
+    assert sorted((r.doc_id or 0, r.kept) for r in some) == [(0, False), (3, True)]
+
+
+@pytest.mark.parametrize("small", [{"LEAF": 8}, {"CLUSTER_DOCS": 40, "CLUSTER_SHINGLES": 5000}])
+def test_near_large_nodes(spark, monkeypatch, small):
+    """The ways of nodes and clusters above the bounds give the same components."""
+    for name, value in small.items():
+        monkeypatch.setattr(near, name, value)
+    texts = near_texts()
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near.near_groups(frame(spark, texts)).collect()}
+    assert got == brute_near(texts)
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000, i) for i in range(1001, 1100)] + [(i, i + 1) for i in range(2000, 2060)]
+    top = {x: x for e in edges for x in e}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        top[max(a, b)] = min(a, b)
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in linked}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_spans(t):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, t):
+            digits = re.sub(r"[^0-9]", "", m[0])
+            good = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else False, "card": 13 <= len(digits) <= 19 and personal.luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            out += [(kind, *m.span())] if good else []
+    return out
+
+
+def test_personal_base_spans():
+    rng = random.Random(4)
+    for _ in range(20_000):
+        t = "".join(rng.choice(["1", "2", "55", "4111111111111111", ".", "-", " ", "+", "@", "a.b", "x", "(", ")", "é", "://", "iban "]) for _ in range(rng.randrange(12)))
+        assert [s for s in personal.spans(t) if s[0] in personal.BASE] == brute_spans(t), t
+
+
+def test_personal(spark, odd):
+    t = "mail A.b@c.de, call +1 (456) 555-2186, ip 10.0.0.255, card 4111 1111 1111 1111, IBAN: DE89370400440532013000, ssn 123-45-6789; see ftp://u:pw@h.org"
+    got = personal.find(frame(spark, [t, None, "", "x" * 200_000 + "@a.b"])).orderBy("doc_id").collect()
+    assert (got[0].n_email, got[0].n_ip, got[0].n_card, got[0].n_phone) == (2, 1, 1, 1)
+    assert {"iban", "ssn", "login"} <= {s.split(":")[0] for s in got[0].spans.split(",")}
+    assert got[1].base_sha256 == hashlib.sha256(b"").hexdigest() and got[1].spans == ""
+    assert got[3].n_email == 1
+    masked = personal.redact(frame(spark, [t, None])).orderBy("doc_id").collect()
+    assert "[EMAIL]" in masked[0].text and "4111" not in masked[0].text and masked[1].text is None
+    assert personal.find(frame(spark, [])).count() == 0
+
+
+def test_bpe_matches_tiktoken():
+    import tiktoken
+
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokens.read_ranks(RANKS), special_tokens={})
+    ours, plain = tokens.encoder(RANKS), tokens.encoder(JSON)
+    rng = random.Random(6)
+    pieces = ["a", "b", "the", " ", "  ", "\n", "\t", "'s", "é", "Ж", "中", "1", ".", "!!", "\xa0", " ", "\x1c", "\U0001f600", "<|endoftext|>", "²", "\x0b"]
+    for _ in range(4000):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randrange(20)))
+        ids = np.frombuffer(ours.encode(t), "<u4")
+        assert ids.tolist() == theirs.encode_ordinary(t), t
+        assert ours.decode(ids.tolist()) == t.encode()
+        assert np.frombuffer(plain.encode(t), "<u4").tolist() == plain.tokenizer.encode(t, add_special_tokens=False).ids, t
+    for t in ("a" * 5000, " " * 3000 + "x", "ab" * 2000, "\n" * 999, "!" * 1001):
+        assert np.frombuffer(ours.encode(t), "<u4").tolist() == theirs.encode_ordinary(t)
+
+
+def test_encode_decode(spark, odd):
+    docs = frame(spark, odd)
+    coded = tokens.encode(docs, RANKS, with_offsets=True)
+    back = {r.doc_id: r for r in tokens.decode(coded, RANKS).collect()}
+    for r in coded.collect():
+        t = odd[r.doc_id] or ""
+        assert back[r.doc_id].text == t and back[r.doc_id].raw == t.encode()
+        assert len(r.starts) == len(r.ids) and all(s < e for s, e in zip(r.starts, r.ends))
+        if t.isascii():
+            assert "".join(t[s:e] for s, e in zip(r.starts, r.ends)) == t
+    got = {r.doc_id: r for r in tokens.encode_digests(docs, RANKS).collect()}
+    for i, t in enumerate(odd):
+        packed = tokens.encoder(RANKS).encode(t or "")
+        assert got[i].ids_sha256 == hashlib.sha256(packed).hexdigest() and got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    assert tokens.encode_digests(frame(spark, []), RANKS).count() == 0
+
+
+def test_pack(spark, odd):
+    rows = tokens.pack(frame(spark, odd), JSON).collect()
+    assert len({r.sequence_id for r in rows}) == len(rows) and all(r.offset == 0 for r in rows)
+    for i, t in enumerate(odd):
+        ids = tokens.encoder(JSON).encode(t or "") + np.array([1], "<u4").tobytes()
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        assert [r.start for r in own] == [0, *np.cumsum([r.length for r in own])[:-1]]
+        assert sum(r.length for r in own) == own[0].doc_tokens == len(ids) // 4
+        assert all(r.length <= 2048 and r.length & (r.length - 1) == 0 and r.ids_crc32 == zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)]) for r in own)
+    assert tokens.pack(frame(spark, []), JSON).count() == 0
+
+
+def test_length_report(spark, odd):
+    n = sorted(len(tokens.encoder(JSON).encode(t or "")) // 4 for t in odd)
+    rows = tokens.length_report(frame(spark, odd), JSON, block=8).orderBy("length").collect()
+    assert [(r.length, r.n_docs) for r in rows] == sorted(Counter(n).items())
+    for r in rows:
+        assert r.truncated_total == sum(min(x, r.length) for x in n) and r.docs_longer == sum(x > r.length for x in n) and r.tokens_longer == sum(x for x in n if x > r.length)
+        assert r.quantile == pytest.approx(sum(x <= r.length for x in n) / len(n)) and r.total_tokens == sum(n)
+    assert tokens.length_report(frame(spark, []), JSON).count() == 0
+
+
+def brute_vectors(rows):
+    unit = {}
+    for i, (v, label) in enumerate(rows):
+        if v is not None and label is not None and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            unit[i] = np.array(v, float) / np.linalg.norm(v)
+    n, top = Counter(), {i: i for i in range(len(rows))}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i in unit:
+        for j in unit:
+            if i < j and rows[i][1] == rows[j][1] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.93:
+                n[i] += 1
+                n[j] += 1
+                a, b = find(i), find(j)
+                top[max(a, b)] = min(a, b)
+    return {i: (n[i], find(i), find(i) == i) for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("block", [2048, 40])
+def test_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=8)
+    rows = [((centre + rng.normal(size=8) * s).tolist(), 1) for s in (0.02, 0.1, 0.3, 0.5) for _ in range(40)]
+    rows += [(rng.normal(size=8).tolist(), int(k)) for k in rng.integers(0, 3, 120)]
+    rows += [(centre.tolist(), 2)] * 30 + [(None, 1), ([0.0] * 8, 1), ([float("nan")] * 8, 1), ([float("inf")] + [1.0] * 7, 1), ([None] + [1.0] * 7, 1), (centre.tolist(), None), ([1.0, 2.0], 1), ([], 1)]
+    df = spark.createDataFrame([(i, v, k, "x", b"y") for i, (v, k) in enumerate(rows)], "vec_id long, embedding array<float>, label int, region string, unit binary")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df).collect()}
+    as_floats = [(None if v is None else [None if x is None else float(np.float32(x)) for x in v], k) for v, k in rows]
+    assert got == brute_vectors(as_floats)
+    assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_language(spark):
+    rng, parts = random.Random(7), {"en": ["the", "ing", "and", "of", "tion"], "fr": ["eau", "les", "ét", "que", "oui"], "de": ["sch", "ung", "der", "üb", "ein"]}
+    rows = [(i, " ".join(rng.choice(parts[k]) + rng.choice(parts[k]) for _ in range(30)), k, None, None, "x", "y", 1) for i, k in enumerate(rng.choice(sorted(parts)) for _ in range(300))]
+    docs = spark.createDataFrame(rows, DDL)
+    got = {r.doc_id: r for r in language.identify(docs).collect()}
+    assert all((zlib.crc32(str(i).encode()) % 3 == 1) == got[i].held_out for i in got)
+    held = [i for i in got if got[i].held_out]
+    assert len(held) > 50 and all(got[i].lang_pred == rows[i][2] and 0.5 < got[i].score <= 1 for i in held)
+    odd = spark.createDataFrame([(None, None, None), (1, "", "en"), (2, "12 !", "en"), (3, None, "fr"), (4, "ab cd", None)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language.identify(odd).collect()} <= {"und", "en"}
+    assert all(r.lang_pred == "und" for r in language.identify(odd.filter("doc_id IN (2, 3)")).collect())
+    assert language.identify(odd.limit(0)).count() == 0
+
+
+def test_lm(spark, odd):
+    rng = random.Random(8)
+    texts = odd + [words(rng, 50) for _ in range(80)]
+    got = {r.doc_id: r for r in lm.score(frame(spark, texts)).collect()}
+    parts = [lower_bytes(t).encode().split() for t in texts]
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for i in train for w in parts[i])
+    n, v = sum(count.values()) + len(train), len(count) + 1
+    for i, p in enumerate(parts):
+        base = sum(math.log10((c + 1) / (n + v + 1)) for c in [*(count[w] for w in p), len(train)])
+        r = got[i]
+        assert r.base_score == pytest.approx(base) and r.n_tokens == len(p) + 1 and r.n_known == 1 + sum(count[w] > 0 for w in p) and r.train_tokens == n
+        assert r.held_out == (i not in train) and math.isfinite(r.score) and r.score < 0
+    like, noise = lm.score(frame(spark, [words(rng, 50) for _ in range(40)] + ["zq jx kv " * 20, words(rng, 60)])).orderBy(F.col("doc_id").desc()).limit(2).collect()
+    assert like.score / like.n_tokens > noise.score / noise.n_tokens
+    assert lm.score(frame(spark, [])).count() == 0
+    assert lm.score(frame(spark, ["a b"], [2]), held_out=F.lit(True)).first().score == 0
+
+
+def test_suffix_tree_is_a_distribution():
+    syms = np.array([97, 98, 99, 255])
+    tree = lm.SuffixTree([(np.zeros(4, int), syms, np.array([50.0, 30, 20, 10]))] + [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))] * lm.DEPTH, 110.0)
+    p = 10 ** tree.log[0]
+    assert p[1:].sum() + p[0] * (257 - 4) == pytest.approx(1.0)
+
+
+def test_quality(spark):
+    rng = random.Random(9)
+    good = [words(rng, 60, 900) + "." for _ in range(300)]
+    bad = [" ".join(f"W{rng.randrange(9)}!!" for _ in range(40)) for _ in range(150)]
+    texts = [None, ""] + good + bad
+    labels = [(i, int(i < 302)) for i in range(2, len(texts)) if i % 2] + [(None, 1), (3, None)]
+    ls = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.classify(frame(spark, texts), ls).collect()}
+    assert np.mean([got[i].kept == (i < 302) for i in range(2, len(texts)) if not i % 2]) > 0.97
+    assert all(0 <= r.score <= 1 for r in got.values())
+    kept = quality.keep_good(frame(spark, texts), ls)
+    assert kept.columns == frame(spark, []).columns and kept.count() < len(texts)
+    assert all(r.kept for r in quality.classify(frame(spark, texts[:20]), ls.limit(0)).collect())
+    assert quality.classify(frame(spark, []), ls).count() == 0
+
+
+def test_pipeline(spark, sf_dir):
+    """Each stage against brute force on its own input."""
+    import corpus_pipeline as cp
+
+    docs, columns = cp.common.table(spark, sf_dir, "documents"), None
+    columns = docs.columns
+    out = {}
+    for name, stage in cp.STAGES:
+        before = docs.toPandas()
+        docs = cp.common.materialise(stage(spark, docs, sf_dir), f"test-{name}")
+        out[name] = before, docs.toPandas()
+        assert name == "packing" or docs.columns == columns
+    before, after = out["exact"]
+    ids, texts = before.doc_id.tolist(), before.text.tolist()
+    expect = brute_exact(texts)
+    last = {}
+    for i, t in zip(ids, texts):
+        last[lower_bytes(t)] = max(i, last.get(lower_bytes(t), i))
+    assert set(after.doc_id) == set(last.values()) and len(expect) == len(ids)
+    before, after = out["near"]
+    order = np.argsort(before.doc_id.to_numpy())
+    ids, texts = before.doc_id.to_numpy()[order].tolist(), before.text.to_numpy()[order].tolist()
+    assert set(after.doc_id) == {ids[i] for i, r in brute_near(texts).items() if r[2]}
+    before, after = out["personal"]
+    assert dict(zip(after.doc_id, after.text)) == {i: personal.masked(t) for i, t in zip(before.doc_id, before.text)}
+    before, after = out["packing"]
+    assert after.groupby("doc_id").length.sum().to_dict() == {i: len(tokens.encoder(JSON).encode(t or "")) // 4 + 1 for i, t in zip(before.doc_id, before.text)}
+
+
+@pytest.mark.parametrize("name", ["op2_exact_copies", "op7_near_vectors"])
+def test_sql_twins(spark, sf_dir, name):
+    from oracle import connect, same
+
+    from bourse.llm.queries import ORACLES, QUERIES
+
+    same(QUERIES[name](spark, sf_dir), connect(sf_dir), ORACLES[name])
