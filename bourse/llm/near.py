@@ -22,6 +22,8 @@ TREES = 10
 BRANCH = 2
 #: Nodes up to this size are compared exhaustively on the sketches.
 LEAF = 4096
+#: Levels that a larger node branches; what is still larger then holds similar documents and is compared in pairs of blocks.
+LEVELS = 4
 #: Agreeing tokens from which a pair is a candidate; a pair at the threshold has fewer with a probability of 5e-6.
 SKETCH = 75
 #: Shingles and documents of a cluster that one task compares; larger clusters are compared in pairs of blocks.
@@ -156,6 +158,13 @@ def branch(members: DataFrame) -> DataFrame:
     return members.select("node", "cid", "sketch").mapInArrow(common.batches(rows, schema), "node long, cid long")
 
 
+def block_pairs(members: DataFrame) -> DataFrame:
+    """Large nodes as nodes of two blocks each, LEAF members about: every pair of members meets in one."""
+    blocks = 2 * F.ceil(F.col("size") / LEAF)
+    rows = members.withColumn("own", F.pmod(F.xxhash64("cid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "cid", "sketch")
+
+
 def populated(front: DataFrame) -> DataFrame:
     """Members of the nodes with two or more, with the node's size."""
     sizes = common.materialise(front.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "nodes")
@@ -242,7 +251,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     candidate clusters: each class is in one, so its text is sent once, and all pairs of a cluster that
     could still join two parts are compared on their full sets. A large group of near copies costs a
     search of its cluster, and a passage that many documents share makes no candidates. No node or cluster is
-    capped: large nodes branch until they are small, and large clusters are compared in pairs of blocks.
+    capped: nodes still large after LEVELS of branching and large clusters are compared in pairs of blocks.
 
     Null and empty texts have an empty set and are linked with nothing. Rows that repeat a doc_id are
     compared each by its own text. A row with a null doc_id gets a null component and isn't kept. No
@@ -255,12 +264,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rep = common.materialise(rep, "representatives")
     found = populated(rep.select(F.explode(F.transform("roots", lambda x, i: F.xxhash64(i, x))).alias("node"), "cid"))
     edges = None
-    while True:
+    for level in range(LEVELS + 1):
         at = found.join(rep.select("cid", "sketch"), "cid").select("node", "cid", "sketch", "size")
-        small = common.materialise(leaf_edges(at.filter(F.col("size") <= LEAF)), "candidates")
+        small, large = at.filter(F.col("size") <= LEAF).drop("size"), at.filter(F.col("size") > LEAF)
+        if level == LEVELS:
+            small = small.unionByName(block_pairs(large))
+        small = common.materialise(leaf_edges(small), "candidates")
         edges = small if edges is None else edges.unionByName(small)
-        large = at.filter(F.col("size") > LEAF)
-        if found.filter(F.col("size") > LEAF).isEmpty():
+        if level == LEVELS or found.filter(F.col("size") > LEAF).isEmpty():
             break
         found = populated(branch(large).distinct())
     clusters = components(edges).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
