@@ -222,6 +222,43 @@ def csv_roundtrip(spark, sf_dir):
     return files.read_csv(spark, path, "asset_data")
 
 
+@query(
+    """WITH r AS (SELECT id, symbol, CASE id % 4 WHEN 0 THEN 'AGGREGATES' WHEN 1 THEN 'LASTTRADECRYPTOPAIR' WHEN 2 THEN 'GROUPEDDAILY' ELSE 'TECHNICALINDICATORS' END AS kind FROM symbols)
+    SELECT id, kind, CASE kind WHEN 'AGGREGATES' THEN '/v2/aggs/ticker/' || symbol || '/range/1/day/2024-01-01/2024-02-01?adjusted=true&sort=asc&limit=5000'
+    WHEN 'LASTTRADECRYPTOPAIR' THEN '/v1/last/crypto/' || substr(CASE WHEN substr(symbol, 2, 1) = ':' THEN substr(symbol, 3) ELSE symbol END, 1, 3) || '/' || substr(CASE WHEN substr(symbol, 2, 1) = ':' THEN substr(symbol, 3) ELSE symbol END, 4, 3)
+    WHEN 'GROUPEDDAILY' THEN '/v2/aggs/grouped/locale/' || CASE WHEN symbol LIKE 'C:%' THEN 'global/markets/fx' WHEN symbol LIKE 'X:%' THEN 'global/markets/crypto' ELSE 'us/markets/stocks' END || '/2024-01-01?adjusted=true' ELSE 'UNKNOWN' END AS address FROM r"""
+)
+def request_addresses(spark, sf_dir):
+    kind = F.when(F.col("id") % 4 == 0, "AGGREGATES").when(F.col("id") % 4 == 1, "LASTTRADECRYPTOPAIR").when(F.col("id") % 4 == 2, "GROUPEDDAILY").otherwise("TECHNICALINDICATORS")
+    rows = views.symbols(spark, sf_dir).select("id", "symbol", kind.alias("kind"), F.lit("2024-01-01").alias("start"), F.lit("2024-02-01").alias("end"))
+    return files.request_paths(rows).select("id", "kind", "address")
+
+
+@query("SELECT p_brand AS ticker, any_value(l.close) AS last_price, any_value(l.date) AS last_updated, count(*) AS n_listings FROM part JOIN latest l ON l.ticker = p_brand GROUP BY 1 ORDER BY ticker LIMIT 10 OFFSET 5")
+def asset_list(spark, sf_dir):
+    listed = views.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("ticker")).agg(F.count(F.lit(1)).alias("n_listings"))
+    rows = listed.join(views.latest(spark, sf_dir), "ticker").select("ticker", F.col("close").alias("last_price"), F.col("date").alias("last_updated"), "n_listings")
+    return rows.orderBy("ticker").offset(5).limit(10)
+
+
+@query(f"SELECT ticker, date, close FROM bars WHERE ticker = '{TICKER}' AND date > (SELECT max(date) FROM bars WHERE ticker = '{TICKER}') - 30")
+def asset_with_history(spark, sf_dir):
+    """One ticker's bars of its last 30 days."""
+    from pyspark.sql import Window as W
+
+    rows = views.bars(spark, sf_dir).filter(F.col("ticker") == TICKER)
+    last = F.max("date").over(W.partitionBy("ticker"))
+    return rows.withColumn("last", last).filter(F.col("date") > F.date_sub("last", 30)).select("ticker", "date", "close")
+
+
+@query(
+    """SELECT ticker, time_bucket(INTERVAL 5 MINUTE, ts) AS start, arg_min(price, seq) AS open, arg_max(price, seq) AS close, count(*) AS n FROM ticks WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12' GROUP BY 1, 2"""
+)
+def history_5m(spark, sf_dir):
+    rows = views.ticks(spark, sf_dir).filter("ts >= TIMESTAMP_NTZ'2024-01-05 00:00:00' AND ts < TIMESTAMP_NTZ'2024-01-12 00:00:00'")
+    return series.ohlcv(rows.withColumn("start", series.bucket_start("ts", 5, "minute")), ["ticker", "start"], "seq").select("ticker", "start", "open", "close", "n")
+
+
 @query()
 def endpoint_catalogue(spark, sf_dir):
     return files.endpoints(spark)

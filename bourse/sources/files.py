@@ -113,15 +113,40 @@ def fetch_with_retry(fetch, attempts: int = 3, wait=lambda: None):
 
 #: The vendor's data products and the first part of their addresses.
 ENDPOINTS = {
-    "AGGREGATES": "/v2/aggs/ticker/", "GROUPEDDAILY": "/v2/aggs/grouped/locale/", "DAILYOPENCLOSE": "/v1/open-close/", "PREVIOUSCLOSE": "/v2/aggs/ticker/",
-    "TRADES": "/v3/trades/", "LASTTRADE": "/v2/last/trade/", "LASTTRADECRYPTOPAIR": "/v1/last/crypto/", "QUOTES": "/v3/quotes/", "LASTQUOTE": "/v2/last/nbbo/",
-    "LASTQUOTECURRENCYPAIR": "/v1/last_quote/currencies/", "REALTIMECURRENCYCONVERSION": "/v1/conversion/", "SNAPSHOTSALLTICKERS": "/v2/snapshot/locale/",
-    "SNAPSHOTSGAINERSLOSERS": "/v2/snapshot/locale/", "SNAPSHOTSTICKER": "/v2/snapshot/locale/", "SNAPSHOTSUNIVERSALSNAPSHOT": "/v3/snapshot", "SNAPSHOTSOPTIONCONTRACT": "/v3/snapshot/options/",
-    "SNAPSHOTSOPTIONCHAIN": "/v3/snapshot/options/", "TICKERS": "/v3/reference/tickers", "TICKERDETAILSV3": "/v3/reference/tickers/", "TICKEREVENTS": "/vX/reference/tickers/",
-    "TICKERNEWS": "/v2/reference/news", "TICKERTYPES": "/v3/reference/tickers/types", "MARKETHOLIDAYS": "/v1/marketstatus/upcoming", "MARKETSTATUS": "/v1/marketstatus/now",
-    "STOCKSPLITSV3": "/v3/reference/splits", "DIVIDENDSV3": "/v3/reference/dividends", "STOCKFINANCIALSVX": "/vX/reference/financials", "CONDITIONS": "/v3/reference/conditions",
-    "EXCHANGES": "/v3/reference/exchanges", "RELATEDCOMPANIES": "/v1/related-companies/", "IPOS": "/vX/reference/ipos", "OPTIONCONTRACT": "/v3/reference/options/contracts/", "OPTIONSCONTRACTS": "/v3/reference/options/contracts",
-}
+    "AGGREGATES": "/v2/aggs/ticker/",
+    "GROUPEDDAILY": "/v2/aggs/grouped/locale/",
+    "DAILYOPENCLOSE": "/v1/open-close/",
+    "PREVIOUSCLOSE": "/v2/aggs/ticker/",
+    "TRADES": "/v3/trades/",
+    "LASTTRADE": "/v2/last/trade/",
+    "LASTTRADECRYPTOPAIR": "/v1/last/crypto/",
+    "QUOTES": "/v3/quotes/",
+    "LASTQUOTE": "/v2/last/nbbo/",
+    "LASTQUOTECURRENCYPAIR": "/v1/last_quote/currencies/",
+    "REALTIMECURRENCYCONVERSION": "/v1/conversion/",
+    "SNAPSHOTSOPTIONCONTRACT": "/v3/snapshot/options/",
+    "SNAPSHOTSOPTIONCHAIN": "/v3/snapshot/options/",
+    "SNAPSHOTSUNIVERSALSNAPSHOT": "/v3/snapshot?ticker.any_of=",
+    "SNAPSHOTSALLTICKERS": "/v2/snapshot/locale/",
+    "SNAPSHOTSGAINERSLOSERS": "/v2/snapshot/locale/",
+    "SNAPSHOTSTICKER": "/v2/snapshot/locale/",
+    "TICKERS": "/v3/reference/tickers?active=true&",
+    "TICKERDETAILSV3": "/v3/reference/tickers/",
+    "TICKEREVENTS": "/vx/reference/tickers/",
+    "TICKERNEWS": "/v2/reference/news?limit=",
+    "TICKERTYPES": "/v3/reference/tickers/types?asset_class=",
+    "MARKETHOLIDAYS": "/v1/marketstatus/upcoming?apikey=",
+    "MARKETSTATUS": "/v1/marketstatus/now?apikey=",
+    "STOCKSPLITSV3": "/v3/reference/splits?limit=",
+    "DIVIDENDSV3": "/v3/reference/dividends?limit=",
+    "STOCKFINANCIALSVX": "/vX/reference/financials?limit=",
+    "CONDITIONS": "/v3/reference/conditions?asset_class=",
+    "EXCHANGES": "/v3/reference/exchanges?asset_class=",
+    "RELATEDCOMPANIES": "/v1/related-companies/",
+    "IPOS": "/vX/reference/ipos?limit=",
+    "OPTIONCONTRACT": "/v3/reference/options/contracts/",
+    "OPTIONSCONTRACTS": "/v3/reference/options/contracts?limit=",
+}
 
 
 def endpoints(spark: SparkSession) -> DataFrame:
@@ -133,6 +158,24 @@ def with_endpoint(requests: DataFrame) -> DataFrame:
     return requests.join(F.broadcast(endpoints(requests.sparkSession)), "kind", "left").withColumn("path", F.coalesce("path", F.lit("UNKNOWN")))
 
 
+def request_paths(requests: DataFrame) -> DataFrame:
+    """Address of each request (kind, symbol, start, end): range bars, last trade or quote, conversion, or the endpoint alone."""
+    from ..functions import symbols as S
+
+    rows = with_endpoint(requests)
+    base, quote = S.pair_parts(S.bare_symbol(F.col("symbol")))
+    path = F.col("path")
+    address = (
+        F.when(F.col("kind") == "AGGREGATES", F.concat(path, F.col("symbol"), F.lit("/range/1/day/"), F.col("start"), F.lit("/"), F.col("end"), F.lit("?adjusted=true&sort=asc&limit=5000")))
+        .when(F.col("kind") == "PREVIOUSCLOSE", F.concat(path, F.col("symbol"), F.lit("/prev?adjusted=true")))
+        .when(F.col("kind") == "GROUPEDDAILY", F.concat(path, S.locale(S.asset_class(F.col("symbol"))), F.lit("/"), F.col("start"), F.lit("?adjusted=true")))
+        .when(F.col("kind").isin("LASTTRADECRYPTOPAIR", "LASTQUOTECURRENCYPAIR", "REALTIMECURRENCYCONVERSION"), F.concat(path, base, F.lit("/"), quote))
+        .when(F.col("kind").isin("TRADES", "QUOTES", "LASTTRADE", "LASTQUOTE", "TICKERDETAILSV3", "RELATEDCOMPANIES"), F.concat(path, F.col("symbol")))
+        .otherwise(path)
+    )
+    return rows.withColumn("address", address)
+
+
 def quarantine(rows: DataFrame, text_date: str = "date_text") -> tuple[DataFrame, DataFrame]:
     """Rows whose ticker and ISO date are sound, and the others."""
     day = F.try_to_date(text_date, "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.col(text_date).try_cast("date")
