@@ -7,6 +7,7 @@ import re
 from functools import lru_cache
 from hashlib import sha256
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,7 +162,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data masked in ``text``; null stays null, other columns stay as they are."""
 
     @F.pandas_udf("string")
-    def mask(texts: "pd.Series") -> "pd.Series":  # noqa: F821
+    def mask(texts: pd.Series) -> pd.Series:
         return texts.map(masked, na_action="ignore")
 
     return docs.withColumn("text", mask("text"))
