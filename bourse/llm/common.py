@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 import pyarrow as pa
@@ -24,24 +25,47 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir.fallback
 
 
-def materialise(df: DataFrame, name: str = "part", partition_by: str | None = None) -> DataFrame:
+_made = threading.local()
+
+
+def materialise(df: DataFrame, name: str = "part") -> DataFrame:
     """Writes ``df`` into the shared folder and reads it back: a cut of the lineage that outlives an executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
+    if not hasattr(_made, "paths"):
+        _made.paths = []
+    _made.paths.append(path)
     return out
 
 
-def discard(df: DataFrame | None) -> None:
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if path in getattr(_made, "paths", ()):
+        _made.paths.remove(path)
+
+
+def discard(df: DataFrame) -> None:
     """Removes a table made by ``materialise`` which nothing reads any more."""
-    path = getattr(df, "_shared_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if getattr(df, "_shared_path", None):
+        _remove(df.sparkSession, df._shared_path)
+
+
+def mark() -> int:
+    """The place in this thread's list of tables, for ``sweep``."""
+    return len(getattr(_made, "paths", ()))
+
+
+def sweep(since: int, out: DataFrame) -> DataFrame:
+    """Removes the tables made since ``mark`` that ``out`` doesn't read, and returns it."""
+    used = out.inputFiles()
+    for path in list(getattr(_made, "paths", ())[since:]):
+        if not any(f"/{path.rsplit('/', 1)[1]}/" in f for f in used):
+            _remove(out.sparkSession, path)
+    return out
 
 
 def text_binary(col: str = "text"):
@@ -74,6 +98,7 @@ def slices(batch: pa.RecordBatch, most: int = 16 << 20):
     yield from slices(batch.slice(half), most)
 
 
-def clean_ids(docs: DataFrame, *cols: str) -> DataFrame:
-    """Only the named columns, so that extra ones with clashing names can't get in the way."""
-    return docs.select(*[F.col(f"`{c}`") for c in cols])
+def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id ``kept`` has, and those without one, which no decision can name."""
+    ids = kept.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(ids, F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.filter("doc_id IS NULL"))

@@ -66,6 +66,7 @@ def exact_groups(docs: DataFrame, first: int = FIRST, growth: int = GROWTH, wide
     null and kept false. Rows that repeat one doc_id and text all count and carry the same kept. No rows
     give no rows; other columns are ignored.
     """
+    since = common.mark()
     width, keys = first, ["bytes", "digit"]
     shared = buckets(digits(prefixes(docs, width), width), keys)
     active, done = normalised(docs), []
@@ -88,10 +89,10 @@ def exact_groups(docs: DataFrame, first: int = FIRST, growth: int = GROWTH, wide
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.select("doc_id", F.col("top").alias("keep_id"), F.col("size").alias("group_size"), F.coalesce(F.col("doc_id") == F.col("top"), F.lit(False)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    out = out.select("doc_id", F.col("top").alias("keep_id"), F.col("size").alias("group_size"), F.coalesce(F.col("doc_id") == F.col("top"), F.lit(False)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return common.sweep(since, out)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows whose doc_id ``exact_groups`` keeps, with the columns of ``docs``; rows without a doc_id go."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    """The rows whose doc_id ``exact_groups`` keeps, and those without a doc_id, with the columns of ``docs``."""
+    return common.rows_of(docs, exact_groups(docs).filter("kept"))

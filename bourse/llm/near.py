@@ -257,6 +257,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     compared each by its own text. A row with a null doc_id gets a null component and isn't kept. No
     rows give no rows; columns other than doc_id and text are ignored.
     """
+    since = common.mark()
     own = common.materialise(sketches(docs), "sketches")
     firsts = common.materialise(own.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("cid")), "classes")
     members = common.materialise(own.select("doc_id", "n", "digest").join(firsts, "digest", "left").select("doc_id", "n", "cid"), "classed")
@@ -278,10 +279,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     parts = resolve(clusters.join(rep.select("cid", "n"), "cid"), docs)
     out = members.join(parts, "cid", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "cid", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    return common.sweep(since, out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept")))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows that ``near_groups`` keeps, with the columns of ``docs``; rows without a doc_id go."""
-    kept = near_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    """The rows whose doc_id ``near_groups`` keeps, and those without a doc_id, with the columns of ``docs``."""
+    return common.rows_of(docs, near_groups(docs).filter("kept"))

@@ -212,8 +212,8 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     A row with a null vec_id has no links, a null component and isn't kept. Rows that repeat a vec_id are
     vectors of their own that share the sum of their links and a component. No rows give no rows.
     """
-    rows = prepared(vectors)
-    own = blocks(rows)
+    since = common.mark()
+    own = blocks(prepared(vectors))
     ends = own.select("block", "label", "width", "centre", "radius")
     left, right = (ends.select(*[F.col(c).alias(f"{c}_{s}") for c in ends.columns]) for s in "ab")
     gap = F.sqrt(F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
@@ -251,4 +251,5 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     out = vectors.select(F.col("vec_id").cast("long"))
     out = out.join(counts.withColumnRenamed("a", "vec_id"), "vec_id", "left").join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+    out = out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+    return common.sweep(since, out)
