@@ -159,10 +159,11 @@ def masked(text: str | None) -> str | None:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data masked in ``text``; null stays null, other columns stay as they are."""
+    """``docs`` with personal data masked in ``text`` and ``n_chars``, if there, as long as that; null texts stay null, other columns as they are."""
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series) -> pd.Series:
         return texts.map(masked, na_action="ignore")
 
-    return docs.withColumn("text", mask("text"))
+    out = docs.withColumn("text", mask("text"))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
