@@ -46,6 +46,13 @@ def to_envelope(df: DataFrame, key: str | None = None) -> DataFrame:
     return rows.select(*([key] if key else []), F.to_json(F.struct("results", "count")).alias("json"))
 
 
+def answers(rows: DataFrame, ok: str, data: str, error: str = "error") -> DataFrame:
+    """The served form of each row: {status: success, data} or {status: error, message}."""
+    good = F.struct(F.lit("success").alias("status"), F.col(data).alias("data"))
+    bad = F.struct(F.lit("error").alias("status"), F.col(error).alias("message"))
+    return rows.withColumn("json", F.when(F.col(ok), F.to_json(good)).otherwise(F.to_json(bad)))
+
+
 def parse_aggregates(texts: DataFrame, col: str = "value") -> DataFrame:
     """A vendor's answers, parsed, with ``error_class`` null where they can be used."""
     parsed = texts.withColumn("e", F.from_json(col, schemas.AGGREGATES))

@@ -30,6 +30,13 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.table(name)
 
 
+def synthetic_ticks(spark: SparkSession, start: float = 100.0, every: float = 3.0, seed: int = 7) -> DataFrame:
+    """Prices around ``start`` that move by U(-1, 1), a tick each ``every`` seconds, with the change in percent."""
+    rows = spark.readStream.format("rate").option("rowsPerSecond", 1).load().filter(F.col("value") % max(1, round(every)) == 0)
+    move = F.rand(seed) * 2 - 1
+    return rows.select("timestamp", F.col("value").alias("seq"), move.alias("move")).withColumns({"price": start + F.col("move"), "change": 100 * F.col("move") / start})
+
+
 def tumbling_bars(ticks: DataFrame, width: str = "1 day", lateness: str = "1 day") -> DataFrame:
     """Bars of event time windows; ``ts`` must be a timestamp."""
     rows = ticks.withWatermark("ts", lateness).groupBy(F.window("ts", width), "ticker")
