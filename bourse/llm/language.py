@@ -11,10 +11,10 @@ from . import common
 
 #: Bytes of context at most.
 ORDER = 3
-#: Documents to learn from, per language: the fit reads about so many labelled rows, chosen by a hash of doc_id.
+#: Documents to learn from, per language: the fit reads about so many labelled rows, whole, chosen by a hash of doc_id.
 SAMPLE_DOCS = 1500
-#: Bytes of each of them.
-SAMPLE_BYTES = 20_000
+#: Bytes that a worker counts at a time.
+COUNT_BYTES = 1 << 20
 #: A context of full length is kept if it was seen so often; else its longest kept suffix stands in.
 MIN_SEEN = 24
 #: Symbols of the reduced byte alphabet: bytes seen in training, and one for all others.
@@ -29,22 +29,38 @@ def context_counts(rows: DataFrame) -> DataFrame:
     """(lang, code, n): how often each run of ORDER + 1 bytes occurs; pre-aggregated in each task."""
     schema = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
 
+    def codes(text):
+        for at in range(0, len(text), COUNT_BYTES):
+            b = np.frombuffer(text[max(0, at - ORDER) : at].rjust(ORDER, b"\0") + text[at : at + COUNT_BYTES], np.uint8).astype(np.int64)
+            code = b[ORDER:].copy()
+            for k in range(1, ORDER + 1):
+                code |= b[ORDER - k : len(b) - k] << (8 * k)
+            yield code
+
+    def merged(parts):
+        code, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        return code, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+
     def fn(batch):
-        langs, out = batch.column(0).to_pylist(), ([], [], [])
-        for lang in sorted(set(langs)):
-            codes = []
-            for text, own in zip(batch.column(1).to_pylist(), langs):
-                if own == lang:
-                    b = np.frombuffer(bytes(ORDER) + text[:SAMPLE_BYTES], np.uint8).astype(np.int64)
-                    code = b[ORDER:].copy()
-                    for k in range(1, ORDER + 1):
-                        code |= b[ORDER - k : len(b) - k] << (8 * k)
-                    codes.append(code)
-            code, n = np.unique(np.concatenate(codes), return_counts=True)
-            out[0].extend([lang] * len(code))
-            out[1].append(code)
-            out[2].append(n)
-        return [out[0], np.concatenate(out[1]), np.concatenate(out[2])] if out[1] else None
+        waiting, counted, size = {}, {}, 0
+
+        def count():
+            for lang, own in waiting.items():
+                counted.setdefault(lang, []).append(np.unique(np.concatenate(own), return_counts=True))
+            waiting.clear()
+
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for code in codes(text):
+                waiting.setdefault(lang, []).append(code)
+                size += len(code)
+                if size > COUNT_BYTES:
+                    count()
+                    size = 0
+        count()
+        if not counted:
+            return None
+        out = {lang: merged(parts) for lang, parts in sorted(counted.items())}
+        return [[lang for lang, (code, _) in out.items() for _ in code], np.concatenate([c for c, _ in out.values()]), np.concatenate([n for _, n in out.values()])]
 
     found = rows.select("lang", common.text_binary().alias("body")).mapInArrow(common.batches(fn, schema), "lang string, code long, n long")
     return found.groupBy("lang", "code").agg(F.sum("n").alias("n"))
