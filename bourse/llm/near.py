@@ -254,14 +254,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
     capped: nodes still large after LEVELS of branching and large clusters are compared in pairs of blocks.
 
     Null and empty texts have an empty set and are linked with nothing. Rows that repeat a doc_id are
-    compared each by its own text. A row with a null doc_id gets a null component and isn't kept. No
+    placed each by its own text; a class bears the least doc_id of its rows, and one that two classes bear joins them. A row with a null doc_id gets a null component and isn't kept. No
     rows give no rows; columns other than doc_id and text are ignored.
     """
     since = common.mark()
     own = common.materialise(sketches(docs), "sketches")
     firsts = common.materialise(own.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("cid")), "classes")
     members = common.materialise(own.select("doc_id", "n", "digest").join(firsts, "digest", "left").select("doc_id", "n", "cid"), "classed")
-    rep = own.join(firsts.withColumnRenamed("digest", "of"), (F.col("digest") == F.col("of")) & (F.col("doc_id") == F.col("cid"))).select("cid", "n", "sketch", "roots").dropDuplicates(["cid"])
+    rep = own.join(firsts.withColumnRenamed("digest", "of"), (F.col("digest") == F.col("of")) & (F.col("doc_id") == F.col("cid"))).dropDuplicates(["cid", "digest"]).select("cid", "n", "sketch", "roots")
     rep = common.materialise(rep, "representatives")
     found = populated(rep.select(F.explode(F.transform("roots", lambda x, i: F.xxhash64(i, x))).alias("node"), "cid"))
     edges = None
@@ -276,7 +276,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
             break
         found = populated(branch(large).distinct())
     clusters = components(edges).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
-    parts = resolve(clusters.join(rep.select("cid", "n"), "cid"), docs)
+    parts = resolve(clusters.join(rep.groupBy("cid").agg(F.sum("n").alias("n")), "cid"), docs).groupBy("cid").agg(F.min("component").alias("component"))
     out = members.join(parts, "cid", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "cid", "doc_id"))
     return common.sweep(since, out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept")))

@@ -99,6 +99,8 @@ def test_near(spark, odd):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near.near_groups(frame(spark, texts)).collect()}
     assert got == brute_near(texts)
     assert near.near_groups(frame(spark, [])).count() == 0
+    twice = near.near_groups(frame(spark, ["a b c d e f g h i j", "k l m n o p q r", "a b c d e f g h i j", "k l m n o p q r", "k l m n o p q r s"], [7, 7, 7, 9, 9])).collect()
+    assert len(twice) == 5 and {r.component_id for r in twice} == {7}
     some = near.near_groups(frame(spark, ["a b c d e f", "a b c d e f"], [None, 3])).collect()
     assert sorted((r.doc_id or 0, r.kept) for r in some) == [(0, False), (3, True)]
 
