@@ -7,25 +7,42 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def rolling_vwap(trades: DataFrame, seconds: int, key: str = "ticker", sec: str = "sec", seq: str = "seq", cents: int = 10_000) -> DataFrame:
+#: Units of the order column in a chunk of a rolling window, at least: a day of seconds.
+CHUNK_SECONDS = 86_400
+
+
+def in_chunks(rows: DataFrame, at: str, reach: int, chunk: int) -> DataFrame:
+    """Rows dealt into chunks of ``at``, those within ``reach`` before a chunk's start copied into it with ``_own`` false.
+
+    So a window of that reach runs within (key, chunk), and a busy key's rows are spread over many tasks.
+    """
+    length = max(chunk, reach)
+    own = F.floor(F.col(at) / length)
+    copies = F.when(F.col(at) >= (own + 1) * length - reach, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("_next", F.explode(copies)).withColumns({"_chunk": own + F.col("_next"), "_own": F.col("_next") == 0}).drop("_next")
+
+
+def rolling_vwap(trades: DataFrame, seconds: int, key: str = "ticker", sec: str = "sec", seq: str = "seq", cents: int = 10_000, chunk: int = CHUNK_SECONDS) -> DataFrame:
     """VWAP of the trades in (sec - seconds, sec] as each arrives: later arrivals at its own second are not seen.
 
     Sums run in integers (price in units of 1/cents), so they don't depend on order; zero volume gives 0.
     """
-    rows = trades.withColumn("_pq", F.floor(F.col("price") * cents + 0.5) * F.col("qty"))
-    span = W.partitionBy(key).orderBy(sec).rangeBetween(-(seconds - 1), 0)
-    later = W.partitionBy(key, sec).orderBy(seq).rowsBetween(1, W.unboundedFollowing)
+    rows = in_chunks(trades.withColumn("_pq", F.floor(F.col("price") * cents + 0.5) * F.col("qty")), sec, seconds - 1, chunk)
+    span = W.partitionBy(key, "_chunk").orderBy(sec).rangeBetween(-(seconds - 1), 0)
+    later = W.partitionBy(key, "_chunk", sec).orderBy(seq).rowsBetween(1, W.unboundedFollowing)
     sums = {c: F.sum(c).over(span) - F.coalesce(F.sum(c).over(later), F.lit(0)) for c in ("_pq", "qty")}
-    out = rows.withColumns({"_num": sums["_pq"], "_den": sums["qty"]})
-    return out.withColumn("vwap", F.when(F.col("_den") == 0, 0.0).otherwise(F.try_divide(F.col("_num"), F.col("_den")) / cents)).drop("_pq", "_num", "_den")
+    out = rows.withColumns({"_num": sums["_pq"], "_den": sums["qty"]}).filter("_own")
+    return out.withColumn("vwap", F.when(F.col("_den") == 0, 0.0).otherwise(F.try_divide(F.col("_num"), F.col("_den")) / cents)).drop("_pq", "_num", "_den", "_chunk", "_own")
 
 
-def rolling_vwap_continuous(trades: DataFrame, seconds: int, key: str = "ticker", ts: str = "ts", cents: int = 10_000) -> DataFrame:
+def rolling_vwap_continuous(trades: DataFrame, seconds: int, key: str = "ticker", ts: str = "ts", cents: int = 10_000, chunk: int = CHUNK_SECONDS) -> DataFrame:
     """VWAP over the half-open window (ts - seconds, ts] in microseconds, all peers of ts seen; null without volume."""
     micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
     rows = trades.withColumns({"_us": micros, "_pq": F.floor(F.col("price") * cents + 0.5) * F.col("qty")})
-    span = W.partitionBy(key).orderBy("_us").rangeBetween(1 - seconds * 1_000_000, 0)
-    return rows.withColumn("vwap", F.try_divide(F.sum("_pq").over(span), F.nullif(F.sum("qty").over(span), F.lit(0))) / cents).drop("_us", "_pq")
+    rows = in_chunks(rows, "_us", seconds * 1_000_000 - 1, chunk * 1_000_000)
+    span = W.partitionBy(key, "_chunk").orderBy("_us").rangeBetween(1 - seconds * 1_000_000, 0)
+    out = rows.withColumn("vwap", F.try_divide(F.sum("_pq").over(span), F.nullif(F.sum("qty").over(span), F.lit(0))) / cents)
+    return out.filter("_own").drop("_us", "_pq", "_chunk", "_own")
 
 
 def duplicate_orders(orders: DataFrame, horizon: int) -> DataFrame:

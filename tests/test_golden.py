@@ -33,7 +33,8 @@ def test_series_stats(spark):
 
 def test_rolling_vwap(spark):
     rows = spark.createDataFrame([("A", 0, 10.0, 100, 0), ("A", 1, 11.0, 50, 1), ("A", 1, 12.0, 50, 2), ("A", 3, 9.0, 200, 3), ("A", 10, 10.0, 0, 4)], "ticker string, sec long, price double, qty long, seq long")
-    assert column(orderflow.rolling_vwap(rows, 3), "vwap", "seq") == pytest.approx([10.0, 10.333333, 10.75, 9.833333, 0.0], abs=1e-6)
+    for chunk in (1, 5, 86_400):
+        assert column(orderflow.rolling_vwap(rows, 3, chunk=chunk), "vwap", "seq") == pytest.approx([10.0, 10.333333, 10.75, 9.833333, 0.0], abs=1e-6)
 
 
 def test_duplicate_orders(spark):
