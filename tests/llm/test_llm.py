@@ -292,11 +292,63 @@ def test_lm(spark, odd):
     assert lm.score(frame(spark, ["a b"], [2]), held_out=F.lit(True)).first().score == 0
 
 
-def test_suffix_tree_is_a_distribution():
-    syms = np.array([97, 98, 99, 255])
-    tree = lm.SuffixTree([(np.zeros(4, int), syms, np.array([50.0, 30, 20, 10]))] + [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))] * lm.DEPTH, 110.0)
-    p = 10 ** tree.log[0]
-    assert p[1:].sum() + p[0] * (257 - 4) == pytest.approx(1.0)
+def brute_tree(train, n, v):
+    """log10 probability of words under the suffix tree, from counts of whole contexts."""
+    count, after, before = Counter(), Counter(), Counter()
+    for p in train:
+        seq = ["<s>", *p, "</s>"]
+        count.update(seq[1:])
+        for i in range(1, len(seq)):
+            for d in range(1, lm.DEPTH + 1):
+                if i >= d:
+                    after[tuple(seq[i - d : i]), seq[i]] += 1
+                    before[tuple(seq[i - d : i])] += 1
+    least = lm.LEAST_SHARE * n
+    known = {w for w, c in count.items() if c >= least} | {"<s>"}
+    listed = {}
+    for (context, word), c in after.items():
+        if before[context] >= least and word in known and c >= lm.ENTRY_SHARE * n and known >= set(context):
+            listed.setdefault(context, {})[word] = c
+    kept = {}
+
+    def probability(context, word):
+        if not context:
+            return (count[word] + 1) / (n + v + 1)
+        lower = probability(context[1:], word)
+        if context not in kept:
+            return lower
+        own, total = kept[context], before[context] + len(kept[context])
+        return own.get(word, 0) / total + (before[context] - sum(own.values()) + len(own)) / total * lower
+
+    for context in sorted(listed, key=len):
+        own, total = listed[context], before[context]
+        rest = (total - sum(own.values()) + len(own)) / (total + len(own))
+        lower = {w: probability(context[1:], w) for w in own}
+        saved = sum(c * math.log2((c / (total + len(own)) + rest * lower[w]) / lower[w]) for w, c in own.items()) + (total - sum(own.values())) * math.log2(rest)
+        if saved >= lm.LEAST_SAVING * len(own):
+            kept[context] = own
+    return probability, kept
+
+
+def test_suffix_tree(spark, monkeypatch):
+    rng = random.Random(18)
+    order = [rng.choice("abc") + rng.choice("de") for _ in range(40)]
+    texts = [None, "", "a"] + [" ".join(order[i % 40] if rng.random() < 0.6 else f"W{rng.randrange(300)}" for i in range(rng.randrange(80))) for _ in range(60)]
+    monkeypatch.setattr(lm, "LEAST_SHARE", 2e-3)
+    monkeypatch.setattr(lm, "ENTRY_SHARE", 1e-3)
+    got = {r.doc_id: r for r in lm.score(frame(spark, texts)).collect()}
+    parts = [lower_bytes(t).split() for t in texts]
+    train = [p for i, p in enumerate(parts) if not got[i].held_out]
+    n, v = sum(map(len, train)) + len(train), len({w for p in train for w in p}) + 1
+    probability, kept = brute_tree(train, n, v)
+    assert {len(c) for c in kept} == {1, 2}
+    for i, p in enumerate(parts):
+        seq = ["<s>", *p, "</s>"]
+        assert got[i].score == pytest.approx(sum(math.log10(probability(tuple(seq[max(0, at - lm.DEPTH) : at]), seq[at])) for at in range(1, len(seq))))
+    words_seen = {w for p in train for w in p} | {"</s>", "never seen"}
+    for context in [(), *kept]:
+        assert sum(probability(context, w) for w in words_seen) == pytest.approx(1.0)
+    assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
 
 
 def test_quality(spark):
