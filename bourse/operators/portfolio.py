@@ -63,11 +63,16 @@ def valued(holdings: DataFrame, latest: DataFrame) -> DataFrame:
 
 
 def as_of_prices(rows: DataFrame, bars: DataFrame, key: str = "ticker", date: str = "date") -> DataFrame:
-    """Each row with the last close at or before its date: one union and one window, no range join."""
-    quotes = bars.select(key, F.col("date").alias("_d"), F.lit(0).alias("_o"), F.col("close").alias("_c"), F.lit(None).alias("_row"))
-    asks = rows.select(key, F.col(date).alias("_d"), F.lit(1).alias("_o"), F.lit(None).cast("double").alias("_c"), F.struct(*rows.columns).alias("_row"))
-    w = W.partitionBy(key).orderBy("_d", "_o").rowsBetween(W.unboundedPreceding, 0)
-    return quotes.unionByName(asks).withColumn("as_of_close", F.last("_c", True).over(w)).filter("_o = 1").select("_row.*", "as_of_close")
+    """Each row with the last close at or before its date (null: none), without a range join.
+
+    The window runs over the bars and the distinct dates asked for, as many as an instrument has days; the
+    rows themselves are joined by instrument and date, where a busy instrument's rows can be split.
+    """
+    quotes = bars.select(F.col(key).alias("_k"), F.col("date").alias("_d"), F.lit(0).alias("_o"), F.col("close").cast("double").alias("_c"))
+    asks = rows.select(F.col(key).alias("_k"), F.col(date).alias("_d")).distinct().select("_k", "_d", F.lit(1).alias("_o"), F.lit(None).cast("double").alias("_c"))
+    w = W.partitionBy("_k").orderBy("_d", "_o").rowsBetween(W.unboundedPreceding, 0)
+    known = quotes.unionByName(asks).withColumn("as_of_close", F.last("_c", True).over(w)).filter("_o = 1").select("_k", "_d", "as_of_close")
+    return rows.join(known, (F.col(key) == F.col("_k")) & (F.col(date) == F.col("_d")), "left").select(*rows.columns, "as_of_close")
 
 
 def performance(portfolios: DataFrame) -> DataFrame:

@@ -16,10 +16,10 @@ def _positions(spark, sf_dir):
     return views.transactions(spark, sf_dir).select("portfolio_id", "ticker", "transaction_type", "quantity")
 
 
-@query("SELECT portfolio_id, ticker, CAST(count(*) AS BIGINT) AS n FROM (SELECT portfolio_id, ticker FROM transactions WHERE portfolio_id % 2 = 0 UNION ALL SELECT portfolio_id, ticker FROM transactions WHERE transaction_type = 'sell') GROUP BY 1, 2")
+@query("SELECT portfolio_id, ticker, CAST(count(*) AS BIGINT) AS n FROM (SELECT portfolio_id, ticker FROM transactions UNION ALL SELECT portfolio_id, ticker FROM transactions WHERE transaction_type = 'sell') GROUP BY 1, 2")
 def portfolio_union(spark, sf_dir):
     rows = _positions(spark, sf_dir)
-    both = portfolio.union(rows.filter("portfolio_id % 2 = 0").select("portfolio_id", "ticker"), rows.filter("transaction_type = 'sell'").select("portfolio_id", "ticker"))
+    both = portfolio.union(rows.select("portfolio_id", "ticker"), rows.filter("transaction_type = 'sell'").select("portfolio_id", "ticker"))
     return both.groupBy("portfolio_id", "ticker").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -111,9 +111,9 @@ def friends_only(spark, sf_dir):
     return board.only_friends(views.portfolios(spark, sf_dir), friends, "portfolio_id").select("username", "balance")
 
 
-@query("SELECT t.portfolio_id, t.ticker, t.date, t.quantity, b.close AS as_of_close FROM (SELECT portfolio_id, ticker, date + 3 AS date, quantity FROM transactions WHERE portfolio_id % 10 = 0) t ASOF LEFT JOIN bars b ON b.ticker = t.ticker AND b.date <= t.date")
+@query("SELECT t.portfolio_id, t.ticker, t.date, t.quantity, b.close AS as_of_close FROM (SELECT portfolio_id, ticker, date + 3 AS date, quantity FROM transactions) t ASOF LEFT JOIN bars b ON b.ticker = t.ticker AND b.date <= t.date")
 def as_of_valuation(spark, sf_dir):
-    rows = views.transactions(spark, sf_dir).filter("portfolio_id % 10 = 0").select("portfolio_id", "ticker", F.date_add("date", 3).alias("date"), "quantity")
+    rows = views.transactions(spark, sf_dir).select("portfolio_id", "ticker", F.date_add("date", 3).alias("date"), "quantity")
     return portfolio.as_of_prices(rows, views.bars(spark, sf_dir)).select("portfolio_id", "ticker", "date", "quantity", "as_of_close")
 
 

@@ -119,15 +119,23 @@ def bs_greeks(spark, sf_dir):
     return views.contracts(spark, sf_dir).select("id", *[N.fix(g[n], 6 if n == "gamma" else 4).alias(n) for n in ("gamma", "vega", "theta", "rho")])
 
 
-@query(f"WITH {CHAIN} SELECT id, {sql_fix('vol', 3)} AS vol FROM mids WHERE is_call AND strike > 950 AND id % 17 = 0 OR NOT is_call AND strike < 950 AND id % 17 = 0")
+@query(f"WITH {PRICED} SELECT id, {sql_fix('model', 4)} AS repriced, CASE WHEN spot * {_PDF} * sqrt(years) > 1 THEN {sql_fix('vol', 3)} END AS vol FROM priced")
 def implied_vol(spark, sf_dir):
-    """Of contracts quoted at the model's price, out of the money: the volatility comes back."""
-    rows = _chain(spark, sf_dir).filter("(is_call AND strike > 950 AND id % 17 = 0) OR (NOT is_call AND strike < 950 AND id % 17 = 0)")
-    iv = N.implied_vol(*_args()[:5], F.col("model"))
-    return rows.select("id", N.fix(iv, 3).alias("vol"))
+    """Of each contract at the model's price: the implied volatility gives that price again, and is the model's where the price depends on it."""
+    rows = views.contracts(spark, sf_dir)
+    rows = rows.withColumn("iv", N.implied_vol(*_args()[:5], N.black_scholes(*_args())))
+    again = N.black_scholes(*_args()[:5], F.col("iv"))
+    return rows.select("id", N.fix(again, 4).alias("repriced"), F.when(N.greeks(*_args())["vega"] > 1, N.fix(F.col("iv"), 3)).alias("vol"))
 
 
-@query()
+#: Sixty halvings of the bracket (0.001, 3) about the volatility that gives the mid price.
+_HALVED = f"""halved AS (SELECT id, is_call, spot, strike, years, rate, mid, 0 AS k, 0.001::DOUBLE AS low, 3.0::DOUBLE AS high FROM mids
+    UNION ALL SELECT id, is_call, spot, strike, years, rate, mid, k + 1, CASE WHEN value < mid THEN v ELSE low END, CASE WHEN value < mid THEN high ELSE v END FROM (
+        SELECT *, CASE WHEN is_call THEN spot * {_cdf("a")} - due * {_cdf("b")} ELSE due * {_cdf("(-b)")} - spot * {_cdf("(-a)")} END AS value FROM (SELECT *, a - v * sqrt(years) AS b FROM (
+            SELECT *, (ln(spot / strike) + (rate + v * v / 2) * years) / (v * sqrt(years)) AS a, strike * exp(-rate * years) AS due FROM (SELECT *, (low + high) / 2 AS v FROM halved WHERE k < 60)))))"""
+
+
+@query(f"WITH RECURSIVE {CHAIN}, {_HALVED} SELECT m.id, underlying, m.is_call, m.strike, expiry_days, {sql_fix('(low + high) / 2', 4)} AS iv FROM mids m JOIN halved h ON h.id = m.id WHERE k = 60")
 def iv_surface(spark, sf_dir):
     return surface.vols(_chain(spark, sf_dir)).select("id", "underlying", "is_call", "strike", "expiry_days", N.fix(F.col("iv"), 4).alias("iv"))
 

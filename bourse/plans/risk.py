@@ -127,17 +127,29 @@ def bt_mean_reversion(spark, sf_dir):
     return _report(backtest.figures(backtest.mean_reversion(views.months(spark, sf_dir), 6, 1.0)))
 
 
-@query()
+@query(
+    f"""WITH s AS (SELECT x.ticker || '/' || y.ticker AS ticker, x.date, x.close - y.close AS close FROM months x JOIN months y ON x.date = y.date WHERE x.ticker = 'Brand#11' AND y.ticker = 'Brand#12'),
+    t AS (SELECT *, CASE WHEN count(*) OVER w = 6 THEN (close - avg(close) OVER w) / nullif(stddev_samp(close) OVER w, 0) END AS z FROM s WINDOW w AS (ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))
+    SELECT ticker, date, close, {sql_fix("z", 6)} AS z, CASE WHEN z < -1 THEN 1.0 WHEN z > 1 THEN -1.0 ELSE 0.0 END::DOUBLE AS position FROM t"""
+)
 def bt_pairs(spark, sf_dir):
     rows = backtest.pairs(views.months(spark, sf_dir), "Brand#11", "Brand#12", 6, 1.0)
     return rows.select("ticker", "date", "close", fix(F.col("z"), 6).alias("z"), "position")
 
 
-@query()
+def _compared_sql(name: str) -> str:
+    return f"""SELECT '{name}' AS strategy, {sql_fix("avg(final_value / 10000 - 1)", 5)} AS total_return, {sql_fix("avg(sharpe)", 5)} AS sharpe, {sql_fix("min(max_drawdown)", 6)} AS max_drawdown, CAST(sum(trades) AS BIGINT) AS trades
+        FROM (WITH {_figures_sql(name)} SELECT * FROM f)"""
+
+
+@query(" UNION ALL ".join(map(_compared_sql, _POSITIONS)))
 def bt_compare(spark, sf_dir):
-    return backtest.compare(views.months(spark, sf_dir))
+    rows = backtest.compare(views.months(spark, sf_dir))
+    return rows.select("strategy", fix(F.col("total_return"), 5).alias("total_return"), fix(F.col("sharpe"), 5).alias("sharpe"), fix(F.col("max_drawdown"), 6).alias("max_drawdown"), F.col("trades").cast("long").alias("trades"))
 
 
-@query()
+@query(
+    """SELECT * FROM (VALUES ('buy_hold', '{}'), ('ma_cross', '{"fast": 3, "slow": 6}'), ('momentum', '{"lookback": 6, "top": 5}'), ('mean_reversion', '{"lookback": 6, "threshold": 1.0}'), ('pairs', '{"lookback": 6, "threshold": 1.0}')) AS s(strategy, parameters)"""
+)
 def bt_strategies(spark, sf_dir):
     return backtest.catalogue(spark)
