@@ -69,8 +69,8 @@ def figures(positions: DataFrame, capital: float = 10_000.0, periods: int = 12,
         risk.sortino("strategy_ret", rf, periods).alias("sortino"), F.try_divide(F.sum(F.when(r > 0, 1).otherwise(0)), F.sum(F.when(r != 0, 1).otherwise(0))).alias("win_rate"), F.sum("turn").alias("trades"),
         F.avg(F.when(r > 0, r)).alias("avg_win"), F.avg(F.when(r < 0, r)).alias("avg_loss"),
     )
-    total = F.col("final_value") / capital - 1
-    return out.withColumns({"total_return": total, "annual_return": F.pow(1 + total, periods / F.col("n")) - 1})
+    grown = F.col("final_value") / capital
+    return out.withColumns({"total_return": grown - 1, "annual_return": F.pow(grown, periods / F.col("n")) - 1})
 
 
 def z(rows: DataFrame) -> Column:
