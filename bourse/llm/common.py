@@ -99,6 +99,9 @@ def slices(batch: pa.RecordBatch, most: int = 16 << 20):
 
 
 def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id ``kept`` has, and those without one, which no decision can name."""
+    """The rows of ``docs`` whose doc_id ``kept`` has, and those without one, which no decision can name.
+
+    The ids grow with the input, so the join is a merge join at every size.
+    """
     ids = kept.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    return docs.join(ids.hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.filter("doc_id IS NULL"))
