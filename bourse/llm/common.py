@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import threading
 import uuid
@@ -54,6 +55,12 @@ def discard(df: DataFrame) -> None:
         _remove(df.sparkSession, df._shared_path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more, which it does when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def mark() -> int:
     """The place in this thread's list of tables, for ``sweep``."""
     return len(getattr(_made, "paths", ()))

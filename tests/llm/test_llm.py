@@ -403,3 +403,21 @@ def test_sql_twins(spark, sf_dir, name):
     from bourse.llm.queries import ORACLES, QUERIES
 
     same(QUERIES[name](spark, sf_dir), connect(sf_dir), ORACLES[name])
+
+
+def test_suffix_tree_keeps_rare_contexts(spark, monkeypatch):
+    """A passage that repeats some times is a context whatever the number of training tokens."""
+    rng = random.Random(28)
+    bulk = [" ".join(f"w{rng.randrange(3000)}" for _ in range(20_000)) for _ in range(20)]
+    texts = bulk + ["zebra yonder xylem"] * 3 + ["zebra yonder xylem"]
+    ids = [*range(100, 120), 1000, 1001, 1002, 1003]
+    got = {r.doc_id: r for r in lm.score(frame(spark, texts, ids), held_out=F.col("doc_id") == 1003).collect()}
+    assert got[1003].score > -3 > got[1003].base_score
+    parts = [t.split() for t in texts[:-1]]
+    n, v = sum(map(len, parts)) + len(parts), len({w for p in parts for w in p}) + 1
+    monkeypatch.setattr(lm, "LEAST_SEEN", 1)  # as in the brute force without shares
+    probability, kept = brute_tree(parts, n, v)
+    got = {r.doc_id: r for r in lm.score(frame(spark, texts, ids), held_out=F.col("doc_id") == 1003).collect()}
+    for i, text in zip(ids[-6:], texts[-6:]):
+        seq = ["<s>", *text.split(), "</s>"]
+        assert got[i].score == pytest.approx(sum(math.log10(probability(tuple(seq[max(0, at - lm.DEPTH) : at]), seq[at])) for at in range(1, len(seq))))
