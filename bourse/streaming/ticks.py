@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.orderflow import Book
+from ..operators.orderflow import CHUNK_SECONDS, Book, in_chunks
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,12 +23,20 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Everything that is there now, through the stream, as a table in memory: for tests and small inputs."""
-    name = f"drained_{uuid.uuid4().hex}"
+    """Everything that is there now, through the stream, as Parquet in the folder that spark.checkpoint.dir names.
+
+    No row comes to the driver. All that is there is one batch, as the files of a folder aren't in order of time.
+    """
     spark = stream.sparkSession
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bourse-")).rstrip("/")  # a temporary one in tests
+    path = f"{shared}/drained-{uuid.uuid4().hex}"
+    out = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}-log")
+    if mode == "append":
+        out.format("parquet").start(path).awaitTermination()
+    else:  # the result so far, written anew after each batch; the file sink only appends
+        spark.createDataFrame([], stream.schema).write.parquet(path)
+        out.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def synthetic_ticks(spark: SparkSession, start: float = 100.0, every: float = 3.0, seed: int = 7) -> DataFrame:
@@ -44,24 +53,27 @@ def tumbling_bars(ticks: DataFrame, width: str = "1 day", lateness: str = "1 day
     return out.select("ticker", F.col("window.start").alias("start"), "open", "high", "low", "close", "volume", "n")
 
 
-def _stateful(rows: DataFrame, key: str, update, ddl: str) -> DataFrame:
-    """``update(state, rows in order) -> (output rows, state)`` for each key; the state is kept as JSON."""
+def _stateful(rows: DataFrame, keys: list[str], update, ddl: str) -> DataFrame:
+    """``update(state, rows in order) -> (output rows, state)`` for each value of ``keys``; the state is kept as JSON."""
     columns = [c.split()[0] for c in ddl.split(", ")]
 
     def run(_, frames, state):
         import pandas as pd
 
         own = json.loads(state.get[0]) if state.exists else None
-        frame = pd.concat(list(frames)).sort_values(["at", "seq"])
+        frame = pd.concat(list(frames)).sort_values(["at", "seq"]).rename(columns={"_own": "own"})
         out, own = update(own, frame)
         state.update((json.dumps(own),))
         yield pd.DataFrame(out, columns=columns)
 
-    return rows.groupBy(key).applyInPandasWithState(run, ddl, "held string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(*keys).applyInPandasWithState(run, ddl, "held string", "append", GroupStateTimeout.NoTimeout)
 
 
 def rolling_vwap(ticks: DataFrame, seconds: int, cents: int = 10_000) -> DataFrame:
-    """VWAP over the last ``seconds`` as each tick arrives; the state is the ticks still in the window and their sums."""
+    """VWAP over the last ``seconds`` as each tick arrives; the state is the ticks still in the window and their sums.
+
+    Ticks are dealt by (ticker, chunk of time), with those of the window before a chunk copied into it.
+    """
 
     def update(own, frame):
         own = own or {"rows": [], "num": 0, "den": 0}
@@ -72,10 +84,12 @@ def rolling_vwap(ticks: DataFrame, seconds: int, cents: int = 10_000) -> DataFra
             num, den = num + pq, den + int(r.qty)
             while rows[first][0] < r.at - seconds + 1:
                 num, den, first = num - rows[first][1], den - rows[first][2], first + 1
-            out.append((r.ticker, int(r.seq), num / den / cents if den else 0.0))
+            if r.own:
+                out.append((r.ticker, int(r.seq), num / den / cents if den else 0.0))
         return out, {"rows": rows[first:], "num": num, "den": den}
 
-    return _stateful(ticks.select("ticker", F.col("sec").alias("at"), "seq", "price", "qty"), "ticker", update, "ticker string, seq long, vwap double")
+    rows = in_chunks(ticks.select("ticker", F.col("sec").alias("at"), "seq", "price", "qty"), "at", seconds - 1, CHUNK_SECONDS)
+    return _stateful(rows, ["ticker", "_chunk"], update, "ticker string, seq long, vwap double")
 
 
 def best_quotes(quotes: DataFrame) -> DataFrame:
@@ -88,18 +102,22 @@ def best_quotes(quotes: DataFrame) -> DataFrame:
             out.append((int(r.symbol), int(r.seq), book.best("B"), book.best("A")))
         return out, [(s, p, n) for (s, p), n in book.live.items()]
 
-    return _stateful(quotes.select("symbol", F.col("seq").alias("at"), "seq", "action", "side", "price", "size"), "symbol", update, "symbol long, seq long, best_bid double, best_ask double")
+    return _stateful(quotes.select("symbol", F.col("seq").alias("at"), "seq", "action", "side", "price", "size"), ["symbol"], update, "symbol long, seq long, best_bid double, best_ask double")
 
 
 def duplicate_orders(orders: DataFrame, horizon: int) -> DataFrame:
-    """Orders within ``horizon`` seconds of the one before with their id; the state is the last second."""
+    """Orders within ``horizon`` seconds of the one before with their id; the state is the last second.
+
+    Orders are dealt by (id, chunk of time), with those of the horizon before a chunk copied into it.
+    """
 
     def update(own, frame):
         out = []
         for r in frame.itertuples(index=False):
-            if own is not None and r.at - own <= horizon:
+            if r.own and own is not None and r.at - own <= horizon:
                 out.append((int(r.order_id), int(r.at), int(r.seq), int(own)))
             own = int(r.at)
         return out, own
 
-    return _stateful(orders.select("order_id", F.col("ts").alias("at"), "seq"), "order_id", update, "order_id long, ts long, seq long, prev_ts long")
+    rows = in_chunks(orders.select("order_id", F.col("ts").alias("at"), "seq"), "at", horizon, CHUNK_SECONDS)
+    return _stateful(rows, ["order_id", "_chunk"], update, "order_id long, ts long, seq long, prev_ts long")

@@ -198,3 +198,23 @@ def test_stream_parity(spark, tmp_path):
     assert [(r.best_bid, r.best_ask) for r in S.drain(S.best_quotes(stream_of(spark, tmp_path / "q", quotes))).orderBy("seq").collect()] == BEST
     orders = spark.createDataFrame([(0, 1, 0), (1, 2, 1), (5, 1, 2), (6, 1, 3), (20, 2, 4)], "ts long, order_id long, seq long")
     assert column(S.drain(S.duplicate_orders(stream_of(spark, tmp_path / "o", orders), 5)), "ts", "seq") == [5, 6]
+
+
+def test_streams_are_drained_into_files(spark, tmp_path):
+    from bourse.operators import orderflow
+    from bourse.streaming import ticks as S
+
+    day = 86_400
+    secs = [5, day - 40, day - 2, day - 1, day, day, day + 1, 3 * day - 1, 3 * day + 9]
+    trades = spark.createDataFrame([("A", s, 10.0 + i, 1 + i, i) for i, s in enumerate(secs)], "ticker string, sec long, price double, qty long, seq long")
+    stream = S.rolling_vwap(stream_of(spark, tmp_path / "t", trades), 30)
+    assert "_chunk" in stream._jdf.queryExecution().analyzed().toString()  # a ticker's rows don't meet in one frame
+    got = S.drain(stream)
+    assert got.inputFiles() and got.count() == len(secs)
+    assert column(got, "vwap", "seq") == pytest.approx(column(orderflow.rolling_vwap(trades, 30), "vwap", "seq"))
+    orders = trades.select(F.col("sec").alias("ts"), F.lit(1).cast("long").alias("order_id"), "seq")
+    got = S.drain(S.duplicate_orders(stream_of(spark, tmp_path / "o", orders), 50))
+    assert got.inputFiles() and column(got, "ts", "seq") == column(orderflow.duplicate_orders(orders, 50), "ts", "seq")
+    bars = trades.withColumn("ts", F.timestamp_seconds("sec"))
+    got = S.drain(S.tumbling_bars(stream_of(spark, tmp_path / "b", bars)), "complete")
+    assert got.inputFiles() and column(got, "n", "start") == [4, 3, 1, 1]
