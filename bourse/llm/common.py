@@ -105,10 +105,15 @@ def slices(batch: pa.RecordBatch, most: int = 16 << 20):
     yield from slices(batch.slice(half), most)
 
 
-def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id ``kept`` has, and those without one, which no decision can name.
+def one_of_each(docs: DataFrame, groups_of, group: str, rank, best) -> DataFrame:
+    """One row of each group of ``docs``: the one whose ``rank`` is ``best`` (F.min or F.max), with the columns of ``docs``.
 
-    The ids grow with the input, so the join is a merge join at every size.
+    Rows are told apart by a key of their own, written with them, so those that repeat a doc_id or have none
+    are decided like any other. ``groups_of`` is given the texts with that key as doc_id, and tells the group of
+    each in the column ``group``. The keys grow with the input, so the joins are merge joins at every size.
     """
-    ids = kept.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids.hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    groups = groups_of(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col(group).alias("_group"))
+    ranked = keyed.select("_row", F.struct(*rank, F.col("_row").alias("row")).alias("_rank")).join(groups.hint("merge"), "_row")
+    kept = ranked.groupBy("_group").agg(best("_rank").alias("_rank")).select(F.col("_rank.row").alias("_row"))
+    return keyed.join(kept.hint("merge"), "_row", "left_semi").select(*docs.columns)

@@ -94,5 +94,5 @@ def exact_groups(docs: DataFrame, first: int = FIRST, growth: int = GROWTH, wide
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows whose doc_id ``exact_groups`` keeps, and those without a doc_id, with the columns of ``docs``."""
-    return common.rows_of(docs, exact_groups(docs).filter("kept"))
+    """Of the rows with equal texts the one with the largest doc_id (nulls last, of equal ones any), with the columns of ``docs``."""
+    return common.one_of_each(docs, exact_groups, "keep_id", [F.col("doc_id").cast("long").alias("id")], F.max)

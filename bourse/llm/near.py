@@ -283,5 +283,5 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows whose doc_id ``near_groups`` keeps, and those without a doc_id, with the columns of ``docs``."""
-    return common.rows_of(docs, near_groups(docs).filter("kept"))
+    """Of each group of near copies the row with the least doc_id (nulls last, of equal ones any), with the columns of ``docs``."""
+    return common.one_of_each(docs, near_groups, "component_id", [F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id")], F.min)

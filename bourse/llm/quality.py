@@ -234,7 +234,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``classify`` rejects; a row without a doc_id stays.
+    """``docs`` without the rows that ``classify`` rejects; a row is scored by itself, whatever its doc_id.
 
     The fitted views score each row where it is read, so no text is shuffled to be dropped.
     """
@@ -248,4 +248,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         own = [np.array([s[v] for s in sides], np.int64).reshape(len(sides), -1) for v in (0, 1)]
         return pd.Series(combined(models, prior, own)[2] >= KEEP_FROM)
 
-    return docs.filter(F.col("doc_id").isNull() | good(F.col("text"), F.col("source").cast("string"), F.col("lang").cast("string")))
+    return docs.filter(good(F.col("text"), F.col("source").cast("string"), F.col("lang").cast("string")))

@@ -421,3 +421,19 @@ def test_suffix_tree_keeps_rare_contexts(spark, monkeypatch):
     for i, text in zip(ids[-6:], texts[-6:]):
         seq = ["<s>", *text.split(), "</s>"]
         assert got[i].score == pytest.approx(sum(math.log10(probability(tuple(seq[max(0, at - lm.DEPTH) : at]), seq[at])) for at in range(1, len(seq))))
+
+
+def test_stages_decide_rows_without_an_id(spark):
+    """Null and repeated ids: each row is decided, and the copies of one (doc_id, text) leave one row."""
+    rng = random.Random(31)
+    a, b, c, d = (words(rng, 60, 5000) for _ in range(4))
+    left = exact.drop_copies(frame(spark, [a, a, b, b, c, d, c, d, None, ""], [None, None, 1, 1, 2, 2, 3, None, None, 9]))
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(None, a), (1, b), (3, c), (2, d), (9, "")], key=str)
+    texts = [a, a + " x", b, b + " x", c, d, c + " x", d + " x", None, None]
+    left = near.drop_near_copies(frame(spark, texts, [None, None, 1, 1, 2, 2, 3, None, None, None])).collect()
+    assert sorted((str(r.doc_id), r.text.removesuffix(" x")) for r in left if r.text) == sorted([("None", a), ("1", b), ("2", c), ("2", d)])
+    assert sum(r.text is None for r in left) == 2  # empty sets are linked with nothing
+    good, bad = [words(rng, 60, 900) + "." for _ in range(300)], [" ".join(f"W{rng.randrange(9)}!!" for _ in range(40)) for _ in range(150)]
+    labels = spark.createDataFrame([(i, int(i < 300)) for i in range(450)], "doc_id long, quality int")
+    kept = quality.keep_good(frame(spark, good + bad + bad[:40] + good[:40], [*range(450), *[None] * 80]), labels).filter("doc_id IS NULL").collect()
+    assert {r.text for r in kept} == set(good[:40])
