@@ -292,7 +292,7 @@ def test_lm(spark, odd):
     assert lm.score(frame(spark, ["a b"], [2]), held_out=F.lit(True)).first().score == 0
 
 
-def brute_tree(train, n, v):
+def brute_tree(train, n, v, spread=math.inf):
     """log10 probability of words under the suffix tree, from counts of whole contexts."""
     count, after, before = Counter(), Counter(), Counter()
     for p in train:
@@ -303,13 +303,10 @@ def brute_tree(train, n, v):
                 if i >= d:
                     after[tuple(seq[i - d : i]), seq[i]] += 1
                     before[tuple(seq[i - d : i])] += 1
-    least = lm.LEAST_SHARE * n
-    known = {w for w, c in count.items() if c >= least} | {"<s>"}
-    listed = {}
+    listed, kept = {}, {}
     for (context, word), c in after.items():
-        if before[context] >= least and word in known and c >= lm.ENTRY_SHARE * n and known >= set(context):
+        if before[context] >= lm.LEAST_SEEN:
             listed.setdefault(context, {})[word] = c
-    kept = {}
 
     def probability(context, word):
         if not context:
@@ -317,38 +314,62 @@ def brute_tree(train, n, v):
         lower = probability(context[1:], word)
         if context not in kept:
             return lower
-        own, total = kept[context], before[context] + len(kept[context])
-        return own.get(word, 0) / total + (before[context] - sum(own.values()) + len(own)) / total * lower
+        own = kept[context]
+        return (own.get(word, 0) + len(own) * lower) / (before[context] + len(own))
 
     for context in sorted(listed, key=len):
-        own, total = listed[context], before[context]
-        rest = (total - sum(own.values()) + len(own)) / (total + len(own))
-        lower = {w: probability(context[1:], w) for w in own}
-        saved = sum(c * math.log2((c / (total + len(own)) + rest * lower[w]) / lower[w]) for w, c in own.items()) + (total - sum(own.values())) * math.log2(rest)
-        if saved >= lm.LEAST_SAVING * len(own):
+        own, total, saved = listed[context], before[context], 0.0
+        for w, c in own.items():
+            length = round(-math.log2(probability(context[1:], w)) * lm.BIT_PARTS) / lm.BIT_PARTS
+            saved += c * (math.log2((c + len(own) * 2**-length) / (total + len(own))) + length)
+        if total >= spread or saved >= lm.LEAST_SAVING * len(own):
             kept[context] = own
     return probability, kept
 
 
-def test_suffix_tree(spark, monkeypatch):
+@pytest.mark.parametrize("bounds", [{}, {"BLOCK_BYTES": 1500}, {"BLOCK_BYTES": 900, "MEETING": 3}, {"BLOCK_BYTES": 1500, "SPREAD_FROM": 25}])
+def test_suffix_tree(spark, monkeypatch, bounds):
+    """The tree against brute force: in one block, in many, with questions merged in steps, and with contexts spread over buckets."""
     rng = random.Random(18)
     order = [rng.choice("abc") + rng.choice("de") for _ in range(40)]
     texts = [None, "", "a"] + [" ".join(order[i % 40] if rng.random() < 0.6 else f"W{rng.randrange(300)}" for i in range(rng.randrange(80))) for _ in range(60)]
-    monkeypatch.setattr(lm, "LEAST_SHARE", 2e-3)
-    monkeypatch.setattr(lm, "ENTRY_SHARE", 1e-3)
+    for name, value in bounds.items():
+        monkeypatch.setattr(lm, name, value)
     got = {r.doc_id: r for r in lm.score(frame(spark, texts)).collect()}
     parts = [lower_bytes(t).split() for t in texts]
     train = [p for i, p in enumerate(parts) if not got[i].held_out]
     n, v = sum(map(len, train)) + len(train), len({w for p in train for w in p}) + 1
-    probability, kept = brute_tree(train, n, v)
+    probability, kept = brute_tree(train, n, v, bounds.get("SPREAD_FROM", math.inf))
     assert {len(c) for c in kept} == {1, 2}
     for i, p in enumerate(parts):
         seq = ["<s>", *p, "</s>"]
         assert got[i].score == pytest.approx(sum(math.log10(probability(tuple(seq[max(0, at - lm.DEPTH) : at]), seq[at])) for at in range(1, len(seq))))
+        assert got[i].train_tokens == n and got[i].n_tokens == len(p) + 1
     words_seen = {w for p in train for w in p} | {"</s>", "never seen"}
     for context in [(), *kept]:
         assert sum(probability(context, w) for w in words_seen) == pytest.approx(1.0)
-    assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
+
+
+def test_suffix_tree_on_held_out_rows(spark, sf_dir):
+    got = lm.score(spark.read.parquet(f"{sf_dir}/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > 0.97 * got[1]
+
+
+def test_suffix_tree_keeps_rare_contexts(spark):
+    """A passage that repeats some times is a context whatever the number of training tokens."""
+    rng = random.Random(28)
+    bulk = [" ".join(f"w{rng.randrange(3000)}" for _ in range(20_000)) for _ in range(20)]
+    texts = bulk + ["zebra yonder xylem"] * 4
+    ids = [*range(100, 120), 1000, 1001, 1002, 1003]
+    got = {r.doc_id: r for r in lm.score(frame(spark, texts, ids), held_out=F.col("doc_id") == 1003).collect()}
+    assert got[1003].score > -3 > got[1003].base_score
+
+
+def test_lm_packs():
+    rng = np.random.default_rng(3)
+    arrays = [rng.integers(-5, 1 << 40, 50), np.zeros(0, np.int64), np.zeros(7, np.int64), rng.integers(0, 300, 9)]
+    back = lm.unpack(lm.pack(arrays[0], b"some words", *arrays[1:], b""))
+    assert back[1] == b"some words" and back[-1] == b"" and all((a == b).all() for a, b in zip([arrays[0], *arrays[1:]], [back[0], *back[2:-1]]))
 
 
 def test_quality(spark):
@@ -405,24 +426,6 @@ def test_sql_twins(spark, sf_dir, name):
     same(QUERIES[name](spark, sf_dir), connect(sf_dir), ORACLES[name])
 
 
-def test_suffix_tree_keeps_rare_contexts(spark, monkeypatch):
-    """A passage that repeats some times is a context whatever the number of training tokens."""
-    rng = random.Random(28)
-    bulk = [" ".join(f"w{rng.randrange(3000)}" for _ in range(20_000)) for _ in range(20)]
-    texts = bulk + ["zebra yonder xylem"] * 3 + ["zebra yonder xylem"]
-    ids = [*range(100, 120), 1000, 1001, 1002, 1003]
-    got = {r.doc_id: r for r in lm.score(frame(spark, texts, ids), held_out=F.col("doc_id") == 1003).collect()}
-    assert got[1003].score > -3 > got[1003].base_score
-    parts = [t.split() for t in texts[:-1]]
-    n, v = sum(map(len, parts)) + len(parts), len({w for p in parts for w in p}) + 1
-    monkeypatch.setattr(lm, "LEAST_SEEN", 1)  # as in the brute force without shares
-    probability, kept = brute_tree(parts, n, v)
-    got = {r.doc_id: r for r in lm.score(frame(spark, texts, ids), held_out=F.col("doc_id") == 1003).collect()}
-    for i, text in zip(ids[-6:], texts[-6:]):
-        seq = ["<s>", *text.split(), "</s>"]
-        assert got[i].score == pytest.approx(sum(math.log10(probability(tuple(seq[max(0, at - lm.DEPTH) : at]), seq[at])) for at in range(1, len(seq))))
-
-
 def test_stages_decide_rows_without_an_id(spark):
     """Null and repeated ids: each row is decided, and the copies of one (doc_id, text) leave one row."""
     rng = random.Random(31)
