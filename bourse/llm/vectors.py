@@ -66,18 +66,24 @@ class Tree:
         self.homes = [*homes, np.arange(n)]
 
 
+#: Rows of the last level that are multiplied at once with the columns that they are open to.
+TILE = 256
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
 
 
-def dual(a: Tree, b: Tree, same: bool) -> tuple[np.ndarray, np.ndarray, list]:
-    """Links of each vector of either tree, and edges (place in a, place in b) that connect what the links connect.
+def dual(a: Tree, b: Tree, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of each vector of either tree, and for each the least place, b's after a's, that its links lead to.
 
     Node pairs whose nearest points are beyond the threshold distance are pruned; pairs whose farthest
-    points are within it are taken whole, without listing their vectors; the rest is opened.
+    points are within it are taken whole: their links are counted by the nodes' sizes, and the nodes are tied
+    together by an edge or two each, whatever the number of pairs. The rest is opened.
     """
-    limit = np.sqrt(2 - 2 * COSINE)
-    count_a, count_b, edges = np.zeros(len(a.unit), np.int64), np.zeros(len(b.unit), np.int64), []
+    limit, n = np.sqrt(2 - 2 * COSINE), len(a.unit)
+    count_a, count_b, edges = np.zeros(n, np.int64), np.zeros(len(b.unit), np.int64), []
+    shift = 0 if same else n
     open_ = np.ones((1, 1), bool)
     last = len(a.centre) - 1
     for level in range(last + 1):
@@ -89,51 +95,79 @@ def dual(a: Tree, b: Tree, same: bool) -> tuple[np.ndarray, np.ndarray, list]:
         if not len(rows):
             break
         part = open_[np.ix_(rows, cols)]
-        ca, cb = a.centre[level][rows], b.centre[level][cols]
         if level == last:
-            cos = a.unit[ca] @ b.unit[cb].T
-            hit = part & (cos >= COSINE)
-            i, j = np.nonzero(part & (np.abs(cos - COSINE) < NEAR))
-            if len(i):
-                hit[i, j] = np.einsum("ij,ij->i", a.unit[ca[i]], b.unit[cb[j]]) >= COSINE
-            count_a[ca] += hit.sum(1)
-            count_b[cb] += hit.sum(0)
-            edges += _spanning(ca, cb, hit, same)
+            order = np.argsort(a.homes[level - 1][rows], kind="stable")
+            for at in range(0, len(rows), TILE):
+                tile = order[at : at + TILE]
+                own = np.flatnonzero(part[tile].any(0))
+                ca, cb = rows[tile], cols[own]
+                cos = a.unit[ca] @ b.unit[cb].T
+                near = part[np.ix_(tile, own)]
+                hit = near & (cos >= COSINE)
+                i, j = np.nonzero(near & (np.abs(cos - COSINE) < NEAR))
+                if len(i):
+                    hit[i, j] = np.einsum("ij,ij->i", a.unit[ca[i]], b.unit[cb[j]]) >= COSINE
+                count_a[ca] += hit.sum(1)
+                count_b[cb] += hit.sum(0)
+                edges.append(_spanning(ca, cb + shift, hit))
             break
-        d = _distances(a.unit[ca], b.unit[cb])
+        d = _distances(a.unit[a.centre[level][rows]], b.unit[b.centre[level][cols]])
         ra, rb = a.radius[level][rows], b.radius[level][cols]
         whole = part & (d + ra[:, None] + rb[None, :] <= limit - 1e-7)
-        for i, j in zip(*np.nonzero(whole)):
-            x, y = np.flatnonzero(a.homes[level] == rows[i]), np.flatnonzero(b.homes[level] == cols[j])
-            own = same and rows[i] == cols[j]
-            count_a[x] += len(y) - own
-            count_b[y] += len(x) - own
-            edges.append((x, np.full(len(x), y[0])))
-            edges.append((np.full(len(y), x[0]), y))
+        if whole.any():
+            for count, tree, at, n_links in ((count_a, a, rows, whole @ b.below[level][cols]), (count_b, b, cols, a.below[level][rows] @ whole)):
+                of_node = np.zeros(len(tree.below[level]), np.int64)
+                of_node[at] = n_links
+                count += of_node[tree.homes[level]]
+            if same:  # no vector of a node that is whole with itself links to itself
+                itself = rows[(whole & (rows[:, None] == cols[None, :])).any(1)]
+                for count in (count_a, count_b):
+                    count -= np.isin(a.homes[level], itself)
+            edges += [_tied(a, level, rows[whole.any(1)], 0), _tied(b, level, cols[whole.any(0)], shift)]
+            edges.append(_spanning(a.centre[level][rows], b.centre[level][cols] + shift, whole))
         part &= ~whole & (d - ra[:, None] - rb[None, :] <= limit + SLACK)
         open_ = np.zeros_like(open_)
         open_[np.ix_(rows, cols)] = part
-    return count_a, count_b, edges
+    return count_a, count_b, _least(edges, n + (0 if same else len(b.unit)))
+
+
+def _tied(tree: Tree, level: int, nodes: np.ndarray, shift: int) -> np.ndarray:
+    """An edge from each vector of the nodes to its node's centre."""
+    at = np.flatnonzero(np.isin(tree.homes[level], nodes))
+    return np.stack([at, tree.centre[level][tree.homes[level][at]]]) + shift
 
 
-def _spanning(ca: np.ndarray, cb: np.ndarray, hit: np.ndarray, same: bool) -> list:
-    """Edges that connect what ``hit`` connects: each row to its first hit, and each column to the least
-    row that hits it, until rows and columns agree on the component."""
+def _spanning(a: np.ndarray, b: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Edges that connect what ``hit`` connects, one a row or column at most: by the least row that each leads to."""
     rows, cols = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
     if not len(rows):
-        return []
-    hit = hit[np.ix_(rows, cols)]
-    la, lb = ca[rows].astype(np.int64), None
+        return np.zeros((2, 0), np.int64)
+    hit, far = hit[np.ix_(rows, cols)], len(a)
+    of_row, of_col = rows, None
     while True:
-        lb = np.where(hit, la[:, None], np.iinfo(np.int64).max).min(0)
-        new = np.minimum(la, np.where(hit, lb[None, :], np.iinfo(np.int64).max).min(1))
-        if (new == la).all():
+        of_col = np.where(hit, of_row[:, None], far).min(0)
+        new = np.minimum(of_row, np.where(hit, of_col[None, :], far).min(1))
+        if (new == of_row).all():
             break
-        la = new
-    first = {}
-    for col, label in zip(cb[cols].tolist(), lb.tolist()):
-        first.setdefault(label, col)
-    return [(ca[rows], np.array([first[x] for x in la.tolist()])), (lb, cb[cols])]
+        of_row = new
+    return np.concatenate([np.stack([a[rows], a[of_row]]), np.stack([b[cols], a[of_col]])], 1)
+
+
+def _least(edges: list[np.ndarray], n: int) -> np.ndarray:
+    """The least place that each of ``n`` places is connected with."""
+    label = np.arange(n)
+    if edges:
+        x, y = np.concatenate(edges, 1)
+        while True:
+            least = label.copy()
+            np.minimum.at(least, label[x], label[y])
+            np.minimum.at(least, label[y], label[x])
+            least = least[least]
+            new = least[label]
+            if (new == label).all():
+                break
+            label = new
+    return label
 
 
 def _units(batch_vectors: list) -> tuple[np.ndarray, list[bool]]:
@@ -169,13 +203,16 @@ def blocks(rows: DataFrame) -> DataFrame:
     key = ["label", "width"]
     ranked = rows.select(*key, F.struct(F.xxhash64("vec_id").alias("h"), "vec_id", "unit").alias("x"))
     pivots = ranked.groupBy(*key, F.pmod("x.h", F.lit(PIVOTS)).alias("slot")).agg(F.min("x").alias("x")).groupBy(*key).agg(F.sort_array(F.collect_list("x.unit")).alias("pivots"))
-    pivots = common.materialise(pivots, "pivots")
+    pivots = common.materialise(pivots.select(*key, F.array_join(F.transform("pivots", lambda x: F.hex(x)), "").alias("pivots")).select(*key, F.unhex("pivots").alias("pivots")), "pivots")
     schema = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("width", pa.int32()), ("unit", pa.binary()), ("region", pa.int32())])
 
     def nearest(batch):
-        out = np.zeros(batch.num_rows, np.int32)
-        for i, (unit, pivots) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
-            out[i] = np.argmax(np.frombuffer(b"".join(pivots)).reshape(len(pivots), -1) @ np.frombuffer(unit))
+        out, units, groups = np.zeros(batch.num_rows, np.int32), batch.column(3).to_pylist(), {}
+        for i, group in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            groups.setdefault(group, []).append(i)
+        for (_, width), at in groups.items():
+            own = np.frombuffer(b"".join([units[i] for i in at])).reshape(-1, width)
+            out[at] = np.argmax(own @ np.frombuffer(batch.column(4)[at[0]].as_py()).reshape(-1, width).T, 1)
         return [*batch.columns[:4], out]
 
     placed = rows.join(pivots, key).select("vec_id", *key, "unit", "pivots").mapInArrow(common.batches(nearest, schema), "vec_id long, label string, width int, unit binary, region int")
@@ -194,7 +231,7 @@ def blocks(rows: DataFrame) -> DataFrame:
         return pa.table([[table.column("label")[0].as_py()], [table.column("width")[0].as_py()], [ids], [raw], [centre.tolist()], [radius]], schema=out)
 
     made = dealt.groupBy(*key, "region", "part").applyInArrow(packed, "label string, width int, ids binary, units binary, centre array<double>, radius double")
-    return common.materialise(made, "blocks").withColumn("block", F.monotonically_increasing_id())
+    return common.materialise(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
@@ -205,8 +242,8 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     are vectors of different lengths. A label's vectors are dealt to blocks by their nearest pivot; pairs
     of blocks too far apart by centres and radii are pruned; every other pair of blocks is a task's row: a
     cover tree of each, and a dual traversal that prunes pairs of nodes by covering radius, and counts
-    pairs that are all within the threshold without listing them. So a group of near copies, however
-    large, gives counts and a spanning edge for each vector. All links are exact; each block has a
+    pairs that are all within the threshold without listing them. Whatever a group's size, a pair of blocks gives
+    one row for each of its vectors that has links: their number, and a vector that it is connected with. All links are exact; each block has a
     bounded size whatever a label's share of the rows.
 
     A row with a null vec_id has no links, a null component and isn't kept. Rows that repeat a vec_id are
@@ -231,23 +268,18 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
             ids = [np.frombuffer(row[f"ids_{s}"], np.int64) for s in "ab"]
             same = row["block_a"] == row["block_b"]
             trees = [Tree(np.frombuffer(row[f"units_{s}"]).reshape(len(i), -1)) for s, i in zip("ab", ids) if s == "a" or not same]
-            n_a, n_b, edges = dual(trees[0], trees[-1], same)
-            for i, n in [(ids[0], n_a)] + ([] if same else [(ids[1], n_b)]):
-                has = n > 0
-                out_a.append(i[has])
-                out_b.append(i[has])
-                out_n.append(n[has])
-            for x, y in edges:
-                pair = np.unique(np.stack([ids[0][x], ids[1][y]], 1), axis=0)
-                out_a.append(pair[:, 0])
-                out_b.append(pair[:, 1])
-                out_n.append(np.zeros(len(pair), np.int64))
+            n_a, n_b, least = dual(trees[0], trees[-1], same)
+            both, n = (ids[0], n_a) if same else (np.concatenate(ids), np.concatenate([n_a, n_b]))
+            has = n > 0  # a row for each vector with links: its links here, and one that it is connected with
+            out_a.append(both[has])
+            out_b.append(both[least[has]])
+            out_n.append(n[has])
         return [np.concatenate(x) for x in (out_a, out_b, out_n)]
 
     pairs = pairs.repartition(F.col("block_a"), F.col("block_b"))
     links = common.materialise(pairs.mapInArrow(common.batches(fn, found), "a long, b long, n long"), "links")
-    counts = links.filter("n > 0").groupBy("a").agg(F.sum("n").alias("n"))
-    groups = components(links.filter("n = 0 AND a <> b").select("a", "b"))
+    counts = links.groupBy("a").agg(F.sum("n").alias("n"))
+    groups = components(links.filter("a <> b").select("a", "b"))
     out = vectors.select(F.col("vec_id").cast("long"))
     out = out.join(counts.withColumnRenamed("a", "vec_id"), "vec_id", "left").join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
