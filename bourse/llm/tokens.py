@@ -7,6 +7,7 @@ the split pattern can cross, so each distinct chunk is encoded once per worker a
 from __future__ import annotations
 
 import base64
+import itertools
 import json
 import re
 import zlib
@@ -17,6 +18,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -94,12 +96,15 @@ class Encoder:
             vocab = self.tokenizer.get_vocab(with_added_tokens=False)
             self.table = {i: bytes(back[c] for c in shown) for shown, i in vocab.items()}
             with open(path, encoding="utf-8") as f:
-                self.table |= {a["id"]: a["content"].encode() for a in json.load(f).get("added_tokens", [])}
+                added = {a["content"]: a["id"] for a in json.load(f).get("added_tokens", [])}
+            self.table |= {i: content.encode() for content, i in added.items()}
+            self.added = {content: array("I", [i]).tobytes() for content, i in added.items()}
         else:
             ranks = read_ranks(path)
             self.tokenizer = tokenizer_from_ranks(ranks)
-            self.table = {i: token for token, i in ranks.items()}
-        self.tokenizer.encode_special_tokens = True
+            self.table, self.added = {i: token for token, i in ranks.items()}, {}
+        #: The contents of added tokens, the longest first: the library cuts a text at them before anything else.
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.model = self.tokenizer.model
         self.sizes = np.zeros(max(self.table, default=0) + 1, np.int64)
         for i, token in self.table.items():
@@ -125,9 +130,15 @@ class Encoder:
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
+        """The ids as little-endian unsigned 32-bit integers; an added token's content is that token, as in the library."""
         if not text:
             return b""
+        if self.cut and self.cut.search(text):
+            return b"".join([self.added[p] if i % 2 else self.encode_plain(p) for i, p in enumerate(self.cut.split(text)) if p])
+        return self.encode_plain(text)
+
+    def encode_plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         if _RARE_SPACE.search(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if _SPACE_RUN.search(text):
@@ -190,7 +201,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     id_type = encoded.schema[id_col].dataType.simpleString()
 
     def run(stream):
-        for batch in stream:
+        for batch in itertools.chain.from_iterable(map(common.slices, stream)):
             raw = [encoder(path).decode(ids or ()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array([r.decode("utf-8", "replace") for r in raw])], names=["id", "raw", "text"])
 
@@ -198,24 +209,29 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
-    """Per document: n_tokens, and the SHA-256 of its ids and of the bytes that they decode to.
+    """Per document: n_tokens, the SHA-256 of its ids and of the bytes that they decode to, n_split and covers.
 
-    Encoding, its offsets' check and decoding happen in one pass over Arrow batches, without a shuffle.
-    A null or empty text has no ids, so both digests are those of no bytes.
+    Encoding, offsets and decoding happen in one pass over Arrow batches, without a shuffle. n_split: the tokens
+    that begin or end within a character, by their byte and code-point offsets; covers: the tokens' code-point spans
+    begin with the text, leave no gap and end with it. A null or empty text has no ids, so both digests are those of no bytes.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_split", pa.int64()), ("covers", pa.bool_())])
 
     def rows(batch):
-        enc, n, ids_hex, raw_hex = encoder(path), [], [], []
+        enc, out = encoder(path), ([], [], [], [], [])
         for text in batch.column(1).to_pylist():
-            packed = enc.encode(text or "")
+            text = text or ""
+            packed = enc.encode(text)
             ids = np.frombuffer(packed, "<u4")
-            n.append(len(ids))
-            ids_hex.append(sha256(packed).hexdigest())
-            raw_hex.append(sha256(enc.decode(ids.tolist())).hexdigest())
-        return [batch.column(0), n, ids_hex, raw_hex]
+            spans = enc.offsets(text, ids)
+            shared = spans[1:, 0] < spans[:-1, 1]  # a character that two tokens have a part of
+            covers = len(ids) == 0 and not text or len(ids) > 0 and spans[0, 0] == 0 and spans[-1, 1] == len(text) and bool((spans[1:, 0] <= spans[:-1, 1]).all())
+            n_split = (np.append(shared, False) | np.append(False, shared)).sum() if len(ids) else 0
+            for column, value in zip(out, (len(ids), sha256(packed).hexdigest(), sha256(enc.decode(ids.tolist())).hexdigest(), int(n_split), bool(covers))):
+                column.append(value)
+        return [batch.column(0), *out]
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.batches(rows, schema), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.batches(rows, schema), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long, covers boolean")
 
 
 def count_tokens(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -238,33 +254,50 @@ def binary_pieces(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def pack(docs: DataFrame, path: str, longest: int = 2048, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, path: str, longest: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """Power-of-two packing: each document's ids and one end id are cut into pieces of binary lengths.
 
-    Every piece is a sequence of its own, so no sequence crosses documents and none needs padding;
-    ``bucket`` (the length's exponent) gathers sequences of equal length for a batch. Sequence ids are
-    distinct and come from the place in the input's files, so a repeated task gives the same ones.
-    A null or empty text is its end id alone. Rows with the same doc_id are packed one by one.
-    Nothing is shuffled.
+    Every piece is a sequence of its own, so no sequence crosses documents and none needs padding. The rows lie by
+    ``bucket`` (the length's exponent): sequences of equal length are neighbours, and ``write_buckets`` makes a folder of
+    each bucket. sequence_id is a piece's place in the order of bucket, doc_id, start and ids, so it depends
+    on the documents alone, whatever the input's files; pieces that are equal in all of these take their places in any
+    order. ``with_ids``: the ids too. A null or empty text is its end id alone. Rows with the same doc_id are packed
+    one by one. Texts stay where they are; the pieces' rows are dealt by range, with a key of their own behind the
+    order, so that equal rows are spread, too.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the longest piece must be a power of two")
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("bucket", pa.int32())])
+    more = [("ids", pa.list_(pa.int32()))] if with_ids else []
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("bucket", pa.int32()), *more])
     end = np.array([end_id], "<u4").tobytes()
 
     def rows(batch):
-        enc, out = encoder(path), ([], [], [], [], [], [])
+        enc, out = encoder(path), tuple([] for _ in schema)
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             packed = memoryview(enc.encode(text or "") + end)
             total, start = len(packed) // 4, 0
             for length in binary_pieces(total, longest):
-                for column, value in zip(out, (doc_id, start, length, zlib.crc32(packed[4 * start : 4 * (start + length)]), total, length.bit_length() - 1)):
+                own = packed[4 * start : 4 * (start + length)]
+                for column, value in zip(out, (doc_id, start, length, zlib.crc32(own), total, length.bit_length() - 1, np.frombuffer(own, "<i4") if with_ids else None)):
                     column.append(value)
                 start += length
         return out
 
-    pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.batches(rows, schema), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int")
-    return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + (", ids array<int>" if with_ids else "")
+    since = common.mark()
+    pieces = common.materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.batches(rows, schema), ddl).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    order = ["bucket", "doc_id", "start", "ids_crc32", "doc_tokens", "_row"]
+    placed = pieces.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    placed = common.materialise(placed.withColumns({"_part": F.shiftright("_row", 33), "_row": F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))}), "placed")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))  # one row for each part of the range
+    before = sizes.select("_part", F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    out = placed.join(before, "_part").withColumns({"sequence_id": F.col("_before") + F.col("_row"), "offset": F.lit(0).cast("long")}).drop("_part", "_before", "_row")
+    return common.sweep(since, out)
+
+
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """Writes packed sequences to a folder for each bucket, so that a batch reads sequences of one length."""
+    packed.write.partitionBy("bucket").parquet(path)
 
 
 def length_report(docs: DataFrame, path: str, block: int = 1024) -> DataFrame:
@@ -282,8 +315,6 @@ def length_report(docs: DataFrame, path: str, block: int = 1024) -> DataFrame:
     """
     counts = count_tokens(docs, path).groupBy(F.col("n_tokens").alias("length")).agg(F.count(F.lit(1)).alias("n_docs"))
     counts = common.materialise(counts.withColumn("block", F.floor(F.col("length") / block)), "lengths")
-    from pyspark.sql import Window as W
-
     totals = counts.groupBy("block").agg(F.sum("n_docs").alias("bn"), F.sum(F.col("n_docs") * F.col("length")).alias("bt"))
     before = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     everywhere = W.orderBy("block").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
