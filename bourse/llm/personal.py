@@ -18,22 +18,31 @@ BASE = ("email", "ip", "card", "phone")
 ADDED = ("login", "iban", "ssn", "account", "secret")
 KINDS = BASE + ADDED
 #: The cues of identifiers, in lower case, and the kind that each announces.
-CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "konto": "account", "password=": "secret", "token = ": "secret", "akia": "secret"}
+CUES = {
+    "iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "acct": "account", "konto": "account", "cuenta": "account", "compte": "account",
+    "password": "password", "passwd": "password", "pwd": "password", "passwort": "password", "token": "key", "secret": "key", "api_key": "key", "api key": "key", "apikey": "key", "access_key": "key", "akia": "akia",
+}
 
+_LOWER = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _LETTER = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
-_RUN = re.compile(r"[0-9]+")
-_CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+_IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_RUN = re.compile(r"[0-9]++")
+_CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_LOGIN = re.compile(r"://[^\s/:@]{1,64}:[^\s/@]{1,128}@[A-Za-z0-9.-]+")
+_LOGIN = re.compile(r"://[^\s/:@]++:[^\s/@]++@[A-Za-z0-9.-]++")
+#: What may stand between a cue and its number: a word for "number", a verb, a sign.
+_LINK = r"(?i:[ -]?(?:number|nummer|num\.?|no\.?|nr\.?))?(?i: (?:is|ist|est|es))?[ ]?[:#=]?[ ]{0,2}"
 _AFTER = {
-    "iban": re.compile(r"(?::| |no\.?|is){0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])"),
-    "ssn": re.compile(r"(?: number| no\.?)?[:#]? {0,2}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])"),
-    "account": re.compile(r"(?: number| no\.?| nr\.?)?[:#]? {0,2}([0-9]{8,20})(?![0-9])"),
+    "iban": re.compile(_LINK + r"([A-Za-z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+)(?![A-Za-z0-9])"),
+    "ssn": re.compile(_LINK + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])"),
+    "account": re.compile(_LINK + r"([0-9]{8,20}+)(?![0-9])"),
 }
-_SECRETS = (("akia", re.compile(r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")), ("password=", re.compile(r"password=(?=\S*[0-9])[A-Za-z0-9]{12,128}(?![A-Za-z0-9])")), ("token = ", re.compile(r'token = "[0-9a-f]{32,128}"')))
+#: The value that a password's or key's cue assigns: to the closing quote, or to white space; trailing stops don't belong to it.
+_VALUE = re.compile(r"""(?i:[ _]?(?:is|ist))?[ ]?[:=]?[ ]?(?:"([^"\s]++)"|'([^'\s]++)'|([^\s"']++))""")
+_KEY = re.compile(r"[A-Za-z0-9_./+=-]{16,}+")
+_AKIA = re.compile(r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")
 
 
 @lru_cache(maxsize=1)
@@ -47,8 +56,7 @@ def _anchors():
     found.add_word("@", (1, "email"))
     found.add_word("://", (3, "login"))
     for cue in CUES:
-        for shown in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(shown, (len(shown), cue))
+        found.add_word(cue, (len(cue), cue))
     found.make_automaton()
     return found
 
@@ -65,16 +73,41 @@ def _octet(part: str) -> bool:
     return len(part) <= 3 and int(part or 0) <= 255
 
 
-def _iban(shown: str) -> bool:
-    packed = shown.replace(" ", "")
-    return 15 <= len(packed) <= 34 and int("".join(str(int(c, 36)) for c in packed[4:] + packed[:4])) % 97 == 1
+def _iban(shown: str) -> str | None:
+    """The longest start of what follows a cue, up to a space or its end, that is a valid account number."""
+    while shown:
+        packed = shown.replace(" ", "").upper()
+        if 15 <= len(packed) <= 34 and int("".join(str(int(c, 36)) for c in packed[4:] + packed[:4])) % 97 == 1:
+            return shown
+        shown = shown.rpartition(" ")[0]
+    return None
+
+
+def _secret(what: str, text: str, after: int) -> tuple[int, int | None]:
+    """Where the value that a cue assigns ends for the parser, and where the secret ends, if it is one.
+
+    A cue that assigns nothing (no sign, no verb) announces nothing; a password has a digit and six characters, a key
+    a digit, sixteen characters and none but those of encoded bytes.
+    """
+    m = _VALUE.match(text, after)
+    if not m or not text[after : m.start(m.lastindex)].strip(" \"'"):
+        return after, None
+    value, end = m[m.lastindex], m.end()
+    if m.lastindex == 3:
+        value = value.rstrip(".,;:!?)")
+        end = m.start(3) + len(value)
+    good = any(map(str.isdigit, value)) and (len(value) >= 6 if what == "password" else bool(_KEY.fullmatch(value)))
+    return m.end(), end if good else None
 
 
 def spans(text: str) -> list[tuple[str, int, int]]:
     """The (kind, start, end) of a text's personal data, by kind as in KINDS, then start; code points, end exclusive."""
     found: dict[str, list[tuple[int, int]]] = {}
-    mail_end = run_end = card_end = 0
-    for last, (size, what) in _anchors().iter(text):
+    low = text.lower()
+    if len(low) != len(text):  # a letter whose lower case is longer
+        low = text.translate(_LOWER)
+    mail_end = run_end = card_end = value_end = 0
+    for last, (size, what) in _anchors().iter(low):
         at = last + 1 - size
         if what == "digit":
             if at >= run_end:  # the first digit of a run that no address has taken
@@ -110,13 +143,18 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                 found.setdefault("login", []).append((start, m.end()))
         elif at and text[at - 1].isalnum():
             continue  # a cue within a word
-        elif CUES[what] == "secret":
-            for cue, pattern in _SECRETS:
-                if cue == what and (m := pattern.match(text, at)):
-                    found.setdefault("secret", []).append(m.span())
+        elif what == "akia":
+            if m := _AKIA.match(text, at):
+                found.setdefault("secret", []).append(m.span())
+        elif CUES[what] in ("password", "key"):
+            if at >= value_end:  # else the cue is part of a value that was read
+                value_end, end = _secret(CUES[what], text, last + 1)
+                if end:
+                    found.setdefault("secret", []).append((at, end))
         elif m := _AFTER[CUES[what]].match(text, last + 1):
-            if CUES[what] != "iban" or _iban(m[1]):
-                found.setdefault(CUES[what], []).append(m.span(1))
+            shown = _iban(m[1]) if CUES[what] == "iban" else m[1]
+            if shown:
+                found.setdefault(CUES[what], []).append((m.start(1), m.start(1) + len(shown)))
     return [(k, *s) for k in KINDS if k in found for s in sorted(set(found[k]))]
 
 
