@@ -15,10 +15,10 @@ ORDER = 3
 SAMPLE_DOCS = 1500
 #: Bytes that a worker counts at a time.
 COUNT_BYTES = 1 << 20
-#: A context of full length is kept if it was seen so often; else its longest kept suffix stands in.
+#: A context of two bytes or more is kept if its language has seen it so often; else its suffix stands in.
 MIN_SEEN = 24
-#: Symbols of the reduced byte alphabet: bytes seen in training, and one for all others.
-OTHER = 0
+#: Bytes of text that a worker scores at a time.
+SCORE_BYTES = 1 << 20
 
 
 def training_rows(docs: DataFrame, held_out) -> DataFrame:
@@ -66,83 +66,121 @@ def context_counts(rows: DataFrame) -> DataFrame:
     return found.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-class Model:
-    """Code lengths in bits: ``row`` maps the ORDER symbols before a byte to a row of ``bits`` (row, symbol, language)."""
+class Tree:
+    """The byte contexts of one language, up to ORDER long, and the bits of each byte behind each of them.
 
-    def __init__(self, langs, code, lang_of, n):
-        self.langs = list(langs)
-        parts = [(code >> (8 * k)) & 255 for k in range(ORDER, -1, -1)]  # oldest first
-        common_bytes = np.argsort(-np.bincount(parts[-1], n, 256), kind="stable")[:126]
-        seen = np.sort(common_bytes[np.isin(common_bytes, parts[-1])])
-        self.symbol = np.zeros(256, np.int64)
-        self.symbol[seen] = np.arange(1, len(seen) + 1)
+    A text stands behind ORDER zero bytes. Contexts of one byte are kept if they were seen, longer ones if they were seen
+    ``least`` times, which their suffixes then were, too. Behind a context, a byte that it has seen is coded by its count (method C: all
+    counts and one for each kind of byte), any other by the escape and by the suffix's distribution without the bytes seen
+    here; behind the empty context the escape leads to 256 equal bytes. So every byte has a code, and the probabilities behind
+    a context add up to one. Bytes that training doesn't have are alike, so one column stands for each of them.
+    """
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, least: int):
+        parts = [(code >> (8 * k)) & 255 for k in range(ORDER + 1)]  # the byte, then the one before it, and so on
+        seen = np.unique(np.concatenate([[0], *parts]))
+        self.symbol = np.full(256, len(seen), np.int32)
+        self.symbol[seen] = np.arange(len(seen))
         self.size = a = len(seen) + 1
-        sym = [self.symbol[p] for p in parts]
-        for k in range(ORDER):
-            sym[k] = np.where(parts[k] == 0, OTHER, sym[k])
-        key = np.zeros(len(code), np.int64)
-        for s in sym[:-1]:
-            key = key * a + s
-        total = np.bincount(key, n, a**ORDER)
-        kept = np.flatnonzero(total >= MIN_SEEN)
-        # rows: contexts of length 0, 1, ... ORDER - 1 that were seen in full tables, then the kept longest ones
-        tables = []  # per order: probabilities (contexts, a, langs)
-        rows_of = []
+        sym = [self.symbol[p].astype(np.int64) for p in parts]
+        lower = np.append(np.ones(len(seen)), 256 - len(seen)) / 256
+        tables, parent, row = [], lower[None, :], np.zeros(len(code), np.int64)  # row: of each code's context, the longest kept so far, or -1
+        child, n_rows = np.full((1, a), -1, np.int64), 0
+        self.child = []
         for order in range(ORDER + 1):
-            ctx = key % a**order
-            if order == ORDER:
-                slot = np.full(a**order, -1, np.int64)
-                slot[kept] = np.arange(len(kept))
-            else:
-                used = np.flatnonzero(np.bincount(ctx, n, a**order) > (MIN_SEEN if order > 1 else 0))
-                slot = np.full(a**order, -1, np.int64)
-                slot[used] = np.arange(len(used))
-            count = np.zeros((slot.max() + 1, a, len(self.langs)))
-            ok = slot[ctx] >= 0
-            np.add.at(count, (slot[ctx][ok], sym[-1][ok], lang_of[ok]), n[ok])
-            if order == 0:
-                lower = np.full((1, a, len(self.langs)), 1.0 / a)
-            else:
-                full = np.flatnonzero(slot >= 0)
-                lower = tables[-1][rows_of[-1][full % a ** (order - 1)]]
-            tables.append(self.escaped(count, lower))
-            if order:
-                slot = np.where(slot >= 0, slot, -1)
-                up = rows_of[-1][np.arange(a**order) % a ** (order - 1)]
-                base = len(tables[-2])
-                tables[-1] = np.concatenate([tables[-2], tables[-1]])
-                slot = np.where(slot >= 0, slot + base, up)
-            rows_of.append(slot)
-        self.row = rows_of[-1].astype(np.int32)
-        self.bits = (-np.log2(tables[-1])).astype(np.float32)
+            if order:  # contexts one byte longer
+                alive = row >= 0
+                key = row[alive] * a + sym[order][alive]
+                total = np.bincount(key, n[alive], len(parent) * a)
+                kept = np.flatnonzero(total >= (least if order > 1 else 1))
+                child = np.full(len(parent) * a, -1, np.int64)
+                child[kept] = np.arange(len(kept))
+                self.child.append(np.where(child >= 0, child + n_rows, -1).reshape(-1, a))
+                row[alive] = child[key]
+                parent = parent[kept // a]
+            alive = row >= 0
+            count = np.zeros((len(parent), a))
+            np.add.at(count, (row[alive], sym[0][alive]), n[alive])
+            parent = self.behind(count, parent)
+            tables.append(parent)
+            n_rows += len(parent)
+        each = np.append(np.ones(len(seen)), max(256 - len(seen), 1))
+        self.bits = (-np.log2(np.concatenate(tables) / each)).astype(np.float32)
+        self.jump()
 
     @staticmethod
-    def escaped(count, lower):
-        """A context's symbols with their counts; the others share the escape, as the shorter context has them (method C, with exclusion)."""
+    def behind(count: np.ndarray, lower: np.ndarray) -> np.ndarray:
         total, kinds, seen = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True), count > 0
         left = np.where(seen, 0, lower)
         share = left.sum(1, keepdims=True)
-        own = np.where(total > 0, count / np.maximum(total + kinds, 1), 0)
-        escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-        p = np.where(seen, own, escape * left / np.maximum(share, 1e-300))
-        return np.where(share > 1e-12, p, np.where(seen, count / np.maximum(total, 1), 1e-12))
+        own = np.where(share > 0, count / np.maximum(total + kinds, 1), count / np.maximum(total, 1))  # without a byte left nothing escapes
+        return np.where(seen, own, np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0) * left / np.where(share > 0, share, 1))
+
+    def jump(self) -> None:
+        """Tables from the bytes before a place to the row of the longest kept context: of all bytes but the first, then with it."""
+        a, base = self.size, [0]
+        for table in self.child:
+            base.append(base[-1] + len(table))
+        rows = np.zeros(1, np.int64)
+        for order, table in enumerate(self.child):
+            longer = np.repeat(rows, a)
+            at = (rows >= base[order]) & (rows < base[order] + len(table)) if order else np.ones(len(rows), bool)
+            found = np.full((len(rows), a), -1, np.int64)
+            found[at] = table[rows[at] - base[order]]
+            longer = np.where(found.ravel() >= 0, found.ravel(), longer)
+            if order == ORDER - 1:
+                kept, self.place = np.unique(rows, return_inverse=True)  # rows of all shorter contexts, each once
+                first = np.zeros(len(kept), np.int64)
+                first[self.place] = np.arange(len(rows))
+                self.last = longer.reshape(-1, a)[first].astype(np.int32)
+                self.place = self.place.astype(np.int32)
+                return
+            rows = longer
+
+    def lengths(self, text: np.ndarray) -> np.ndarray:
+        """The bits of each byte but the first ORDER, which are context alone."""
+        s = self.symbol[text]
+        at = s[ORDER - 1 : -1].astype(np.int64)
+        for k in range(2, ORDER):  # the byte just before a place counts most
+            at *= self.size
+            at += s[ORDER - k : len(s) - k]
+        row = self.last[self.place[at], s[: len(s) - ORDER]]
+        return self.bits[row, s[ORDER:]]
+
+
+class Model:
+    """A tree for each language; ``lengths``: the bits of each text under each of them."""
+
+    def __init__(self, langs, code, lang_of, n, least: int | None = None):
+        self.langs = list(langs)
+        self.trees = [Tree(code[lang_of == i], n[lang_of == i], MIN_SEEN if least is None else least) for i in range(len(self.langs))]
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of each text under each language."""
         out = np.zeros((len(texts), len(self.langs)))
+        waiting, size = [], 0
         for i, text in enumerate(texts):
-            for at in range(0, len(text), 1 << 20):
-                head = text[max(0, at - ORDER) : at].rjust(ORDER, b"\0") if at else bytes(ORDER)
-                s = self.symbol[np.frombuffer(head + text[at : at + (1 << 20)], np.uint8)]
-                if not at:
-                    s[:ORDER] = OTHER
-                ctx = s[: len(s) - ORDER].copy()
-                for k in range(1, ORDER):
-                    ctx *= self.size
-                    ctx += s[k : len(s) - ORDER + k]
-                out[i] += self.bits[self.row[ctx], s[ORDER:]].sum(0, dtype=np.float64)
+            for at in range(0, len(text), SCORE_BYTES):
+                part = text[max(0, at - ORDER) : at].rjust(ORDER, b"\0") + text[at : at + SCORE_BYTES]
+                waiting.append((i, part))
+                size += len(part)
+                if size >= SCORE_BYTES:
+                    self.add(waiting, out)
+                    waiting, size = [], 0
+        if waiting:
+            self.add(waiting, out)
         return out
 
+    def add(self, parts: list[tuple[int, bytes]], out: np.ndarray) -> None:
+        text = np.frombuffer(b"".join([p for _, p in parts]), np.uint8)
+        sizes = np.array([len(p) for _, p in parts])
+        starts = np.cumsum(sizes) - sizes  # each part's bytes begin ORDER later, and so do the bits of its own
+        own = np.ones(len(text), bool)
+        for k in range(ORDER):
+            own[starts + k] = False
+        for lang, tree in enumerate(self.trees):
+            bits = np.append(np.zeros(ORDER), tree.lengths(text)) * own
+            np.add.at(out[:, lang], [i for i, _ in parts], np.add.reduceat(bits, starts))
+
 
 def fit(docs: DataFrame, held_out) -> Model | None:
     """Learns from about SAMPLE_DOCS rows of each language, chosen by a hash; None if no row has a language."""
@@ -162,11 +200,11 @@ def identify(docs: DataFrame, held_out=None) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score.
 
     ``held_out``: a condition on the rows that aren't learned from (default: crc32 of doc_id mod 3 is 1).
-    Each language has a tree of byte contexts up to ORDER long; a text's exact code length is summed
-    under each, and the shortest wins; ties go to the language that sorts first. score is the winner's
+    Each language has a tree of byte contexts up to ORDER long, of its own texts alone; every byte is coded, also those that
+    training doesn't have. A text's exact code length is summed under each tree, and the shortest wins; ties go to the language that sorts first. score is the winner's
     share when a byte's mean saving counts as 32 bits. Null texts and those without a letter are ``und``
     with score 0, and so are all if nothing could be learned. Learning reads about SAMPLE_DOCS labelled rows
-    per language, a documented bound, so the tables sent to the workers are bounded by it; scoring reads
+    per language, a documented bound, so the tables sent to the workers are a few MB a language; scoring reads
     every whole text in place, without a shuffle. Languages without a text in the sample can't win.
     """
     if held_out is None:

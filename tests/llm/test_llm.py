@@ -1,5 +1,6 @@
 """Operators of the llm subpackage against brute force, round trips and held-out rows, with the odd inputs."""
 
+import functools
 import hashlib
 import math
 import random
@@ -338,6 +339,60 @@ def test_language(spark):
     assert language.identify(odd.limit(0)).count() == 0
 
 
+def brute_ppm(texts, least):
+    """Bits of a text by prediction by partial matching with exclusion, from the counts of whole contexts of bytes."""
+    after = {}
+    for t in texts:
+        t = bytes(language.ORDER) + t
+        for i in range(language.ORDER, len(t)):
+            for k in range(language.ORDER + 1):
+                after.setdefault(t[i - k : i], Counter())[t[i]] += 1
+
+    @functools.cache
+    def probability(context, byte):
+        if context is None:
+            return 1 / 256
+        suffix = context[1:] if context else None
+        seen = after.get(context, Counter())
+        total = sum(seen.values())
+        if not total or len(context) > 1 and total < least:
+            return probability(suffix, byte)
+        if byte in seen:
+            return seen[byte] / (total + len(seen))
+        share = sum(probability(suffix, b) for b in range(256) if b not in seen)
+        return len(seen) / (total + len(seen)) * probability(suffix, byte) / share
+
+    def bits(t):
+        t = bytes(language.ORDER) + t
+        return -sum(math.log2(probability(t[i - language.ORDER : i], t[i])) for i in range(language.ORDER, len(t)))
+
+    return bits
+
+
+@pytest.mark.parametrize("least", [1, 3])
+def test_language_code_lengths(spark, monkeypatch, least):
+    """Each language's tree against brute force: bytes that training doesn't have, zero bytes, texts scored in parts."""
+    monkeypatch.setattr(language, "SCORE_BYTES", 7)
+    rng = random.Random(12)
+    texts = {k: ["".join(rng.choice(a) for _ in range(rng.randrange(25))) for _ in range(8)] for k, a in {"en": "abc d", "el": "\u03b1\u03b2\u03b3 ", "xx": "\x00a\u4e2d"}.items()}
+    rows = [(k, t) for k in texts for t in texts[k]]
+    got = language.context_counts(spark.createDataFrame(rows, "lang string, text string")).toPandas()
+    langs = sorted(texts)
+    model = language.Model(langs, got.code.to_numpy(np.int64), got.lang.map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64), got.n.to_numpy(np.float64), least)
+    asked = [b"", b"abcab", "\u03b1\u03b2 q\u03b3".encode(), b"\x00\x00\xff", "z\u4e2d\u4e2da d".encode(), b"abc d" * 5]
+    found = model.lengths(asked)
+    for i, lang in enumerate(langs):
+        bits = brute_ppm([t.encode() for t in texts[lang]], least)
+        assert found[:, i] == pytest.approx([bits(t) for t in asked], rel=1e-5)
+
+
+def test_language_long_texts(spark):
+    long = "the ing and of tion " * 200_000
+    docs = spark.createDataFrame([(2, "the ing and of tion " * 9, "en"), (3, "eau les que oui " * 9, "fr"), (4, long, "fr")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.identify(docs, held_out=F.col("doc_id") == 4).collect()}
+    assert got[4].lang_pred == "en" and got[4].held_out and got[3].lang_pred == "fr"
+
+
 def test_lm(spark, odd):
     rng = random.Random(8)
     texts = odd + [words(rng, 50) for _ in range(80)]
