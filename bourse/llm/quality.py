@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -20,91 +21,120 @@ CONFIDENT = 0.97
 PSEUDO_WEIGHT = 0.25
 #: Share of labelled rows (by a hash of doc_id) that calibrate and are not learned from.
 CALIBRATE_MOD = 4
-#: Bins of a content feature, buckets of hashed metadata values, bins of a score.
-BINS, BUCKETS, SCORE_BINS = 16, 64, 400
+#: Buckets of hashed words, of word shapes, of pairs of neighbouring words by shape and equality, and of each hashed metadata value.
+WORDS, SHAPES, PAIRS, VALUES = 1 << 14, 1 << 9, 1 << 12, 64
+#: How many words a document's mean word counts as: words aren't independent evidence.
+WORTH = 10.0
+#: Mass of a feature in either class before any is seen, in parts of the mean feature's.
+ALPHA = 0.1
+#: Scores lie within this; bins of the calibrating histogram; words that a worker remembers.
+SPAN, SCORE_BINS, REMEMBERED = 60.0, 400, 400_000
 #: Documents whose combined probability is below this are rejected.
 KEEP_FROM = 0.5
 
-CONTENT = ("upper", "symbols", "digits", "short_words", "word_length", "distinct", "repeats", "top_share", "pipes", "shout", "line_repeats", "sentence", "noisy_words")
-METADATA = ("source", "lang", "length", "lines")
-_LOUD = frozenset("$%&*#@^~|<>{}[]=_+\\")
+METADATA = ("source", "lang", "source and lang", "reported length")
+#: Sections of each view's columns: their sizes. A document has a share of each section, one in sum.
+SECTIONS = ((WORDS, SHAPES, PAIRS), (VALUES,) * len(METADATA))
+WIDTHS = tuple(map(sum, SECTIONS))
+_RUN = re.compile(r"(.)\1+", re.DOTALL)
 
 
-def _bin(x: float) -> int:
-    return min(BINS - 1, int(x * BINS)) if x > 0 else 0
+def shape(word: str) -> str:
+    """The word with small letters as a, capitals as A and digits as 0, each run as one; other characters stay."""
+    if word.isalpha():  # most words
+        if word.islower():
+            return "a"
+        if word.isupper() and word.isascii():
+            return "A"
+        if word[0].isupper() and word[1:].islower():
+            return "Aa"
+    return _RUN.sub(r"\1", "".join(["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "a" if c.isalpha() else c for c in word[:48]]))
 
 
-def content(text: str) -> list[int]:
-    """A bin of each CONTENT feature of a whole text: shares mostly, so that length matters little."""
-    n, words = max(len(text), 1), text.split()
-    k = max(len(words), 1)
-    letters = max(sum(map(str.isalpha, text)) if n < 400 else n - text.count(" "), 1)
-    up = sum(w.isupper() for w in words)
-    loud = sum(map(text.count, _LOUD))
-    seen: dict[str, int] = {}
-    for w in words:
-        seen[w] = seen.get(w, 0) + 1
-    same = sum(a == b for a, b in zip(words, words[1:]))
-    lines = text.split("\n")
-    stops = text.count(".") + text.count("!") + text.count("?")
-    noisy = sum(not w[-1].isalnum() and w[-2:-1] == w[-1] for w in words)
-    return [
-        _bin(up / k), _bin(4 * loud / letters), _bin(4 * sum(map(text.count, "0123456789")) / n), _bin(sum(len(w) < 4 for w in words) / k), _bin((n - len(words)) / k / 16),
-        _bin(len(seen) / k * (1 if k > 20 else 0.999)), _bin(2 * same / k), _bin(2 * max(seen.values(), default=0) / k), _bin(2 * text.count("|") / k), _bin(text.count("!!") / k),
-        _bin(1 - len(set(lines)) / len(lines)), _bin(stops / k * 4), _bin(noisy / k),
-    ]
+class _Columns(dict):
+    """A word's columns: its own and its shape's, in one number."""
 
+    def __missing__(self, word: str) -> int:
+        value = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORDS + (WORDS + zlib.crc32(shape(word).encode("utf-8", "surrogatepass")) % SHAPES << 32)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = value
+        return value
 
-def metadata(source, lang, n_chars, lines: int) -> list[int]:
-    """A bucket of each METADATA value; null has one of its own."""
-    hashed = [BUCKETS - 1 if v is None else zlib.crc32(str(v).encode()) % (BUCKETS - 1) for v in (source, lang)]
-    return [*hashed, min(BUCKETS - 1, max(n_chars or 0, 0).bit_length()), min(BUCKETS - 1, (max(n_chars or 0, 0) // max(lines, 1)).bit_length())]
 
+_columns = _Columns()
 
-WIDTHS = (len(CONTENT) * BINS, len(METADATA) * BUCKETS)
 
+def content(text: str | None) -> bytes:
+    """The columns of a whole text's words, shapes and pairs, two bytes each, then the share of each, four bytes; a null text has none."""
+    words = text.split() if text else []
+    own = np.fromiter(map(_columns.__getitem__, words), np.int64, len(words))
+    word, form = own & 0xFFFFFFFF, own >> 32
+    pair = WORDS + SHAPES + (form[:-1] * 2654435761 + form[1:] * 40503 + (word[:-1] == word[1:]) * 97) % PAIRS
+    at, n = np.unique(np.concatenate([word, form, pair]), return_counts=True)
+    return at.astype("<u2").tobytes() + (n / max(len(words), 1)).astype("<f4").tobytes()
 
-_BASES = (np.arange(len(CONTENT)) * BINS, np.arange(len(METADATA)) * BUCKETS)
 
+def metadata(source, lang, n_chars) -> bytes:
+    """A column of each METADATA value, in the same form; null has one of its own. The text isn't looked at."""
+    hashed = [VALUES - 1 if v is None else zlib.crc32(str(v).encode()) % (VALUES - 1) for v in (source, lang, None if source is None and lang is None else f"{source}/{lang}")]
+    reported = VALUES - 1 if n_chars is None else min(VALUES - 2, max(int(n_chars), 0).bit_length())
+    return (np.array([*hashed, reported], "<u2") + np.arange(len(METADATA), dtype="<u2") * VALUES).astype("<u2").tobytes() + np.ones(len(METADATA), "<f4").tobytes()
 
-def columns_of(text, source, lang) -> tuple[np.ndarray, np.ndarray]:
-    """The columns of each view's table that a document is on; a null text counts as empty."""
-    text = text or ""
-    return (_BASES[0] + content(text)).astype(np.int32), (_BASES[1] + metadata(source, lang, len(text), text.count("\n") + 1)).astype(np.int32)
+
+class Rows:
+    """The features of some documents in one view: the document, column and share of each."""
+
+    def __init__(self, packed: list[bytes]):
+        sizes = np.array([len(p) // 6 for p in packed], np.int64)
+        self.n, self.empty = len(packed), sizes == 0
+        self.row = np.repeat(np.arange(len(packed)), sizes)
+        self.column = np.frombuffer(b"".join([p[: len(p) // 3] for p in packed]), "<u2").astype(np.int64)
+        self.share = np.frombuffer(b"".join([p[len(p) // 3 :] for p in packed]), "<f4").astype(np.float64)
+
+    def sums(self, weight: np.ndarray, width: int) -> np.ndarray:
+        return np.bincount(self.column, self.share * weight[self.row], width)
+
+
+def _reported(docs: DataFrame):
+    return (F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)).cast("long")
 
 
 def views(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id; the columns on in either view's table; y (0, 1 or null); calibrates."""
-    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.list_(pa.int32())), ("metadata", pa.list_(pa.int32()))])
+    """doc_id; the features of either view; y (0, 1 or null); calibrates."""
+    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("metadata", pa.binary())])
 
     def fn(batch):
-        found = [columns_of(*x) for x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
-        return [batch.column(0), [a for a, _ in found], [b for _, b in found]]
+        _, text, *page = (c.to_pylist() for c in batch.columns)
+        return [batch.column(0), [content(t) for t in text], [metadata(*x) for x in zip(*page)]]
 
-    found = docs.select(F.col("doc_id").cast("long"), "text", F.col("source").cast("string"), F.col("lang").cast("string")).mapInArrow(common.batches(fn, schema), "doc_id long, content array<int>, metadata array<int>")
+    found = docs.select(F.col("doc_id").cast("long"), "text", F.col("source").cast("string"), F.col("lang").cast("string"), _reported(docs).alias("n_chars"))
+    found = found.mapInArrow(common.batches(fn, schema), "doc_id long, content binary, metadata binary")
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     return found.join(known, "doc_id", "left").withColumn("calibrates", F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATE_MOD)) == 0)
 
 
 class View:
-    """A naive Bayes table over a view's columns, and a calibration of its log odds."""
+    """A naive Bayes table over a view's columns, and a calibration of its score."""
 
-    def __init__(self, width: int):
-        self.weights, self.bias, self.scale, self.shift = np.zeros(width), 0.0, 0.0, 0.0
+    def __init__(self, view: int):
+        self.worth = WORTH if view == 0 else 1.0
+        self.weights, self.scale, self.shift, self.prior = np.zeros(WIDTHS[view]), 0.0, 0.0, 0.0
+        self.sections = SECTIONS[view]
 
     def learn(self, on: np.ndarray, totals: np.ndarray) -> None:
-        """on: weight of good and bad rows by column; totals: of all rows."""
-        p = (on + 1.0) / (totals[:, None] + 2.0)
-        self.weights, self.bias = np.log(p[1] / p[0]), float(np.log((totals[1] + 1) / (totals[0] + 1)))
+        """on: shares of bad and good rows by column; totals: the weight of all of them. A feature that neither has weighs nothing."""
+        mean = on / np.maximum(totals, 1e-9)[:, None] + np.repeat([ALPHA / size for size in self.sections], self.sections)
+        self.weights = np.log(mean[1] / mean[0]) if totals.all() else np.zeros(len(self.weights))
 
-    def odds(self, columns: np.ndarray) -> np.ndarray:
-        return self.weights[columns].sum(1) + self.bias
+    def odds(self, rows: Rows) -> np.ndarray:
+        return np.clip(np.bincount(rows.row, rows.share * self.weights[rows.column], rows.n) * self.worth, -SPAN, SPAN)
 
     def calibrate(self, x: np.ndarray, n: np.ndarray) -> None:
         """Logistic calibration on the histogram (bad and good rows by score); flat if it has one class only."""
         total = n.sum(0)
-        prior = np.log((n[1].sum() + 1) / (n[0].sum() + 1))
-        self.scale, self.shift = 0.0, float(prior)
+        self.prior = float(np.log((n[1].sum() + 1) / (n[0].sum() + 1)))
+        self.scale, self.shift = 0.0, self.prior
         if not n.sum(1).all():
             return
         w = np.zeros(2)
@@ -116,31 +146,33 @@ class View:
             w += np.clip(np.linalg.solve(hess, grad), -5, 5)
         self.scale, self.shift = max(float(w[0]) / 10, 0.0), float(w[1])
 
-    def logit(self, columns: np.ndarray) -> np.ndarray:
-        return self.scale * np.clip(self.odds(columns), -60, 60) + self.shift
+    def logit(self, rows: Rows) -> np.ndarray:
+        """A document without features in this view has the prior's."""
+        return np.where(rows.empty, self.prior, self.scale * self.odds(rows) + self.shift)
 
 
-def _columns(batch: pa.RecordBatch, i: int) -> np.ndarray:
-    return np.array(batch.column(i).to_pylist(), np.int64).reshape(batch.num_rows, -1)
+def _sides(batch: pa.RecordBatch, at: int = 0) -> list[Rows]:
+    return [Rows(batch.column(at + v).to_pylist()) for v in (0, 1)]
 
 
 _SUMS = pa.schema([("kind", pa.string()), ("at", pa.int32()), ("n", pa.float64())])
 
 
 def _sums(rows: DataFrame, fn) -> dict[str, dict[int, float]]:
-    """Sums that each batch makes, over all rows; as many as the tables have cells."""
+    """Sums that each task makes, over all rows; as many as the tables have cells."""
     out: dict[str, dict[int, float]] = {}
 
-    def of(batch):
-        kinds, ats, ns = [], [], []
-        for kind, values in fn(batch).items():
+    def of(stream):
+        total: dict[str, np.ndarray] = {}
+        for batch in stream:
+            for part in common.slices(batch):
+                for kind, values in fn(part).items():
+                    total[kind] = total.get(kind, 0) + values
+        for kind, values in total.items():
             at = np.flatnonzero(values)
-            kinds += [kind] * len(at)
-            ats.append(at.astype(np.int32))
-            ns.append(values[at])
-        return [kinds, np.concatenate(ats), np.concatenate(ns)]
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at)), pa.array(at, pa.int32()), pa.array(values[at])], schema=_SUMS)
 
-    for kind, at, n in rows.mapInArrow(common.batches(of, _SUMS), "kind string, at int, n double").groupBy("kind", "at").agg(F.sum("n")).collect():
+    for kind, at, n in rows.mapInArrow(of, "kind string, at int, n double").groupBy("kind", "at").agg(F.sum("n")).collect():
         out.setdefault(kind, {})[at] = n
     return out
 
@@ -154,42 +186,42 @@ def _dense(found: dict[int, float], width: int) -> np.ndarray:
 
 def train(rows: DataFrame) -> list[View]:
     """Both views after ROUNDS rounds; each round reads every row once to learn and the calibrating labels once."""
-    models = [View(w) for w in WIDTHS]
+    models = [View(v) for v in (0, 1)]
     for turn in range(ROUNDS + 1):
-        old = [m for m in models] if turn else None
+        old = models if turn else None
 
         def learn(batch, old=old):
             y = np.array([-1 if v is None else v for v in batch.column(2).to_pylist()])
-            held, sides, out = np.array(batch.column(3).to_pylist(), bool), [_columns(batch, 0), _columns(batch, 1)], {}
+            held, sides, out = np.array(batch.column(3).to_pylist(), bool), _sides(batch), {}
             sure = [np.full(len(y), -1)] * 2
             if old:
                 edge = np.log(CONFIDENT / (1 - CONFIDENT))
                 sure = [np.where(z >= edge, 1, np.where(z <= -edge, 0, -1)) for z in (m.logit(s) for m, s in zip(old, sides))]
             for v in (0, 1):
                 label = np.where(y >= 0, np.where(held, -1, y), sure[1 - v])
+                label = np.where(sides[v].empty, -1, label)
                 weight = np.where(y >= 0, 1.0, PSEUDO_WEIGHT)
                 for c in (0, 1):
-                    pick = label == c
-                    out[f"{v}{c}"] = np.bincount(sides[v][pick].ravel(), np.repeat(weight[pick], sides[v].shape[1]), WIDTHS[v])
-                    out[f"n{v}{c}"] = np.array([weight[pick].sum()])
+                    own = weight * (label == c)
+                    out[f"{v}{c}"], out[f"n{v}{c}"] = sides[v].sums(own, WIDTHS[v]), np.array([own.sum()])
             return out
 
         source = rows if turn else rows.filter("y IS NOT NULL")
         got = _sums(source.select("content", "metadata", "y", "calibrates"), learn)
-        models = [View(w) for w in WIDTHS]
+        models = [View(v) for v in (0, 1)]
         for v, m in enumerate(models):
             m.learn(np.array([_dense(got.get(f"{v}{c}", {}), WIDTHS[v]) for c in (0, 1)]), np.array([got.get(f"n{v}{c}", {}).get(0, 0.0) for c in (0, 1)]))
 
         def spread(batch, models=models):
             y, out = np.array(batch.column(2).to_pylist()), {}
-            for v, m in enumerate(models):
-                at = np.clip(((m.odds(_columns(batch, v)) + 60) / 120 * SCORE_BINS).astype(int), 0, SCORE_BINS - 1)
+            for v, (m, side) in enumerate(zip(models, _sides(batch))):
+                at = np.clip(((m.odds(side) + SPAN) / (2 * SPAN) * SCORE_BINS).astype(int), 0, SCORE_BINS - 1)
                 for c in (0, 1):
-                    out[f"{v}{c}"] = np.bincount(at[y == c], minlength=SCORE_BINS).astype(float)
+                    out[f"{v}{c}"] = np.bincount(at[(y == c) & ~side.empty], minlength=SCORE_BINS).astype(float)
             return out
 
         got = _sums(rows.filter("y IS NOT NULL AND calibrates").select("content", "metadata", "y"), spread)
-        centres = (np.arange(SCORE_BINS) + 0.5) / SCORE_BINS * 120 - 60
+        centres = ((np.arange(SCORE_BINS) + 0.5) / SCORE_BINS * 2 - 1) * SPAN
         for v, m in enumerate(models):
             m.calibrate(centres, np.array([_dense(got.get(f"{v}{c}", {}), SCORE_BINS) for c in (0, 1)]))
     return models
@@ -202,7 +234,7 @@ def fit(rows: DataFrame) -> tuple[list[View], float]:
     return models, float(np.log(((prior[0] or 0) + 1) / (prior[1] - (prior[0] or 0) + 1)))
 
 
-def combined(models: list[View], prior: float, sides: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def combined(models: list[View], prior: float, sides: list[Rows]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The probability of good quality by each view, and by both: their log odds added, the prior counted once."""
     a, b = (m.logit(s) for m, s in zip(models, sides))
     return tuple(1 / (1 + np.exp(-np.clip(z, -500, 500))) for z in (a, b, a + b - prior))
@@ -211,13 +243,14 @@ def combined(models: list[View], prior: float, sides: list[np.ndarray]) -> tuple
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, p_text, p_metadata, score, kept.
 
-    Each view is a naive Bayes table over a fixed number of cells, so a round's state is sums of fixed
-    size, pre-aggregated in every task, and learning reads all labelled rows and all confident ones,
-    without a cap. In each round a view learns from the labels and from the other view's confident
+    The text view sees the hashed words of the whole text, their shapes and pairs of neighbours; the metadata view sees the page's source,
+    language and reported length (a column of ``docs`` if there; never the text). Each view is a naive Bayes table over a fixed
+    number of cells, so a round's state is sums of fixed size, pre-aggregated in every task, and learning reads all
+    labelled rows and all confident ones, without a cap. In each round a view learns from the labels and from the other view's confident
     pseudo-labels; a quarter of the labelled rows only calibrates. The score is the probability of good
     quality: the calibrated views' log odds added, the prior counted once; documents below KEEP_FROM go.
 
-    Null texts count as empty, and null metadata values have a bucket of their own. Labels of null and
+    A text without words, or null, has the prior's probability in the text view; null metadata values have a bucket of their own. Labels of null and
     several labels of one document that agree on average are allowed. Without labels of both classes every score is the
     prior, one half or more if no bad label is known, so everything stays. Rows that repeat a doc_id
     are scored row by row.
@@ -227,7 +260,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("p_text", pa.float64()), ("p_metadata", pa.float64()), ("score", pa.float64()), ("kept", pa.bool_())])
 
     def fn(batch):
-        p, q, s = combined(models, prior, [_columns(batch, 1), _columns(batch, 2)])
+        p, q, s = combined(models, prior, _sides(batch, 1))
         return [batch.column(0), p, q, s, s >= KEEP_FROM]
 
     return rows.select("doc_id", "content", "metadata").mapInArrow(common.batches(fn, schema), "doc_id long, p_text double, p_metadata double, score double, kept boolean")
@@ -243,9 +276,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     common.discard(rows)
 
     @F.pandas_udf("boolean")
-    def good(texts: pd.Series, sources: pd.Series, langs: pd.Series) -> pd.Series:
-        sides = [columns_of(text, source, lang) for text, source, lang in zip(*(x.astype(object).where(x.notna(), None) for x in (texts, sources, langs)))]
-        own = [np.array([s[v] for s in sides], np.int64).reshape(len(sides), -1) for v in (0, 1)]
-        return pd.Series(combined(models, prior, own)[2] >= KEEP_FROM)
+    def good(texts: pd.Series, sources: pd.Series, langs: pd.Series, lengths: pd.Series) -> pd.Series:
+        text, *page = (x.astype(object).where(x.notna(), None) for x in (texts, sources, langs, lengths))
+        return pd.Series(combined(models, prior, [Rows([content(t) for t in text]), Rows([metadata(*x) for x in zip(*page)])])[2] >= KEEP_FROM)
 
-    return docs.filter(good(F.col("text"), F.col("source").cast("string"), F.col("lang").cast("string")))
+    return docs.filter(good(F.col("text"), F.col("source").cast("string"), F.col("lang").cast("string"), _reported(docs)))

@@ -508,6 +508,92 @@ def test_quality(spark):
     assert quality.classify(frame(spark, []), ls).count() == 0
 
 
+def test_quality_shapes():
+    shown = {"the": "a", "The": "Aa", "THE": "A", "thE": "aA", "Th\u00e9$$$": "Aa$", "!!": "!", "12,5": "0,0", "a1": "a0", "\u4e2d": "a", "\u00c9T\u00c9": "A", "": ""}
+    assert {w: quality.shape(w) for w in shown} == shown
+
+
+def brute_quality(rows, labels):
+    """The score of each row by co-training, from dicts of features: each round's tables, calibration and pseudo-labels."""
+    crc = lambda x: zlib.crc32(x.encode())
+
+    def features(text, source, lang, n_chars):
+        words, own = (text or "").split(), Counter()
+        forms = [crc(quality.shape(w)) % quality.SHAPES + quality.WORDS for w in words]
+        names = [crc(w.lower()) % quality.WORDS for w in words]
+        for i in range(len(words)):
+            own[names[i]] += 1 / len(words)
+            own[forms[i]] += 1 / len(words)
+            if i:
+                own[quality.WORDS + quality.SHAPES + (forms[i - 1] * 2654435761 + forms[i] * 40503 + (names[i - 1] == names[i]) * 97) % quality.PAIRS] += 1 / len(words)
+        last, page = quality.VALUES - 1, Counter()
+        for k, v in enumerate((source, lang, None if source is None and lang is None else f"{source}/{lang}")):
+            page[k * quality.VALUES + (last if v is None else crc(v) % last)] += 1
+        page[3 * quality.VALUES + (last if n_chars is None else min(last - 1, n_chars.bit_length()))] += 1
+        return own, page
+
+    sides = {i: features(*r) for i, r in rows.items()}
+    calibrating = {i for i in rows if labels.get(i, (None, 0))[1]}
+    logits = None
+    for turn in range(quality.ROUNDS + 1):
+        new = {}
+        for v in (0, 1):
+            on, total = (Counter(), Counter()), [0.0, 0.0]
+            for i in rows:
+                label, weight = None, 1.0
+                if i in labels:
+                    label = None if i in calibrating else labels[i][0]
+                elif logits and abs(logits[1 - v][i]) >= math.log(quality.CONFIDENT / (1 - quality.CONFIDENT)):
+                    label, weight = int(logits[1 - v][i] > 0), quality.PSEUDO_WEIGHT
+                if label is not None and sides[i][v]:
+                    total[label] += weight
+                    for f, share in sides[i][v].items():
+                        on[label][f] += weight * share
+            sizes = [s for s in quality.SECTIONS[v] for _ in range(s)]
+
+            def odds(i, v=v, on=on, total=total, sizes=sizes):
+                found = sum(share * math.log((on[1][f] / total[1] + quality.ALPHA / sizes[f]) / (on[0][f] / total[0] + quality.ALPHA / sizes[f])) for f, share in sides[i][v].items())
+                return min(max(found * (quality.WORTH if v == 0 else 1), -quality.SPAN), quality.SPAN)
+
+            model, bins = quality.View(v), np.zeros((2, quality.SCORE_BINS))
+            for i in calibrating:
+                if sides[i][v]:
+                    bins[labels[i][0], min(int((odds(i) + quality.SPAN) / (2 * quality.SPAN) * quality.SCORE_BINS), quality.SCORE_BINS - 1)] += 1
+            model.calibrate(((np.arange(quality.SCORE_BINS) + 0.5) / quality.SCORE_BINS * 2 - 1) * quality.SPAN, bins)
+            new[v] = {i: model.scale * odds(i) + model.shift if sides[i][v] else model.prior for i in rows}
+        logits = new
+    good = sum(labels[i][0] for i in calibrating)
+    prior = math.log((good + 1) / (len(calibrating) - good + 1))
+    return {i: 1 / (1 + math.exp(-min(max(logits[0][i] + logits[1][i] - prior, -500), 500))) for i in rows}
+
+
+def test_quality_against_brute_force(spark):
+    rng = random.Random(19)
+    rows = {}
+    for i in range(160):
+        good = rng.random() < 0.6
+        text = words(rng, rng.randrange(3, 30), 40) if good else " ".join(rng.choice(["SPAM!!", "w1", "buy##", "w2 w2 w2"]) for _ in range(rng.randrange(1, 20)))
+        rows[i] = (text, rng.choice(["a", "b"] if good else ["b", "c", None]), rng.choice(["en", None]), rng.choice([None, len(text)])), int(good)
+    rows[160], rows[161] = ((None, None, None, None), 1), (("", "a", "en", 0), 0)
+    docs = spark.createDataFrame([(i, *r) for i, (r, _) in rows.items()], "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in rows.items() if i % 3], "doc_id long, quality int")
+    held = {r.doc_id: r.c for r in labels.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(quality.CALIBRATE_MOD)) == 0).alias("c")).collect()}
+    expect = brute_quality({i: r for i, (r, _) in rows.items()}, {i: (rows[i][1], c) for i, c in held.items()})
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    assert got == pytest.approx(expect, rel=1e-4, abs=1e-6)
+    long = spark.createDataFrame([(1, "word " * 300_000, "a", "en", 5)], docs.schema)
+    assert quality.classify(long, labels).count() == 1 and quality.keep_good(long.drop("n_chars"), labels).count() <= 1
+
+
+def test_quality_calibration_is_an_optimum():
+    view, x, rng = quality.View(0), np.linspace(-40, 40, 60), np.random.default_rng(4)
+    n = np.stack([rng.poisson(5 / (1 + np.exp(x / 9))), rng.poisson(5 / (1 + np.exp(-x / 9)))]).astype(float)
+    view.calibrate(x, n)
+    loss = lambda a, b: (n[0] * np.log1p(np.exp(a * x + b)) + n[1] * np.log1p(np.exp(-a * x - b))).sum()
+    best = loss(view.scale, view.shift)
+    assert all(best <= loss(view.scale + da, view.shift + db) + 1e-6 for da in (-1e-3, 0, 1e-3) for db in (-1e-2, 0, 1e-2))
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage against brute force on its own input."""
     import corpus_pipeline as cp
