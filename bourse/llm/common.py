@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import threading
 import uuid
@@ -17,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named (tests)."""
+    """The folder that driver and executors share: the one that spark.checkpoint.dir names. Where none is named, a
+    temporary one if the executors are threads of the driver (tests); on a cluster, an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not hasattr(shared_dir, "fallback"):
         shared_dir.fallback = tempfile.mkdtemp(prefix="bourse-")
     return shared_dir.fallback
@@ -112,8 +116,17 @@ def one_of_each(docs: DataFrame, groups_of, group: str, rank, best) -> DataFrame
     are decided like any other. ``groups_of`` is given the texts with that key as doc_id, and tells the group of
     each in the column ``group``. The keys grow with the input, so the joins are merge joins at every size.
     """
-    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    groups = groups_of(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col(group).alias("_group"))
-    ranked = keyed.select("_row", F.struct(*rank, F.col("_row").alias("row")).alias("_rank")).join(groups.hint("merge"), "_row")
-    kept = ranked.groupBy("_group").agg(best("_rank").alias("_rank")).select(F.col("_rank.row").alias("_row"))
-    return keyed.join(kept.hint("merge"), "_row", "left_semi").select(*docs.columns)
+    row = fresh(docs, "row")
+    keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    groups = groups_of(keyed.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), F.col(group).alias("group"))
+    ranked = keyed.select(row, F.struct(*rank, F.col(row).alias("row")).alias("rank")).join(groups.hint("merge"), row)
+    kept = ranked.groupBy("group").agg(best("rank").alias("rank")).select(F.col("rank.row").alias(row))
+    return keyed.join(kept.hint("merge"), row, "left_semi").drop(row)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

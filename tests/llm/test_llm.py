@@ -48,12 +48,15 @@ def brute_exact(texts):
     return {i: (max(g), len(g), i == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g}
 
 
-def test_exact(spark, odd):
+def test_exact(spark, odd, monkeypatch):
     rng = random.Random(1)
     texts = odd + [words(rng, 40, 2) for _ in range(60)] + ["p" * 70 + c for c in "abcab"] + ["q" * 64, "q" * 64, "q" * 65]
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact.exact_groups(frame(spark, texts)).collect()}
     assert got == brute_exact(texts)
     assert exact.exact_groups(frame(spark, [])).count() == 0
+    for bits in (64, 1 << 10):  # a sieve that lets nearly all, or many, through
+        monkeypatch.setattr(exact, "SIEVE_BITS", bits)
+        assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact.exact_groups(frame(spark, texts)).collect()} == got
     nulls = exact.exact_groups(frame(spark, ["a", "A", "b"], [None, None, None])).collect()
     assert sorted(r.group_size for r in nulls) == [1, 2, 2] and not any(r.kept for r in nulls)
     assert exact.drop_copies(frame(spark, texts)).columns == frame(spark, []).columns
@@ -594,6 +597,50 @@ def test_quality_calibration_is_an_optimum():
     assert all(best <= loss(view.scale + da, view.shift + db) + 1e-6 for da in (-1e-3, 0, 1e-3) for db in (-1e-2, 0, 1e-2))
 
 
+def test_shared_folder_is_named_on_a_cluster(monkeypatch):
+    from bourse.llm import common
+
+    class Conf:
+        get = staticmethod(lambda name, default: None)
+
+    class Session:
+        conf = Conf
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
+
+
+def test_stages_take_any_column_name(spark):
+    """Columns named like the operators' own pass through the stages, which have defined results for no rows, too."""
+    import corpus_pipeline as cp
+
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, _kept int, row string, row_ int, `group` int, rank string, body binary, bucket int, `a.b` int, cid long"
+    rng = random.Random(41)
+    texts = [words(rng, 60, 5000) for _ in range(6)]
+    rows = [(i, t, "en", "s", 1, 1, "r", 2, 3, "k", b"", 4, 5, 6) for i, t in enumerate([*texts, texts[0].upper(), texts[1] + " x", None, ""])]
+    for name, stage in cp.STAGES:
+        if name != "quality":
+            out = stage(spark, spark.createDataFrame(rows, ddl), None)
+            assert out.count() >= 8 and (name == "packing" or out.columns == spark.createDataFrame(rows, ddl).columns)
+            assert stage(spark, spark.createDataFrame([], ddl), None).count() == 0
+    labels = spark.createDataFrame([(0, 1), (1, 1)], "doc_id long, quality int")
+    assert quality.keep_good(spark.createDataFrame(rows, ddl), labels).columns == spark.createDataFrame(rows, ddl).columns
+
+
+def test_run_leaves_no_finished_stage(spark, sf_dir):
+    """Of the tables that a run writes, only those that its result reads remain."""
+    import corpus_pipeline as cp
+
+    since = cp.common.mark()
+    out = cp.run(spark, sf_dir)
+    assert len(cp.common._made.paths) - since <= 2
+    ids = {r.doc_id for r in out.select("doc_id").distinct().collect()}
+    assert ids < {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage against brute force on its own input."""
     import corpus_pipeline as cp
