@@ -40,8 +40,10 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages, one after another, over ``documents``; each one's rows are written as Parquet and read again."""
+    """All stages, one after another, over ``documents``; each one's rows are written as Parquet and read again, and
+    removed, as are a stage's own tables, when the next stage's are written."""
+    since = common.mark()
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs = common.sweep(since, common.materialise(stage(spark, docs, sf_dir), f"stage-{name}"))
+    return common.sweep(since, STAGES[-1][1](spark, docs, sf_dir))
