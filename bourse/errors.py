@@ -35,3 +35,23 @@ class AssetNotFoundError(PortfolioError):
 
 class InvalidAssetTypeError(PortfolioError):
     """The asset's type isn't one that portfolios hold."""
+
+
+class DuplicateAssetError(PortfolioError):
+    """The portfolio holds the asset already."""
+
+
+class EmptyPortfolioError(PortfolioError):
+    """The portfolio holds nothing."""
+
+
+class UnsupportedOperationError(PortfolioError):
+    """Portfolios don't offer the operation."""
+
+
+class UnknownSymbolError(AssetError):
+    """A symbol can't be read."""
+
+
+class UnknownTableError(RequestError):
+    """No such table is served."""

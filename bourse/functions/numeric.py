@@ -1,6 +1,6 @@
 """Rounding, the normal distribution and option pricing as native column expressions."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Hart's rational approximation of the normal distribution, numerator and denominator, highest power first.
@@ -34,6 +34,34 @@ def norm_pdf(x: Column) -> Column:
     return F.exp(-x * x / 2) / 2.5066282746310002
 
 
+def with_model(rows: DataFrame, is_call: str, spot: str, strike: str, years: str, rate: str, vol: str, out: str = "model", more: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with the Black-Scholes price of a European option in ``out``, and of delta, gamma, vega, theta (a year) and rho those in ``more``.
+
+    Null where time or volatility isn't positive. Each shared term is a projection of its own, which the optimiser doesn't
+    inline, so the plan stays in one stage of generated code; the column forms below repeat them and suit few rows.
+    """
+    s, k, t, r, v = (F.col(c) for c in (spot, strike, years, rate, vol))
+    sound = (t > 0) & (v > 0)
+    rows = rows.withColumns({"_root": F.when(sound, v * F.sqrt(t)), "_due": k * F.exp(-r * t)})
+    rows = rows.withColumn("_a", (F.ln(s / k) + (r + v * v / 2) * t) / F.col("_root")).withColumn("_b", F.col("_a") - F.col("_root"))
+    rows = rows.withColumns({f"_z{x}": F.least(F.abs(f"_{x}"), F.lit(CDF_CLAMP)) for x in "ab"})
+    rows = rows.withColumns({f"_t{x}": F.exp(-F.col(f"_z{x}") * F.col(f"_z{x}") / 2) * poly(F.col(f"_z{x}"), HART_UP) / poly(F.col(f"_z{x}"), HART_DOWN) for x in "ab"})
+    above = {x: F.when(F.col(f"_{x}") > 0, 1 - F.col(f"_t{x}")).otherwise(F.col(f"_t{x}")) for x in "ab"}
+    below = {x: F.when(F.col(f"_{x}") < 0, 1 - F.col(f"_t{x}")).otherwise(F.col(f"_t{x}")) for x in "ab"}
+    rows = rows.withColumns({f"_n{x}": F.when(F.col(is_call), above[x]).otherwise(-below[x]) for x in "ab"} | {"_pdf": norm_pdf(F.col("_a"))})
+    due, decay = F.col("_due") * F.col("_nb"), -s * F.col("_pdf") * v / (2 * F.sqrt(t))
+    made = {
+        out: s * F.col("_na") - due, "delta": F.col("_na"), "gamma": F.col("_pdf") / (s * F.col("_root")), "vega": s * F.col("_pdf") * F.sqrt(t),
+        "theta": decay - r * due, "rho": t * due,
+    }
+    return rows.withColumns({c: F.when(sound, made[c]) for c in (out, *more)}).drop("_root", "_due", "_a", "_b", "_za", "_zb", "_ta", "_tb", "_na", "_nb", "_pdf")
+
+
+def two_decimals(x: Column) -> Column:
+    """A display number to two places."""
+    return fix(x, 2)
+
+
 def d1(spot: Column, strike: Column, years: Column, rate: Column, vol: Column) -> Column:
     return (F.ln(spot / strike) + (rate + vol * vol / 2) * years) / (vol * F.sqrt(years))
 

@@ -27,6 +27,7 @@ def bare_symbol(symbol: Column) -> Column:
 
 
 def with_prefix(symbol: Column, kind: Column) -> Column:
+    """The vendor's symbol of a bare one of an asset class."""
     out = symbol
     for prefix, name in PREFIXES.items():
         out = F.when(kind == name, F.concat(F.lit(prefix), symbol)).otherwise(out)
@@ -76,7 +77,7 @@ def alert_parts(text: Column) -> tuple[Column, Column]:
 def on_sphere(lat: Column, lon: Column, radius: float = 2.0) -> tuple[Column, Column, Column]:
     """Cartesian place of a latitude and longitude in degrees, the poles on y."""
     phi, theta = F.radians(90 - lat), F.radians(lon + 180)
-    return -radius * F.sin(phi) * F.cos(theta), radius * F.cos(phi), radius * F.sin(phi) * F.sin(theta)
+    return radius * F.sin(phi) * F.cos(theta), radius * F.cos(phi), radius * F.sin(phi) * F.sin(theta)
 
 
 def dividend_payout(yield_percent: Column, shares: Column, close: Column) -> Column:

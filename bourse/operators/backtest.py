@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..errors import RequestError
 from . import risk, series
 
 #: The strategies and their default parameters.
 STRATEGIES = {
-    "buy_hold": {}, "ma_cross": {"fast": 3, "slow": 6}, "momentum": {"lookback": 6, "top": 5},
+    "buy_hold": {}, "ma_cross": {"fast": 3, "slow": 6}, "momentum": {"lookback": 6, "top": 5, "holding": 1, "rebalance": "bar"},
     "mean_reversion": {"lookback": 6, "threshold": 1.0}, "pairs": {"lookback": 6, "threshold": 1.0},
 }
 
@@ -31,11 +32,30 @@ def ma_cross(bars: DataFrame, fast: int, slow: int) -> DataFrame:
     return rows.withColumn("position", F.when(F.col("fast") > F.col("slow"), 1.0).otherwise(0.0))
 
 
-def momentum(bars: DataFrame, lookback: int, top: int) -> DataFrame:
-    """The ``top`` tickers by return over ``lookback`` bars, on each date."""
+#: How often a strategy may rebalance.
+REBALANCE = ("bar", "week", "month", "quarter", "year")
+
+
+def momentum(bars: DataFrame, lookback: int, top: int, holding: int = 1, rebalance: str = "bar") -> DataFrame:
+    """The ``top`` tickers by return over ``lookback`` bars, chosen on each rebalance date and held for ``holding`` bars.
+
+    A rebalance date is the first date that any ticker has in each week, month, quarter or year, or every date for "bar".
+    A holding that outlasts the next rebalance date ends there; between its end and that date a ticker has no position.
+    """
+    if rebalance not in REBALANCE:
+        raise RequestError(f"unknown rebalance {rebalance}")
     rows = bars.withColumn("past", F.try_divide(F.col("close"), F.lag("close", lookback).over(_w())) - 1)
     rank = F.row_number().over(W.partitionBy("date").orderBy(F.col("past").desc_nulls_last(), "ticker"))
-    return rows.withColumn("position", F.when(F.col("past").isNotNull() & (rank <= top), 1.0).otherwise(0.0))
+    chosen = F.when(F.col("past").isNotNull() & (rank <= top), 1.0).otherwise(0.0)
+    if rebalance == "bar" and holding == 1:
+        return rows.withColumn("position", chosen)
+    period = F.col("date") if rebalance == "bar" else F.trunc("date", rebalance)
+    firsts = bars.groupBy(period.alias("_period")).agg(F.min("date").alias("date")).select("date", F.lit(True).alias("_turn"))
+    rows = rows.withColumn("_chosen", chosen).join(firsts, "date", "left").withColumn("_bar", F.row_number().over(_w()))
+    upto = _w().rowsBetween(W.unboundedPreceding, 0)
+    at = F.last(F.when(F.col("_turn"), F.struct("_bar", "_chosen")), True).over(upto)
+    rows = rows.withColumn("_at", at).withColumn("position", F.when(F.col("_bar") - F.col("_at._bar") < holding, F.col("_at._chosen")).otherwise(0.0))
+    return rows.drop("_chosen", "_turn", "_bar", "_at")
 
 
 def mean_reversion(bars: DataFrame, lookback: int, threshold: float) -> DataFrame:
@@ -73,10 +93,6 @@ def figures(positions: DataFrame, capital: float = 10_000.0, periods: int = 12,
     return out.withColumns({"total_return": grown - 1, "annual_return": F.pow(grown, periods / F.col("n")) - 1})
 
 
-def z(rows: DataFrame) -> Column:
-    return risk.zscore(rows, "close", STRATEGIES["mean_reversion"]["lookback"])
-
-
 def compare(bars: DataFrame) -> DataFrame:
     """Every strategy's mean figures over all tickers."""
     runs = {"buy_hold": buy_hold(bars), "ma_cross": ma_cross(bars, **STRATEGIES["ma_cross"]), "momentum": momentum(bars, **STRATEGIES["momentum"]), "mean_reversion": mean_reversion(bars, **STRATEGIES["mean_reversion"])}

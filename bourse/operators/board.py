@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import staged
+
 
 def gainers(board: DataFrame, k: int = 5) -> DataFrame:
     return board.filter("change > 0").orderBy(F.col("change").desc(), "ticker").limit(k)
@@ -29,16 +31,18 @@ def top_per_group(rows: DataFrame, key: str, by: str, tie: str, k: int) -> DataF
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.col(by).desc(), tie))).filter(F.col("rank") <= k)
 
 
-def ranked(rows: DataFrame, by: str, tie: str, buckets: int = 64) -> DataFrame:
-    """1-based rank over all rows without one task that sorts them all: ranks within ranges of ``by``, plus the rows in higher ranges."""
-    spread = rows.agg(F.min(by).alias("lo"), F.max(by).alias("hi")).first()
-    lo, hi = spread["lo"] or 0.0, spread["hi"] or 0.0
-    width = (hi - lo) / buckets or 1.0
-    rows = rows.withColumn("_b", F.least(F.floor((F.col(by) - lo) / width), F.lit(buckets - 1)))
-    counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    above = counts.select("_b", F.coalesce(F.sum("_n").over(W.orderBy(F.col("_b").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
-    within = F.row_number().over(W.partitionBy("_b").orderBy(F.col(by).desc(), tie))
-    return rows.withColumn("_r", within).join(F.broadcast(above), "_b").withColumn("rank", F.col("_r") + F.col("_above")).drop("_b", "_r", "_above")
+def ranked(rows: DataFrame, by: str, tie: str) -> DataFrame:
+    """1-based rank over all rows, the greatest first, missing values last, without one task that sorts them all.
+
+    Rows are dealt by ranges of (by, tie) of about equal numbers, whatever the values' distribution, and staged in order;
+    a row's rank is its place in its range after the rows of those before.
+    """
+    order = [F.col(by).desc_nulls_last(), F.col(tie).asc()]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = staged(placed.withColumns({"_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}), "ranked")
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.join(before, "_range").withColumn("rank", F.col("_before") + F.col("_at") + 1).drop("_range", "_at", "_before")
 
 
 def only_friends(board: DataFrame, friends: DataFrame, key: str = "username") -> DataFrame:

@@ -29,8 +29,9 @@ def rolling_vwap(trades: DataFrame, seconds: int, key: str = "ticker", sec: str
     """
     rows = in_chunks(trades.withColumn("_pq", F.floor(F.col("price") * cents + 0.5) * F.col("qty")), sec, seconds - 1, chunk)
     span = W.partitionBy(key, "_chunk").orderBy(sec).rangeBetween(-(seconds - 1), 0)
-    later = W.partitionBy(key, "_chunk", sec).orderBy(seq).rowsBetween(1, W.unboundedFollowing)
-    sums = {c: F.sum(c).over(span) - F.coalesce(F.sum(c).over(later), F.lit(0)) for c in ("_pq", "qty")}
+    peers = W.partitionBy(key, "_chunk", sec)  # what arrives later in the second is its total less what has arrived
+    arrived = peers.orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
+    sums = {c: F.sum(c).over(span) - F.sum(c).over(peers) + F.sum(c).over(arrived) for c in ("_pq", "qty")}
     out = rows.withColumns({"_num": sums["_pq"], "_den": sums["qty"]}).filter("_own")
     return out.withColumn("vwap", F.when(F.col("_den") == 0, 0.0).otherwise(F.try_divide(F.col("_num"), F.col("_den")) / cents)).drop("_pq", "_num", "_den", "_chunk", "_own")
 
@@ -51,17 +52,34 @@ def duplicate_orders(orders: DataFrame, horizon: int) -> DataFrame:
     return orders.withColumn("prev_ts", prev).filter(F.col("ts") - F.col("prev_ts") <= horizon)
 
 
-def crossing_level(ladder: DataFrame, key: str = "symbol") -> DataFrame:
-    """Price of the first level whose running size reaches the target; the first one for a target of 0 or less; null if none does."""
-    total = F.sum("size").over(W.partitionBy(key).orderBy("level").rowsBetween(W.unboundedPreceding, 0))
-    hit = F.when(F.col("_total") >= F.col("target"), F.col("level"))
-    return ladder.withColumn("_total", total).groupBy(key, "target").agg(F.min_by("price", hit).alias("crossing_price"))
+#: Levels of a ladder in a block of running sums.
+BLOCK_LEVELS = 65_536
+
+
+def crossing_level(ladder: DataFrame, key: str = "symbol", block: int = BLOCK_LEVELS) -> DataFrame:
+    """Price of the first level whose running size reaches the target; the first one for a target of 0 or less; null if none does.
+
+    Sums run within blocks of levels and over the blocks' totals, so a deep ladder is spread over many tasks.
+    """
+    rows = ladder.withColumn("_block", F.floor(F.col("level") / block))
+    totals = rows.groupBy(key, "_block").agg(F.sum("size").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(totals.select(key, "_block", before.alias("_before")), [key, "_block"])
+    within = F.sum("size").over(W.partitionBy(key, "_block").orderBy("level").rowsBetween(W.unboundedPreceding, 0))
+    hit = F.when(F.col("_before") + F.col("_within") >= F.col("target"), F.col("level"))
+    return rows.withColumn("_within", within).groupBy(key, "target").agg(F.min_by("price", hit).alias("crossing_price"))
 
 
 def crossing_in_arrays(prices, sizes, target):
-    """The same for one row's arrays."""
-    totals = F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0).cast("double"), lambda t, x: t + x))
-    return F.get(F.filter(prices, lambda _, i: F.get(totals, i) >= target), F.lit(0))
+    """The same for one row's arrays, in one pass over them."""
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(None).cast("double").alias("price"))
+
+    def step(state, level):
+        total = state["total"] + level["s"]
+        return F.struct(total.alias("total"), F.coalesce(state["price"], F.when(total >= target, level["p"])).alias("price"))
+
+    levels = F.zip_with(prices, sizes, lambda p, s: F.struct(p.cast("double").alias("p"), s.cast("double").alias("s")))
+    return F.aggregate(levels, start, step, lambda state: state["price"])
 
 
 def match_children(parents: DataFrame, children: DataFrame) -> DataFrame:
@@ -71,72 +89,84 @@ def match_children(parents: DataFrame, children: DataFrame) -> DataFrame:
     return out.withColumn("matched", F.col("qty") == F.col("child_qty"))
 
 
-def _level_lives(quotes: DataFrame) -> DataFrame:
-    w = W.partitionBy("symbol", "side", "price").orderBy("seq")
-    lives = quotes.withColumn("until", F.lead("seq").over(w))
-    return lives.filter((F.col("action") == "upsert") & (F.col("size") > 0)).select("symbol", "side", "price", F.col("seq").alias("since"), "until")
+#: Units of the events' order in a chunk of a book: what is live at a chunk's start is carried into it.
+CHUNK_EVENTS = 65_536
+
 
+def in_book_chunks(quotes: DataFrame, chunk: int = CHUNK_EVENTS) -> DataFrame:
+    """Events dealt by (symbol, _chunk of seq), each chunk led by the levels that are live at its start (``_own`` false).
 
-def best_quotes_by_interval(quotes: DataFrame) -> DataFrame:
-    """Best bid and ask after each event, by joining events with the levels alive at them: for checks on small inputs."""
-    lives = _level_lives(quotes)
-    alive = (F.col("e.symbol") == F.col("l.symbol")) & (F.col("l.since") <= F.col("e.seq")) & (F.col("l.until").isNull() | (F.col("l.until") > F.col("e.seq")))
-    joined = quotes.select("symbol", "seq").alias("e").join(lives.alias("l"), alive, "left")
+    A level's last event in a chunk is carried into the chunks up to that of its next event, or to the symbol's last one.
+    So a busy symbol's events are spread over many tasks; what is carried is a chunk's live levels.
+    """
+    rows = quotes.filter("symbol IS NOT NULL").select("symbol", "seq", "action", "side", "price", "size", F.floor(F.col("seq") / chunk).alias("_chunk"))
+    last = rows.groupBy("symbol").agg(F.max("_chunk").alias("_last"))
+    following = F.lead("_chunk").over(W.partitionBy("symbol", "side", "price").orderBy("seq"))
+    live = (F.lower("action") == "upsert") & (F.col("size") > 0)
+    ends = rows.withColumn("_next", following).filter(live & (F.col("_next").isNull() | (F.col("_next") > F.col("_chunk")))).join(last, "symbol")
+    until = F.coalesce("_next", "_last")
+    carried = ends.filter(until > F.col("_chunk")).select("symbol", "seq", "action", "side", "price", "size", F.explode(F.sequence(F.col("_chunk") + 1, until)).alias("_chunk"), F.lit(False).alias("_own"))
+    return rows.withColumn("_own", F.lit(True)).unionByName(carried)
+
+
+def best_quotes_by_interval(quotes: DataFrame, chunk: int = 2_048) -> DataFrame:
+    """Best bid and ask after each event, by joining the events of each (symbol, chunk) with the levels alive in it."""
+    rows = in_book_chunks(quotes, chunk)
+    until = F.lead("seq").over(W.partitionBy("symbol", "_chunk", "side", "price").orderBy("seq"))
+    lives = rows.withColumn("until", until).filter((F.lower("action") == "upsert") & (F.col("size") > 0)).select("symbol", "_chunk", "side", "price", F.col("seq").alias("since"), "until")
+    alive = (F.col("e.symbol") == F.col("l.symbol")) & (F.col("e._chunk") == F.col("l._chunk")) & (F.col("l.since") <= F.col("e.seq")) & (F.col("l.until").isNull() | (F.col("l.until") > F.col("e.seq")))
+    joined = rows.filter("_own").select("symbol", "_chunk", "seq").alias("e").join(lives.alias("l"), alive, "left")
     best = joined.groupBy(F.col("e.symbol").alias("symbol"), F.col("e.seq").alias("seq"))
     return best.agg(F.max(F.when(F.col("l.side") == "B", F.col("l.price"))).alias("best_bid"), F.min(F.when(F.col("l.side") == "A", F.col("l.price"))).alias("best_ask"))
 
 
 class Book:
-    """Live price levels of one symbol, with lazy deletion from two heaps."""
-
-    def __init__(self, live: dict | None = None):
-        import heapq
+    """Live price levels of one symbol: the prices of each side in order."""
 
-        self.live = live or {}
-        self.heaps = {side: [(-p if side == "B" else p) for s, p in self.live if s == side] for side in "BA"}
-        for heap in self.heaps.values():
-            heapq.heapify(heap)
+    def __init__(self, live=()):
+        self.prices = {side: sorted(p for s, p in live if s == side) for side in "BA"}
 
     def apply(self, action: str, side: str, price: float, size: int) -> None:
-        import heapq
+        from bisect import bisect_left, insort
 
-        if action.lower() == "upsert" and size > 0:
-            if (side, price) not in self.live:
-                heapq.heappush(self.heaps[side], -price if side == "B" else price)
-            self.live[side, price] = size
-        else:
-            self.live.pop((side, price), None)
+        prices = self.prices[side]
+        at = bisect_left(prices, price)
+        held = at < len(prices) and prices[at] == price
+        if action.lower() == "upsert" and size is not None and size > 0:
+            if not held:
+                insort(prices, price)
+        elif held:
+            del prices[at]
 
     def best(self, side: str) -> float | None:
-        import heapq
+        return self.prices[side][-1 if side == "B" else 0] if self.prices[side] else None
 
-        heap, sign = self.heaps[side], -1 if side == "B" else 1
-        while heap and (side, sign * heap[0]) not in self.live:
-            heapq.heappop(heap)
-        return sign * heap[0] if heap else None
+    def live(self) -> list:
+        return [(side, p) for side in "BA" for p in self.prices[side]]
 
 
-def best_quotes(quotes: DataFrame) -> DataFrame:
-    """Best bid and ask after each event: symbols are dealt to tasks, sorted by event, and replayed in Arrow batches.
+def best_quotes(quotes: DataFrame, chunk: int = CHUNK_EVENTS) -> DataFrame:
+    """Best bid and ask after each event: a symbol's chunks are dealt to tasks, sorted by event, and replayed in Arrow batches.
 
-    A symbol's events stream through its task, so a hot symbol costs time there but not memory: only live levels are held.
+    Only the live levels of one symbol are held at a time.
     """
 
     def replay(frames):
         import pandas as pd
 
-        symbol, book = None, None
+        group, book = None, None
         for frame in frames:
             bids, asks = [], []
-            for row in zip(frame["symbol"], frame["action"], frame["side"], frame["price"], frame["size"]):
-                if row[0] != symbol or book is None:
-                    symbol, book = row[0], Book()
-                book.apply(*row[1:])
+            for symbol, part, *event in zip(*(frame[c] for c in ("symbol", "_chunk", "action", "side", "price", "size"))):
+                if (symbol, part) != group:
+                    group, book = (symbol, part), Book()
+                book.apply(*event)
                 bids.append(book.best("B"))
                 asks.append(book.best("A"))
-            yield pd.DataFrame({"symbol": frame["symbol"], "seq": frame["seq"], "best_bid": pd.Series(bids, dtype="float64"), "best_ask": pd.Series(asks, dtype="float64")})
+            out = pd.DataFrame({"symbol": frame["symbol"], "seq": frame["seq"], "best_bid": pd.Series(bids, dtype="float64"), "best_ask": pd.Series(asks, dtype="float64")})
+            yield out[frame["_own"].to_numpy(bool)]
 
-    rows = quotes.filter("symbol IS NOT NULL").select("symbol", "seq", "action", "side", "price", "size").repartition("symbol").sortWithinPartitions("symbol", "seq")
+    rows = in_book_chunks(quotes, chunk).repartition("symbol", "_chunk").sortWithinPartitions("symbol", "_chunk", "_own", "seq")
     out = rows.mapInPandas(replay, "symbol long, seq long, best_bid double, best_ask double")
     blank = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
     return out.select("symbol", "seq", blank("best_bid"), blank("best_ask"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..errors import AssetNotFoundError, InvalidAssetTypeError
+from ..errors import AssetNotFoundError, DuplicateAssetError, EmptyPortfolioError, InvalidAssetTypeError, RequestError, UnsupportedOperationError
 from ..functions.numeric import fix
 from ..functions.symbols import portfolio_type
 from ..schemas import ASSET_TYPES
@@ -17,7 +17,12 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def add_asset(positions: DataFrame, asset: dict) -> DataFrame:
+def add_asset(positions: DataFrame, asset: dict, unique: bool = False) -> DataFrame:
+    """One position more; a type that bags don't hold is an error, and with ``unique`` an asset that is there already."""
+    if asset["asset_type"] not in (*ASSET_TYPES, "Forex"):
+        raise InvalidAssetTypeError(asset["asset_type"])
+    if unique and not positions.filter((F.col("asset_type") == ("FX" if asset["asset_type"] == "Forex" else asset["asset_type"])) & (F.col("asset_name") == asset["asset_name"])).isEmpty():
+        raise DuplicateAssetError(asset["asset_name"])
     row = positions.sparkSession.createDataFrame([asset], positions.schema).withColumn("asset_type", portfolio_type(F.col("asset_type")))
     return positions.unionByName(row)
 
@@ -28,9 +33,11 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def remove_asset(positions: DataFrame, asset_type: str, asset_name: str) -> DataFrame:
-    """One occurrence less; an unknown type or an asset that isn't there is an error."""
+    """One occurrence less; an unknown type, an empty portfolio or an asset that isn't there is an error."""
     if asset_type not in ASSET_TYPES:
         raise InvalidAssetTypeError(asset_type)
+    if positions.isEmpty():
+        raise EmptyPortfolioError("nothing to remove")
     row = positions.filter((F.col("asset_type") == asset_type) & (F.col("asset_name") == asset_name)).limit(1)
     if row.isEmpty():
         raise AssetNotFoundError(asset_name)
@@ -49,9 +56,11 @@ def cash_balance(ledger: DataFrame, key: str = "portfolio_id") -> DataFrame:
 
 
 def holdings_of(transactions: DataFrame) -> DataFrame:
-    """Bought quantity and average cost of each portfolio and ticker."""
-    bought = transactions.filter("transaction_type = 'buy'").groupBy("portfolio_id", "ticker")
-    return bought.agg(F.sum("quantity").alias("quantity"), fix(F.sum(F.col("price") * F.col("quantity")) / F.sum("quantity"), 4).alias("avg_cost"))
+    """What each portfolio still holds of each ticker: bought less sold, at the average cost of what was bought; nothing held, no row."""
+    bought = F.when(F.col("transaction_type") == "buy", F.col("quantity"))
+    held = F.coalesce(F.sum(bought), F.lit(0)) - F.coalesce(F.sum(F.when(F.col("transaction_type") == "sell", F.col("quantity"))), F.lit(0))
+    rows = transactions.groupBy("portfolio_id", "ticker").agg(held.alias("quantity"), fix(F.try_divide(F.sum(F.col("price") * bought), F.sum(bought)), 4).alias("avg_cost"))
+    return rows.filter("quantity > 0")
 
 
 def valued(holdings: DataFrame, latest: DataFrame) -> DataFrame:
@@ -86,10 +95,12 @@ def weights_of(additions: DataFrame) -> DataFrame:
 
 
 def covariances(returns: DataFrame) -> DataFrame:
-    """Sample covariance of each ordered pair of tickers over their common dates."""
+    """Sample covariance of each ordered pair of tickers over their common dates; each unordered pair is computed once."""
     a = returns.select(F.col("ticker").alias("a"), "date", F.col("ret").alias("x"))
     b = returns.select(F.col("ticker").alias("b"), "date", F.col("ret").alias("y"))
-    return a.join(b, "date").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"), F.corr("x", "y").alias("corr"), F.count(F.lit(1)).alias("n"))
+    upper = a.join(b, "date").filter("a <= b").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"), F.corr("x", "y").alias("corr"), F.count(F.lit(1)).alias("n"))
+    ends = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return upper.withColumn("e", F.explode(ends)).select("e.a", "e.b", "cov", "corr", "n")
 
 
 def expected_return(weights: DataFrame, returns: DataFrame) -> DataFrame:
@@ -105,43 +116,103 @@ def volatility(weights: DataFrame, returns: DataFrame) -> DataFrame:
 
 
 OPTIMISERS = ("min_variance", "max_sharpe", "mean_variance", "risk_parity")
+#: Tickers that an optimisation takes at most: their covariances are solved in one place.
+MOST_ASSETS = 2_000
 
 
-def optimise(returns: DataFrame, kind: str = "max_sharpe", rf: float = 0.0, aversion: float = 3.0, least: float = -1e9, most: float = 1e9) -> DataFrame:
-    """Weights that sum to 1. Means and covariances are Spark aggregates; only the N x N problem of the chosen tickers is solved in one place.
+def moments(returns: DataFrame) -> tuple[list[str], "np.ndarray", "np.ndarray"]:  # noqa: F821
+    """Tickers, mean returns and covariances: Spark aggregates, of at most MOST_ASSETS tickers."""
+    import numpy as np
+
+    mean = returns.groupBy("ticker").agg(F.avg("ret").alias("mu")).orderBy("ticker").limit(MOST_ASSETS + 1).collect()
+    if not mean:
+        raise EmptyPortfolioError("no returns")
+    if len(mean) > MOST_ASSETS:
+        raise UnsupportedOperationError(f"more than {MOST_ASSETS} tickers")
+    names = [r["ticker"] for r in mean]
+    place = {t: i for i, t in enumerate(names)}
+    c = np.zeros((len(names), len(names)))
+    for r in covariances(returns).filter("a <= b").select("a", "b", "cov").collect():
+        c[place[r["a"]], place[r["b"]]] = c[place[r["b"]], place[r["a"]]] = r["cov"] or 0.0
+    return names, np.array([r["mu"] for r in mean]), c
+
+
+def within(w, least: float, most: float):
+    """The nearest weights that sum to 1 and lie within the bounds."""
+    import numpy as np
+
+    low, high = w.min() - most - 1, w.max() - least + 1
+    for _ in range(200):
+        shift = (low + high) / 2
+        low, high = (shift, high) if np.clip(w - shift, least, most).sum() > 1 else (low, shift)
+    return np.clip(w - (low + high) / 2, least, most)
+
+
+def quadratic(c, mu, aversion: float, least: float, most: float):
+    """Weights of least aversion / 2 * w'Cw - mu'w within the bounds: projected gradients with momentum, restarted when it doesn't help."""
+    import numpy as np
 
-    Singular matrices use the pseudo-inverse. Bounds are applied by clipping and scaling until they hold.
+    step = 1 / max(aversion * float(np.linalg.norm(c, 2)), 1e-12)
+    w = old = within(np.full(len(mu), 1 / len(mu)), least, most)
+    t = 1.0
+    for _ in range(20_000):
+        ahead = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        y = w + (t - 1) / ahead * (w - old)
+        new = within(y - step * (aversion * (c @ y) - mu), least, most)
+        if (y - new) @ (new - w) > 0:
+            ahead = 1.0
+        if np.abs(new - w).max() < 1e-13 and np.abs(new - y).max() < 1e-13:
+            break
+        old, w, t = w, new, ahead
+    return w
+
+
+def optimise(returns: DataFrame, kind: str = "max_sharpe", rf: float = 0.0, aversion: float = 3.0, least: float = -1e9, most: float = 1e9, target_return: float | None = None, known=None) -> DataFrame:
+    """Weights that sum to 1. Only the N x N problem of the chosen tickers is solved in one place; ``known``: their moments, if at hand.
+
+    Without bounds and target the solutions are closed forms, with the pseudo-inverse of a singular matrix. Within bounds
+    they are optima of the bounded problem: min_variance and mean_variance (w'mu - aversion / 2 * w'Cw) as quadratic
+    programs, max_sharpe as the best point of the efficient frontier. ``target_return``: the frontier's point with that
+    mean return (min_variance and mean_variance). risk_parity gives equal contributions to risk, moved to the nearest bounds.
     """
     import numpy as np
 
     if kind not in OPTIMISERS:
         raise ValueError(kind)
-    mean = {r["ticker"]: r["mu"] for r in returns.groupBy("ticker").agg(F.avg("ret").alias("mu")).collect()}
-    names = sorted(mean)
-    place = {t: i for i, t in enumerate(names)}
-    c = np.zeros((len(names), len(names)))
-    for r in covariances(returns).select("a", "b", "cov").collect():
-        c[place[r["a"]], place[r["b"]]] = r["cov"] or 0.0
-    mu, one, inverse = np.array([mean[t] for t in names]) - rf, np.ones(len(names)), np.linalg.pinv(c)
-    if kind == "min_variance":
-        w = inverse @ one
-    elif kind == "max_sharpe":
-        w = inverse @ mu
-    elif kind == "mean_variance":
-        base = inverse @ one / (one @ inverse @ one)
-        w = base + (inverse @ mu - (one @ inverse @ mu) * base) / aversion
-    else:
+    names, mean, c = known or moments(returns)
+    if not least * len(names) <= 1 <= most * len(names):
+        raise RequestError("no weights within the bounds sum to 1")
+    mu, one = mean - rf, np.ones(len(names))
+    bounded = least > -1e9 or most < 1e9
+    frontier = lambda a: quadratic(c, mean / a, 1.0, least, most)
+    if kind == "risk_parity":
         w = 1 / np.sqrt(np.maximum(np.diag(c), 1e-300))
         for _ in range(500):
             w = np.sqrt(w * max(w @ c @ w, 0.0) / len(w) / np.maximum(c @ w, 1e-12))
             w = w / max(w.sum(), 1e-300)
-    w = w / w.sum()
-    for _ in range(200):
-        clipped = np.clip(w, least, most)
-        if abs(clipped.sum() - 1) < 1e-12:
-            break
-        free = (clipped > least) & (clipped < most)
-        w = clipped + np.where(free, (1 - clipped.sum()) / max(free.sum(), 1), 0)
+        w = within(w, least, most)
+    elif target_return is not None and kind != "max_sharpe":
+        low, high = -20.0, 40.0  # of the logarithm of the aversion, in which the frontier's mean return falls
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (middle, high) if frontier(np.exp(middle)) @ mean > target_return else (low, middle)
+        w = frontier(np.exp((low + high) / 2))
+        if w @ mean < target_return - 1e-6:
+            raise RequestError("no weights within the bounds have the target return")
+    elif bounded and kind == "max_sharpe":
+        sharpe = lambda a: (lambda w: (w @ mu) / max(np.sqrt(w @ c @ w), 1e-300))(frontier(np.exp(a)))
+        low, high, golden = -15.0, 25.0, (5**0.5 - 1) / 2
+        for _ in range(60):
+            x, y = high - golden * (high - low), low + golden * (high - low)
+            low, high = (low, y) if sharpe(x) >= sharpe(y) else (x, high)
+        w = frontier(np.exp((low + high) / 2))
+    elif bounded:
+        w = quadratic(c, 0 * mu, 1.0, least, most) if kind == "min_variance" else quadratic(c, mu, aversion, least, most)
+    else:
+        inverse = np.linalg.pinv(c)
+        base = inverse @ one / (one @ inverse @ one)
+        w = {"min_variance": base, "max_sharpe": inverse @ mu, "mean_variance": base + (inverse @ mu - (one @ inverse @ mu) * base) / aversion}[kind]
+        w = w / w.sum()
     return returns.sparkSession.createDataFrame([(t, float(x)) for t, x in zip(names, w)], "ticker string, weight double")
 
 

@@ -21,10 +21,9 @@ def from_chain(chain: DataFrame, order: str) -> DataFrame:
 
 def _fill(rows: DataFrame, keys: list[str], axis: str, value: str) -> DataFrame:
     """Linear between the known values along an axis, the nearest known one outside them."""
-    w = W.partitionBy(*keys).orderBy(axis)
-    before, after = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    before, after = (W.partitionBy(*keys).orderBy(o).rowsBetween(W.unboundedPreceding, 0) for o in (F.col(axis).asc(), F.col(axis).desc()))
     known = F.when(F.col(value).isNotNull(), F.col(axis))
-    rows = rows.withColumns({"_x0": F.last(known, True).over(before), "_y0": F.last(value, True).over(before), "_x1": F.first(known, True).over(after), "_y1": F.first(value, True).over(after)})
+    rows = rows.withColumns({f"_{c}{i}": F.last(x, True).over(w) for i, w in enumerate((before, after)) for c, x in (("x", known), ("y", F.col(value)))})
     share = F.try_divide(F.col(axis) - F.col("_x0"), F.col("_x1") - F.col("_x0"))
     line = F.coalesce(value, F.col("_y0") + (F.col("_y1") - F.col("_y0")) * share, "_y0", "_y1")
     return rows.withColumn(value, line).drop("_x0", "_y0", "_x1", "_y1")

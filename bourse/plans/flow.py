@@ -67,8 +67,12 @@ def best_bid_offer_interval(spark, sf_dir):
     return orderflow.best_quotes_by_interval(views.quotes(spark, sf_dir))
 
 
-@query("SELECT symbol, list_reduce(list_prepend(0::BIGINT, list(size ORDER BY level)), lambda a, b: a + b) AS total, arg_min(price, level) FILTER (WHERE run >= 100) AS crossing_price FROM (SELECT *, sum(size) OVER (PARTITION BY symbol ORDER BY level) AS run FROM ladder) GROUP BY symbol")
+@query(
+    """SELECT l_orderkey AS symbol, CAST(sum(qty) AS BIGINT) AS total, arg_min(price, k) FILTER (WHERE run >= 60) AS crossing_price FROM (SELECT *, sum(qty) OVER w AS run, row_number() OVER w AS k FROM trades
+    WINDOW w AS (PARTITION BY l_orderkey ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY 1"""
+)
 def crossing_level_arrays(spark, sf_dir):
-    rows = views.ladder(spark, sf_dir).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("level", "price", "size"))).alias("l"))
-    prices, sizes = F.transform("l", lambda x: x["price"]), F.transform("l", lambda x: x["size"])
-    return rows.select("symbol", F.aggregate(sizes, F.lit(0).cast("long"), lambda a, b: a + b).alias("total"), orderflow.crossing_in_arrays(prices, sizes, F.lit(100)).alias("crossing_price"))
+    """Ladders that arrive as arrays: those of an order's lines, a few each."""
+    rows = views.trades(spark, sf_dir).groupBy(F.col("seq.l_orderkey").alias("symbol")).agg(F.sort_array(F.collect_list(F.struct("seq", "price", "qty"))).alias("l"))
+    prices, sizes = F.transform("l", lambda x: x["price"]), F.transform("l", lambda x: x["qty"])
+    return rows.select("symbol", F.aggregate(sizes, F.lit(0).cast("long"), lambda a, b: a + b).alias("total"), orderflow.crossing_in_arrays(prices, sizes, F.lit(60)).alias("crossing_price"))

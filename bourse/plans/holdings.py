@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import numeric as N
 from ..functions.numeric import fix
 from ..functions.symbols import dividend_payout as payout
 from ..functions.symbols import portfolio_type
@@ -83,9 +84,12 @@ def portfolio_performance(spark, sf_dir):
     return rows.select("portfolio_id", fix(F.col("total_value"), 2).alias("total_value"), fix(F.col("profit_loss"), 2).alias("profit_loss"), fix(F.col("return_pct"), 4).alias("return_pct"))
 
 
-@query(f"WITH {_TOTALS} SELECT {sql_fix('sum(total_value)', 0)} AS value, {sql_fix('sum(pl)', 0)} AS pl, count(*) AS n FROM t")
+@query(f"WITH {_VALUED} SELECT {sql_fix('CAST(sum(CAST(value AS DECIMAL(20, 4))) AS DOUBLE)', 2)} AS value, {sql_fix('CAST(sum(CAST(pnl AS DECIMAL(20, 4))) AS DOUBLE)', 2)} AS pl, count(DISTINCT portfolio_id) AS n FROM v")
 def board_totals(spark, sf_dir):
-    return _totals(spark, sf_dir).agg(fix(F.sum("total_value"), 0).alias("value"), fix(F.sum("pl"), 0).alias("pl"), F.count(F.lit(1)).alias("n"))
+    """Sums in whole ten-thousandths, in which prices and costs are exact, so that the order of summation doesn't count."""
+    rows = portfolio.valued(views.holdings(spark, sf_dir), views.latest(spark, sf_dir))
+    total = lambda c: N.two_decimals(F.sum(F.col(c).cast("decimal(20,4)")).cast("double"))
+    return rows.agg(total("value").alias("value"), total("pnl").alias("pl"), F.count_distinct("portfolio_id").alias("n"))
 
 
 @query(f"WITH {_TOTALS}, r AS (SELECT portfolio_id, {sql_fix('pl', 2)} AS pl FROM t) (SELECT *, 'top' AS side FROM r ORDER BY pl DESC, portfolio_id LIMIT 5) UNION ALL (SELECT *, 'bottom' FROM r ORDER BY pl, portfolio_id LIMIT 5)")
@@ -156,16 +160,27 @@ def tangency_two_asset(spark, sf_dir):
 @query()
 def optimised_weights(spark, sf_dir):
     rets, out = views.returns(spark, sf_dir), None
+    known = portfolio.moments(rets)
     for kind in portfolio.OPTIMISERS:
-        one = portfolio.optimise(rets, kind, least=0.0, most=0.5).withColumn("kind", F.lit(kind))
+        one = portfolio.optimise(rets, kind, least=0.0, most=0.5, known=known).withColumn("kind", F.lit(kind))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query()
+_SEQUENCE = "SELECT portfolio_id AS account, row_number() OVER (PARTITION BY portfolio_id ORDER BY date, seq) AS seq, ticker, transaction_type AS side, quantity, price FROM transactions"
+
+
+@query(
+    f"""WITH RECURSIVE o AS ({_SEQUENCE}), r AS (
+        SELECT account, CAST(0 AS BIGINT) AS seq, NULL::VARCHAR AS ticker, NULL::VARCHAR AS side, NULL::BIGINT AS quantity, NULL::DOUBLE AS price, false AS accepted, 50000.0::DOUBLE AS cash, MAP([]::VARCHAR[], []::BIGINT[]) AS held FROM (SELECT DISTINCT account FROM o)
+        UNION ALL SELECT account, seq, ticker, side, quantity, price, ok, CASE WHEN ok THEN cash - way * quantity * price ELSE cash END, CASE WHEN ok THEN map_concat(held, MAP([ticker], [own + way * quantity])) ELSE held END FROM (
+            SELECT *, CASE side WHEN 'buy' THEN quantity * price <= cash ELSE own >= quantity END AS ok FROM (
+                SELECT o.account, o.seq, o.ticker, o.side, o.quantity, o.price, r.cash, r.held, coalesce(r.held[o.ticker], 0) AS own, CASE o.side WHEN 'buy' THEN 1 ELSE -1 END AS way FROM r JOIN o ON o.account = r.account AND o.seq = r.seq + 1)))
+    SELECT account, seq, ticker, side, quantity, price, accepted, {sql_fix("cash", 2)} AS cash, CAST(coalesce(held[ticker], 0) AS BIGINT) AS position FROM r WHERE seq > 0"""
+)
 def order_replay(spark, sf_dir):
     from pyspark.sql import Window as W
 
     rows = views.transactions(spark, sf_dir)
     seq = F.row_number().over(W.partitionBy("portfolio_id").orderBy("date", "seq")).cast("long")
-    return portfolio.replay_orders(rows.select(F.col("portfolio_id").alias("account"), seq.alias("seq"), "ticker", F.col("transaction_type").alias("side"), "quantity", "price"), 50_000.0)
+    return portfolio.replay_orders(rows.select(F.col("portfolio_id").alias("account"), seq.alias("seq"), "ticker", F.col("transaction_type").alias("side"), "quantity", "price"), 50_000.0).withColumn("cash", fix(F.col("cash"), 2))

@@ -32,12 +32,11 @@ CHAIN = PRICED + f""", chain AS (SELECT *, CASE WHEN id % 17 = 0 THEN 0 ELSE {sq
     mids AS (SELECT *, CASE WHEN (bid + ask) / 2 <> 0 THEN (bid + ask) / 2 ELSE last END AS mid FROM chain)"""
 
 
-def _args(*cols):
-    return [F.col(c) for c in ("is_call", "spot", "strike", "years", "rate", "vol", *cols)]
+_NAMES = ("is_call", "spot", "strike", "years", "rate", "vol")
 
 
 def _chain(spark, sf_dir):
-    rows = views.contracts(spark, sf_dir).withColumn("model", N.black_scholes(*_args()))
+    rows = N.with_model(views.contracts(spark, sf_dir), *_NAMES)
     quiet = F.col("id") % 17 == 0
     rows = rows.withColumns({"bid": F.when(quiet, 0.0).otherwise(N.fix(F.col("model") - 0.05, 4)), "ask": F.when(quiet, 0.0).otherwise(N.fix(F.col("model") + 0.05, 4)), "last": N.fix(F.col("model"), 4)})
     return rows.withColumn("mid", surface.mid(F.col("bid"), F.col("ask"), F.col("last")))
@@ -78,7 +77,7 @@ def money_texts(spark, sf_dir):
     return views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), N.fix(S.money(text), 2).alias("amount"))
 
 
-@query(f"SELECT n_nationkey AS id, {sql_fix('-2 * sin(radians(90 - lat)) * cos(radians(lon + 180))', 6)} AS x, {sql_fix('2 * cos(radians(90 - lat))', 6)} AS y, {sql_fix('2 * sin(radians(90 - lat)) * sin(radians(lon + 180))', 6)} AS z FROM (SELECT *, n_nationkey * 7.0 - 85 AS lat, n_nationkey * 14.0 - 170 AS lon FROM nation)")
+@query(f"SELECT n_nationkey AS id, {sql_fix('2 * sin(radians(90 - lat)) * cos(radians(lon + 180))', 6)} AS x, {sql_fix('2 * cos(radians(90 - lat))', 6)} AS y, {sql_fix('2 * sin(radians(90 - lat)) * sin(radians(lon + 180))', 6)} AS z FROM (SELECT *, n_nationkey * 7.0 - 85 AS lat, n_nationkey * 14.0 - 170 AS lon FROM nation)")
 def globe_points(spark, sf_dir):
     x, y, z = S.on_sphere(F.col("n_nationkey") * 7.0 - 85, F.col("n_nationkey") * 14.0 - 170)
     return views.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), N.fix(x, 6).alias("x"), N.fix(y, 6).alias("y"), N.fix(z, 6).alias("z"))
@@ -101,12 +100,12 @@ def option_mid(spark, sf_dir):
 
 @query(f"WITH {PRICED} SELECT id, {sql_fix('model', 6)} AS price FROM priced")
 def bs_price(spark, sf_dir):
-    return views.contracts(spark, sf_dir).select("id", N.fix(N.black_scholes(*_args()), 6).alias("price"))
+    return N.with_model(views.contracts(spark, sf_dir), *_NAMES).select("id", N.fix(F.col("model"), 6).alias("price"))
 
 
 @query(f"WITH {PRICED} SELECT id, {sql_fix('CASE WHEN is_call THEN ' + _cdf('a') + ' ELSE -' + _cdf('(-a)') + ' END', 6)} AS delta FROM priced")
 def bs_delta(spark, sf_dir):
-    return views.contracts(spark, sf_dir).select("id", N.fix(N.delta(*_args()), 6).alias("delta"))
+    return N.with_model(views.contracts(spark, sf_dir), *_NAMES, more=("delta",)).select("id", N.fix(F.col("delta"), 6).alias("delta"))
 
 
 _PDF = "(exp(-a * a / 2) / 2.5066282746310002)"
@@ -115,17 +114,17 @@ _PDF = "(exp(-a * a / 2) / 2.5066282746310002)"
 @query(f"""WITH {PRICED} SELECT id, {sql_fix(f'{_PDF} / (spot * vol * sqrt(years))', 6)} AS gamma, {sql_fix(f'spot * {_PDF} * sqrt(years)', 4)} AS vega,
     {sql_fix(f"-spot * {_PDF} * vol / (2 * sqrt(years)) + CASE WHEN is_call THEN -rate * paid * {_cdf('b')} ELSE rate * paid * {_cdf('(-b)')} END", 4)} AS theta, {sql_fix(f"CASE WHEN is_call THEN paid * years * {_cdf('b')} ELSE -paid * years * {_cdf('(-b)')} END", 4)} AS rho FROM priced""")
 def bs_greeks(spark, sf_dir):
-    g = N.greeks(*_args())
-    return views.contracts(spark, sf_dir).select("id", *[N.fix(g[n], 6 if n == "gamma" else 4).alias(n) for n in ("gamma", "vega", "theta", "rho")])
+    names = ("gamma", "vega", "theta", "rho")
+    return N.with_model(views.contracts(spark, sf_dir), *_NAMES, more=names).select("id", *[N.fix(F.col(n), 6 if n == "gamma" else 4).alias(n) for n in names])
 
 
 @query(f"WITH {PRICED} SELECT id, {sql_fix('model', 4)} AS repriced, CASE WHEN spot * {_PDF} * sqrt(years) > 1 THEN {sql_fix('vol', 3)} END AS vol FROM priced")
 def implied_vol(spark, sf_dir):
     """Of each contract at the model's price: the implied volatility gives that price again, and is the model's where the price depends on it."""
-    rows = views.contracts(spark, sf_dir)
-    rows = rows.withColumn("iv", N.implied_vol(*_args()[:5], N.black_scholes(*_args())))
-    again = N.black_scholes(*_args()[:5], F.col("iv"))
-    return rows.select("id", N.fix(again, 4).alias("repriced"), F.when(N.greeks(*_args())["vega"] > 1, N.fix(F.col("iv"), 3)).alias("vol"))
+    rows = N.with_model(views.contracts(spark, sf_dir), *_NAMES, more=("vega",))
+    rows = rows.withColumn("iv", N.implied_vol(*map(F.col, _NAMES[:5]), F.col("model")))
+    rows = N.with_model(rows, *_NAMES[:5], "iv", out="again")
+    return rows.select("id", N.fix(F.col("again"), 4).alias("repriced"), F.when(F.col("vega") > 1, N.fix(F.col("iv"), 3)).alias("vol"))
 
 
 #: Sixty halvings of the bracket (0.001, 3) about the volatility that gives the mid price.

@@ -68,6 +68,14 @@ def correlation_matrix(spark, sf_dir):
     return portfolio.covariances(views.returns(spark, sf_dir)).select("a", "b", fix(F.col("cov"), 8).alias("cov"), fix(F.col("corr"), 5).alias("corr"), "n")
 
 
+@query(f"WITH {_PAIRS} SELECT a, string_agg(b || '=' || CAST(CAST(floor(r * 1000 + 0.500001) AS BIGINT) AS VARCHAR), ' ' ORDER BY b) AS correlations FROM c GROUP BY 1")
+def correlation_map(spark, sf_dir):
+    """The nested form, in thousandths, shown as text."""
+    nested = risk.correlation_map(portfolio.covariances(views.returns(spark, sf_dir)))
+    shown = F.transform(F.array_sort(F.map_entries("correlations")), lambda e: F.concat(e["key"], F.lit("="), F.floor(e["value"] * 1000 + 0.500001).cast("string")))
+    return nested.select("a", F.array_join(shown, " ").alias("correlations"))
+
+
 @query(f"SELECT ticker, date, {sql_fix('ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY date))', 6)} AS ret FROM bars")
 def log_returns(spark, sf_dir):
     return series.returns(views.bars(spark, sf_dir), log=True).select("ticker", "date", fix(F.col("ret"), 6).alias("ret"))
@@ -84,6 +92,11 @@ _POSITIONS = {
         WINDOW f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), s AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""",
     "momentum": """SELECT * EXCLUDE (past), CASE WHEN past IS NOT NULL AND row_number() OVER (PARTITION BY date ORDER BY past DESC NULLS LAST, ticker) <= 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS position
         FROM (SELECT *, close / lag(close, 6) OVER (PARTITION BY ticker ORDER BY date) - 1 AS past FROM months)""",
+    "momentum_held": """SELECT * EXCLUDE (past, chosen, turn, bar, turned, was), CASE WHEN bar - turned < 2 THEN was ELSE 0.0 END AS position FROM (
+        SELECT *, last_value(CASE WHEN turn THEN bar END IGNORE NULLS) OVER w AS turned, last_value(CASE WHEN turn THEN chosen END IGNORE NULLS) OVER w AS was FROM (
+            SELECT *, CASE WHEN past IS NOT NULL AND row_number() OVER (PARTITION BY date ORDER BY past DESC NULLS LAST, ticker) <= 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS chosen,
+            date = min(date) OVER (PARTITION BY date_trunc('quarter', date)) AS turn, row_number() OVER (PARTITION BY ticker ORDER BY date) AS bar
+            FROM (SELECT *, close / lag(close, 6) OVER (PARTITION BY ticker ORDER BY date) - 1 AS past FROM months)) WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
     "mean_reversion": """SELECT * EXCLUDE (z), CASE WHEN z < -1 THEN 1.0 WHEN z > 1 THEN -1.0 ELSE 0.0 END::DOUBLE AS position FROM (SELECT *, CASE WHEN count(*) OVER w = 6 THEN (close - avg(close) OVER w) / nullif(stddev_samp(close) OVER w, 0) END AS z FROM months
         WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))""",
 }
@@ -91,20 +104,20 @@ _POSITIONS = {
 
 def _figures_sql(name: str) -> str:
     return f"""p AS ({_POSITIONS[name]}), r AS (SELECT *, greatest(coalesce(lag(position) OVER w * (close / lag(close) OVER w - 1), 0), -0.99) AS ret, CASE WHEN position <> coalesce(lag(position) OVER w, 0) THEN 1 ELSE 0 END AS turn FROM p WINDOW w AS (PARTITION BY ticker ORDER BY date)),
-        {_CURVE % "r"}, f AS (SELECT ticker, 10000 * arg_max(v, date) AS final_value, count(*) AS n, min(drawdown) AS max_drawdown, (avg(ret) * 12 - 0.04) / (nullif(stddev_samp(ret), 0) * sqrt(12)) AS sharpe, sum(turn) AS trades,
+        {_CURVE % "r"}, f AS (SELECT ticker, 10000 * arg_max(v, date) AS final_value, count(*) AS n, min(drawdown) AS max_drawdown, (avg(ret) * 12 - 0.04) / (nullif(stddev_samp(ret), 0) * sqrt(12)) AS sharpe, (avg(ret) * 12 - 0.04) / (nullif(sqrt(avg(pow(least(ret - 0.04 / 12, 0), 2))), 0) * sqrt(12)) AS sortino, sum(turn) AS trades,
         count(*) FILTER (WHERE ret > 0) / nullif(count(*) FILTER (WHERE ret <> 0), 0) AS win_rate, avg(ret) FILTER (WHERE ret > 0) AS avg_win, avg(ret) FILTER (WHERE ret < 0) AS avg_loss FROM dd GROUP BY 1)"""
 
 
 def _report(rows):
     return rows.select(
         "ticker", fix(F.col("final_value"), 2).alias("final_value"), fix(F.col("total_return"), 6).alias("total_return"), fix(F.col("annual_return"), 6).alias("annual_return"), fix(F.col("max_drawdown"), 6).alias("max_drawdown"),
-        fix(F.col("sharpe"), 5).alias("sharpe"), fix(F.col("win_rate"), 6).alias("win_rate"), F.col("trades").cast("long").alias("trades"), fix(F.col("avg_win"), 6).alias("avg_win"), fix(F.col("avg_loss"), 6).alias("avg_loss"),
+        fix(F.col("sharpe"), 5).alias("sharpe"), fix(F.col("sortino"), 5).alias("sortino"), fix(F.col("win_rate"), 6).alias("win_rate"), F.col("trades").cast("long").alias("trades"), fix(F.col("avg_win"), 6).alias("avg_win"), fix(F.col("avg_loss"), 6).alias("avg_loss"),
     )
 
 
 def _report_sql(name: str) -> str:
     return f"""WITH {_figures_sql(name)} SELECT ticker, {sql_fix("final_value", 2)} AS final_value, {sql_fix("final_value / 10000 - 1", 6)} AS total_return, {sql_fix("pow(final_value / 10000, 12.0 / n) - 1", 6)} AS annual_return, {sql_fix("max_drawdown", 6)} AS max_drawdown,
-        {sql_fix("sharpe", 5)} AS sharpe, {sql_fix("win_rate", 6)} AS win_rate, CAST(trades AS BIGINT) AS trades, {sql_fix("avg_win", 6)} AS avg_win, {sql_fix("avg_loss", 6)} AS avg_loss FROM f"""
+        {sql_fix("sharpe", 5)} AS sharpe, {sql_fix("sortino", 5)} AS sortino, {sql_fix("win_rate", 6)} AS win_rate, CAST(trades AS BIGINT) AS trades, {sql_fix("avg_win", 6)} AS avg_win, {sql_fix("avg_loss", 6)} AS avg_loss FROM f"""
 
 
 @query(_report_sql("buy_hold"))
@@ -122,6 +135,12 @@ def bt_momentum(spark, sf_dir):
     return _report(backtest.figures(backtest.momentum(views.months(spark, sf_dir), 6, 5)))
 
 
+@query(_report_sql("momentum_held"))
+def bt_momentum_held(spark, sf_dir):
+    """Chosen each quarter, held for two months of it."""
+    return _report(backtest.figures(backtest.momentum(views.months(spark, sf_dir), 6, 5, holding=2, rebalance="quarter")))
+
+
 @query(_report_sql("mean_reversion"))
 def bt_mean_reversion(spark, sf_dir):
     return _report(backtest.figures(backtest.mean_reversion(views.months(spark, sf_dir), 6, 1.0)))
@@ -142,14 +161,14 @@ def _compared_sql(name: str) -> str:
         FROM (WITH {_figures_sql(name)} SELECT * FROM f)"""
 
 
-@query(" UNION ALL ".join(map(_compared_sql, _POSITIONS)))
+@query(" UNION ALL ".join(_compared_sql(name) for name in _POSITIONS if name != "momentum_held"))
 def bt_compare(spark, sf_dir):
     rows = backtest.compare(views.months(spark, sf_dir))
     return rows.select("strategy", fix(F.col("total_return"), 5).alias("total_return"), fix(F.col("sharpe"), 5).alias("sharpe"), fix(F.col("max_drawdown"), 6).alias("max_drawdown"), F.col("trades").cast("long").alias("trades"))
 
 
 @query(
-    """SELECT * FROM (VALUES ('buy_hold', '{}'), ('ma_cross', '{"fast": 3, "slow": 6}'), ('momentum', '{"lookback": 6, "top": 5}'), ('mean_reversion', '{"lookback": 6, "threshold": 1.0}'), ('pairs', '{"lookback": 6, "threshold": 1.0}')) AS s(strategy, parameters)"""
+    """SELECT * FROM (VALUES ('buy_hold', '{}'), ('ma_cross', '{"fast": 3, "slow": 6}'), ('momentum', '{"lookback": 6, "top": 5, "holding": 1, "rebalance": "bar"}'), ('mean_reversion', '{"lookback": 6, "threshold": 1.0}'), ('pairs', '{"lookback": 6, "threshold": 1.0}')) AS s(strategy, parameters)"""
 )
 def bt_strategies(spark, sf_dir):
     return backtest.catalogue(spark)
