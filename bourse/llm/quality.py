@@ -21,6 +21,8 @@ CONFIDENT = 0.97
 PSEUDO_WEIGHT = 0.25
 #: Share of labelled rows (by a hash of doc_id) that calibrate and are not learned from.
 CALIBRATE_MOD = 4
+#: Labelled documents that the views are fitted and calibrated on, at most: those whose ids have the least hashes.
+LABELLED = 50_000
 #: Buckets of hashed words, of word shapes, of pairs of neighbouring words by shape and equality, and of each hashed metadata value.
 WORDS, SHAPES, PAIRS, VALUES = 1 << 14, 1 << 9, 1 << 12, 64
 #: How many words a document's mean word counts as: words aren't independent evidence.
@@ -100,18 +102,29 @@ def _reported(docs: DataFrame):
     return (F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)).cast("long")
 
 
+def known_labels(labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order and their labels, of LABELLED documents at most; several labels of one count on average."""
+    rows = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
+    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED).toPandas().sort_values("doc_id")
+    return found["doc_id"].to_numpy(np.int64), found["y"].to_numpy(np.int64)
+
+
 def views(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id; the features of either view; y (0, 1 or null); calibrates."""
-    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("metadata", pa.binary())])
+    """doc_id; the features of either view; y (0, 1 or null); calibrates. Each row is made where the document is read."""
+    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("metadata", pa.binary()), ("y", pa.int32())])
+    known = docs.sparkSession.sparkContext.broadcast(known_labels(labels))
 
     def fn(batch):
-        _, text, *page = (c.to_pylist() for c in batch.columns)
-        return [batch.column(0), [content(t) for t in text], [metadata(*x) for x in zip(*page)]]
+        doc_id, text, *page = (c.to_pylist() for c in batch.columns)
+        ids, y = known.value
+        own = np.array([0 if i is None else i for i in doc_id], np.int64)
+        at = np.searchsorted(ids, own).clip(0, max(len(ids) - 1, 0))
+        has = (ids[at] == own) & np.array([i is not None for i in doc_id], bool) if len(ids) else np.zeros(len(own), bool)
+        return [batch.column(0), [content(t) for t in text], [metadata(*x) for x in zip(*page)], pa.array(y[at] if len(ids) else own, pa.int32(), mask=~has)]
 
     found = docs.select(F.col("doc_id").cast("long"), "text", F.col("source").cast("string"), F.col("lang").cast("string"), _reported(docs).alias("n_chars"))
-    found = found.mapInArrow(common.batches(fn, schema), "doc_id long, content binary, metadata binary")
-    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    return found.join(known, "doc_id", "left").withColumn("calibrates", F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATE_MOD)) == 0)
+    found = found.mapInArrow(common.batches(fn, schema), "doc_id long, content binary, metadata binary, y int")
+    return found.withColumn("calibrates", F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATE_MOD)) == 0)
 
 
 class View:
@@ -245,8 +258,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The text view sees the hashed words of the whole text, their shapes and pairs of neighbours; the metadata view sees the page's source,
     language and reported length (a column of ``docs`` if there; never the text). Each view is a naive Bayes table over a fixed
-    number of cells, so a round's state is sums of fixed size, pre-aggregated in every task, and learning reads all
-    labelled rows and all confident ones, without a cap. In each round a view learns from the labels and from the other view's confident
+    number of cells, so a round's state is sums of fixed size, pre-aggregated in every task. The fit knows the labels of LABELLED documents at most, a
+    documented bound; the pseudo-labels of each round are those of all other documents that a view is confident of. In each round a view learns from the labels and from the other view's confident
     pseudo-labels; a quarter of the labelled rows only calibrates. The score is the probability of good
     quality: the calibrated views' log odds added, the prior counted once; documents below KEEP_FROM go.
 
