@@ -27,20 +27,24 @@ class _Streamed:
 
 @query("""SELECT ticker, date_trunc('day', ts) AS start, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, CAST(sum(qty) AS BIGINT) AS volume, count(*) AS n FROM ticks GROUP BY 1, 2""")
 def stream_tumbling_bars(spark, sf_dir):
-    rows = views.ticks(_Streamed(spark, sf_dir), sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    return S.drain(S.tumbling_bars(rows), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return S.drain(_ticks(spark, sf_dir), S.tumbling_bars).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def _ticks(spark, sf_dir):
+    return views.ticks(_Streamed(spark, sf_dir), sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query(_VWAP % ("ticks", 3599))
 def stream_rolling_vwap(spark, sf_dir):
-    return S.drain(S.rolling_vwap(views.ticks(_Streamed(spark, sf_dir), sf_dir), 3600)).withColumn("vwap", fix(F.col("vwap"), 4))
+    return S.drain(_ticks(spark, sf_dir), lambda rows: S.rolling_vwap(rows, 3600)).withColumn("vwap", fix(F.col("vwap"), 4))
 
 
 @query(BBO)
 def stream_bbo(spark, sf_dir):
-    return S.drain(S.best_quotes(views.quotes(_Streamed(spark, sf_dir), sf_dir)))
+    return S.drain(views.quotes(_Streamed(spark, sf_dir), sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), S.best_quotes)
 
 
 @query("SELECT order_id, ts, seq, prev_ts FROM (SELECT *, lag(ts) OVER (PARTITION BY order_id ORDER BY ts, seq) AS prev_ts FROM order_events) WHERE ts - prev_ts <= 86400")
 def stream_duplicates(spark, sf_dir):
-    return S.drain(S.duplicate_orders(views.order_events(_Streamed(spark, sf_dir), sf_dir), 86_400))
+    orders = _ticks(spark, sf_dir).select("ts", F.col("trader").alias("order_id"), "seq")
+    return S.drain(orders, lambda rows: S.duplicate_orders(rows.withColumn("ts", F.unix_seconds("ts")), 86_400))

@@ -63,7 +63,7 @@ def quotes(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
         (F.col("user_id") % 50).alias("symbol"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("action"),
-        F.when(F.col("event_id") % 2 == 0, "B").otherwise("A").alias("side"), (F.floor(F.col("value") / 5) * 5.0).alias("price"), _k().alias("size"),
+        F.when(F.col("event_id") % 2 == 0, "B").otherwise("A").alias("side"), (F.floor(F.col("value") / 5) * 5.0).alias("price"), _k().alias("size"), "ts",
     )
 
 

@@ -1,123 +1,180 @@
-"""Streams of ticks, quotes and orders. Rows later than the watermark are dropped; within it, order is restored per key."""
+"""Streams of ticks, quotes and orders.
+
+Rows later than the watermark are dropped; the others are answered once the watermark has passed them, in order of event
+time within each key, whatever batch or order they came in. A key's state goes when nothing waits and it has been idle.
+"""
 
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.orderflow import CHUNK_SECONDS, Book, in_chunks
+from ..sources.shared import shared_path
+
+#: Seconds of event time without a row after which a key's state goes.
+IDLE = 30 * 86_400
+#: The event time of the row that tells a drained stream that its input has ended.
+END = "9000-01-01"
 
 
-def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def source(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
     """A stored table as a stream of files."""
     path = f"{sf_dir}/{name}.parquet"
     rows = spark.read.parquet(path)
+    stream = spark.readStream.schema(rows.schema)
+    stream = stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream
     if any(f.rstrip("/").endswith(f"/{name}.parquet") for f in rows.limit(1).inputFiles()):  # one file, not a folder of them
-        return spark.readStream.schema(rows.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-    return spark.readStream.schema(rows.schema).parquet(path)
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return stream.parquet(path)
+
+
+def text_frames(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Text frames, one JSON value a line, as files of a folder: the parsed columns, and the frame itself where it can't be parsed."""
+    frames = spark.readStream.text(folder)
+    parsed = frames.select("value", F.from_json("value", schema).alias("x"))
+    return parsed.select("x.*", F.when(F.col("x").isNull(), F.col("value")).alias("unparsed"))
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Everything that is there now, through the stream, as Parquet in the folder that spark.checkpoint.dir names.
+def drain(stream: DataFrame, watched: Callable[[DataFrame], DataFrame], ts: str = "ts") -> DataFrame:
+    """What ``watched`` makes of all that is in ``stream`` now, as Parquet in the folder that spark.checkpoint.dir names.
 
-    No row comes to the driver. All that is there is one batch, as the files of a folder aren't in order of time.
+    No row comes to the driver. The stream runs to the end of what is there; then a row of the time END joins it, and it
+    runs again from its checkpoint, so that the watermark passes every row and every window and key is answered. That row
+    has no other values and is dropped before ``watched`` keys any; a lost run goes on from its checkpoint.
     """
     spark = stream.sparkSession
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bourse-")).rstrip("/")  # a temporary one in tests
-    path = f"{shared}/drained-{uuid.uuid4().hex}"
-    out = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}-log")
-    if mode == "append":
-        out.format("parquet").start(path).awaitTermination()
-    else:  # the result so far, written anew after each batch; the file sink only appends
-        spark.createDataFrame([], stream.schema).write.parquet(path)
-        out.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path)).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    path, ending = (shared_path(spark, name) for name in ("drained", "ending"))
+    spark.createDataFrame([], stream.schema).write.parquet(ending)
+    both = stream.unionByName(spark.readStream.schema(stream.schema).parquet(ending))
+    out = watched(both)
+
+    def run():
+        out.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{path}-log").format("parquet").start(path).awaitTermination()
+
+    run()
+    last = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != ts else F.lit(END).cast(f.dataType).alias(ts) for f in stream.schema]
+    spark.range(1).select(*last).write.mode("append").parquet(ending)
+    run()
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def synthetic_ticks(spark: SparkSession, start: float = 100.0, every: float = 3.0, seed: int = 7) -> DataFrame:
-    """Prices around ``start`` that move by U(-1, 1), a tick each ``every`` seconds, with the change in percent."""
+    """Prices around ``start`` that move by U(-1, 1), a tick each ``every`` seconds, with the change in percent. Run it with ``refreshed``."""
     rows = spark.readStream.format("rate").option("rowsPerSecond", 1).load().filter(F.col("value") % max(1, round(every)) == 0)
     move = F.rand(seed) * 2 - 1
     return rows.select("timestamp", F.col("value").alias("seq"), move.alias("move")).withColumns({"price": start + F.col("move"), "change": 100 * F.col("move") / start})
 
 
+def refreshed(stream: DataFrame, path: str, every: str = "3 seconds", mode: str = "append"):
+    """The stream's running query into Parquet at ``path``, refreshed at intervals of processing time."""
+    return stream.writeStream.outputMode(mode).trigger(processingTime=every).option("checkpointLocation", f"{path}-log").format("parquet").start(path)
+
+
 def tumbling_bars(ticks: DataFrame, width: str = "1 day", lateness: str = "1 day") -> DataFrame:
-    """Bars of event time windows; ``ts`` must be a timestamp."""
-    rows = ticks.withWatermark("ts", lateness).groupBy(F.window("ts", width), "ticker")
+    """Bars of event time windows, each once the watermark has passed its end; ``ts`` must be a timestamp."""
+    rows = ticks.withWatermark("ts", lateness).filter(_real("ticker")).groupBy(F.window("ts", width), "ticker")
     out = rows.agg(F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"), F.sum("qty").alias("volume"), F.count(F.lit(1)).alias("n"))
     return out.select("ticker", F.col("window.start").alias("start"), "open", "high", "low", "close", "volume", "n")
 
 
-def _stateful(rows: DataFrame, keys: list[str], update, ddl: str) -> DataFrame:
-    """``update(state, rows in order) -> (output rows, state)`` for each value of ``keys``; the state is kept as JSON."""
-    columns = [c.split()[0] for c in ddl.split(", ")]
+def _real(*keys: str):
+    """A row with its keys that isn't the end of a drained stream; one condition on the event time, so that it isn't
+    pushed below the watermark, which that row must reach."""
+    return F.when(F.col("ts") < F.lit(END).cast("timestamp"), F.coalesce(*[F.when(F.col(k).isNull(), False) for k in keys], F.lit(True))).otherwise(False)
+
+
+def in_order(rows: DataFrame, keys: list[str], update, ddl: str, lateness: str, idle: int = IDLE) -> DataFrame:
+    """``update(state, rows in order) -> (output rows, state)`` for each value of ``keys``, over the rows that the watermark has passed.
+
+    ``rows`` have ts (the event time), at (the same or any number in its order) and seq. Rows that the watermark hasn't
+    passed wait in the state, so a later batch may still bring one before them; what waits is at most what ``lateness`` spans.
+    """
+    columns, given = [c.split()[0] for c in ddl.split(", ")], [c for c in rows.columns if c != "ts"]
+    rows = rows.withColumn("_ms", F.unix_millis("ts"))
 
     def run(_, frames, state):
         import pandas as pd
 
-        own = json.loads(state.get[0]) if state.exists else None
-        frame = pd.concat(list(frames)).sort_values(["at", "seq"]).rename(columns={"_own": "own"})
-        out, own = update(own, frame)
-        state.update((json.dumps(own),))
+        held = json.loads(state.get[0]) if state.exists else {"own": None, "waiting": [], "last": 0}
+        passed = state.getCurrentWatermarkMs()
+        for frame in frames:
+            frame = frame[frame["_ms"] > passed] if passed > 0 else frame  # the others are late
+            held["waiting"] += [[t, *row] for t, row in zip(frame["_ms"].tolist(), frame[given].astype(object).where(frame[given].notna(), None).values.tolist())]
+        held["last"] = max([held["last"], *(w[0] for w in held["waiting"])])
+        ready = pd.DataFrame([w[1:] for w in held["waiting"] if w[0] <= passed], columns=given)
+        held["waiting"] = [w for w in held["waiting"] if w[0] > passed]
+        out = []
+        if len(ready):
+            out, held["own"] = update(held["own"], ready.sort_values(["at", "seq"]))
+        goes = held["last"] + 1000 * idle
+        if not held["waiting"] and passed >= goes:
+            state.remove()
+        else:
+            state.update((json.dumps(held),))
+            state.setTimeoutTimestamp(max(passed + 1, min([goes, *(w[0] for w in held["waiting"])])))
         yield pd.DataFrame(out, columns=columns)
 
-    return rows.groupBy(*keys).applyInPandasWithState(run, ddl, "held string", "append", GroupStateTimeout.NoTimeout)
+    return rows.withWatermark("ts", lateness).filter(_real(*keys)).groupBy(*keys).applyInPandasWithState(run, ddl, "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def rolling_vwap(ticks: DataFrame, seconds: int, cents: int = 10_000) -> DataFrame:
-    """VWAP over the last ``seconds`` as each tick arrives; the state is the ticks still in the window and their sums.
+def rolling_vwap(ticks: DataFrame, seconds: int, cents: int = 10_000, lateness: str = "1 hour") -> DataFrame:
+    """VWAP over the last ``seconds`` at each tick; the state is the ticks still in the window.
 
-    Ticks are dealt by (ticker, chunk of time), with those of the window before a chunk copied into it.
+    Ticks are dealt by (ticker, chunk of time), with those of the window before a chunk copied into it, so a busy ticker is
+    spread over many tasks and a chunk's state goes when its time has passed. Sums are whole numbers.
     """
 
     def update(own, frame):
-        own = own or {"rows": [], "num": 0, "den": 0}
-        rows, num, den, out, first = own["rows"], own["num"], own["den"], [], 0
-        for r in frame.itertuples(index=False):
-            pq = int(r.price * cents + 0.5) * int(r.qty)
-            rows.append((int(r.at), pq, int(r.qty)))
-            num, den = num + pq, den + int(r.qty)
-            while rows[first][0] < r.at - seconds + 1:
-                num, den, first = num - rows[first][1], den - rows[first][2], first + 1
-            if r.own:
-                out.append((r.ticker, int(r.seq), num / den / cents if den else 0.0))
-        return out, {"rows": rows[first:], "num": num, "den": den}
+        import numpy as np
+
+        old = own or []
+        at = np.array([x[0] for x in old] + frame["at"].astype("int64").tolist(), np.int64)
+        qty = np.array([x[1] for x in old] + frame["qty"].astype("int64").tolist(), np.int64)
+        pq = np.array([x[2] for x in old] + np.floor(frame["price"].astype(float) * cents + 0.5).astype("int64").tolist(), np.int64)
+        pq[len(old) :] *= qty[len(old) :]
+        first = np.searchsorted(at, at - seconds + 1)  # of each tick, the first one in its window
+        num, den = (np.append(0, np.cumsum(x))[np.arange(1, len(at) + 1)] - np.append(0, np.cumsum(x))[first] for x in (pq, qty))
+        value = np.where(den == 0, 0.0, num / np.where(den == 0, 1, den) / cents)[len(old) :]
+        out = [row for row, mine in zip(zip(frame["ticker"], frame["seq"].astype("int64"), value.tolist()), frame["_own"]) if mine]
+        left = first[-1]
+        return out, [list(map(int, x)) for x in zip(at[left:], qty[left:], pq[left:])]
 
-    rows = in_chunks(ticks.select("ticker", F.col("sec").alias("at"), "seq", "price", "qty"), "at", seconds - 1, CHUNK_SECONDS)
-    return _stateful(rows, ["ticker", "_chunk"], update, "ticker string, seq long, vwap double")
+    rows = in_chunks(ticks.select("ts", "ticker", F.col("sec").alias("at"), "seq", "price", "qty"), "at", seconds - 1, CHUNK_SECONDS)
+    return in_order(rows, ["ticker", "_chunk"], update, "ticker string, seq long, vwap double", lateness, CHUNK_SECONDS + seconds)
 
 
-def best_quotes(quotes: DataFrame) -> DataFrame:
-    """Best bid and ask after each event; the state is the live levels."""
+def best_quotes(quotes: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """Best bid and ask after each event; the state is the live levels of a symbol, which go when it has been idle."""
 
     def update(own, frame):
-        book, out = Book({(s, p): n for s, p, n in own or []}), []
-        for r in frame.itertuples(index=False):
-            book.apply(r.action, r.side, float(r.price), int(r.size))
-            out.append((int(r.symbol), int(r.seq), book.best("B"), book.best("A")))
-        return out, [(s, p, n) for (s, p), n in book.live.items()]
+        book, out = Book([tuple(x) for x in own or []]), []
+        for symbol, seq, *event in zip(*(frame[c] for c in ("symbol", "seq", "action", "side", "price", "size"))):
+            book.apply(*event)
+            out.append((int(symbol), int(seq), book.best("B"), book.best("A")))
+        return out, book.live()
 
-    return _stateful(quotes.select("symbol", F.col("seq").alias("at"), "seq", "action", "side", "price", "size"), ["symbol"], update, "symbol long, seq long, best_bid double, best_ask double")
+    rows = quotes.select("ts", "symbol", F.col("seq").alias("at"), "seq", "action", "side", "price", "size")
+    return in_order(rows, ["symbol"], update, "symbol long, seq long, best_bid double, best_ask double", lateness)
 
 
-def duplicate_orders(orders: DataFrame, horizon: int) -> DataFrame:
-    """Orders within ``horizon`` seconds of the one before with their id; the state is the last second.
+def duplicate_orders(orders: DataFrame, horizon: int, lateness: str = "1 hour") -> DataFrame:
+    """Orders within ``horizon`` seconds of the one before with their id; the state is the last second, which goes with the horizon.
 
     Orders are dealt by (id, chunk of time), with those of the horizon before a chunk copied into it.
     """
 
     def update(own, frame):
         out = []
-        for r in frame.itertuples(index=False):
-            if r.own and own is not None and r.at - own <= horizon:
-                out.append((int(r.order_id), int(r.at), int(r.seq), int(own)))
-            own = int(r.at)
+        for order, at, seq, mine in zip(frame["order_id"], frame["at"], frame["seq"], frame["_own"]):
+            if mine and own is not None and at - own <= horizon:
+                out.append((int(order), int(at), int(seq), int(own)))
+            own = int(at)
         return out, own
 
-    rows = in_chunks(orders.select("order_id", F.col("ts").alias("at"), "seq"), "at", horizon, CHUNK_SECONDS)
-    return _stateful(rows, ["order_id", "_chunk"], update, "order_id long, ts long, seq long, prev_ts long")
+    rows = in_chunks(orders.select(F.timestamp_seconds("ts").alias("ts"), "order_id", F.col("ts").alias("at"), "seq"), "at", horizon, CHUNK_SECONDS)
+    return in_order(rows, ["order_id", "_chunk"], update, "order_id long, ts long, seq long, prev_ts long", lateness, horizon + CHUNK_SECONDS)

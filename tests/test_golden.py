@@ -192,12 +192,26 @@ def test_stream_parity(spark, tmp_path):
     from bourse.streaming import ticks as S
 
     trades = spark.createDataFrame([("A", 0, 10.0, 100, 0), ("A", 1, 11.0, 50, 1), ("A", 1, 12.0, 50, 2), ("A", 3, 9.0, 200, 3), ("A", 10, 10.0, 0, 4)], "ticker string, sec long, price double, qty long, seq long")
-    got = S.drain(S.rolling_vwap(stream_of(spark, tmp_path / "t", trades), 3))
+    trades = trades.withColumn("ts", F.timestamp_seconds(F.col("sec") + DAYS))
+    got = S.drain(stream_of(spark, tmp_path / "t", trades), lambda rows: S.rolling_vwap(rows, 3))
     assert column(got, "vwap", "seq") == pytest.approx([10.0, 10.333333, 10.75, 9.833333, 0.0], abs=1e-6)
     quotes = spark.createDataFrame([(1, i, *q) for i, q in enumerate(QUOTES)], "symbol long, seq long, action string, side string, price double, size long")
-    assert [(r.best_bid, r.best_ask) for r in S.drain(S.best_quotes(stream_of(spark, tmp_path / "q", quotes))).orderBy("seq").collect()] == BEST
+    quotes = quotes.withColumn("ts", F.timestamp_seconds(F.col("seq") + DAYS))
+    assert [(r.best_bid, r.best_ask) for r in S.drain(stream_of(spark, tmp_path / "q", quotes), S.best_quotes).orderBy("seq").collect()] == BEST
     orders = spark.createDataFrame([(0, 1, 0), (1, 2, 1), (5, 1, 2), (6, 1, 3), (20, 2, 4)], "ts long, order_id long, seq long")
-    assert column(S.drain(S.duplicate_orders(stream_of(spark, tmp_path / "o", orders), 5)), "ts", "seq") == [5, 6]
+    assert column(drained_orders(spark, tmp_path, orders, 5), "ts", "seq") == [5, 6]
+
+
+#: Whole days, in seconds, by which small event times are moved: a stream's first watermark is the start of 1970.
+DAYS = 10_000 * 86_400
+
+
+def drained_orders(spark, tmp_path, orders, horizon):
+    from bourse.streaming import ticks as S
+
+    stream = stream_of(spark, tmp_path / "o", orders.withColumn("ts", F.timestamp_seconds(F.col("ts") + DAYS)))
+    got = S.drain(stream, lambda rows: S.duplicate_orders(rows.withColumn("ts", F.unix_seconds("ts")), horizon))
+    return got.withColumn("ts", F.col("ts") - DAYS)
 
 
 def test_streams_are_drained_into_files(spark, tmp_path):
@@ -207,14 +221,15 @@ def test_streams_are_drained_into_files(spark, tmp_path):
     day = 86_400
     secs = [5, day - 40, day - 2, day - 1, day, day, day + 1, 3 * day - 1, 3 * day + 9]
     trades = spark.createDataFrame([("A", s, 10.0 + i, 1 + i, i) for i, s in enumerate(secs)], "ticker string, sec long, price double, qty long, seq long")
-    stream = S.rolling_vwap(stream_of(spark, tmp_path / "t", trades), 30)
-    assert "_chunk" in stream._jdf.queryExecution().analyzed().toString()  # a ticker's rows don't meet in one frame
-    got = S.drain(stream)
+    trades = trades.withColumn("ts", F.timestamp_seconds("sec"))
+    stream = stream_of(spark, tmp_path / "t", trades)
+    assert "_chunk" in S.rolling_vwap(stream, 30)._jdf.queryExecution().analyzed().toString()  # a ticker's rows don't meet in one frame
+    got = S.drain(stream, lambda rows: S.rolling_vwap(rows, 30))
     assert got.inputFiles() and got.count() == len(secs)
     assert column(got, "vwap", "seq") == pytest.approx(column(orderflow.rolling_vwap(trades, 30), "vwap", "seq"))
     orders = trades.select(F.col("sec").alias("ts"), F.lit(1).cast("long").alias("order_id"), "seq")
-    got = S.drain(S.duplicate_orders(stream_of(spark, tmp_path / "o", orders), 50))
+    got = drained_orders(spark, tmp_path, orders, 50)
     assert got.inputFiles() and column(got, "ts", "seq") == column(orderflow.duplicate_orders(orders, 50), "ts", "seq")
     bars = trades.withColumn("ts", F.timestamp_seconds("sec"))
-    got = S.drain(S.tumbling_bars(stream_of(spark, tmp_path / "b", bars)), "complete")
+    got = S.drain(stream_of(spark, tmp_path / "b", bars), S.tumbling_bars)
     assert got.inputFiles() and column(got, "n", "start") == [4, 3, 1, 1]
