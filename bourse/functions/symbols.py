@@ -39,6 +39,11 @@ def locale(kind: Column) -> Column:
     return F.when(kind == "Forex", "global/markets/fx").when(kind == "Crypto", "global/markets/crypto").otherwise("us/markets/stocks")
 
 
+def asset_parameter(kind: Column) -> Column:
+    """An asset class as a vendor's parameter."""
+    return F.when(kind == "Option", "options").when(kind == "Forex", "fx").when(kind == "Crypto", "crypto").when(kind == "Index", "indices").otherwise("stocks")
+
+
 def occ_parts(symbol: Column) -> dict[str, Column]:
     """Underlying, expiry (years 20xx), type and strike of an option symbol found anywhere; null if there is none."""
     part = lambda i: F.nullif(F.regexp_extract(symbol, OCC, i), F.lit(""))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import fix
+from ..functions import symbols
+from ..functions.numeric import fix, two_decimals
 from ..operators import board, series
 from ..sources import files, store, views
+from ..sources.shared import shared_path
 from .registry import query, sql_fix
 
 TICKER, START, END = "Brand#12", "1996-01-01", "1998-12-31"
@@ -87,9 +89,13 @@ def fk_orphans(spark, sf_dir):
 
 @query(f"SELECT ticker, date, close, volume FROM bars WHERE NOT (ticker = '{TICKER}' AND date BETWEEN DATE '{START}' AND DATE '{END}') UNION ALL SELECT 'NEW', DATE '2002-01-01', 1.5, 10")
 def insert_delete(spark, sf_dir):
-    rows = views.bars(spark, sf_dir).select("ticker", "date", "close", "volume")
-    gone = (F.col("ticker") == TICKER) & F.col("date").between(START, END)
-    return store.insert(rows.filter(~gone), spark.createDataFrame([("NEW", "2002-01-01", 1.5, 10)], "ticker string, date string, close double, volume long").withColumn("date", F.to_date("date")))
+    rows = store.delete(views.bars(spark, sf_dir).select("ticker", "date", "close", "volume"), TICKER, START, END)
+    return store.insert(rows, spark.createDataFrame([("NEW", "2002-01-01", 1.5, 10)], "ticker string, date string, close double, volume long").withColumn("date", F.to_date("date")))
+
+
+@query(f"SELECT ticker, date, CASE WHEN ticker = '{TICKER}' AND date = DATE '1997-06-02' THEN 9.5 ELSE close END AS close FROM bars")
+def update_bar(spark, sf_dir):
+    return store.update(views.bars(spark, sf_dir).select("ticker", "date", "close"), TICKER, "1997-06-02", {"close": 9.5})
 
 
 @query("SELECT ticker, count(*) AS n FROM trades GROUP BY ticker")
@@ -207,13 +213,9 @@ def json_envelope(spark, sf_dir):
 @query("SELECT id, ticker, open_price, close_price, high_price, low_price, volume, date FROM (SELECT row_number() OVER (PARTITION BY ticker ORDER BY date) AS id, ticker, open AS open_price, close AS close_price, high AS high_price, low AS low_price, volume, date FROM bars)")
 def csv_roundtrip(spark, sf_dir):
     """Bars exported to CSV in the shared folder and read back."""
-    import tempfile
-    import uuid
-
     from pyspark.sql import Window as W
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bourse-csv-")
-    path = f"{root.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    path = shared_path(spark, "csv")
     rows = views.bars(spark, sf_dir).select(
         F.row_number().over(W.partitionBy("ticker").orderBy("date")).cast("long").alias("id"), "ticker", F.col("open").alias("open_price"), F.col("close").alias("close_price"), F.col("high").alias("high_price"),
         F.col("low").alias("low_price"), "volume", "date",
@@ -222,15 +224,41 @@ def csv_roundtrip(spark, sf_dir):
     return files.read_csv(spark, path, "asset_data")
 
 
+#: The vendor's addresses in SQL, by kind: e is the endpoint, s the symbol, b the bare one.
+_ADDRESSES = {
+    "AGGREGATES": "e || s || '/range/2/hour/2024-01-01/2024-02-01?adjusted=true&sort=asc&limit=50'",
+    "GROUPEDDAILY": "e || l || '2024-01-09?adjusted=true'",
+    "DAILYOPENCLOSE": "e || s || '/2024-01-09?adjusted=true'",
+    "PREVIOUSCLOSE": "e || s || '/prev?adjusted=true'",
+    **dict.fromkeys(("TRADES", "QUOTES"), "e || s || '?limit=50'"),
+    **dict.fromkeys(("LASTTRADE", "LASTQUOTE", "TICKERDETAILSV3", "RELATEDCOMPANIES", "OPTIONCONTRACT", "SNAPSHOTSUNIVERSALSNAPSHOT"), "e || s"),
+    **dict.fromkeys(("LASTTRADECRYPTOPAIR", "LASTQUOTECURRENCYPAIR"), "e || substr(b, 1, 3) || '/' || substr(b, 4, 3)"),
+    "REALTIMECURRENCYCONVERSION": "e || substr(b, 1, 3) || '/' || substr(b, 4, 3) || '?amount=25'",
+    "SNAPSHOTSOPTIONCONTRACT": "e || s || '/'",
+    "SNAPSHOTSOPTIONCHAIN": "e || s || '?limit=50'",
+    "SNAPSHOTSALLTICKERS": "e || l || 'tickers?tickers=' || s",
+    "SNAPSHOTSGAINERSLOSERS": "e || l || 'gainers'",
+    "SNAPSHOTSTICKER": "e || l || 'tickers/' || s",
+    "TICKERS": "e || 'ticker=' || s || '&limit=50'",
+    "TICKEREVENTS": "e || s || '/events'",
+    **dict.fromkeys(("TICKERNEWS", "STOCKSPLITSV3", "DIVIDENDSV3", "STOCKFINANCIALSVX", "IPOS"), "e || '50&ticker=' || s"),
+    "OPTIONSCONTRACTS": "e || '50&underlying_ticker=' || s",
+    **dict.fromkeys(("TICKERTYPES", "CONDITIONS", "EXCHANGES"), "e || a"),
+    **dict.fromkeys(("MARKETHOLIDAYS", "MARKETSTATUS"), "split_part(e, '?', 1)"),
+}
+_KIND_NAMES = [*sorted(files.ENDPOINTS), "TECHNICALINDICATORS"]
+
+
 @query(
-    """WITH r AS (SELECT id, symbol, CASE id % 4 WHEN 0 THEN 'AGGREGATES' WHEN 1 THEN 'LASTTRADECRYPTOPAIR' WHEN 2 THEN 'GROUPEDDAILY' ELSE 'TECHNICALINDICATORS' END AS kind FROM symbols)
-    SELECT id, kind, CASE kind WHEN 'AGGREGATES' THEN '/v2/aggs/ticker/' || symbol || '/range/1/day/2024-01-01/2024-02-01?adjusted=true&sort=asc&limit=5000'
-    WHEN 'LASTTRADECRYPTOPAIR' THEN '/v1/last/crypto/' || substr(CASE WHEN substr(symbol, 2, 1) = ':' THEN substr(symbol, 3) ELSE symbol END, 1, 3) || '/' || substr(CASE WHEN substr(symbol, 2, 1) = ':' THEN substr(symbol, 3) ELSE symbol END, 4, 3)
-    WHEN 'GROUPEDDAILY' THEN '/v2/aggs/grouped/locale/' || CASE WHEN symbol LIKE 'C:%' THEN 'global/markets/fx' WHEN symbol LIKE 'X:%' THEN 'global/markets/crypto' ELSE 'us/markets/stocks' END || '/2024-01-01?adjusted=true' ELSE 'UNKNOWN' END AS address FROM r"""
+    f"""WITH p(kind, e) AS (VALUES {", ".join(f"('{k}', '{e}')" for k, e in sorted(files.ENDPOINTS.items()))}), r AS (SELECT id, symbol AS s, CASE WHEN substr(symbol, 2, 1) = ':' THEN substr(symbol, 3) ELSE symbol END AS b,
+        ([{", ".join(f"'{k}'" for k in _KIND_NAMES)}])[1 + id % {len(_KIND_NAMES)}] AS kind, CASE WHEN symbol LIKE 'C:%' THEN 'global/markets/fx/' WHEN symbol LIKE 'X:%' THEN 'global/markets/crypto/' ELSE 'us/markets/stocks/' END AS l,
+        CASE substr(symbol, 1, 2) WHEN 'O:' THEN 'options' WHEN 'C:' THEN 'fx' WHEN 'X:' THEN 'crypto' WHEN 'I:' THEN 'indices' ELSE 'stocks' END AS a FROM symbols)
+    SELECT id, r.kind, CASE r.kind {" ".join(f"WHEN '{k}' THEN {form}" for k, form in _ADDRESSES.items())} ELSE 'UNKNOWN' END AS address FROM r LEFT JOIN p ON p.kind = r.kind"""
 )
 def request_addresses(spark, sf_dir):
-    kind = F.when(F.col("id") % 4 == 0, "AGGREGATES").when(F.col("id") % 4 == 1, "LASTTRADECRYPTOPAIR").when(F.col("id") % 4 == 2, "GROUPEDDAILY").otherwise("TECHNICALINDICATORS")
-    rows = views.symbols(spark, sf_dir).select("id", "symbol", kind.alias("kind"), F.lit("2024-01-01").alias("start"), F.lit("2024-02-01").alias("end"))
+    """An address of every kind, and of one that has no endpoint."""
+    kind = F.get(F.array(*map(F.lit, _KIND_NAMES)), (F.col("id") % len(_KIND_NAMES)).cast("int"))
+    rows = views.symbols(spark, sf_dir).select("id", "symbol", kind.alias("kind"), F.lit("2024-01-01").alias("start"), F.lit("2024-02-01").alias("end"), F.lit("hour").alias("span"), F.lit(2).alias("multiplier"), F.lit(50).alias("limit"), F.lit(25).alias("amount"))
     return files.request_paths(rows).select("id", "kind", "address")
 
 
@@ -259,7 +287,7 @@ def history_5m(spark, sf_dir):
     return series.ohlcv(rows.withColumn("start", series.bucket_start("ts", 5, "minute")), ["ticker", "start"], "seq").select("ticker", "start", "open", "close", "n")
 
 
-@query()
+@query(f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{k}{chr(39)}, {chr(39)}{e}{chr(39)})' for k, e in sorted(files.ENDPOINTS.items()))}) AS p(kind, path)")
 def endpoint_catalogue(spark, sf_dir):
     return files.endpoints(spark)
 
@@ -267,3 +295,50 @@ def endpoint_catalogue(spark, sf_dir):
 @query()
 def synthetic_candles(spark, sf_dir):
     return series.random_walk(spark)
+
+
+@query("SELECT symbol, arg_max(seq, seq) AS seq, arg_max(side, seq) AS side, arg_max(price, seq) AS price, arg_max(size, seq) AS size FROM quotes GROUP BY symbol")
+def last_quote(spark, sf_dir):
+    return series.last_by(views.quotes(spark, sf_dir), "symbol", "seq", "seq", "side", "price", "size")
+
+
+@query("SELECT ticker, CAST(date_trunc('month', date) AS DATE) AS month, CAST(to_json({'results': list({'date': date, 'volume': volume, 'n': n} ORDER BY date), 'count': count(*)}) AS VARCHAR) AS json FROM bars GROUP BY 1, 2")
+def served_pages(spark, sf_dir):
+    """A page for each ticker and month, as it is served: {results: [...], count}."""
+    rows = views.bars(spark, sf_dir).select(F.struct("ticker", F.trunc("date", "month").alias("month")).alias("page"), "date", "volume", "n")
+    return files.to_envelope(rows, "page").select("page.ticker", "page.month", "json")
+
+
+@query("SELECT id, CASE WHEN id % 7 = 0 THEN 0.0 ELSE vol END AS implied_vol, CASE WHEN id % 5 = 0 THEN 0.0 ELSE strike END AS strike, CASE WHEN id % 3 = 0 THEN false ELSE is_call END AS is_call FROM contracts")
+def option_records(spark, sf_dir):
+    """Records with gaps, filled by their defaults."""
+    gap = lambda k, c: F.when(F.col("id") % k != 0, F.col(c))
+    return store.option_defaults(views.contracts(spark, sf_dir).select("id", gap(7, "vol").alias("implied_vol"), gap(5, "strike").alias("strike"), gap(3, "is_call").alias("is_call")))
+
+
+@query("""SELECT id, CASE WHEN id % 3 = 0 THEN 'Option' WHEN id % 3 = 1 THEN 'Stock' ELSE 'Asset' END AS asset_type FROM contracts""")
+def typed_rows(spark, sf_dir):
+    """Rows of several kinds in one table, told apart by the columns that have values."""
+    rows = views.contracts(spark, sf_dir).select("id", F.when(F.col("id") % 3 == 0, "O:X").alias("option_symbol"), F.when(F.col("id") % 3 == 1, "X").alias("stock_name"))
+    return store.typed(rows).select("id", "asset_type")
+
+
+@query(f"SELECT ticker, {sql_fix('price', 2)} AS price, {sql_fix('change', 2)} AS change, CASE WHEN change >= 0 THEN 'up' ELSE 'down' END AS direction FROM board")
+def board_display(spark, sf_dir):
+    rows = views.board(spark, sf_dir)
+    return rows.select("ticker", two_decimals(F.col("price")).alias("price"), two_decimals(F.col("change")).alias("change"), symbols.direction(F.col("change")).alias("direction"))
+
+
+@query("SELECT id, symbol, symbol AS again FROM symbols")
+def symbol_prefixes(spark, sf_dir):
+    """Each symbol taken apart and put together again."""
+    rows = views.symbols(spark, sf_dir)
+    again = symbols.with_prefix(symbols.bare_symbol(F.col("symbol")), symbols.asset_class(F.col("symbol")))
+    return rows.select("id", "symbol", again.alias("again"))
+
+
+@query("SELECT n_nationkey AS id, n_name AS name, 'moved by ' || n_regionkey AS message FROM nation")
+def alert_texts(spark, sf_dir):
+    text = F.concat("n_name", F.lit(": moved by "), F.col("n_regionkey").cast("string"))
+    name, message = symbols.alert_parts(text)
+    return views.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), name.alias("name"), message.alias("message"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..errors import DelayedDataError, NoDataError, RequestError, ResponseError
@@ -42,7 +45,7 @@ def to_json_rows(df: DataFrame) -> DataFrame:
 
 def to_envelope(df: DataFrame, key: str | None = None) -> DataFrame:
     """{results: [...], count} of a served page, or one for each value of ``key`` where a page isn't bounded."""
-    rows = df.groupBy(*([key] if key else [])).agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias("results"), F.count(F.lit(1)).alias("count"))
+    rows = df.groupBy(*([key] if key else [])).agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c != key]))).alias("results"), F.count(F.lit(1)).alias("count"))
     return rows.select(*([key] if key else []), F.to_json(F.struct("results", "count")).alias("json"))
 
 
@@ -80,20 +83,28 @@ def check_answers(parsed: DataFrame) -> None:
         raise {"ResponseError": ResponseError, "DelayedDataError": DelayedDataError, "NoDataError": NoDataError}[bad[0]](bad[0])
 
 
+#: The days of a request without dates, and the seconds between two tries.
+DEFAULT_DAYS, WAIT_SECONDS = 10, 15.0
+
+
 @dataclass(frozen=True)
 class BarsRequest:
-    """Parameters of a request for range bars."""
+    """Parameters of a request for range bars; without dates, those of the last DEFAULT_DAYS days to ``today``."""
 
     asset: str
-    start: str
-    end: str
+    start: str = ""
+    end: str = ""
     span: str = "day"
     multiplier: int = 1
     adjusted: bool = True
     sort: str = "asc"
     limit: int = 5000
+    today: str = ""
 
     def __post_init__(self):
+        last = date.fromisoformat(self.today) if self.today else date.today()
+        object.__setattr__(self, "end", self.end or last.isoformat())
+        object.__setattr__(self, "start", self.start or (last - timedelta(days=DEFAULT_DAYS)).isoformat())
         if not self.asset:
             raise RequestError("no asset")
         if self.span not in schemas.TIME_SPANS:
@@ -107,8 +118,8 @@ class BarsRequest:
         return f"/v2/aggs/ticker/{self.asset}/range/{self.multiplier}/{self.span}/{self.start}/{self.end}?adjusted={str(self.adjusted).lower()}&sort={self.sort}&limit={self.limit}"
 
 
-def fetch_with_retry(fetch, attempts: int = 3, wait=lambda: None):
-    """The result of ``fetch``, tried again after an error; the last error is raised."""
+def fetch_with_retry(fetch, attempts: int = 3, wait=lambda: time.sleep(WAIT_SECONDS)):
+    """The result of ``fetch``, tried again after an error and a wait; the last error is raised."""
     for left in range(attempts - 1, -1, -1):
         try:
             return fetch()
@@ -165,24 +176,60 @@ def with_endpoint(requests: DataFrame) -> DataFrame:
     return requests.join(F.broadcast(endpoints(requests.sparkSession)), "kind", "left").withColumn("path", F.coalesce("path", F.lit("UNKNOWN")))
 
 
+#: A request's parameters where it names none.
+REQUEST = {"start": "2024-01-09", "end": "2025-01-09", "day": "2024-01-09", "span": "day", "multiplier": "1", "sort": "asc", "limit": "5000", "adjusted": "true", "amount": "100.0", "contract": "", "movers": "gainers"}
+
+
 def request_paths(requests: DataFrame) -> DataFrame:
-    """Address of each request (kind, symbol, start, end): range bars, last trade or quote, conversion, or the endpoint alone."""
+    """``address`` of each request (kind, symbol, and those of REQUEST's columns that differ from its values), as the vendor documents it.
+
+    A symbol bears its class's prefix. The key isn't part of an address: it belongs into a request's header.
+    """
     from ..functions import symbols as S
 
     rows = with_endpoint(requests)
-    base, quote = S.pair_parts(S.bare_symbol(F.col("symbol")))
-    path = F.col("path")
-    address = (
-        F.when(F.col("kind") == "AGGREGATES", F.concat(path, F.col("symbol"), F.lit("/range/1/day/"), F.col("start"), F.lit("/"), F.col("end"), F.lit("?adjusted=true&sort=asc&limit=5000")))
-        .when(F.col("kind") == "PREVIOUSCLOSE", F.concat(path, F.col("symbol"), F.lit("/prev?adjusted=true")))
-        .when(F.col("kind") == "GROUPEDDAILY", F.concat(path, S.locale(S.asset_class(F.col("symbol"))), F.lit("/"), F.col("start"), F.lit("?adjusted=true")))
-        .when(F.col("kind").isin("LASTTRADECRYPTOPAIR", "LASTQUOTECURRENCYPAIR", "REALTIMECURRENCYCONVERSION"), F.concat(path, base, F.lit("/"), quote))
-        .when(F.col("kind").isin("TRADES", "QUOTES", "LASTTRADE", "LASTQUOTE", "TICKERDETAILSV3", "RELATEDCOMPANIES"), F.concat(path, F.col("symbol")))
-        .otherwise(path)
-    )
+    of = {c: F.coalesce(F.col(c).cast("string"), F.lit(v)) if c in rows.columns else F.lit(v) for c, v in REQUEST.items()}
+    symbol, kind, path = F.col("symbol"), F.col("kind"), F.col("path")
+    bare, asset = S.bare_symbol(symbol), S.asset_class(symbol)
+    base, quote = S.pair_parts(bare)
+    locale = F.concat(path, S.locale(asset), F.lit("/"))
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    limited = text("limit=", of["limit"])
+    by_kind = {
+        "AGGREGATES": text(path, symbol, "/range/", of["multiplier"], "/", of["span"], "/", of["start"], "/", of["end"], "?adjusted=", of["adjusted"], "&sort=", of["sort"], "&", limited),
+        "GROUPEDDAILY": text(locale, of["day"], "?adjusted=", of["adjusted"]),
+        "DAILYOPENCLOSE": text(path, symbol, "/", of["day"], "?adjusted=", of["adjusted"]),
+        "PREVIOUSCLOSE": text(path, symbol, "/prev?adjusted=", of["adjusted"]),
+        **dict.fromkeys(("TRADES", "QUOTES"), text(path, symbol, "?", limited)),
+        **dict.fromkeys(("LASTTRADE", "LASTQUOTE", "TICKERDETAILSV3", "RELATEDCOMPANIES", "OPTIONCONTRACT"), text(path, symbol)),
+        **dict.fromkeys(("LASTTRADECRYPTOPAIR", "LASTQUOTECURRENCYPAIR"), text(path, base, "/", quote)),
+        "REALTIMECURRENCYCONVERSION": text(path, base, "/", quote, "?amount=", of["amount"]),
+        "SNAPSHOTSOPTIONCONTRACT": text(path, symbol, "/", of["contract"]),
+        "SNAPSHOTSOPTIONCHAIN": text(path, symbol, "?", limited),
+        "SNAPSHOTSUNIVERSALSNAPSHOT": text(path, symbol),
+        "SNAPSHOTSALLTICKERS": text(locale, "tickers?tickers=", symbol),
+        "SNAPSHOTSGAINERSLOSERS": text(locale, of["movers"]),
+        "SNAPSHOTSTICKER": text(locale, "tickers/", symbol),
+        "TICKERS": text(path, "ticker=", symbol, "&", limited),
+        "TICKEREVENTS": text(path, symbol, "/events"),
+        **dict.fromkeys(("TICKERNEWS", "STOCKSPLITSV3", "DIVIDENDSV3", "STOCKFINANCIALSVX", "IPOS"), text(path, of["limit"], "&ticker=", symbol)),
+        "OPTIONSCONTRACTS": text(path, of["limit"], "&underlying_ticker=", symbol),
+        **dict.fromkeys(("TICKERTYPES", "CONDITIONS", "EXCHANGES"), text(path, S.asset_parameter(asset))),
+        **dict.fromkeys(("MARKETHOLIDAYS", "MARKETSTATUS"), F.regexp_replace(path, r"\?.*", "")),
+    }
+    address = path
+    for name, form in by_kind.items():
+        address = F.when(kind == name, form).otherwise(address)
     return rows.withColumn("address", address)
 
 
+def read_board(spark: SparkSession, path: str) -> DataFrame:
+    """Board items (name, price, change) from JSON files: one item a line, or an array of them; null where a field can't be read."""
+    lines = spark.read.text(path, wholetext=True).select(F.explode(F.filter(F.split(F.trim("value"), r"\n"), lambda x: F.length(F.trim(x)) > 0)).alias("value"))
+    items = F.coalesce(F.from_json("value", T.ArrayType(schemas.BOARD)), F.array(F.from_json("value", schemas.BOARD)))
+    return lines.select(F.explode(items).alias("x")).select("x.*")
+
+
 def quarantine(rows: DataFrame, text_date: str = "date_text") -> tuple[DataFrame, DataFrame]:
     """Rows whose ticker and ISO date are sound, and the others."""
     day = F.try_to_date(text_date, "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.col(text_date).try_cast("date")
