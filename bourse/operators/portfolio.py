@@ -142,28 +142,53 @@ def within(w, least: float, most: float):
     import numpy as np
 
     low, high = w.min() - most - 1, w.max() - least + 1
-    for _ in range(200):
+    for _ in range(80):
         shift = (low + high) / 2
         low, high = (shift, high) if np.clip(w - shift, least, most).sum() > 1 else (low, shift)
     return np.clip(w - (low + high) / 2, least, most)
 
 
-def quadratic(c, mu, aversion: float, least: float, most: float):
-    """Weights of least aversion / 2 * w'Cw - mu'w within the bounds: projected gradients with momentum, restarted when it doesn't help."""
+def quadratic(c, m, least: float, most: float):
+    """Weights of least w'Cw / 2 - m'w that sum to 1 within the bounds, by active sets.
+
+    From equal weights on: the weights that aren't at a bound go to their optimum, or as far as the first bound; at the
+    optimum, the bound that holds back the most is let go, until none holds back anything.
+    """
     import numpy as np
 
-    step = 1 / max(aversion * float(np.linalg.norm(c, 2)), 1e-12)
-    w = old = within(np.full(len(mu), 1 / len(mu)), least, most)
-    t = 1.0
-    for _ in range(20_000):
-        ahead = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        y = w + (t - 1) / ahead * (w - old)
-        new = within(y - step * (aversion * (c @ y) - mu), least, most)
-        if (y - new) @ (new - w) > 0:
-            ahead = 1.0
-        if np.abs(new - w).max() < 1e-13 and np.abs(new - y).max() < 1e-13:
+    n = len(m)
+    w, side = np.full(n, 1 / n), np.zeros(n, int)
+    for _ in range(100 * n + 100):
+        free = side == 0
+        k = int(free.sum())
+        if k:
+            system = np.zeros((k + 1, k + 1))
+            system[:k, :k], system[:k, k], system[k, :k] = c[np.ix_(free, free)], 1, 1
+            right = np.append(m[free] - c[np.ix_(free, ~free)] @ w[~free], 1 - w[~free].sum())
+            try:
+                x = np.linalg.solve(system, right)
+            except np.linalg.LinAlgError:  # singular covariances
+                x = np.linalg.lstsq(system, right, rcond=None)[0]
+            move, price = np.zeros(n), x[k]
+            move[free] = x[:k] - w[free]
+            room = np.where(move < 0, least - w, most - w)
+            share = np.where(np.abs(move) > 1e-15, room / np.where(move == 0, 1, move), np.inf)
+            i = int(np.argmin(share))
+            w = w + min(1.0, share[i]) * move
+            if share[i] < 1:
+                side[i] = -1 if move[i] < 0 else 1
+                w[i] = least if move[i] < 0 else most
+                continue
+        else:
+            gain = m - c @ w
+            price = (gain[side < 0].max(initial=-np.inf) + gain[side > 0].min(initial=np.inf)) / 2 if (side < 0).any() and (side > 0).any() else gain[side < 0].max() if (side < 0).any() else gain.min()
+        held = -side * (m - c @ w - price)
+        i = int(np.argmax(np.where(side == 0, -np.inf, held)))
+        if side[i] == 0 or held[i] <= 1e-10 * max(1.0, float(np.abs(m).max())):
             break
-        old, w, t = w, new, ahead
+        side[i] = 0
+        if not k:  # another one must give what this one takes
+            side[int(np.argmax(np.where(side == 0, -np.inf, held)))] = 0
     return w
 
 
@@ -184,7 +209,7 @@ def optimise(returns: DataFrame, kind: str = "max_sharpe", rf: float = 0.0, aver
         raise RequestError("no weights within the bounds sum to 1")
     mu, one = mean - rf, np.ones(len(names))
     bounded = least > -1e9 or most < 1e9
-    frontier = lambda a: quadratic(c, mean / a, 1.0, least, most)
+    frontier = lambda a: quadratic(c, mean / a, least, most)
     if kind == "risk_parity":
         w = 1 / np.sqrt(np.maximum(np.diag(c), 1e-300))
         for _ in range(500):
@@ -201,13 +226,15 @@ def optimise(returns: DataFrame, kind: str = "max_sharpe", rf: float = 0.0, aver
             raise RequestError("no weights within the bounds have the target return")
     elif bounded and kind == "max_sharpe":
         sharpe = lambda a: (lambda w: (w @ mu) / max(np.sqrt(w @ c @ w), 1e-300))(frontier(np.exp(a)))
-        low, high, golden = -15.0, 25.0, (5**0.5 - 1) / 2
-        for _ in range(60):
+        grid = np.linspace(-15.0, 25.0, 161)  # the ratio is level where the bounds hold the weights, so the peak is bracketed first
+        best = int(np.argmax([sharpe(x) for x in grid]))
+        low, high, golden = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)], (5**0.5 - 1) / 2
+        for _ in range(50):
             x, y = high - golden * (high - low), low + golden * (high - low)
             low, high = (low, y) if sharpe(x) >= sharpe(y) else (x, high)
         w = frontier(np.exp((low + high) / 2))
     elif bounded:
-        w = quadratic(c, 0 * mu, 1.0, least, most) if kind == "min_variance" else quadratic(c, mu, aversion, least, most)
+        w = quadratic(c, 0 * mu, least, most) if kind == "min_variance" else quadratic(c, mu / aversion, least, most)
     else:
         inverse = np.linalg.pinv(c)
         base = inverse @ one / (one @ inverse @ one)

@@ -44,33 +44,57 @@ def densify(surface: DataFrame, keys: list[str], step: float = 0.5) -> DataFrame
     return _fill(along, [*keys, "strike"], "expiry_days", "mid")
 
 
+def natural_spline(x, y, at):
+    """The natural cubic spline through (x, y), x ascending, at ``at``; constant outside, linear through two points.
+
+    The second derivatives come from one sweep down and one up the three diagonals.
+    """
+    import numpy as np
+
+    if len(x) < 3:
+        return np.interp(at, x, y)
+    h, slope, n = np.diff(x), np.diff(y) / np.diff(x), len(x)
+    m, up, rhs = np.zeros(n), np.zeros(n), np.zeros(n)
+    for i in range(1, n - 1):
+        whole = 2 * (h[i - 1] + h[i]) - h[i - 1] * up[i - 1]
+        up[i], rhs[i] = h[i] / whole, (6 * (slope[i] - slope[i - 1]) - h[i - 1] * rhs[i - 1]) / whole
+    for i in range(n - 2, 0, -1):
+        m[i] = rhs[i] - up[i] * m[i + 1]
+    at = np.clip(at, x[0], x[-1])
+    k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
+    p, q = x[k + 1] - at, at - x[k]
+    return (m[k] * p**3 + m[k + 1] * q**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * p + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * q
+
+
+def _splined(rows: DataFrame, keys: list[str], axis: str) -> DataFrame:
+    """``mid`` along an axis by the natural cubic spline of its known values; a line without known values stays as it is."""
+
+    def fill(table: "pa.Table") -> "pa.Table":  # noqa: F821
+        import numpy as np
+        import pyarrow as pa
+
+        at, mid = table.column(axis).to_numpy().astype(float), table.column("mid").to_numpy()
+        order = np.argsort(at)
+        known = order[~np.isnan(mid[order])]
+        if not len(known):
+            return table
+        return table.set_column(table.column_names.index("mid"), "mid", pa.array(natural_spline(at[known], mid[known], at)))
+
+    return rows.groupBy(*keys).applyInArrow(fill, rows.schema)
+
+
 def cubic(surface: DataFrame, keys: list[str], step: float = 0.5) -> DataFrame:
-    """The grid with natural cubic splines along strikes, constant outside the known ones; one expiry of one surface per call."""
-    schema = grid(surface, keys, step).schema
+    """The grid with natural cubic splines along strikes, then along days of expiry, constant outside the known values.
 
-    def spline(frame: "pd.DataFrame") -> "pd.DataFrame":  # noqa: F821
-        import numpy as np
+    A group is one line of one surface's grid: an expiry's strikes, then a strike's expiries.
+    """
+    along = _splined(grid(surface, keys, step), [*keys, "expiry_days"], "strike")
+    return _splined(along, [*keys, "strike"], "expiry_days")
 
-        frame = frame.sort_values("strike")
-        ok = frame["mid"].notna().to_numpy()
-        x, y, at = frame["strike"].to_numpy()[ok], frame["mid"].to_numpy()[ok], frame["strike"].to_numpy()
-        if len(x) > 2:
-            h, n = np.diff(x), len(x)
-            a, b = np.zeros((n, n)), np.zeros(n)
-            a[0, 0] = a[-1, -1] = 1
-            for i in range(1, n - 1):
-                a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-                b[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
-            m = np.linalg.solve(a, b)
-            at = np.clip(at, x[0], x[-1])
-            k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
-            p, q = x[k + 1] - at, at - x[k]
-            frame["mid"] = (m[k] * p**3 + m[k + 1] * q**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * p + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * q
-        elif len(x):
-            frame["mid"] = np.interp(at, x, y)
-        return frame
-
-    return grid(surface, keys, step).groupBy(*keys, "expiry_days").applyInPandas(spline, schema)
+
+def ordered(surface: DataFrame, keys: list[str]) -> DataFrame:
+    """The surface by strike, then expiry."""
+    return surface.orderBy(*keys, "strike", "expiry_days")
 
 
 def vols(surface: DataFrame, as_of_days: int = 0, rate: float = 0.01) -> DataFrame:
@@ -85,12 +109,20 @@ def extent(surface: DataFrame, value: str) -> DataFrame:
     return surface.agg(F.min("strike").alias("min_strike"), F.max("strike").alias("max_strike"), F.min("expiry_days").alias("min_expiry"), F.max("expiry_days").alias("max_expiry"), F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.avg(v).alias("mean_value"))
 
 
-def lookup(surface: DataFrame, key: str, expiry_index: int, strike: float | None = None) -> DataFrame:
-    """The mid at an expiry by its place; the strike defaults to the middle one, cut to an integer, and must occur."""
-    rows = surface.withColumn("_e", F.dense_rank().over(W.partitionBy(key).orderBy("expiry_days"))).filter(F.col("_e") == expiry_index + 1)
-    strikes = surface.select(key, "strike").distinct()
+def lookups(surface: DataFrame, key: str, strike: float | None = None) -> DataFrame:
+    """The mids of one strike by the place of their expiry; the strike defaults to the middle one, cut to an integer, and must occur.
+
+    Places come from the distinct expiries and strikes, as many as a surface has, so the quotes themselves aren't sorted.
+    """
+    days, strikes = (surface.select(key, c).distinct() for c in ("expiry_days", "strike"))
+    days = days.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("expiry_days")) - 1)
     n, r = F.count(F.lit(1)).over(W.partitionBy(key)), F.row_number().over(W.partitionBy(key).orderBy("strike"))
     middle = strikes.withColumns({"_n": n, "_r": r}).filter("_r = floor(_n / 2) + 1").select(key, F.floor("strike").cast("double").alias("wanted"))
     if strike is not None:
         middle = middle.withColumn("wanted", F.lit(float(strike)))
-    return rows.join(middle, key).filter("strike = wanted").select(key, "expiry_days", "strike", "mid")
+    return surface.join(middle, key).filter("strike = wanted").join(days, [key, "expiry_days"]).select(key, "place", "expiry_days", "strike", "mid")
+
+
+def lookup(surface: DataFrame, key: str, expiry_index: int, strike: float | None = None) -> DataFrame:
+    """The mid at an expiry by its place."""
+    return lookups(surface, key, strike).filter(F.col("place") == expiry_index).drop("place")

@@ -157,10 +157,41 @@ def surface_linear(spark, sf_dir):
     return surface.densify(calls, ["underlying"]).select("underlying", "expiry_days", "strike", N.fix(F.col("mid"), 4).alias("mid"))
 
 
-@query()
+def _spline_sql(axis: str, keys: str, src: str, out: str) -> str:
+    """Natural cubic splines along an axis in SQL: each line's knots as lists, the second derivatives by a sweep down and one up."""
+    x, y, h, g = f"{out}_k.x", f"{out}_k.y", "s.h", "s.g"
+    i = f"len({out}_d.up) + 1"
+    return f"""{out}_k AS (SELECT {keys}, list(CAST({axis} AS DOUBLE) ORDER BY {axis}) AS x, list(mid ORDER BY {axis}) AS y FROM {src} WHERE mid IS NOT NULL GROUP BY {keys}),
+    {out}_s AS (SELECT *, len(x) AS n, [x[i + 1] - x[i] FOR i IN range(1, len(x))] AS h, [(y[i + 1] - y[i]) / (x[i + 1] - x[i]) FOR i IN range(1, len(x))] AS g FROM {out}_k),
+    {out}_d AS (SELECT {keys}, [0.0::DOUBLE] AS up, [0.0::DOUBLE] AS rhs FROM {out}_s UNION ALL
+        SELECT {keys}, list_append(up, h1 / w), list_append(rhs, (6 * (g1 - g0) - h0 * r0) / w) FROM (SELECT {keys}, up, rhs, up[-1] AS u0, rhs[-1] AS r0, s.h[{i} - 1] AS h0, s.h[{i}] AS h1, s.g[{i} - 1] AS g0, s.g[{i}] AS g1,
+            2 * (s.h[{i} - 1] + s.h[{i}]) - s.h[{i} - 1] * up[-1] AS w FROM {out}_d JOIN {out}_s s USING ({keys}) WHERE len({out}_d.up) + 1 < s.n)),
+    {out}_m AS (SELECT {keys}, n, up, rhs, [0.0::DOUBLE] AS m FROM {out}_d JOIN {out}_s USING ({keys}) WHERE len(up) = greatest(n - 1, 1) UNION ALL
+        SELECT {keys}, n, up, rhs, list_prepend(rhs[n - len(m)] - up[n - len(m)] * m[1], m) FROM {out}_m WHERE len(m) < n - 1),
+    {out}_f AS (SELECT s.*, CASE WHEN s.n > 2 THEN list_prepend(0.0::DOUBLE, m) ELSE [0.0::DOUBLE, 0.0] END AS m FROM {out}_s s JOIN (SELECT * FROM {out}_m WHERE len(m) = greatest(n - 1, 1)) USING ({keys})),
+    {out}_p AS (SELECT c.*, f.x, f.y, f.h, f.m, f.n, least(greatest(CAST(c.{axis} AS DOUBLE), f.x[1]), f.x[-1]) AS pos FROM {src} c LEFT JOIN {out}_f f USING ({keys})),
+    {out}_q AS (SELECT *, least(greatest(len(list_filter(x, lambda e: e <= pos)), 1), n - 1) AS k FROM {out}_p),
+    {out} AS (SELECT underlying, expiry_days, strike, CASE WHEN x IS NULL THEN NULL WHEN n = 1 THEN y[1] ELSE (m[k] * pow(x[k + 1] - pos, 3) + m[k + 1] * pow(pos - x[k], 3)) / (6 * h[k])
+        + (y[k] / h[k] - m[k] * h[k] / 6) * (x[k + 1] - pos) + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * (pos - x[k]) END AS mid FROM {out}_q)"""
+
+
+@query(f"WITH RECURSIVE {_KNOTS}, {_spline_sql('strike', 'underlying, expiry_days', 'grid', 'sa')}, {_spline_sql('expiry_days', 'underlying, strike', 'sa', 'sb')} SELECT underlying, CAST(expiry_days AS INT) AS expiry_days, strike, {sql_fix('mid', 3)} AS mid FROM sb")
 def surface_cubic(spark, sf_dir):
     calls = _chain(spark, sf_dir).filter("is_call").select("underlying", "expiry_days", "strike", "mid")
-    return surface.cubic(calls, ["underlying"])
+    return surface.cubic(calls, ["underlying"]).select("underlying", "expiry_days", "strike", N.fix(F.col("mid"), 3).alias("mid"))
+
+
+@query(f"WITH {CHAIN}, c AS (SELECT *, row_number() OVER (PARTITION BY underlying ORDER BY strike, expiry_days, id) AS place FROM mids WHERE is_call) SELECT underlying, strike, expiry_days, {sql_fix('mid', 4)} AS mid FROM c")
+def surface_ordered(spark, sf_dir):
+    calls = _chain(spark, sf_dir).filter("is_call").select("underlying", "strike", "expiry_days", N.fix(F.col("mid"), 4).alias("mid"))
+    return surface.ordered(calls, ["underlying"])
+
+
+@query(f"WITH {CHAIN} SELECT underlying, CASE WHEN is_call THEN 'call' ELSE 'put' END AS option_type, strike, expiry_days AS expiry, {sql_fix('arg_max(mid, id)', 4)} AS mid FROM mids GROUP BY 1, 2, 3, 4")
+def surface_of_chain(spark, sf_dir):
+    """One mid per type, strike and expiry of a chain with repeated quotes."""
+    chain = _chain(spark, sf_dir).select("underlying", F.when(F.col("is_call"), "call").otherwise("put").alias("option_type"), "strike", F.col("expiry_days").alias("expiry"), "bid", "ask", "last", "id")
+    return surface.from_chain(chain, "id").withColumn("mid", N.fix(F.col("mid"), 4))
 
 
 @query(f"WITH {CHAIN} SELECT min(strike) AS min_strike, max(strike) AS max_strike, min(expiry_days) AS min_expiry, max(expiry_days) AS max_expiry, {sql_fix('min(mid)', 4)} AS min_value, {sql_fix('max(mid)', 4)} AS max_value, {sql_fix('avg(mid)', 4)} AS mean_value FROM mids")
@@ -168,10 +199,11 @@ def surface_extent(spark, sf_dir):
     return surface.extent(_chain(spark, sf_dir), "mid").withColumns({c: N.fix(F.col(c), 4) for c in ("min_value", "max_value", "mean_value")})
 
 
-@query(f"""WITH {CHAIN}, c AS (SELECT underlying, expiry_days, strike, avg(mid) AS mid FROM mids WHERE is_call GROUP BY 1, 2, 3), e AS (SELECT *, dense_rank() OVER (PARTITION BY underlying ORDER BY expiry_days) AS k FROM c),
+@query(f"""WITH {CHAIN}, c AS (SELECT underlying, expiry_days, floor(strike) AS strike, avg(mid) AS mid FROM mids WHERE is_call GROUP BY 1, 2, 3), e AS (SELECT *, dense_rank() OVER (PARTITION BY underlying ORDER BY expiry_days) AS k FROM c),
     s AS (SELECT underlying, strike, row_number() OVER (PARTITION BY underlying ORDER BY strike) AS r, count(*) OVER (PARTITION BY underlying) AS n FROM (SELECT DISTINCT underlying, strike FROM c)),
     m AS (SELECT underlying, floor(strike) AS wanted FROM s WHERE r = n // 2 + 1)
-    SELECT underlying, expiry_days, strike, {sql_fix("mid", 4)} AS mid FROM e JOIN m USING (underlying) WHERE k = 3 AND strike = wanted""")
+    SELECT underlying, k - 1 AS place, expiry_days, strike, {sql_fix("mid", 4)} AS mid FROM e JOIN m USING (underlying) WHERE strike = wanted""")
 def surface_lookup(spark, sf_dir):
-    calls = _chain(spark, sf_dir).filter("is_call").groupBy("underlying", "expiry_days", "strike").agg(F.avg("mid").alias("mid"))
-    return surface.lookup(calls, "underlying", 2).withColumn("mid", N.fix(F.col("mid"), 4))
+    """The middle strike's mid at each place among the expiries, where it was quoted; strikes in whole numbers."""
+    calls = _chain(spark, sf_dir).filter("is_call").groupBy("underlying", "expiry_days", F.floor("strike").cast("double").alias("strike")).agg(F.avg("mid").alias("mid"))
+    return surface.lookups(calls, "underlying").select("underlying", F.col("place").cast("long").alias("place"), "expiry_days", "strike", N.fix(F.col("mid"), 4).alias("mid"))
