@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bytes of the first digit; each next digit is GROWTH times wider, WIDEST at most.
-FIRST, GROWTH, WIDEST = 64, 8, 1 << 20
+FIRST, GROWTH, WIDEST = 64, 64, 1 << 20
 #: Bits of the sieve that tells the rows whose first digit is surely their own: 16 MB, whatever the corpus.
 SIEVE_BITS = 1 << 27
 
