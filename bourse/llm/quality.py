@@ -25,7 +25,7 @@ CALIBRATE_MOD = 4
 LABELLED = 50_000
 #: Buckets of hashed words, of word shapes, of pairs of neighbouring words by shape and equality, and of each hashed metadata value.
 WORDS, SHAPES, PAIRS, VALUES = 1 << 14, 1 << 9, 1 << 12, 64
-#: How many words a document's mean word counts as: words aren't independent evidence.
+#: How many words a document's mean word counts as, at most: words aren't independent evidence, and few words are little of it.
 WORTH = 10.0
 #: Mass of a feature in either class before any is seen, in parts of the mean feature's.
 ALPHA = 0.1
@@ -68,13 +68,13 @@ _columns = _Columns()
 
 
 def content(text: str | None) -> bytes:
-    """The columns of a whole text's words, shapes and pairs, two bytes each, then the share of each, four bytes; a null text has none."""
+    """The columns of a whole text's words, shapes and pairs, two bytes each, then the share of each (of WORTH words in a shorter text), four bytes; a null text has none."""
     words = text.split() if text else []
     own = np.fromiter(map(_columns.__getitem__, words), np.int64, len(words))
     word, form = own & 0xFFFFFFFF, own >> 32
     pair = WORDS + SHAPES + (form[:-1] * 2654435761 + form[1:] * 40503 + (word[:-1] == word[1:]) * 97) % PAIRS
     at, n = np.unique(np.concatenate([word, form, pair]), return_counts=True)
-    return at.astype("<u2").tobytes() + (n / max(len(words), 1)).astype("<f4").tobytes()
+    return at.astype("<u2").tobytes() + (n / max(len(words), WORTH)).astype("<f4").tobytes()
 
 
 def metadata(source, lang, n_chars) -> bytes:
@@ -160,8 +160,9 @@ class View:
         self.scale, self.shift = max(float(w[0]) / 10, 0.0), float(w[1])
 
     def logit(self, rows: Rows) -> np.ndarray:
-        """A document without features in this view has the prior's."""
-        return np.where(rows.empty, self.prior, self.scale * self.odds(rows) + self.shift)
+        """That of the calibrated score; the fewer words under WORTH a document has, the nearer to the prior's, which it has without any."""
+        known = np.minimum(np.bincount(rows.row, rows.share * (rows.column < self.sections[0]), rows.n), 1.0)
+        return self.scale * self.odds(rows) + known * self.shift + (1 - known) * self.prior
 
 
 def _sides(batch: pa.RecordBatch, at: int = 0) -> list[Rows]:

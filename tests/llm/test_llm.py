@@ -525,10 +525,10 @@ def brute_quality(rows, labels):
         forms = [crc(quality.shape(w)) % quality.SHAPES + quality.WORDS for w in words]
         names = [crc(w.lower()) % quality.WORDS for w in words]
         for i in range(len(words)):
-            own[names[i]] += 1 / len(words)
-            own[forms[i]] += 1 / len(words)
+            own[names[i]] += 1 / max(len(words), quality.WORTH)
+            own[forms[i]] += 1 / max(len(words), quality.WORTH)
             if i:
-                own[quality.WORDS + quality.SHAPES + (forms[i - 1] * 2654435761 + forms[i] * 40503 + (names[i - 1] == names[i]) * 97) % quality.PAIRS] += 1 / len(words)
+                own[quality.WORDS + quality.SHAPES + (forms[i - 1] * 2654435761 + forms[i] * 40503 + (names[i - 1] == names[i]) * 97) % quality.PAIRS] += 1 / max(len(words), quality.WORTH)
         last, page = quality.VALUES - 1, Counter()
         for k, v in enumerate((source, lang, None if source is None and lang is None else f"{source}/{lang}")):
             page[k * quality.VALUES + (last if v is None else crc(v) % last)] += 1
@@ -563,7 +563,8 @@ def brute_quality(rows, labels):
                 if sides[i][v]:
                     bins[labels[i][0], min(int((odds(i) + quality.SPAN) / (2 * quality.SPAN) * quality.SCORE_BINS), quality.SCORE_BINS - 1)] += 1
             model.calibrate(((np.arange(quality.SCORE_BINS) + 0.5) / quality.SCORE_BINS * 2 - 1) * quality.SPAN, bins)
-            new[v] = {i: model.scale * odds(i) + model.shift if sides[i][v] else model.prior for i in rows}
+            known = {i: 1.0 if v else min(1.0, len((rows[i][0] or "").split()) / quality.WORTH) for i in rows}
+            new[v] = {i: model.scale * odds(i) + known[i] * model.shift + (1 - known[i]) * model.prior for i in rows}
         logits = new
     good = sum(labels[i][0] for i in calibrating)
     prior = math.log((good + 1) / (len(calibrating) - good + 1))
