@@ -57,8 +57,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """The distinct shingles of a whole text, each as a 64-bit hash, in order.
+def windows(text: bytes) -> np.ndarray:
+    """The shingles of a whole text, each as a 64-bit hash, as they follow one another.
 
     A-Z are lower-cased; words are separated by ASCII white space. With fewer than five words, the whole
     sequence is the one shingle; without words there is none.
@@ -71,7 +71,25 @@ def shingles(text: bytes) -> np.ndarray:
     total = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):
         total += own[i : len(own) - k + 1 + i] * _SHIFT[i]
-    return np.unique(_mixed(total))
+    return _mixed(total)
+
+
+def numbered(texts: list[bytes]) -> list[np.ndarray]:
+    """Each text's set of shingles, numbered over all the texts: told apart by their words, not by hashes."""
+    known, words, sizes = {b"": 0}, [], []
+    for text in texts:
+        own = [known.setdefault(w, len(known)) for w in text.lower().split()]
+        if own:
+            own += [0] * (WORDS - len(own))
+            words.append(np.array(own, np.int64))
+        sizes.append(max(0, len(own) - WORDS + 1))
+    if not words:
+        return [np.zeros(0, np.int64) for _ in texts]
+    place = np.concatenate([w[: len(w) - WORDS + 1] for w in words])
+    for i in range(1, WORDS):
+        _, place = np.unique(place * len(known) + np.concatenate([w[i : len(w) - WORDS + 1 + i] for w in words]), return_inverse=True)
+    ends = np.cumsum(sizes)
+    return [np.unique(place[e - n : e]) for e, n in zip(ends, sizes)]
 
 
 def sketch(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +103,10 @@ def sketch(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id; n (size of its set); digest (of the set); sketch; roots (the trees' root tokens)."""
+    """doc_id; n (size of its set); digest (of the set); sketch; roots (the trees' root tokens).
+
+    Shingles of unequal hashes differ; where some hashes of a text are equal, its shingles are counted by their words.
+    """
     from hashlib import blake2b
 
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary()), ("roots", pa.list_(pa.int64()))])
@@ -93,9 +114,10 @@ def sketches(docs: DataFrame) -> DataFrame:
     def rows(batch):
         out = ([], [], [], [])
         for text in batch.column(1).to_pylist():
-            found = shingles(text)
+            every = windows(text)
+            found = np.unique(every)
             own, roots = sketch(found)
-            out[0].append(len(found))
+            out[0].append(len(found) if len(found) == len(every) else len(numbered([text])[0]))
             out[1].append(blake2b(found.tobytes(), digest_size=16).digest())
             out[2].append(own.tobytes())
             out[3].append(roots.view(np.int64))
@@ -172,13 +194,10 @@ def populated(front: DataFrame) -> DataFrame:
 
 
 def linked_parts(ids: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    """For each document the least id that its links lead to; all pairs are compared on their full sets."""
-    sets = [shingles(t) for t in texts]
-    sizes = np.array([len(s) for s in sets])
-    ends = np.cumsum(sizes)
-    _, place = np.unique(np.concatenate(sets), return_inverse=True)
-    own = [place[e - n : e] for e, n in zip(ends, sizes)]
-    mark = np.zeros(place.max() + 1, bool)
+    """For each document the least id that its links lead to; all pairs are compared on their full sets of shingles, word by word."""
+    own = numbered(texts)
+    sizes = np.array([len(s) for s in own])
+    mark = np.zeros(max(s.max(initial=0) for s in own) + 1, bool)
 
     def near(i, left):
         n = sizes[left]

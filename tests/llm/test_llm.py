@@ -119,6 +119,16 @@ def test_near_large_nodes(spark, monkeypatch, small):
     assert got == brute_near(texts)
 
 
+def test_near_sets_are_told_apart_by_words(odd):
+    texts = odd + near_texts()[::9] + ["a b a b a b a b a", "a b", "a b  A", ""]
+    found, sets = near.numbered([t.encode() for t in texts]), [sets_of(t) for t in texts]
+    for i, a in enumerate(found):
+        assert len(a) == len(sets[i])
+        for j, b in enumerate(found):
+            assert len(set(a.tolist()) & set(b.tolist())) == len(sets[i] & sets[j])
+    assert [len(x) for x in near.numbered(["", " "])] == [0, 0] and near.numbered([]) == []
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000, i) for i in range(1001, 1100)] + [(i, i + 1) for i in range(2000, 2060)]
