@@ -121,7 +121,7 @@ def test_near_large_nodes(spark, monkeypatch, small):
 
 def test_near_sets_are_told_apart_by_words(odd):
     texts = odd + near_texts()[::9] + ["a b a b a b a b a", "a b", "a b  A", ""]
-    found, sets = near.numbered([t.encode() for t in texts]), [sets_of(t) for t in texts]
+    found, sets = near.numbered([(t or "").encode() for t in texts]), [sets_of(t or "") for t in texts]
     for i, a in enumerate(found):
         assert len(a) == len(sets[i])
         for j, b in enumerate(found):
