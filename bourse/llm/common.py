@@ -130,3 +130,20 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+#: Keys with more than this part of the rows are joined by broadcast: there are fewer than SPLIT of them.
+SPLIT = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """Each row with its key's one row of ``groups``, where ``weight`` tells how many rows the key has.
+
+    Keys that hold over a SPLIT-th of all of them, fewer than SPLIT, are broadcast, so their rows stay where they are; the
+    others' are joined by a merge join, where no task can be given a hot key. ``groups`` should be a written table.
+    """
+    total = groups.agg(F.sum(F.col(weight).cast("decimal(38,0)"))).first()[0] or 0
+    hot = groups.filter(F.col(weight).cast("decimal(38,0)") * SPLIT > F.lit(total))
+    cold = groups.filter(F.col(weight).cast("decimal(38,0)") * SPLIT <= F.lit(total))
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from bourse.llm import components, exact, language, lm, near, personal, quality, tokens, vectors
+from bourse.llm import components, exact, language, lm, near, personal, quality, queries, tokens, vectors
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, digit string, body string, size int"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -681,7 +681,7 @@ def test_pipeline(spark, sf_dir):
     assert after.groupby("doc_id").length.sum().to_dict() == {i: len(tokens.encoder(JSON).encode(t or "")) // 4 + 1 for i, t in zip(before.doc_id, before.text)}
 
 
-@pytest.mark.parametrize("name", ["op2_exact_copies", "op7_near_vectors"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql_twins(spark, sf_dir, name):
     from oracle import connect, same
 
