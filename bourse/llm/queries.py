@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import audit, exact, language, lm, near, personal, quality, tokens, trie, vectors
+from . import audit, exact, language, lm, near, pages, personal, quality, tokens, trie, vectors
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -55,11 +55,15 @@ def op11_prefix_trie(spark, sf_dir):
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_main_text(spark, sf_dir):
+    return pages.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op13_filter_audit(spark, sf_dir):
     return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op2_exact_copies, op3_byte_bpe, op4_quality, op5_near_copies, op6_binary_packing, op7_near_vectors, op8_language, op9_token_counts, op10_suffix_tree, op11_prefix_trie, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_exact_copies, op3_byte_bpe, op4_quality, op5_near_copies, op6_binary_packing, op7_near_vectors, op8_language, op9_token_counts, op10_suffix_tree, op11_prefix_trie, op12_main_text, op13_filter_audit)}
 
 #: DuckDB twins where SQL can express the whole result.
 ORACLES: dict[str, str] = {
