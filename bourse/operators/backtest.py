@@ -77,19 +77,41 @@ def earned(positions: DataFrame) -> DataFrame:
     return rows.withColumn("strategy_ret", F.greatest(F.coalesce(F.lag("position").over(_w()) * F.col("ret"), F.lit(0.0)), F.lit(-MOST_LOST)))
 
 
-def figures(positions: DataFrame, capital: float = 10_000.0, periods: int = 12, rf: float = 0.04) -> DataFrame:
-    """Final value, total and annualised return, drawdown, Sharpe, Sortino, win rate, trades, mean win and loss."""
-    rows = earned(positions)
-    rows = series.equity(rows, ret="strategy_ret", start=capital)
-    rows = series.drawdown(rows)
+def trades(positions: DataFrame, capital: float = 10_000.0) -> DataFrame:
+    """Round trips: ticker, direction, entry_date, exit_date, entry_price, exit_price, quantity, cost, profit, is_open.
+
+    A trade is a run of bars with one position other than 0. It is entered at the close of the run's first bar and left at
+    that of the bar after the run; the last one, if no bar follows, is valued at the last close. Each has ``capital`` times its
+    position to spend; a short one has a negative quantity.
+    """
+    at = F.coalesce("position", F.lit(0.0))
+    rows = positions.select("ticker", "date", "close", at.alias("position"))
     turn = F.when(F.col("position") != F.coalesce(F.lag("position").over(_w()), F.lit(0.0)), 1).otherwise(0)
-    r = F.col("strategy_ret")
-    out = rows.withColumn("turn", turn).groupBy("ticker").agg(
-        F.max_by("value", "date").alias("final_value"), F.count(F.lit(1)).alias("n"), F.min("drawdown").alias("max_drawdown"), risk.sharpe("strategy_ret", rf, periods).alias("sharpe"),
-        risk.sortino("strategy_ret", rf, periods).alias("sortino"), F.try_divide(F.sum(F.when(r > 0, 1).otherwise(0)), F.sum(F.when(r != 0, 1).otherwise(0))).alias("win_rate"), F.sum("turn").alias("trades"),
-        F.avg(F.when(r > 0, r)).alias("avg_win"), F.avg(F.when(r < 0, r)).alias("avg_loss"),
+    runs = rows.withColumn("turn", turn).withColumn("run", F.sum("turn").over(_w().rowsBetween(W.unboundedPreceding, 0))).groupBy("ticker", "run").agg(
+        F.first("position").alias("position"), F.min("date").alias("entry_date"), F.min_by("close", "date").alias("entry_price"), F.max("date").alias("_last"), F.max_by("close", "date").alias("_close")
+    )
+    following = W.partitionBy("ticker").orderBy("run")
+    runs = runs.withColumns({"_next": F.lead("entry_date").over(following), "_at": F.lead("entry_price").over(following)}).filter("position <> 0")
+    out = runs.withColumns({"exit_date": F.coalesce("_next", "_last"), "exit_price": F.when(F.col("_next").isNull(), F.col("_close")).otherwise(F.col("_at")), "quantity": F.col("position") * capital / F.col("entry_price"), "is_open": F.col("_next").isNull()})
+    out = out.withColumns({"direction": F.when(F.col("position") > 0, "long").otherwise("short"), "cost": F.abs("quantity") * F.col("entry_price"), "profit": F.col("quantity") * (F.col("exit_price") - F.col("entry_price"))})
+    return out.select("ticker", "direction", "entry_date", "exit_date", "entry_price", "exit_price", "quantity", "cost", "profit", "is_open")
+
+
+def trade_figures(done: DataFrame) -> DataFrame:
+    """Of each ticker's trades: their count, how many gained, the win rate, mean win and mean loss."""
+    gain = F.col("profit")
+    won = F.sum(F.when(gain > 0, 1).otherwise(0))
+    return done.groupBy("ticker").agg(F.count(F.lit(1)).alias("trades"), won.alias("profitable"), (won / F.count(F.lit(1))).alias("win_rate"), F.avg(F.when(gain > 0, gain)).alias("avg_win"), F.avg(F.when(gain < 0, gain)).alias("avg_loss"))
+
+
+def figures(positions: DataFrame, capital: float = 10_000.0, periods: int = 12, rf: float = 0.04) -> DataFrame:
+    """Final value, total and annualised return, drawdown, Sharpe and Sortino of each ticker's curve, and the figures of its trades."""
+    rows = series.drawdown(series.equity(earned(positions), ret="strategy_ret", start=capital))
+    out = rows.groupBy("ticker").agg(
+        F.max_by("value", "date").alias("final_value"), F.count(F.lit(1)).alias("n"), F.min("drawdown").alias("max_drawdown"), risk.sharpe("strategy_ret", rf, periods).alias("sharpe"), risk.sortino("strategy_ret", rf, periods).alias("sortino"),
     )
-    grown = F.col("final_value") / capital
+    grown, none = F.col("final_value") / capital, F.lit(0).cast("long")
+    out = out.join(trade_figures(trades(positions, capital)), "ticker", "left").withColumns({"trades": F.coalesce("trades", none), "profitable": F.coalesce("profitable", none)})
     return out.withColumns({"total_return": grown - 1, "annual_return": F.pow(grown, periods / F.col("n")) - 1})
 
 

@@ -10,6 +10,7 @@ from ..errors import AssetNotFoundError, DuplicateAssetError, EmptyPortfolioErro
 from ..functions.numeric import fix
 from ..functions.symbols import portfolio_type
 from ..schemas import ASSET_TYPES
+from . import covariance
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -55,12 +56,53 @@ def cash_balance(ledger: DataFrame, key: str = "portfolio_id") -> DataFrame:
     return ledger.groupBy(key).agg(F.sum("amount").alias("balance"))
 
 
+#: Days in a chunk of a holding's transactions.
+CHUNK_DAYS = 64
+
+
+def basis(transactions: DataFrame, days: int = CHUNK_DAYS) -> DataFrame:
+    """What each portfolio holds of each ticker after its transactions in order (date, seq): quantity, avg_cost, realised, oversold.
+
+    A purchase moves the average cost, a sale leaves it and realises price less cost; a position that is closed has no cost,
+    so the next purchase starts a new basis. A sale of more than is held sells what is held; the rest is counted in oversold.
+
+    A holding's transactions are dealt into chunks of days. A chunk needs the quantity at its start, which running sums and
+    their least value give; its effect on average cost and realised profit is linear in the cost at its start, so the
+    chunks' effects are composed in order: no task has more of a holding than a chunk, or a row for each of its chunks.
+    """
+    keys = ["portfolio_id", "ticker"]
+    signed = F.when(F.col("transaction_type") == "sell", -F.col("quantity")).when(F.col("transaction_type") == "buy", F.col("quantity")).cast("double")
+    rows = transactions.select(*keys, "date", "seq", signed.alias("d"), F.col("price").cast("double").alias("p"), F.floor(F.unix_date("date") / days).alias("chunk")).filter("d IS NOT NULL")
+    chunks = rows.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(F.struct("date", "seq", "d", "p"))).alias("moves"))
+    zero = F.lit(0.0)
+    run = F.aggregate("moves", F.struct(zero.alias("total"), zero.alias("least")), lambda s, m: F.struct((s["total"] + m["d"]).alias("total"), F.least(s["least"], s["total"] + m["d"]).alias("least")))
+    before = W.partitionBy(*keys).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    chunks = chunks.withColumn("run", run).withColumn("sum0", F.coalesce(F.sum("run.total").over(before), zero))
+    lowest = F.coalesce(F.min(F.col("sum0") + F.col("run.least")).over(before), zero)
+    chunks = chunks.withColumn("held", F.col("sum0") - F.least(lowest, zero))
+    # cost = scale * (cost at the start) + own; realised = gain + slope * (cost at the start)
+    names = ("held", "scale", "own", "gain", "slope", "oversold")
+    state = lambda *values: F.struct(*[v.alias(n) for n, v in zip(names, values)])
+
+    def step(s, m):
+        d, sold = m["d"], F.least(-m["d"], s["held"])
+        after, left = s["held"] + d, s["held"] - sold
+        bought = state(after, s["scale"] * s["held"] / after, (s["own"] * s["held"] + d * m["p"]) / after, s["gain"], s["slope"], s["oversold"])
+        kept = lambda c: F.when(left > 0, s[c]).otherwise(zero)
+        gone = state(left, kept("scale"), kept("own"), s["gain"] + sold * (m["p"] - s["own"]), s["slope"] - sold * s["scale"], s["oversold"] - d - sold)
+        return F.when(d > 0, bought).when(d < 0, gone).otherwise(s)
+
+    effect = F.aggregate("moves", state(F.col("held"), F.lit(1.0), zero, zero, zero, zero), step)
+    effects = chunks.select(*keys, "chunk", effect.alias("e")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("chunk", "e"))).alias("effects"))
+    start = F.struct(zero.alias("cost"), zero.alias("realised"), zero.alias("oversold"))
+    whole = F.aggregate("effects", start, lambda s, x: F.struct((x["e"]["scale"] * s["cost"] + x["e"]["own"]).alias("cost"), (s["realised"] + x["e"]["gain"] + x["e"]["slope"] * s["cost"]).alias("realised"), (s["oversold"] + x["e"]["oversold"]).alias("oversold")))
+    out = effects.select(*keys, F.element_at("effects", -1)["e"]["held"].cast("long").alias("quantity"), whole.alias("w"))
+    return out.select(*keys, "quantity", fix(F.col("w.cost"), 4).alias("avg_cost"), fix(F.col("w.realised"), 4).alias("realised"), F.col("w.oversold").cast("long").alias("oversold"))
+
+
 def holdings_of(transactions: DataFrame) -> DataFrame:
-    """What each portfolio still holds of each ticker: bought less sold, at the average cost of what was bought; nothing held, no row."""
-    bought = F.when(F.col("transaction_type") == "buy", F.col("quantity"))
-    held = F.coalesce(F.sum(bought), F.lit(0)) - F.coalesce(F.sum(F.when(F.col("transaction_type") == "sell", F.col("quantity"))), F.lit(0))
-    rows = transactions.groupBy("portfolio_id", "ticker").agg(held.alias("quantity"), fix(F.try_divide(F.sum(F.col("price") * bought), F.sum(bought)), 4).alias("avg_cost"))
-    return rows.filter("quantity > 0")
+    """What each portfolio still holds of each ticker, at its average cost since it was last bought from nothing; nothing held, no row."""
+    return basis(transactions).filter("quantity > 0").select("portfolio_id", "ticker", "quantity", "avg_cost")
 
 
 def valued(holdings: DataFrame, latest: DataFrame) -> DataFrame:
@@ -94,25 +136,25 @@ def weights_of(additions: DataFrame) -> DataFrame:
     return additions.groupBy("ticker").agg(F.max_by("weight", "add_seq").alias("weight"))
 
 
-def covariances(returns: DataFrame) -> DataFrame:
-    """Sample covariance of each ordered pair of tickers over their common dates; each unordered pair is computed once."""
-    a = returns.select(F.col("ticker").alias("a"), "date", F.col("ret").alias("x"))
-    b = returns.select(F.col("ticker").alias("b"), "date", F.col("ret").alias("y"))
-    upper = a.join(b, "date").filter("a <= b").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"), F.corr("x", "y").alias("corr"), F.count(F.lit(1)).alias("n"))
-    ends = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-    return upper.withColumn("e", F.explode(ends)).select("e.a", "e.b", "cov", "corr", "n")
-
-
 def expected_return(weights: DataFrame, returns: DataFrame) -> DataFrame:
     mean = returns.groupBy("ticker").agg(F.avg("ret").alias("mu"))
     return weights.join(mean, "ticker").agg(F.sum(F.col("weight") * F.col("mu")).alias("expected_return"))
 
 
 def volatility(weights: DataFrame, returns: DataFrame) -> DataFrame:
-    """Square root of w'Cw over the full covariance matrix."""
+    """Square root of w'Cw; each unordered pair stands for both."""
     w = lambda c: weights.select(F.col("ticker").alias(c), F.col("weight").alias(f"w_{c}"))
-    pairs = covariances(returns).join(w("a"), "a").join(w("b"), "b")
-    return pairs.agg(F.sqrt(F.sum(F.col("w_a") * F.col("w_b") * F.col("cov"))).alias("volatility"))
+    pairs = covariance.upper(returns).join(w("a"), "a").join(w("b"), "b")
+    twice = F.when(F.col("a") == F.col("b"), 1.0).otherwise(2.0)
+    return pairs.agg(F.sqrt(F.sum(twice * F.col("w_a") * F.col("w_b") * F.col("cov"))).alias("volatility"))
+
+
+def contributions(weights: DataFrame, returns: DataFrame) -> DataFrame:
+    """Each ticker's share of the portfolio's variance, w_i (Cw)_i / w'Cw: ticker, weight, contribution."""
+    w = lambda c: weights.select(F.col("ticker").alias(c), F.col("weight").alias(f"w_{c}"))
+    parts = covariance.mirrored(covariance.upper(returns)).join(w("a"), "a").join(w("b"), "b").groupBy("a", "w_a").agg((F.col("w_a") * F.sum(F.col("w_b") * F.col("cov"))).alias("part"))
+    whole = parts.agg(F.sum("part").alias("whole"))  # one row
+    return parts.join(F.broadcast(whole)).select(F.col("a").alias("ticker"), F.col("w_a").alias("weight"), F.try_divide("part", "whole").alias("contribution"))
 
 
 OPTIMISERS = ("min_variance", "max_sharpe", "mean_variance", "risk_parity")
@@ -132,20 +174,58 @@ def moments(returns: DataFrame) -> tuple[list[str], "np.ndarray", "np.ndarray"]:
     names = [r["ticker"] for r in mean]
     place = {t: i for i, t in enumerate(names)}
     c = np.zeros((len(names), len(names)))
-    for r in covariances(returns).filter("a <= b").select("a", "b", "cov").collect():
+    for r in covariance.upper(returns).select("a", "b", "cov").collect():
         c[place[r["a"]], place[r["b"]]] = c[place[r["b"]], place[r["a"]]] = r["cov"] or 0.0
     return names, np.array([r["mu"] for r in mean]), c
 
 
-def within(w, least: float, most: float):
-    """The nearest weights that sum to 1 and lie within the bounds."""
+def risk_parity(c, least: float = 0.0, most: float = 1.0):
+    """Positive weights that sum to 1 of least log(w'Cw) / 2 - sum(log w) / n within the bounds.
+
+    Without bounds that hold, every w_i (Cw)_i is the same: equal contributions to risk. In y, of any sum, with w = y / sum(y),
+    the problem is convex: y'Cy / 2 - sum(log y) / n over the cone least * sum(y) <= y <= most * sum(y). Newton's method with
+    damped steps solves it, behind a logarithmic barrier for the bounds that is lowered by steps. Directions without
+    risk are held by a trillionth of the mean variance.
+    """
     import numpy as np
 
-    low, high = w.min() - most - 1, w.max() - least + 1
-    for _ in range(80):
-        shift = (low + high) / 2
-        low, high = (shift, high) if np.clip(w - shift, least, most).sum() > 1 else (low, shift)
-    return np.clip(w - (low + high) / 2, least, most)
+    n = len(c)
+    if n * most - 1 < 1e-12 or 1 - n * least < 1e-12:
+        return np.full(n, 1 / n)
+    scale = max(float(np.trace(c)) / n, 1e-300)
+    c = c / scale + 1e-12 * np.eye(n)
+    sides = ([(1.0, least)] if least > 0 else []) + ([(-1.0, most)] if most < 1 else [])
+    y = np.full(n, 1.0)
+    y /= np.sqrt(max(y @ c @ y, 1e-12))
+    #: The barrier's share of the objective: 0 at once without bounds.
+    for share in [10.0**-k for k in range(1, 14)] if sides else [0.0]:
+
+        def value(y):
+            slack = [s * (y - bound * y.sum()) for s, bound in sides]
+            if y.min() <= 0 or any(x.min() <= 0 for x in slack):
+                return np.inf
+            return y @ c @ y / 2 - np.log(y).mean() - share * sum(np.log(x).sum() for x in slack)
+
+        for _ in range(200):
+            gradient, curve = c @ y - 1 / (n * y), c + np.diag(1 / (n * y * y))
+            for s, bound in sides:  # slack = A y, with A = s (I - bound 11')
+                x = s * (y - bound * y.sum())
+                turn = lambda v: s * (v - bound * v.sum())  # noqa: B023, E731
+                gradient = gradient - share * turn(1 / x)
+                square = np.diag(1 / (x * x))
+                square = square - bound * (square.sum(0)[None, :] + square.sum(1)[:, None]) + bound * bound * square.sum()
+                curve = curve + share * square
+            move = np.linalg.solve(curve, -gradient)
+            fall = -gradient @ move
+            if fall < 1e-26:
+                break
+            step, here = 1.0, value(y)
+            while step > 1e-12 and not value(y + step * move) <= here - 1e-4 * step * fall + 1e-15 * abs(here):
+                step /= 2
+            if step <= 1e-12:
+                break
+            y = y + step * move
+    return y / y.sum()
 
 
 def quadratic(c, m, least: float, most: float):
@@ -198,7 +278,7 @@ def optimise(returns: DataFrame, kind: str = "max_sharpe", rf: float = 0.0, aver
     Without bounds and target the solutions are closed forms, with the pseudo-inverse of a singular matrix. Within bounds
     they are optima of the bounded problem: min_variance and mean_variance (w'mu - aversion / 2 * w'Cw) as quadratic
     programs, max_sharpe as the best point of the efficient frontier. ``target_return``: the frontier's point with that
-    mean return (min_variance and mean_variance). risk_parity gives equal contributions to risk, moved to the nearest bounds.
+    mean return (min_variance and mean_variance). risk_parity gives equal contributions to risk, or comes as near as bounds allow.
     """
     import numpy as np
 
@@ -211,11 +291,7 @@ def optimise(returns: DataFrame, kind: str = "max_sharpe", rf: float = 0.0, aver
     bounded = least > -1e9 or most < 1e9
     frontier = lambda a: quadratic(c, mean / a, least, most)
     if kind == "risk_parity":
-        w = 1 / np.sqrt(np.maximum(np.diag(c), 1e-300))
-        for _ in range(500):
-            w = np.sqrt(w * max(w @ c @ w, 0.0) / len(w) / np.maximum(c @ w, 1e-12))
-            w = w / max(w.sum(), 1e-300)
-        w = within(w, least, most)
+        w = risk_parity(c, least, most)
     elif target_return is not None and kind != "max_sharpe":
         low, high = -20.0, 40.0  # of the logarithm of the aversion, in which the frontier's mean return falls
         for _ in range(60):

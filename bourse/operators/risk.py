@@ -56,10 +56,11 @@ def max_drawdown(returns: DataFrame) -> DataFrame:
     return curve.groupBy("ticker").agg(F.min("drawdown").alias("max_drawdown"))
 
 
-def bundle(returns: DataFrame, rf: float = 0.04, periods: int = 12) -> DataFrame:
-    """All figures of a ticker in one pass over its windowed returns."""
-    rows = series.drawdown(series.equity(with_benchmark(returns)))
-    return rows.groupBy("ticker").agg(
+def bundle(returns: DataFrame, rf: float = 0.04, periods: int = 12, key: str = "ticker", market: DataFrame | None = None) -> DataFrame:
+    """All figures of a ticker, or of another ``key``, in one pass over its windowed returns. ``market``: date, market; else the mean of ``returns``."""
+    rows = with_benchmark(returns) if market is None else returns.join(market, "date")
+    rows = series.drawdown(series.equity(rows, key), key)
+    return rows.groupBy(key).agg(
         var_historical("ret", 0.95).alias("var_95"), var_historical("ret", 0.99).alias("var_99"), sharpe("ret", rf, periods).alias("sharpe"), sortino("ret", rf, periods).alias("sortino"),
         F.regr_slope("ret", "market").alias("beta"), F.regr_intercept("ret", "market").alias("alpha"), F.min("drawdown").alias("max_drawdown"),
         (F.stddev_samp("ret") * float(periods) ** 0.5).alias("volatility"), F.corr("ret", "market").alias("correlation"),

@@ -55,6 +55,12 @@ def dividend_payout(spark, sf_dir):
     return rows.select("portfolio_id", "ticker", fix(payout(F.lit(2.5), F.col("quantity"), F.col("close")), 4).alias("payout"))
 
 
+@query("SELECT portfolio_id, ticker, quantity, avg_cost, realised, oversold FROM ledger")
+def holdings_ledger(spark, sf_dir):
+    """Every position that a portfolio ever had, with the cost basis of what is left, realised profit and what was sold beyond it."""
+    return portfolio.basis(views.transactions(spark, sf_dir))
+
+
 @query("SELECT username, p.portfolio_id, ticker, quantity, avg_cost FROM portfolios p LEFT JOIN holdings h ON h.portfolio_id = p.portfolio_id WHERE username LIKE '%1'")
 def portfolio_holdings_join(spark, sf_dir):
     own = views.portfolios(spark, sf_dir).filter(F.col("username").endswith("1"))

@@ -38,9 +38,12 @@ VIEWS = {
         WHEN 1 THEN 'X:BTCUSD' WHEN 2 THEN 'C:EURUSD' WHEN 3 THEN 'I:SPX' ELSE p_brand END AS symbol FROM part""",
     "transactions": """SELECT o_custkey AS portfolio_id, p_brand AS ticker, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS transaction_type, CAST(l_quantity AS BIGINT) AS quantity, floor(l_extendedprice * 100 / l_quantity + 0.5) / 100 AS price,
         CAST(l_shipdate AS DATE) AS date, row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey""",
-    "holdings": f"""SELECT portfolio_id, ticker, CAST(sum(CASE transaction_type WHEN 'buy' THEN quantity ELSE -quantity END) AS BIGINT) AS quantity,
-        {sql_fix("sum(price * quantity) FILTER (WHERE transaction_type = 'buy') / sum(quantity) FILTER (WHERE transaction_type = 'buy')", 4)} AS avg_cost FROM transactions GROUP BY 1, 2
-        HAVING sum(CASE transaction_type WHEN 'buy' THEN quantity ELSE -quantity END) > 0""",
+    "ledger": f"""SELECT portfolio_id, ticker, CAST(s.q AS BIGINT) AS quantity, {sql_fix("s.a", 4)} AS avg_cost, {sql_fix("s.r", 4)} AS realised, CAST(s.o AS BIGINT) AS oversold FROM (
+        SELECT portfolio_id, ticker, list_reduce(list({{'d': CASE transaction_type WHEN 'buy' THEN quantity ELSE -quantity END::DOUBLE, 'p': price::DOUBLE, 'q': 0.0::DOUBLE, 'a': 0.0::DOUBLE, 'r': 0.0::DOUBLE, 'o': 0.0::DOUBLE}} ORDER BY date, seq),
+        lambda s, x: {{'d': 0.0::DOUBLE, 'p': 0.0::DOUBLE, 'q': greatest(s.q + x.d, 0.0)::DOUBLE, 'a': (CASE WHEN x.d > 0 THEN (s.q * s.a + x.d * x.p) / (s.q + x.d) WHEN s.q + x.d > 0 THEN s.a ELSE 0.0 END)::DOUBLE,
+            'r': (CASE WHEN x.d < 0 THEN s.r + least(s.q, -x.d) * (x.p - s.a) ELSE s.r END)::DOUBLE, 'o': (s.o + greatest(-x.d - s.q, 0.0))::DOUBLE}},
+        {{'d': 0.0::DOUBLE, 'p': 0.0::DOUBLE, 'q': 0.0::DOUBLE, 'a': 0.0::DOUBLE, 'r': 0.0::DOUBLE, 'o': 0.0::DOUBLE}}) AS s FROM transactions GROUP BY 1, 2)""",
+    "holdings": "SELECT portfolio_id, ticker, quantity, avg_cost FROM ledger WHERE quantity > 0",
     "portfolios": "SELECT c_custkey AS portfolio_id, c_name AS username, c_acctbal AS balance FROM customer",
     "latest": "SELECT ticker, arg_max(close, date) AS close, max(date) AS date FROM bars GROUP BY ticker",
     "board": f"""SELECT ticker, close AS price, {sql_fix("100 * (close - prev) / prev", 4)} AS change FROM (SELECT ticker, date, close, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS prev FROM bars)

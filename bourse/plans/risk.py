@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import fix
-from ..operators import backtest, portfolio, risk, series
+from ..operators import backtest, book_risk, covariance, portfolio, risk, series
 from ..sources import views
 from .holdings import _PAIRS
 from .registry import query, sql_fix
@@ -65,17 +65,85 @@ def risk_bundle(spark, sf_dir):
 
 @query(f"WITH {_PAIRS} SELECT a, b, {sql_fix('cov', 8)} AS cov, {sql_fix('r', 5)} AS corr, n FROM c")
 def correlation_matrix(spark, sf_dir):
-    return portfolio.covariances(views.returns(spark, sf_dir)).select("a", "b", fix(F.col("cov"), 8).alias("cov"), fix(F.col("corr"), 5).alias("corr"), "n")
+    return covariance.mirrored(covariance.upper(views.returns(spark, sf_dir))).select("a", "b", fix(F.col("cov"), 8).alias("cov"), fix(F.col("corr"), 5).alias("corr"), "n")
 
 
 @query(f"WITH {_PAIRS} SELECT a, string_agg(b || '=' || CAST(CAST(floor(r * 1000 + 0.500001) AS BIGINT) AS VARCHAR), ' ' ORDER BY b) AS correlations FROM c GROUP BY 1")
 def correlation_map(spark, sf_dir):
     """The nested form, in thousandths, shown as text."""
-    nested = risk.correlation_map(portfolio.covariances(views.returns(spark, sf_dir)))
+    nested = risk.correlation_map(covariance.mirrored(covariance.upper(views.returns(spark, sf_dir))))
     shown = F.transform(F.array_sort(F.map_entries("correlations")), lambda e: F.concat(e["key"], F.lit("="), F.floor(e["value"] * 1000 + 0.500001).cast("string")))
     return nested.select("a", F.array_join(shown, " ").alias("correlations"))
 
 
+#: Cyclical coordinate descent on w'Cw / 2 - sum(log w) / n, a coordinate a step.
+_PARITY = f"""{_PAIRS}, k AS (SELECT list(v ORDER BY a) AS m, count(*) AS n, list(a ORDER BY a) AS names FROM (SELECT a, list(cov ORDER BY b) AS v FROM c GROUP BY a)),
+    d(step, i, y) AS (SELECT 0, 1, list_transform(m, lambda row, i: 1 / sqrt(n * row[i])) FROM k
+        UNION ALL SELECT step + 1, i % n + 1, list_concat(y[1:i - 1], [(sqrt(b * b + 4 * v / n) - b) / (2 * v)], y[i + 1:]) FROM (SELECT step, i, y, n, m[i][i] AS v, list_dot_product(m[i], y) - m[i][i] * y[i] AS b FROM d, k) WHERE step < 150 * n),
+    e AS (SELECT list_transform(y, lambda x: x / list_sum(y)) AS w FROM d ORDER BY step DESC LIMIT 1),
+    p AS (SELECT unnest(names) AS ticker, unnest(w) AS weight, unnest(list_transform(m, lambda row, i: w[i] * list_dot_product(row, w))) AS part, list_dot_product(w, list_transform(m, lambda row: list_dot_product(row, w))) AS whole FROM e, k)"""
+
+
+@query(f"WITH RECURSIVE {_PARITY} SELECT ticker, {sql_fix('weight', 6)} AS weight, {sql_fix('part / whole', 6)} AS contribution FROM p")
+def risk_parity(spark, sf_dir):
+    """The weights of equal risk and each ticker's share of the variance, from Spark's covariances."""
+    rets = views.returns(spark, sf_dir)
+    weights = portfolio.optimise(rets, "risk_parity")
+    return portfolio.contributions(weights, rets).select("ticker", fix(F.col("weight"), 6).alias("weight"), fix(F.col("contribution"), 6).alias("contribution"))
+
+
+_SERIES = """w AS (SELECT portfolio_id, ticker, quantity * close AS weight FROM holdings JOIN latest USING (ticker)), v AS (SELECT portfolio_id, sum(weight) AS value FROM w GROUP BY 1),
+    s AS (SELECT portfolio_id, date, sum(weight * ret) / sum(weight) AS ret FROM w JOIN returns USING (ticker) GROUP BY 1, 2)"""
+
+
+def _book(spark, sf_dir):
+    """Portfolios' holdings by value, their values and return series."""
+    held = portfolio.valued(views.holdings(spark, sf_dir), views.latest(spark, sf_dir)).select("portfolio_id", "ticker", F.col("value").alias("weight"))
+    return held, held.groupBy("portfolio_id").agg(F.sum("weight").alias("value")), book_risk.returns_of(held, views.returns(spark, sf_dir))
+
+
+@query(f"WITH {_SERIES} SELECT portfolio_id, date, {sql_fix('ret', 6)} AS ret FROM s")
+def portfolio_returns(spark, sf_dir):
+    return _book(spark, sf_dir)[2].withColumn("ret", fix(F.col("ret"), 6))
+
+
+_AT_RISK = {"historical": "quantile_cont(ret, 0.05)", "parametric": "avg(ret) - 1.6448536269514722 * stddev_samp(ret)"}
+
+
+@query(
+    f"WITH {_SERIES} "
+    + " UNION ALL ".join(
+        f"SELECT portfolio_id, '{m}' AS method, {sql_fix('any_value(value)', 2)} AS portfolio_value, {sql_fix(f'100 * ({x})', 4)} AS var_percentage, {sql_fix(f'any_value(value) * ({x})', 2)} AS var_amount FROM s JOIN v USING (portfolio_id) GROUP BY portfolio_id" for m, x in _AT_RISK.items()
+    )
+)
+def portfolio_var(spark, sf_dir):
+    _, values, rets = _book(spark, sf_dir)
+    parts = [book_risk.value_at_risk(rets, values, 0.95, 1, method).withColumn("method", F.lit(method)) for method in _AT_RISK]
+    rows = parts[0].unionByName(parts[1])
+    return rows.select("portfolio_id", "method", fix(F.col("portfolio_value"), 2).alias("portfolio_value"), fix(F.col("var_percentage"), 4).alias("var_percentage"), fix(F.col("var_amount"), 2).alias("var_amount"))
+
+
+@query()
+def portfolio_var_monte_carlo(spark, sf_dir):
+    held, values, _ = _book(spark, sf_dir)
+    return book_risk.amounts(book_risk.monte_carlo(held, views.returns(spark, sf_dir)), values)
+
+
+_BOOK_CURVE = "e AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY portfolio_id ORDER BY date)) AS v FROM x), dd AS (SELECT *, v / max(v) OVER (PARTITION BY portfolio_id ORDER BY date) - 1 AS drawdown FROM e)"
+
+
+@query(
+    f"""WITH {_SERIES}, m AS (SELECT date, avg(ret) AS market FROM returns GROUP BY 1), x AS (SELECT * FROM s JOIN m USING (date)), {_BOOK_CURVE} SELECT portfolio_id, {sql_fix("quantile_cont(ret, 0.05)", 6)} AS var_95, {sql_fix("quantile_cont(ret, 0.01)", 6)} AS var_99,
+    {sql_fix("(avg(ret) * 12 - 0.04) / (nullif(stddev_samp(ret), 0) * sqrt(12))", 5)} AS sharpe, {sql_fix("(avg(ret) * 12 - 0.04) / (nullif(sqrt(avg(pow(least(ret - 0.04 / 12, 0), 2))), 0) * sqrt(12))", 5)} AS sortino, {sql_fix("regr_slope(ret, market)", 5)} AS beta, {sql_fix("regr_intercept(ret, market)", 6)} AS alpha, {sql_fix("min(drawdown)", 6)} AS max_drawdown,
+    {sql_fix("stddev_samp(ret) * sqrt(12)", 6)} AS volatility, {sql_fix("corr(ret, market)", 5)} AS correlation FROM dd GROUP BY 1"""
+)
+def portfolio_risk_bundle(spark, sf_dir):
+    digits = {"sharpe": 5, "sortino": 5, "beta": 5, "correlation": 5}
+    market = views.returns(spark, sf_dir).groupBy("date").agg(F.avg("ret").alias("market"))
+    rows = risk.bundle(_book(spark, sf_dir)[2], key="portfolio_id", market=market)
+    return rows.select("portfolio_id", *[fix(F.col(c), digits.get(c, 6)).alias(c) for c in rows.columns if c != "portfolio_id"])
+
+
 @query(f"SELECT ticker, date, {sql_fix('ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY date))', 6)} AS ret FROM bars")
 def log_returns(spark, sf_dir):
     return series.returns(views.bars(spark, sf_dir), log=True).select("ticker", "date", fix(F.col("ret"), 6).alias("ret"))
@@ -102,22 +170,39 @@ _POSITIONS = {
 }
 
 
+def _trades_sql(name: str) -> str:
+    return f"""p AS ({_POSITIONS[name]}), i AS (SELECT *, sum(turn) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS run FROM (
+            SELECT ticker, date, close, position, CASE WHEN position <> coalesce(lag(position) OVER (PARTITION BY ticker ORDER BY date), 0) THEN 1 ELSE 0 END AS turn FROM p)),
+        g AS (SELECT ticker, run, any_value(position) AS position, min(date) AS entry_date, arg_min(close, date) AS entry_price, max(date) AS last_date, arg_max(close, date) AS last_close FROM i GROUP BY 1, 2),
+        l AS (SELECT *, lead(entry_date) OVER v AS next_date, lead(entry_price) OVER v AS next_price FROM g WINDOW v AS (PARTITION BY ticker ORDER BY run)),
+        t AS (SELECT ticker, CASE WHEN position > 0 THEN 'long' ELSE 'short' END AS direction, entry_date, coalesce(next_date, last_date) AS exit_date, entry_price, coalesce(next_price, last_close) AS exit_price, position * 10000 / entry_price AS quantity,
+            next_date IS NULL AS is_open, position * 10000 / entry_price * (coalesce(next_price, last_close) - entry_price) AS profit FROM l WHERE position <> 0)"""
+
+
 def _figures_sql(name: str) -> str:
-    return f"""p AS ({_POSITIONS[name]}), r AS (SELECT *, greatest(coalesce(lag(position) OVER w * (close / lag(close) OVER w - 1), 0), -0.99) AS ret, CASE WHEN position <> coalesce(lag(position) OVER w, 0) THEN 1 ELSE 0 END AS turn FROM p WINDOW w AS (PARTITION BY ticker ORDER BY date)),
-        {_CURVE % "r"}, f AS (SELECT ticker, 10000 * arg_max(v, date) AS final_value, count(*) AS n, min(drawdown) AS max_drawdown, (avg(ret) * 12 - 0.04) / (nullif(stddev_samp(ret), 0) * sqrt(12)) AS sharpe, (avg(ret) * 12 - 0.04) / (nullif(sqrt(avg(pow(least(ret - 0.04 / 12, 0), 2))), 0) * sqrt(12)) AS sortino, sum(turn) AS trades,
-        count(*) FILTER (WHERE ret > 0) / nullif(count(*) FILTER (WHERE ret <> 0), 0) AS win_rate, avg(ret) FILTER (WHERE ret > 0) AS avg_win, avg(ret) FILTER (WHERE ret < 0) AS avg_loss FROM dd GROUP BY 1)"""
+    return f"""{_trades_sql(name)}, r AS (SELECT *, greatest(coalesce(lag(position) OVER w * (close / lag(close) OVER w - 1), 0), -0.99) AS ret FROM p WINDOW w AS (PARTITION BY ticker ORDER BY date)), {_CURVE % "r"},
+        k AS (SELECT ticker, 10000 * arg_max(v, date) AS final_value, count(*) AS n, min(drawdown) AS max_drawdown, (avg(ret) * 12 - 0.04) / (nullif(stddev_samp(ret), 0) * sqrt(12)) AS sharpe, (avg(ret) * 12 - 0.04) / (nullif(sqrt(avg(pow(least(ret - 0.04 / 12, 0), 2))), 0) * sqrt(12)) AS sortino FROM dd GROUP BY 1),
+        f AS (SELECT k.*, coalesce(q.trades, 0) AS trades, coalesce(q.profitable, 0) AS profitable, q.profitable / q.trades AS win_rate, avg_win, avg_loss FROM k LEFT JOIN (
+            SELECT ticker, count(*) AS trades, count(*) FILTER (WHERE profit > 0) AS profitable, avg(profit) FILTER (WHERE profit > 0) AS avg_win, avg(profit) FILTER (WHERE profit < 0) AS avg_loss FROM t GROUP BY 1) q USING (ticker))"""
 
 
 def _report(rows):
     return rows.select(
-        "ticker", fix(F.col("final_value"), 2).alias("final_value"), fix(F.col("total_return"), 6).alias("total_return"), fix(F.col("annual_return"), 6).alias("annual_return"), fix(F.col("max_drawdown"), 6).alias("max_drawdown"),
-        fix(F.col("sharpe"), 5).alias("sharpe"), fix(F.col("sortino"), 5).alias("sortino"), fix(F.col("win_rate"), 6).alias("win_rate"), F.col("trades").cast("long").alias("trades"), fix(F.col("avg_win"), 6).alias("avg_win"), fix(F.col("avg_loss"), 6).alias("avg_loss"),
+        "ticker", fix(F.col("final_value"), 2).alias("final_value"), fix(F.col("total_return"), 6).alias("total_return"), fix(F.col("annual_return"), 6).alias("annual_return"), fix(F.col("max_drawdown"), 6).alias("max_drawdown"), fix(F.col("sharpe"), 5).alias("sharpe"),
+        fix(F.col("sortino"), 5).alias("sortino"), fix(F.col("win_rate"), 6).alias("win_rate"), F.col("trades").cast("long").alias("trades"), F.col("profitable").cast("long").alias("profitable"), fix(F.col("avg_win"), 2).alias("avg_win"), fix(F.col("avg_loss"), 2).alias("avg_loss"),
     )
 
 
 def _report_sql(name: str) -> str:
     return f"""WITH {_figures_sql(name)} SELECT ticker, {sql_fix("final_value", 2)} AS final_value, {sql_fix("final_value / 10000 - 1", 6)} AS total_return, {sql_fix("pow(final_value / 10000, 12.0 / n) - 1", 6)} AS annual_return, {sql_fix("max_drawdown", 6)} AS max_drawdown,
-        {sql_fix("sharpe", 5)} AS sharpe, {sql_fix("sortino", 5)} AS sortino, {sql_fix("win_rate", 6)} AS win_rate, CAST(trades AS BIGINT) AS trades, {sql_fix("avg_win", 6)} AS avg_win, {sql_fix("avg_loss", 6)} AS avg_loss FROM f"""
+        {sql_fix("sharpe", 5)} AS sharpe, {sql_fix("sortino", 5)} AS sortino, {sql_fix("win_rate", 6)} AS win_rate, CAST(trades AS BIGINT) AS trades, CAST(profitable AS BIGINT) AS profitable, {sql_fix("avg_win", 2)} AS avg_win, {sql_fix("avg_loss", 2)} AS avg_loss FROM f"""
+
+
+@query(f"WITH {_trades_sql('mean_reversion')} SELECT ticker, direction, entry_date, exit_date, entry_price, exit_price, {sql_fix('quantity', 4)} AS quantity, {sql_fix('abs(quantity) * entry_price', 2)} AS cost, {sql_fix('profit', 2)} AS profit, is_open FROM t")
+def bt_trades(spark, sf_dir):
+    """The list of round trips of a strategy that goes long and short."""
+    rows = backtest.trades(backtest.mean_reversion(views.months(spark, sf_dir), 6, 1.0))
+    return rows.withColumns({"quantity": fix(F.col("quantity"), 4), "cost": fix(F.col("cost"), 2), "profit": fix(F.col("profit"), 2)})
 
 
 @query(_report_sql("buy_hold"))

@@ -18,7 +18,7 @@ def test_matches_sql(spark, sf_dir, con, name):
 
 def test_runs(spark, sf_dir):
     """The queries without a SQL twin, executed: what holds of their rows whatever the solver or the draws."""
-    without = {"optimised_weights", "synthetic_candles", "var_monte_carlo"}
+    without = {"optimised_weights", "portfolio_var_monte_carlo", "synthetic_candles", "var_monte_carlo"}
     assert set(registry.QUERIES) - set(registry.ORACLES) == without
     got = {name: registry.QUERIES[name](spark, sf_dir).collect() for name in without}
     kinds = {}
@@ -28,6 +28,7 @@ def test_runs(spark, sf_dir):
     candles = sorted(got["synthetic_candles"], key=lambda r: r.id)
     assert len(candles) == 50 and all(a.close == pytest.approx(b.open) for a, b in zip(candles, candles[1:]))
     assert all(r.low <= min(r.open, r.close) <= max(r.open, r.close) <= r.high for r in candles)
+    assert got["portfolio_var_monte_carlo"] and all(r.var_amount == pytest.approx(r.var_percentage / 100 * r.portfolio_value) for r in got["portfolio_var_monte_carlo"])
     moments = {r.ticker: (r.mu, r.sd) for r in views.returns(spark, sf_dir).groupBy("ticker").agg(F.avg("ret").alias("mu"), F.stddev_samp("ret").alias("sd")).collect()}
     for r in got["var_monte_carlo"]:
         mu, sd = moments[r.ticker]
