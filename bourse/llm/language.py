@@ -200,8 +200,8 @@ def identify(docs: DataFrame, held_out=None) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score.
 
     ``held_out``: a condition on the rows that aren't learned from (default: crc32 of doc_id mod 3 is 1).
-    Each language has a tree of byte contexts up to ORDER long, of its own texts alone; every byte is coded, also those that
-    training doesn't have. A text's exact code length is summed under each tree, and the shortest wins; ties go to the language that sorts first. score is the winner's
+    Each language has a tree of byte contexts up to ORDER long, of its own texts alone; contexts of two bytes or more that it
+    has seen less than MIN_SEEN times are left to their suffixes. Every byte is coded, also those that training doesn't have. A text's exact code length is summed under each tree, and the shortest wins; ties go to the language that sorts first. score is the winner's
     share when a byte's mean saving counts as 32 bits. Null texts and those without a letter are ``und``
     with score 0, and so are all if nothing could be learned. Learning reads about SAMPLE_DOCS labelled rows
     per language, a documented bound, so the tables sent to the workers are a few MB a language; scoring reads

@@ -20,8 +20,8 @@ LEAST_SEEN = 2
 LEAST_SAVING = 1.0
 #: The test reads the suffix's code lengths in such parts of a bit.
 BIT_PARTS = 256
-#: What follows a context is spread over several tasks, and the context kept without a test, from so many occurrences,
-#: and from so large a share of all tokens: at most SHARES contexts of a length are, whatever the corpus.
+#: What follows a context is spread over several tasks from so many occurrences, and from so large a share of all tokens: at
+#: most SHARES contexts of a length are, whatever the corpus. They are tested like all others, from sums over their parts.
 SPREAD_FROM, SHARES = 1 << 20, 1 << 16
 #: Symbols: a word that training doesn't have, a text's start and its end; training words come after.
 RARE, START, END = 0, 1, 2
@@ -170,6 +170,39 @@ class Words:
         return [pack(*np.array([known[w] for w in unpack(body)[0].split(b" ")], np.int64).reshape(-1, 2).T) for body in bodies]
 
 
+def savings(total: np.ndarray, lengths: np.ndarray, n, kinds) -> np.ndarray:
+    """Bits that a context saves on each next symbol's ``total`` occurrences, against its suffix's code lengths: the context has
+    ``n`` occurrences and ``kinds`` next symbols."""
+    lower = np.exp2(-lengths / BIT_PARTS)
+    own = (total + kinds * lower) / np.maximum(n + kinds, 1)
+    return total * (np.log2(np.where(total > 0, own, 1)) + lengths / BIT_PARTS)
+
+
+def spread_kinds(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts that are spread, SHARES at most, and their numbers of distinct next symbols (0: not kept).
+
+    Their parts' occurrences and numbers are summed first; with these sums each part tells what it saves, and the savings are
+    summed and tested like any context's.
+    """
+
+    def sized(batch):
+        return [batch.column(0), batch.column(1), [int(unpack(b)[0].sum()) for b in batch.column(2).to_pylist()]]
+
+    parts = rows.select("n", "v", "body")
+    sizes = parts.mapInArrow(common.batches(sized, pa.schema([("n", pa.int64()), ("v", pa.int64()), ("total", pa.int64())])), "n long, v long, total long")
+    known = np.array(sizes.groupBy("n").agg(F.sum("v"), F.sum("total")).orderBy("n").collect(), np.int64).reshape(-1, 3)
+    if not len(known):
+        return known[:, 0], known[:, 1]
+
+    def saved(batch):
+        places = np.searchsorted(known[:, 0], batch.column(0).to_numpy())
+        bits = [float(savings(*unpack(b), known[i, 2], known[i, 1]).sum()) for i, b in zip(places, batch.column(2).to_pylist())]
+        return [batch.column(0), bits]
+
+    bits = parts.mapInArrow(common.batches(saved, pa.schema([("n", pa.int64()), ("saved", pa.float64())])), "n long, saved double").groupBy("n").agg(F.sum("saved")).orderBy("n").collect()
+    return known[:, 0], np.where(np.array([b[1] for b in bits]) >= LEAST_SAVING * known[:, 1], known[:, 1], 0)
+
+
 class Entries:
     """Questions of entries, a context and a next symbol, by bucket: what training has of them, and if the context is kept.
 
@@ -196,20 +229,21 @@ class Entries:
 
     @staticmethod
     def answers(bodies: list[bytes], bucket: int, facts: dict) -> tuple[list[bytes], list[tuple]]:
-        """Each entry's count, and its number as a context to be (0: seen too rarely); each context's number of distinct next symbols (0: not kept)."""
+        """Each entry's count, and its number as a context to be (0: seen too rarely); each context's number of distinct next symbols (0: not kept).
+
+        Of a context that is spread, the bucket's number and its entries' counts and code lengths go on to ``spread_kinds``.
+        """
         context, of, owner, _, at, total, lengths, (n_contexts, n_entries) = Entries.read(bodies)
         seen = total > 0
         n, kinds = np.bincount(owner, total, len(context)), np.bincount(owner, seen, len(context))
-        lower = np.exp2(-lengths / BIT_PARTS)
-        own = (total + kinds[owner] * lower) / np.maximum(n + kinds, 1)[owner]
-        saved = np.bincount(owner, np.where(seen, total * (np.log2(np.where(seen, own, 1)) + lengths / BIT_PARTS), 0), len(context))
+        saved = np.bincount(owner, np.where(seen, savings(total, lengths, n[owner], kinds[owner]), 0), len(context))
         spread = context & 1 > 0
         kept = np.where(~spread & (saved >= LEAST_SAVING * kinds), kinds, 0).astype(np.int64)
         frequent = total >= LEAST_SEEN
         number = np.where(frequent, np.cumsum(frequent) * facts["buckets"] + bucket, 0)
         ends = np.cumsum(n_entries)[:-1]
         out = [pack(a, b, c) for a, b, c in zip(np.split(total[at], ends), np.split(number[at], ends), np.split(kept[of], np.cumsum(n_contexts)[:-1]))]
-        return out, [(SPREAD, bucket, None, int(c >> 1), int(k)) for c, k in zip(context[spread], kinds[spread])]
+        return out, [(SPREAD, bucket, pack(total[(owner == i) & seen], lengths[(owner == i) & seen]), int(context[i] >> 1), int(kinds[i])) for i in np.flatnonzero(spread)]
 
     @staticmethod
     def dealt(bodies: list[bytes], merged: bytes, told: bytes) -> list[bytes]:
@@ -364,8 +398,8 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
     Words, contexts and what follows them grow with the corpus and stay distributed. Documents are taken in blocks of about
     BLOCK_BYTES as they lie in the input; a block asks once for each distinct word, then, level by level, once for each
     distinct entry of a context and a next word, so a very common one costs one entry a block. A context's entries meet in
-    one bucket; those of a context that is a share of 1 / SHARES of all tokens are spread over many, and such a context is
-    kept without a test: the driver sees the number of distinct next words of these, SHARES a level at most.
+    one bucket; those of a context that is a share of 1 / SHARES of all tokens are spread over many, and its test adds up what
+    they tell in two passes: the driver sees two sums of each of these, SHARES a level at most.
 
     A null or empty text is its end alone. Without training rows, base_score is 0 and score 0. Repeated
     rows are scored row by row; columns other than doc_id and text are ignored; no rows give no rows.
@@ -406,8 +440,7 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
 
     for depth in range(1, DEPTH + 1):
         told = common.materialise(answered(asked(depth, facts), Entries, n_blocks, facts), "answers")
-        spread = told.filter(F.col("kind") == SPREAD).groupBy("n").agg(F.sum("v")).orderBy("n").collect()
-        facts = facts | {"kinds": facts["kinds"] | {depth: tuple(np.array([r[i] for r in spread], np.int64) for i in (0, 1))}}
+        facts = facts | {"kinds": facts["kinds"] | {depth: spread_kinds(told.filter(F.col("kind") == SPREAD))}}
         tables.append(told.filter(F.col("kind") != SPREAD))
         common.release(docs.sparkSession)
 

@@ -137,7 +137,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                 found.setdefault("phone", []).append(m.span())
         elif what == "login":
             start = at
-            while start > max(0, at - 16) and text[start - 1] in _LETTER:
+            while start and text[start - 1] in _LETTER:  # no letter is an anchor's, so no letter is read twice
                 start -= 1
             if start < at and (m := _LOGIN.match(text, at)):
                 found.setdefault("login", []).append((start, m.end()))

@@ -50,7 +50,7 @@ def shape(word: str) -> str:
             return "A"
         if word[0].isupper() and word[1:].islower():
             return "Aa"
-    return _RUN.sub(r"\1", "".join(["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "a" if c.isalpha() else c for c in word[:48]]))
+    return _RUN.sub(r"\1", "".join(["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "a" if c.isalpha() else c for c in word]))
 
 
 class _Columns(dict):
