@@ -46,10 +46,11 @@ def rolling_vwap_continuous(trades: DataFrame, seconds: int, key: str = "ticker"
     return out.filter("_own").drop("_us", "_pq", "_chunk", "_own")
 
 
-def duplicate_orders(orders: DataFrame, horizon: int) -> DataFrame:
-    """Occurrences within ``horizon`` seconds of the one before with the same id; repeats stay."""
-    prev = F.lag("ts").over(W.partitionBy("order_id").orderBy("ts", "seq"))
-    return orders.withColumn("prev_ts", prev).filter(F.col("ts") - F.col("prev_ts") <= horizon)
+def duplicate_orders(orders: DataFrame, horizon: int, chunk: int = CHUNK_SECONDS) -> DataFrame:
+    """Occurrences within ``horizon`` seconds of the one before with the same id; repeats stay. Dealt by (id, chunk of time)."""
+    rows = in_chunks(orders, "ts", horizon, chunk)
+    prev = F.lag("ts").over(W.partitionBy("order_id", "_chunk").orderBy("ts", "seq"))
+    return rows.withColumn("prev_ts", prev).filter(F.col("_own") & (F.col("ts") - F.col("prev_ts") <= horizon)).drop("_chunk", "_own")
 
 
 #: Levels of a ladder in a block of running sums.
@@ -93,20 +94,41 @@ def match_children(parents: DataFrame, children: DataFrame) -> DataFrame:
 CHUNK_EVENTS = 65_536
 
 
-def in_book_chunks(quotes: DataFrame, chunk: int = CHUNK_EVENTS) -> DataFrame:
-    """Events dealt by (symbol, _chunk of seq), each chunk led by the levels that are live at its start (``_own`` false).
+def in_book_chunks(quotes: DataFrame, chunk: int = CHUNK_EVENTS, live: DataFrame | None = None) -> DataFrame:
+    """Events dealt by (symbol, _chunk), each chunk led by the levels that are live at its start (``_own`` false).
 
-    A level's last event in a chunk is carried into the chunks up to that of its next event, or to the symbol's last one.
-    So a busy symbol's events are spread over many tasks; what is carried is a chunk's live levels.
+    A chunk is about ``chunk`` events of one symbol in order, twice as many at most, so a quiet symbol has one and a busy one is
+    spread over many tasks. A chunk is summed up by the last event of each level; these summaries compose: a level that its
+    chunk leaves live is handed on to the symbol's chunks up to that of its next event. So what is carried is at most the
+    live levels of each chunk. ``live``: levels (symbol, side, price) from before the first event.
     """
-    rows = quotes.filter("symbol IS NOT NULL").select("symbol", "seq", "action", "side", "price", "size", F.floor(F.col("seq") / chunk).alias("_chunk"))
-    last = rows.groupBy("symbol").agg(F.max("_chunk").alias("_last"))
-    following = F.lead("_chunk").over(W.partitionBy("symbol", "side", "price").orderBy("seq"))
-    live = (F.lower("action") == "upsert") & (F.col("size") > 0)
-    ends = rows.withColumn("_next", following).filter(live & (F.col("_next").isNull() | (F.col("_next") > F.col("_chunk")))).join(last, "symbol")
-    until = F.coalesce("_next", "_last")
-    carried = ends.filter(until > F.col("_chunk")).select("symbol", "seq", "action", "side", "price", "size", F.explode(F.sequence(F.col("_chunk") + 1, until)).alias("_chunk"), F.lit(False).alias("_own"))
-    return rows.withColumn("_own", F.lit(True)).unionByName(carried)
+    rows = quotes.filter("symbol IS NOT NULL").select("symbol", "seq", "action", "side", "price", "size", F.lit(True).alias("_own"))
+    if live is not None:
+        before = live.select("symbol", F.lit(-(1 << 62)).alias("seq"), F.lit("upsert").alias("action"), "side", "price", F.lit(1).cast("long").alias("size"), F.lit(False).alias("_own"))
+        rows = rows.unionByName(before.join(rows.select("symbol").distinct(), "symbol", "left_semi"))
+    rows = rows.withColumn("_run", F.floor(F.col("seq") / chunk))
+    runs = rows.groupBy("symbol", "_run").agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.coalesce(F.sum("n").over(W.partitionBy("symbol").orderBy("_run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select("symbol", "_run", F.floor(earlier / chunk).alias("_chunk"))
+    rows = rows.join(runs, ["symbol", "_run"]).drop("_run")
+    last = rows.groupBy("symbol", "side", "price", "_chunk").agg(F.max_by(_is_live(), "seq").alias("stays"), F.max("seq").alias("seq"))
+    ends = last.withColumn("_next", F.lead("_chunk").over(W.partitionBy("symbol", "side", "price").orderBy("_chunk"))).filter("stays")
+    ends = ends.join(runs.groupBy("symbol").agg(F.max("_chunk").alias("_last")), "symbol").withColumn("_until", F.coalesce("_next", "_last")).filter("_until > _chunk")
+    into = F.explode(F.sequence(F.col("_chunk") + 1, F.col("_until"))).alias("_chunk")
+    carried = ends.select("symbol", "seq", F.lit("upsert").alias("action"), "side", "price", F.lit(1).cast("long").alias("size"), F.lit(False).alias("_own"), into)
+    return rows.unionByName(carried)
+
+
+def _is_live():
+    return F.coalesce((F.lower("action") == "upsert") & (F.col("size") > 0), F.lit(False))
+
+
+def live_levels(quotes: DataFrame, live: DataFrame | None = None) -> DataFrame:
+    """The levels that are live after the events, of those that were and those that came: symbol, side, price."""
+    last = quotes.filter("symbol IS NOT NULL").groupBy("symbol", "side", "price").agg(F.max_by(_is_live(), "seq").alias("stays"))
+    if live is not None:
+        last = last.unionByName(live.join(last, ["symbol", "side", "price"], "left_anti").withColumn("stays", F.lit(True)))
+    return last.filter("stays").select("symbol", "side", "price")
 
 
 def best_quotes_by_interval(quotes: DataFrame, chunk: int = 2_048) -> DataFrame:
@@ -145,10 +167,10 @@ class Book:
         return [(side, p) for side in "BA" for p in self.prices[side]]
 
 
-def best_quotes(quotes: DataFrame, chunk: int = CHUNK_EVENTS) -> DataFrame:
+def best_quotes(quotes: DataFrame, chunk: int = CHUNK_EVENTS, live: DataFrame | None = None) -> DataFrame:
     """Best bid and ask after each event: a symbol's chunks are dealt to tasks, sorted by event, and replayed in Arrow batches.
 
-    Only the live levels of one symbol are held at a time.
+    Only the live levels of one symbol are held at a time. ``live``: levels from before the first event.
     """
 
     def replay(frames):
@@ -166,7 +188,7 @@ def best_quotes(quotes: DataFrame, chunk: int = CHUNK_EVENTS) -> DataFrame:
             out = pd.DataFrame({"symbol": frame["symbol"], "seq": frame["seq"], "best_bid": pd.Series(bids, dtype="float64"), "best_ask": pd.Series(asks, dtype="float64")})
             yield out[frame["_own"].to_numpy(bool)]
 
-    rows = in_book_chunks(quotes, chunk).repartition("symbol", "_chunk").sortWithinPartitions("symbol", "_chunk", "_own", "seq")
+    rows = in_book_chunks(quotes, chunk, live).repartition("symbol", "_chunk").sortWithinPartitions("symbol", "_chunk", "_own", "seq")
     out = rows.mapInPandas(replay, "symbol long, seq long, best_bid double, best_ask double")
     blank = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
     return out.select("symbol", "seq", blank("best_bid"), blank("best_ask"))

@@ -6,15 +6,15 @@ time within each key, whatever batch or order they came in. A key's state goes w
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from ..operators.orderflow import CHUNK_SECONDS, Book, in_chunks
-from ..sources.shared import shared_path
+from ..operators import orderflow
+from ..operators.orderflow import CHUNK_SECONDS, in_chunks
+from ..sources.shared import remove, shared_path
 
 #: Seconds of event time without a row after which a key's state goes.
 IDLE = 30 * 86_400
@@ -40,26 +40,32 @@ def text_frames(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return parsed.select("x.*", F.when(F.col("x").isNull(), F.col("value")).alias("unparsed"))
 
 
-def drain(stream: DataFrame, watched: Callable[[DataFrame], DataFrame], ts: str = "ts") -> DataFrame:
+def drain(stream: DataFrame, watched: Callable, ts: str = "ts", at_once: bool = False) -> DataFrame:
     """What ``watched`` makes of all that is in ``stream`` now, as Parquet in the folder that spark.checkpoint.dir names.
 
     No row comes to the driver. The stream runs to the end of what is there; then a row of the time END joins it, and it
     runs again from its checkpoint, so that the watermark passes every row and every window and key is answered. That row
-    has no other values and is dropped before ``watched`` keys any; a lost run goes on from its checkpoint.
+    has no other values and is dropped before ``watched`` keys any; a lost run goes on from its checkpoint. ``at_once``: the
+    stream takes all there is in one batch, so END joins that batch, and one run is enough.
     """
     spark = stream.sparkSession
     path, ending = (shared_path(spark, name) for name in ("drained", "ending"))
     spark.createDataFrame([], stream.schema).write.parquet(ending)
-    both = stream.unionByName(spark.readStream.schema(stream.schema).parquet(ending))
-    out = watched(both)
+    out = watched(stream.unionByName(spark.readStream.schema(stream.schema).parquet(ending)))
+    if isinstance(out, Batches):
+        remove(spark, ending)
+        return watched(stream).drain()
 
     def run():
         out.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{path}-log").format("parquet").start(path).awaitTermination()
 
-    run()
+    if not at_once:
+        run()
     last = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != ts else F.lit(END).cast(f.dataType).alias(ts) for f in stream.schema]
     spark.range(1).select(*last).write.mode("append").parquet(ending)
     run()
+    remove(spark, f"{path}-log")
+    remove(spark, ending)
     return spark.read.schema(out.schema).parquet(path)
 
 
@@ -75,11 +81,26 @@ def refreshed(stream: DataFrame, path: str, every: str = "3 seconds", mode: str
     return stream.writeStream.outputMode(mode).trigger(processingTime=every).option("checkpointLocation", f"{path}-log").format("parquet").start(path)
 
 
+#: Days from the start of 1970 to the first Monday.
+MONDAY = "4 days"
+
+
 def tumbling_bars(ticks: DataFrame, width: str = "1 day", lateness: str = "1 day") -> DataFrame:
-    """Bars of event time windows, each once the watermark has passed its end; ``ts`` must be a timestamp."""
-    rows = ticks.withWatermark("ts", lateness).filter(_real("ticker")).groupBy(F.window("ts", width), "ticker")
+    """Bars of event time windows, each once the watermark has passed its end; ``ts`` must be a timestamp. Weeks start on
+    Monday; months are bars of days, put together by ``series.rebar``, as they have no fixed length."""
+    window = F.window("ts", width, startTime=MONDAY) if "week" in width or width == "7 days" else F.window("ts", width)
+    return _bars(ticks.withWatermark("ts", lateness).filter(_real("ticker")).groupBy(window, "ticker"))
+
+
+def session_bars(ticks: DataFrame, gap: str = "30 minutes", lateness: str = "1 day") -> DataFrame:
+    """Bars of sessions: a ticker's ticks with ``gap`` at most between each and the next; each once the watermark has passed its end."""
+    rows = ticks.withWatermark("ts", lateness).filter(_real("ticker")).groupBy(F.session_window("ts", gap).alias("window"), "ticker")
+    return _bars(rows, F.col("window.end").alias("stop"))
+
+
+def _bars(rows, *more) -> DataFrame:
     out = rows.agg(F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"), F.sum("qty").alias("volume"), F.count(F.lit(1)).alias("n"))
-    return out.select("ticker", F.col("window.start").alias("start"), "open", "high", "low", "close", "volume", "n")
+    return out.select("ticker", F.col("window.start").alias("start"), *more, "open", "high", "low", "close", "volume", "n")
 
 
 def _real(*keys: str):
@@ -88,38 +109,85 @@ def _real(*keys: str):
     return F.when(F.col("ts") < F.lit(END).cast("timestamp"), F.coalesce(*[F.when(F.col(k).isNull(), False) for k in keys], F.lit(True))).otherwise(False)
 
 
-def in_order(rows: DataFrame, keys: list[str], update, ddl: str, lateness: str, idle: int = IDLE) -> DataFrame:
-    """``update(state, rows in order) -> (output rows, state)`` for each value of ``keys``, over the rows that the watermark has passed.
+#: The store of states that has lists and timers.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    ``rows`` have ts (the event time), at (the same or any number in its order) and seq. Rows that the watermark hasn't
-    passed wait in the state, so a later batch may still bring one before them; what waits is at most what ``lateness`` spans.
-    """
-    columns, given = [c.split()[0] for c in ddl.split(", ")], [c for c in rows.columns if c != "ts"]
-    rows = rows.withColumn("_ms", F.unix_millis("ts"))
 
-    def run(_, frames, state):
+class InOrder(StatefulProcessor):
+    """Answers a key's rows in order of event time. Its state: a list of the rows that wait, an entry each; a list of what
+    ``update`` has kept of the rows before; and a timer, for the next row that the watermark will pass or the end of the state."""
+
+    def __init__(self, given: str, kept: str, columns: list[str], update, lateness_ms: int, idle_ms: int):
+        self.given, self.kept, self.columns, self.update, self.lateness_ms, self.idle_ms = given, kept, columns, update, lateness_ms, idle_ms
+        self.names = [c.split()[0] for c in given.split(", ")]
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting, self.own = handle.getListState("waiting", self.given), handle.getListState("own", self.kept)
+        self.last = handle.getValueState("last", "last long")
+
+    def answer(self, key, rows: list[tuple], passed: int):
+        """``rows``: the time in milliseconds, then the given columns."""
         import pandas as pd
 
-        held = json.loads(state.get[0]) if state.exists else {"own": None, "waiting": [], "last": 0}
-        passed = state.getCurrentWatermarkMs()
-        for frame in frames:
-            frame = frame[frame["_ms"] > passed] if passed > 0 else frame  # the others are late
-            held["waiting"] += [[t, *row] for t, row in zip(frame["_ms"].tolist(), frame[given].astype(object).where(frame[given].notna(), None).values.tolist())]
-        held["last"] = max([held["last"], *(w[0] for w in held["waiting"])])
-        ready = pd.DataFrame([w[1:] for w in held["waiting"] if w[0] <= passed], columns=given)
-        held["waiting"] = [w for w in held["waiting"] if w[0] > passed]
-        out = []
-        if len(ready):
-            out, held["own"] = update(held["own"], ready.sort_values(["at", "seq"]))
-        goes = held["last"] + 1000 * idle
-        if not held["waiting"] and passed >= goes:
-            state.remove()
-        else:
-            state.update((json.dumps(held),))
-            state.setTimeoutTimestamp(max(passed + 1, min([goes, *(w[0] for w in held["waiting"])])))
-        yield pd.DataFrame(out, columns=columns)
-
-    return rows.withWatermark("ts", lateness).filter(_real(*keys)).groupBy(*keys).applyInPandasWithState(run, ddl, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+        last = self.last.get()[0] if self.last.exists() else 0
+        newest = max([last, *(r[0] for r in rows)])
+        # what is older than the key's newest row by more than the lateness is late from the next batch on, so nothing can come before it
+        passed = max(passed, newest - self.lateness_ms)
+        ready, left = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
+        self.waiting.put(left) if left else self.waiting.clear()
+        if newest > last:
+            self.last.update((newest,))
+        if ready:
+            frame = pd.DataFrame(ready, columns=self.names).sort_values(["at", "seq"])
+            out, kept = self.update([tuple(x) for x in self.own.get()], frame)
+            self.own.put(kept) if kept else self.own.clear()
+            yield pd.DataFrame(out, columns=self.columns)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(min([newest + self.idle_ms, *(r[0] for r in left)]))
+
+    def handleInputRows(self, key, rows, timerValues):
+        passed, fresh = timerValues.getCurrentWatermarkInMs(), []
+        for frame in rows:
+            if len(frame):  # a key without rows comes without columns
+                frame.columns = ["ts", *self.names]  # names with a leading underscore may be lost on the way
+                frame = frame.loc[(frame["_ms"] > passed) | (passed <= 0), self.names]  # the others are late
+                fresh += list(map(tuple, frame.astype(object).where(frame.notna(), None).values.tolist()))
+        if fresh:
+            yield from self.answer(key, [*map(tuple, self.waiting.get()), *fresh], passed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        rows = [tuple(r) for r in self.waiting.get()]
+        if rows:
+            yield from self.answer(key, rows, timerValues.getCurrentWatermarkInMs())
+        else:  # idle
+            self.own.clear()
+            self.last.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def milliseconds(lateness: str) -> int:
+    from pandas import Timedelta
+
+    return int(Timedelta(lateness).total_seconds() * 1000)
+
+
+def in_order(rows: DataFrame, keys: list[str], update, ddl: str, kept: str, lateness: str, idle: int = IDLE) -> DataFrame:
+    """``update(kept entries, rows in order) -> (output rows, kept entries)`` for each value of ``keys``, over the rows that can't be preceded any more.
+
+    ``rows`` have ts (the event time), at (the same or any number in its order) and seq; ``kept`` are the columns of an entry.
+    A row waits until the watermark has passed it, or until its key has had one that is newer by the lateness: so
+    what waits of a key is what the lateness spans, also in a first batch that holds all there is.
+    """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    given = [f for f in rows.schema if f.name != "ts"]
+    shown = ", ".join(["_ms long", *[f"{f.name} {f.dataType.simpleString()}" for f in given]])
+    timed = rows.withWatermark("ts", lateness).filter(_real(*keys)).select("ts", F.unix_millis("ts").alias("_ms"), *[f.name for f in given])
+    processor = InOrder(shown, kept, [c.split()[0] for c in ddl.split(", ")], update, milliseconds(lateness), 1000 * idle)
+    return timed.groupBy(*keys).transformWithStateInPandas(processor, ddl, "append", "EventTime")
 
 
 def rolling_vwap(ticks: DataFrame, seconds: int, cents: int = 10_000, lateness: str = "1 hour") -> DataFrame:
@@ -129,10 +197,9 @@ def rolling_vwap(ticks: DataFrame, seconds: int, cents: int = 10_000, lateness:
     spread over many tasks and a chunk's state goes when its time has passed. Sums are whole numbers.
     """
 
-    def update(own, frame):
+    def update(old, frame):
         import numpy as np
 
-        old = own or []
         at = np.array([x[0] for x in old] + frame["at"].astype("int64").tolist(), np.int64)
         qty = np.array([x[1] for x in old] + frame["qty"].astype("int64").tolist(), np.int64)
         pq = np.array([x[2] for x in old] + np.floor(frame["price"].astype(float) * cents + 0.5).astype("int64").tolist(), np.int64)
@@ -142,24 +209,73 @@ def rolling_vwap(ticks: DataFrame, seconds: int, cents: int = 10_000, lateness:
         value = np.where(den == 0, 0.0, num / np.where(den == 0, 1, den) / cents)[len(old) :]
         out = [row for row, mine in zip(zip(frame["ticker"], frame["seq"].astype("int64"), value.tolist()), frame["_own"]) if mine]
         left = first[-1]
-        return out, [list(map(int, x)) for x in zip(at[left:], qty[left:], pq[left:])]
+        return out, [tuple(map(int, x)) for x in zip(at[left:], qty[left:], pq[left:])]
 
     rows = in_chunks(ticks.select("ts", "ticker", F.col("sec").alias("at"), "seq", "price", "qty"), "at", seconds - 1, CHUNK_SECONDS)
-    return in_order(rows, ["ticker", "_chunk"], update, "ticker string, seq long, vwap double", lateness, CHUNK_SECONDS + seconds)
+    return in_order(rows, ["ticker", "_chunk"], update, "ticker string, seq long, vwap double", "at long, qty long, pq long", lateness, CHUNK_SECONDS + seconds)
 
 
-def best_quotes(quotes: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Best bid and ask after each event; the state is the live levels of a symbol, which go when it has been idle."""
+class Batches:
+    """A running answer that takes each micro-batch as a plan of its own, with what the ones before have handed on.
 
-    def update(own, frame):
-        book, out = Book([tuple(x) for x in own or []]), []
-        for symbol, seq, *event in zip(*(frame[c] for c in ("symbol", "seq", "action", "side", "price", "size"))):
-            book.apply(*event)
-            out.append((int(symbol), int(seq), book.best("B"), book.best("A")))
-        return out, book.live()
+    ``step(ready, carried) -> (answers, carried)`` takes the rows with ``at`` up to the greatest one so far less ``lateness``; later
+    ones wait. Rows no later than what has been answered are dropped. What waits and what is carried are tables of the batch in
+    the shared folder, so nothing passes through one task, and a batch that is run again reads the same ones and overwrites its own.
+    """
 
-    rows = quotes.select("ts", "symbol", F.col("seq").alias("at"), "seq", "action", "side", "price", "size")
-    return in_order(rows, ["symbol"], update, "symbol long, seq long, best_bid double, best_ask double", lateness)
+    def __init__(self, stream: DataFrame, at: str, lateness: int, step):
+        self.stream, self.at, self.lateness, self.step = stream, at, lateness, step
+
+    def drain(self) -> DataFrame:
+        spark, at = self.stream.sparkSession, self.at
+        path = shared_path(spark, "batches")
+        state = lambda i, name: f"{path}/state/{i}/{name}"
+        schemas: dict[str, object] = {}
+
+        def put(df, place, name):
+            schemas[name] = df.schema
+            df.write.mode("overwrite").parquet(place)
+
+        def get(i, name):
+            return spark.read.schema(schemas[name]).parquet(state(i, name)) if name in schemas and i >= 0 else None
+
+        def answer(rows, i, end=False):
+            mark = spark.read.parquet(state(i - 1, "mark")).first()[0] if i else None
+            rows = rows.filter(F.col(at).isNotNull() if mark is None else F.col(at) > mark)
+            newest = rows.agg(F.max(at)).first()[0]
+            waiting = get(i - 1, "waiting")
+            whole = rows if waiting is None else rows.unionByName(waiting)
+            cut = newest if end else max([x for x in (mark, None if newest is None else newest - self.lateness) if x is not None], default=None)
+            ready = whole if end else whole.filter(F.lit(False) if cut is None else F.col(at) <= cut)
+            out, carried = self.step(ready, get(i - 1, "carried"))
+            put(out, f"{path}/out/batch={i}", "out")
+            if not end:
+                put(whole.filter(F.lit(True) if cut is None else F.col(at) > cut), state(i, "waiting"), "waiting")
+                put(carried, state(i, "carried"), "carried")
+                spark.range(1).select(F.lit(cut).cast("long").alias("mark")).write.mode("overwrite").parquet(state(i, "mark"))
+            remove(spark, f"{path}/state/{i - 2}")
+            self.done = i
+
+        self.done = -1
+        query = self.stream.writeStream.foreachBatch(answer).trigger(availableNow=True).option("checkpointLocation", f"{path}/log").start()
+        query.awaitTermination()
+        if self.done < 0:
+            answer(spark.createDataFrame([], self.stream.schema), 0)
+        answer(spark.createDataFrame([], self.stream.schema), self.done + 1, end=True)
+        remove(spark, f"{path}/state")
+        remove(spark, f"{path}/log")
+        return spark.read.schema(schemas["out"]).parquet(*[f"{path}/out/batch={i}" for i in range(self.done + 1)])
+
+
+def best_quotes(quotes: DataFrame, lateness: str = "1 hour") -> Batches:
+    """Best bid and ask after each event. Each batch is dealt by chunks of a symbol's events; the levels that are live at its end are handed on."""
+
+    def step(ready, carried):
+        events = ready.select("symbol", "seq", "action", "side", "price", "size")
+        return orderflow.best_quotes(events, live=carried), orderflow.live_levels(events, carried)
+
+    rows = quotes.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    return Batches(rows.select("_at", "symbol", "seq", "action", "side", "price", "size"), "_at", 1000 * milliseconds(lateness), step)
 
 
 def duplicate_orders(orders: DataFrame, horizon: int, lateness: str = "1 hour") -> DataFrame:
@@ -169,12 +285,10 @@ def duplicate_orders(orders: DataFrame, horizon: int, lateness: str = "1 hour")
     """
 
     def update(own, frame):
-        out = []
-        for order, at, seq, mine in zip(frame["order_id"], frame["at"], frame["seq"], frame["_own"]):
-            if mine and own is not None and at - own <= horizon:
-                out.append((int(order), int(at), int(seq), int(own)))
-            own = int(at)
-        return out, own
+        at = frame["at"].astype("int64").tolist()
+        before = [own[0][0] if own else None, *at[:-1]]
+        keys, seq, mine = frame["order_id"].tolist(), frame["seq"].tolist(), frame["_own"].tolist()
+        return [(int(k), a, int(q), b) for k, a, q, b, m in zip(keys, at, seq, before, mine) if m and b is not None and a - b <= horizon], [(at[-1],)]
 
     rows = in_chunks(orders.select(F.timestamp_seconds("ts").alias("ts"), "order_id", F.col("ts").alias("at"), "seq"), "at", horizon, CHUNK_SECONDS)
-    return in_order(rows, ["order_id", "_chunk"], update, "order_id long, ts long, seq long, prev_ts long", lateness, horizon + CHUNK_SECONDS)
+    return in_order(rows, ["order_id", "_chunk"], update, "order_id long, ts long, seq long, prev_ts long", "at long", lateness, horizon + CHUNK_SECONDS)
