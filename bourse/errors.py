@@ -55,3 +55,7 @@ class UnknownSymbolError(AssetError):
 
 class UnknownTableError(RequestError):
     """No such table is served."""
+
+
+class ConflictError(BourseError):
+    """Another writer has changed the table in the meantime."""

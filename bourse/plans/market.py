@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import symbols
 from ..functions.numeric import fix, two_decimals
-from ..operators import board, series
-from ..sources import files, store, views
+from ..operators import board, quantiles, series
+from ..sources import durable, files, store, views
 from ..sources.shared import shared_path
 from .registry import query, sql_fix
 
@@ -98,6 +98,28 @@ def update_bar(spark, sf_dir):
     return store.update(views.bars(spark, sf_dir).select("ticker", "date", "close"), TICKER, "1997-06-02", {"close": 9.5})
 
 
+@query(
+    f"""SELECT ticker, date, CASE WHEN ticker = '{TICKER}' AND date = DATE '1995-06-02' THEN 9.5 ELSE close END AS close, volume FROM bars WHERE NOT (ticker = '{TICKER}' AND date BETWEEN DATE '{START}' AND DATE '{END}')
+    UNION ALL SELECT 'NEW', DATE '2002-01-01', 1.5, CAST(10 AS BIGINT)"""
+)
+def durable_writes(spark, sf_dir):
+    """An insert, a delete and an update committed to a stored table, and what a reader then sees."""
+    rows = views.bars(spark, sf_dir).select("ticker", "date", "close", "volume")
+    table = durable.DurableTable(spark, shared_path(spark, "durable"), rows.schema)
+    table.insert(rows)
+    table.delete(TICKER, START, END)
+    table.insert(spark.createDataFrame([("NEW", "2002-01-01", 1.5, 10)], "ticker string, date string, close double, volume long").withColumn("date", F.to_date("date")))
+    table.update(TICKER, "1995-06-02", {"close": 9.5})
+    return table.read()
+
+
+@query(f"SELECT ticker, count(*) AS n, {sql_fix('quantile_cont(price, 0.01)', 6)} AS p01, {sql_fix('quantile_cont(price, 0.5)', 6)} AS p50, {sql_fix('quantile_cont(price, 0.99)', 6)} AS p99 FROM trades GROUP BY ticker")
+def price_quantiles(spark, sf_dir):
+    """Exact quantiles of each ticker's prices, selected over several passes where a ticker has more than a thousand."""
+    rows = quantiles.percentiles(views.trades(spark, sf_dir), "ticker", "price", [0.01, 0.5, 0.99], small=1000)
+    return rows.select("ticker", "n", *[fix(F.col("p")[i], 6).alias(c) for i, c in enumerate(("p01", "p50", "p99"))])
+
+
 @query("SELECT ticker, count(*) AS n FROM trades GROUP BY ticker")
 def table_counts(spark, sf_dir):
     return views.trades(spark, sf_dir).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import fix
-from ..operators import backtest, book_risk, covariance, portfolio, risk, series
+from ..operators import backtest, book_risk, covariance, portfolio, quantiles, risk, series
 from ..sources import views
 from .holdings import _PAIRS
 from .registry import query, sql_fix
 
+_TICKS_RET = "SELECT * FROM (SELECT ticker, price / nullif(lag(price) OVER (PARTITION BY ticker ORDER BY ts), 0) - 1 AS ret FROM ticks) WHERE ret IS NOT NULL"
+
 
 @query(f"SELECT ticker, {sql_fix('quantile_cont(ret, 0.05)', 6)} AS var_95, {sql_fix('quantile_cont(ret, 0.01) * sqrt(10)', 6)} AS var_99_10, {sql_fix('avg(ret) - 1.6448536269514722 * stddev_samp(ret)', 6)} AS parametric_95 FROM returns GROUP BY 1")
 def var_historical(spark, sf_dir):
@@ -27,6 +29,13 @@ def expected_shortfall(spark, sf_dir):
     return risk.expected_shortfall(views.returns(spark, sf_dir), 0.95).withColumn("es", fix(F.col("es"), 6))
 
 
+@query(f"WITH x AS ({_TICKS_RET}), c AS (SELECT ticker, quantile_cont(ret, 0.05) AS var FROM x GROUP BY 1) SELECT ticker, {sql_fix('var', 6)} AS var, {sql_fix('avg(ret)', 6)} AS es FROM x JOIN c USING (ticker) WHERE ret <= var GROUP BY ticker, var")
+def tick_shortfall(spark, sf_dir):
+    """Value at risk and expected shortfall of the price moves from tick to tick, whose quantiles are selected over several passes."""
+    moves = series.returns(views.ticks(spark, sf_dir).select("ticker", F.col("ts").alias("date"), F.col("price").alias("close"))).filter("ret IS NOT NULL")
+    return quantiles.expected_shortfall(moves, "ticker", "ret", 0.95, small=500).select("ticker", fix(F.col("var"), 6).alias("var"), fix(F.col("es"), 6).alias("es"))
+
+
 _SHARPE = "(avg(ret) * 12 - 0.04) / (stddev_samp(ret) * sqrt(12))"
 _SORTINO = "(avg(ret) * 12 - 0.04) / (sqrt(avg(pow(least(ret - 0.04 / 12, 0), 2))) * sqrt(12))"
 

@@ -26,10 +26,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Removes a folder, if it is there."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table made by ``staged`` which nothing reads any more."""
+    if getattr(df, "_staged", None):
+        remove(df.sparkSession, df._staged)

@@ -57,3 +57,42 @@ def test_synthetic_candles_join_up(spark):
     assert all(abs(a.close - b.open) < 1e-9 for a, b in zip(rows, rows[1:]))
     assert all(r.low <= min(r.open, r.close) and max(r.open, r.close) <= r.high for r in rows)
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def answer(*days):
+    return json.dumps({"status": "OK", "resultsCount": len(days), "results": [{"t": 86_400_000 * d, "o": 1, "h": 2, "l": 0.5, "c": float(d), "v": 10} for d in days]})
+
+
+def test_conditions_choose_the_files(spark, tmp_path):
+    """Files that the conditions rule out would fail if they were opened."""
+    vendor.register(spark)
+    (tmp_path / "A_2024-01-01_2024-01-31.json").write_text(answer(19_724, 19_730))
+    (tmp_path / "A_2023-01-01_2023-12-31.json").write_text("broken")
+    (tmp_path / "B.json").write_text("broken")
+    rows = spark.read.format("vendor_bars").load(f"file://{tmp_path}").filter("ticker = 'A' AND time >= TIMESTAMP'2024-01-05 00:00:00'")
+    assert [(r.ticker, str(r.time), r.close_price, r.volume_weighted) for r in rows.collect()] == [("A", "2024-01-08 00:00:00", 19_730.0, None)]
+    assert spark.read.format("vendor_bars").load(str(tmp_path)).filter("ticker IN ('C', 'D')").count() == 0
+    assert spark.read.format("vendor_bars").load(str(tmp_path)).filter("ticker = 'A' AND time > TIMESTAMP'2025-01-01 00:00:00'").count() == 0
+    with pytest.raises(Exception, match="B.json"):
+        spark.read.format("vendor_bars").load(str(tmp_path)).filter("ticker = 'B'").count()
+
+
+def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    import os
+
+    vendor.register(spark)
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def run():
+        stream = spark.readStream.format("vendor_bars").load(str(folder))
+        stream.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "log")).format("parquet").start(str(tmp_path / "out")).awaitTermination()
+        return sorted((r.ticker, r.close_price) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    for i, name in enumerate("CAB"):
+        (folder / f"{name}.json").write_text(answer(i))
+        os.utime(folder / f"{name}.json", (1000 + i, 1000 + i))
+    assert run() == [("A", 1.0), ("B", 2.0), ("C", 0.0)]
+    (folder / "A_2024-01-01_2024-01-31.json").write_text(answer(7, 8))
+    assert run() == [("A", 1.0), ("A", 7.0), ("A", 8.0), ("B", 2.0), ("C", 0.0)]
+    assert run() == [("A", 1.0), ("A", 7.0), ("A", 8.0), ("B", 2.0), ("C", 0.0)]
