@@ -705,3 +705,26 @@ def test_stages_decide_rows_without_an_id(spark):
     labels = spark.createDataFrame([(i, int(i < 300)) for i in range(450)], "doc_id long, quality int")
     kept = quality.keep_good(frame(spark, good + bad + bad[:40] + good[:40], [*range(450), *[None] * 80]), labels).filter("doc_id IS NULL").collect()
     assert {r.text for r in kept} == set(good[:40])
+
+
+def test_repeated_rows_and_no_rows(spark):
+    """Rows that repeat a doc_id and text are answered each, alike; the first stage has no rows for none."""
+    rng = random.Random(51)
+    texts = [words(rng, 30, 500) + ". mail me@example.org" for _ in range(6)]
+    docs = frame(spark, texts + texts[:3] + [None, None], [*range(6), 0, 1, 2, 9, 9])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    for out in (personal.find(docs), quality.classify(docs, labels)):
+        rows = Counter(map(str, out.collect()))
+        assert sum(rows.values()) == 11 and sorted(rows.values()) == [1, 1, 1, 2, 2, 2, 2]
+    report = {r.length: r.n_docs for r in tokens.length_report(docs, JSON).collect()}
+    sizes = Counter(len(tokens.encoder(JSON).encode(t or "")) // 4 for t in texts + texts[:3] + [None, None])
+    assert report == sizes
+    assert quality.keep_good(frame(spark, []), labels).count() == 0 and quality.keep_good(frame(spark, []), labels.limit(0)).count() == 0
+
+
+def test_vectors_without_an_id(spark):
+    """A row with a null vec_id has no links, a null component and isn't kept."""
+    v = [1.0, 0.5, 0.25]
+    rows = [(None, v, 1), (None, v, 1), (4, v, 1), (5, v, 1), (None, None, 1)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == sorted([(4, 1, 4, True), (5, 1, 4, False)] + [(None, 0, None, False)] * 3, key=str)
