@@ -349,11 +349,22 @@ class Block:
         context, symbol = entry // len(self.numbers), self.numbers[entry % len(self.numbers)]
         n, number = self.count[context], self.number[context]
         bucket = _spread_of(number, symbol, n, self.facts)
-        self.order = np.lexsort((symbol, number, bucket))
+        self.order = self.sorted_by(bucket, context, number, entry % len(self.numbers))
         self.n, code = n, 2 * number + (n >= self.facts["spread"])
         self.symbol, self.bucket, self.code = symbol[self.order], bucket[self.order], code[self.order]
         self.first = (np.diff(self.bucket, prepend=-1) != 0) | (np.diff(self.code, prepend=-1) != 0)
 
+    @staticmethod
+    def sorted_by(bucket: np.ndarray, context: np.ndarray, number: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The order of entries, which come by context, by bucket, the context's number and the symbol, whose numbers ascend with
+        its place: a sort of one number each, where bucket, context and place have 21 bits."""
+        first = np.flatnonzero(np.diff(context, prepend=-1))
+        if max(len(first), int(bucket.max(initial=0)), int(place.max(initial=0))) >= 1 << 21:
+            return np.lexsort((place, number, bucket))
+        rank = np.empty(len(first), np.int64)
+        rank[np.argsort(number[first])] = np.arange(len(first))
+        return np.argsort(bucket << 42 | np.repeat(rank, np.diff(np.append(first, len(context)))) << 21 | place)
+
     def asks(self) -> list[tuple]:
         """Questions of the entries of this depth, by bucket."""
         count = np.bincount(self.entry_at, self.learned[self.at], len(self.n)).astype(np.int64)[self.order]

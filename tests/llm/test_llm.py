@@ -498,6 +498,17 @@ def test_suffix_tree_keeps_rare_contexts(spark):
     assert got[1003].score > -3 > got[1003].base_score
 
 
+def test_lm_order_of_entries():
+    """One sort of packed numbers is the order by bucket, context's number and symbol; beyond 21 bits, a sort by each."""
+    rng = np.random.default_rng(7)
+    entry = np.unique(rng.integers(0, 500 * 300, 4000))
+    context, place = entry // 300, entry % 300
+    number = rng.permutation(1 << 20)[:500][context].astype(np.int64)
+    for bucket in (number % 16, number % 16 + (1 << 21)):
+        assert (lm.Block.sorted_by(bucket, context, number, place) == np.lexsort((place, number, bucket))).all()
+    assert len(lm.Block.sorted_by(*[np.zeros(0, np.int64)] * 4)) == 0
+
+
 def test_lm_packs():
     rng = np.random.default_rng(3)
     arrays = [rng.integers(-5, 1 << 40, 50), np.zeros(0, np.int64), np.zeros(7, np.int64), rng.integers(0, 300, 9)]
