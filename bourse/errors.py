@@ -59,3 +59,7 @@ class UnknownTableError(RequestError):
 
 class ConflictError(BourseError):
     """Another writer has changed the table in the meantime."""
+
+
+class RowRangeError(AssetError):
+    """A series has no row at the index."""

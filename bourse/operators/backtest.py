@@ -129,3 +129,16 @@ def catalogue(spark) -> DataFrame:
     import json
 
     return spark.createDataFrame([(n, json.dumps(p)) for n, p in STRATEGIES.items()], "strategy string, parameters string")
+
+
+#: Bars that a ticker needs before a strategy takes a position.
+NEEDED = {"buy_hold": 1, "ma_cross": 6, "momentum": 7, "mean_reversion": 6, "pairs": 6}
+
+
+def offered(bars: DataFrame) -> DataFrame:
+    """The strategies with their parameters, and how many tickers have the bars that each needs."""
+    names = list(STRATEGIES)
+    need = F.array(*[F.struct(F.lit(n).alias("strategy"), F.lit(NEEDED[n]).alias("needed")) for n in names])
+    counts = bars.groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).withColumn("x", F.explode(need))
+    tickers = counts.groupBy("x.strategy").agg(F.sum(F.when(F.col("n") >= F.col("x.needed"), 1).otherwise(0)).alias("tickers"))
+    return catalogue(bars.sparkSession).join(tickers, "strategy", "left").withColumn("tickers", F.coalesce("tickers", F.lit(0)))

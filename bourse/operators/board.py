@@ -47,3 +47,13 @@ def ranked(rows: DataFrame, by: str, tie: str) -> DataFrame:
 
 def only_friends(board: DataFrame, friends: DataFrame, key: str = "username") -> DataFrame:
     return board.join(friends, key, "left_semi")
+
+
+def placed(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """1-based place of each row among those of its ``key``, in ``order``, by ranges of all rows: a key with many rows has many tasks."""
+    dealt = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = staged(dealt.withColumn("_range", F.shiftright("_at", 33)), "placed")
+    runs = dealt.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(key, "_range", (before - F.col("_first") + 1).alias("_shift"))
+    return dealt.join(runs, [key, "_range"]).withColumn("place", F.col("_at") + F.col("_shift")).drop("_range", "_at", "_shift")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..errors import RowRangeError
 from ..functions.numeric import fix
 
 
@@ -50,6 +51,23 @@ def last_average(bars: DataFrame, period: int, key: str = "ticker") -> DataFrame
     return rows.groupBy(key).agg(F.when((F.max("r") >= period) & F.lit(period > 0), F.avg(F.when(F.col("r") <= period, F.col("close")))).otherwise(0.0).alias("ma"))
 
 
+def rows_at(bars: DataFrame, asks: DataFrame, key: str = "ticker") -> DataFrame:
+    """The bar at each asked index (from 0, by date) of its ticker: the columns of ``asks`` (key, index), the bar's, and
+    ``in_range``; out of range the bar's are null."""
+    place = (F.row_number().over(W.partitionBy(key).orderBy("date")) - 1).cast("long")
+    rows = bars.withColumns({"index": place, "in_range": F.lit(True)})
+    return asks.join(rows, [key, "index"], "left").withColumn("in_range", F.coalesce("in_range", F.lit(False)))
+
+
+def row_at(bars: DataFrame, ticker: str, index: int):
+    """One ticker's bar at an index; an index out of range is an error."""
+    own = bars.filter(F.col("ticker") == ticker)
+    found = own.orderBy("date").offset(index).limit(1).collect() if index >= 0 else []
+    if not found:
+        raise RowRangeError(f"{ticker} has no row {index}")
+    return found[0]
+
+
 def moving_average(bars: DataFrame, period: int, key: str = "ticker", out: str = "ma") -> DataFrame:
     """Sliding mean over ``period`` rows; null until there are so many."""
     w = W.partitionBy(key).orderBy("date").rowsBetween(1 - period, 0)
@@ -112,3 +130,12 @@ def random_walk(spark, n: int = 50, start: float = 100.0, seed: int = 7) -> Data
     close = start + F.sum("move").over(W.orderBy("id").rowsBetween(W.unboundedPreceding, 0))
     rows = rows.withColumn("close", close).withColumn("open", F.col("close") - F.col("move"))
     return rows.select("id", "open", (F.greatest("open", "close") + F.col("up")).alias("high"), (F.least("open", "close") - F.col("down")).alias("low"), "close")
+
+
+def walks_from(latest: DataFrame, n: int = 50, seed: int = 7) -> DataFrame:
+    """Synthetic candles of each ticker that go on from its latest close, as in ``random_walk``: ticker, id, open, high, low, close."""
+    rows = latest.select("ticker", F.col("close").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("id"))
+    rows = rows.select("*", (F.rand(seed) * 20 - 5).alias("move"), (F.rand(seed + 1) * 20).alias("up"), (F.rand(seed + 2) * 20).alias("down"))
+    close = F.col("start") + F.sum("move").over(W.partitionBy("ticker").orderBy("id").rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("close", close).withColumn("open", F.col("close") - F.col("move"))
+    return rows.select("ticker", "id", "open", (F.greatest("open", "close") + F.col("up")).alias("high"), (F.least("open", "close") - F.col("down")).alias("low"), "close")

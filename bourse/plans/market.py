@@ -309,14 +309,33 @@ def history_5m(spark, sf_dir):
     return series.ohlcv(rows.withColumn("start", series.bucket_start("ts", 5, "minute")), ["ticker", "start"], "seq").select("ticker", "start", "open", "close", "n")
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{k}{chr(39)}, {chr(39)}{e}{chr(39)})' for k, e in sorted(files.ENDPOINTS.items()))}) AS p(kind, path)")
+_KINDS = sorted(files.ENDPOINTS)
+
+
+@query(
+    f"""WITH e AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}', '{files.ENDPOINTS[k]}')" for i, k in enumerate(_KINDS))}, ({len(_KINDS)}, 'NONE', 'UNKNOWN')) AS p(i, kind, path))
+    SELECT kind, path, count(*) AS n FROM part JOIN e ON e.i = p_partkey % {len(_KINDS) + 1} GROUP BY 1, 2"""
+)
 def endpoint_catalogue(spark, sf_dir):
-    return files.endpoints(spark)
+    """Requests, a kind for each part, with their endpoints: how many go to each; a kind that isn't known has none."""
+    kind = F.element_at(F.array(*map(F.lit, [*_KINDS, "NONE"])), (F.col("p_partkey") % (len(_KINDS) + 1) + 1).cast("int"))
+    return files.with_endpoint(views.table(spark, sf_dir, "part").select(kind.alias("kind"))).groupBy("kind", "path").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def synthetic_candles(spark, sf_dir):
-    return series.random_walk(spark)
+    """Fifty candles of each ticker that go on from its latest close."""
+    return series.walks_from(views.latest(spark, sf_dir))
+
+
+@query(
+    """WITH a AS (SELECT p_brand AS ticker, p_partkey % 3000 - 5 AS index, count(*) AS n FROM part GROUP BY 1, 2), b AS (SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS index FROM bars)
+    SELECT a.ticker, a.index, n, date, close, date IS NOT NULL AS in_range FROM a LEFT JOIN b ON a.ticker = b.ticker AND a.index = b.index"""
+)
+def bar_at(spark, sf_dir):
+    """Bars by their index, some of them out of range."""
+    asks = views.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("ticker"), (F.col("p_partkey") % 3000 - 5).alias("index")).agg(F.count(F.lit(1)).alias("n"))
+    return series.rows_at(views.bars(spark, sf_dir).select("ticker", "date", "close"), asks)
 
 
 @query("SELECT symbol, arg_max(seq, seq) AS seq, arg_max(side, seq) AS side, arg_max(price, seq) AS price, arg_max(size, seq) AS size FROM quotes GROUP BY symbol")

@@ -262,7 +262,9 @@ def bt_compare(spark, sf_dir):
 
 
 @query(
-    """SELECT * FROM (VALUES ('buy_hold', '{}'), ('ma_cross', '{"fast": 3, "slow": 6}'), ('momentum', '{"lookback": 6, "top": 5, "holding": 1, "rebalance": "bar"}'), ('mean_reversion', '{"lookback": 6, "threshold": 1.0}'), ('pairs', '{"lookback": 6, "threshold": 1.0}')) AS s(strategy, parameters)"""
+    """SELECT strategy, parameters, (SELECT count(*) FROM (SELECT ticker FROM months GROUP BY ticker HAVING count(*) >= needed)) AS tickers FROM (VALUES ('buy_hold', '{}', 1), ('ma_cross', '{"fast": 3, "slow": 6}', 6),
+    ('momentum', '{"lookback": 6, "top": 5, "holding": 1, "rebalance": "bar"}', 7), ('mean_reversion', '{"lookback": 6, "threshold": 1.0}', 6), ('pairs', '{"lookback": 6, "threshold": 1.0}', 6)) AS s(strategy, parameters, needed)"""
 )
 def bt_strategies(spark, sf_dir):
-    return backtest.catalogue(spark)
+    """The list of strategies, and how many of the tickers each can run on."""
+    return backtest.offered(views.months(spark, sf_dir))

@@ -80,11 +80,11 @@ def children(spark, sf_dir) -> DataFrame:
 
 
 def ladder(spark, sf_dir) -> DataFrame:
-    from pyspark.sql import Window as W
+    from ..operators import board
 
-    p = table(spark, sf_dir, "part")
-    level = F.row_number().over(W.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey"))
-    return p.select(F.col("p_brand").alias("symbol"), level.alias("level"), F.col("p_retailprice").alias("price"), F.col("p_size").cast("long").alias("size"), (F.substring("p_brand", 7, 9).cast("long") * 20).alias("target"))
+    p = table(spark, sf_dir, "part").select("p_brand", "p_retailprice", "p_partkey", "p_size")
+    p = board.placed(p, "p_brand", "p_retailprice", "p_partkey")
+    return p.select(F.col("p_brand").alias("symbol"), F.col("place").alias("level"), F.col("p_retailprice").alias("price"), F.col("p_size").cast("long").alias("size"), (F.substring("p_brand", 7, 9).cast("long") * 20).alias("target"))
 
 
 def contracts(spark, sf_dir) -> DataFrame:

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from bourse.errors import AssetNotFoundError, InvalidAssetTypeError, RequestError
+from bourse.errors import AssetNotFoundError, InvalidAssetTypeError, RequestError, RowRangeError
 from bourse.functions import numeric as N
 from bourse.functions import symbols as S
 from bourse.operators import backtest, board, orderflow, portfolio, series, surface
@@ -31,6 +31,22 @@ def test_series_stats(spark):
     assert series.stats(five.limit(0)).count() == 0
 
 
+def test_row_access(spark):
+    five = bars(spark, [10, 12, 11, 15, 14])
+    assert [series.row_at(five, "A", i).close for i in (0, 4)] == [10, 14]
+    for ticker, i in (("A", 5), ("A", -1), ("B", 0)):
+        with pytest.raises(RowRangeError):
+            series.row_at(five, ticker, i)
+
+
+def test_scans_are_in_order(spark):
+    rows = bars(spark, [3, 1, 2]).unionByName(bars(spark, [9], "B")).unionByName(spark.createDataFrame([("C", None, 7.0)], "ticker string, date date, close double"))
+    got = [(r.ticker, r.close) for r in store.scan({"t": rows}, "t", store.Scan()).collect()]
+    assert got == [("C", 7.0), ("A", 3.0), ("B", 9.0), ("A", 1.0), ("A", 2.0)]
+    assert [r.close for r in store.scan({"t": rows}, "t", store.Scan(ascending=False, offset=1, limit=2)).collect()] == [1.0, 3.0]
+    assert [r.ticker for r in board.gainers(spark.createDataFrame([("x", 1.0), ("y", 3.0), ("z", -1.0), ("w", 3.0)], "ticker string, change double")).collect()] == ["w", "y", "x"]
+
+
 def test_rolling_vwap(spark):
     rows = spark.createDataFrame([("A", 0, 10.0, 100, 0), ("A", 1, 11.0, 50, 1), ("A", 1, 12.0, 50, 2), ("A", 3, 9.0, 200, 3), ("A", 10, 10.0, 0, 4)], "ticker string, sec long, price double, qty long, seq long")
     for chunk in (1, 5, 86_400):

@@ -25,8 +25,9 @@ def test_runs(spark, sf_dir):
     for r in got["optimised_weights"]:
         kinds.setdefault(r.kind, []).append(r.weight)
     assert len(kinds) == 4 and all(sum(w) == pytest.approx(1) and min(w) >= -1e-9 and max(w) <= 0.5 + 1e-9 for w in kinds.values())
-    candles = sorted(got["synthetic_candles"], key=lambda r: r.id)
-    assert len(candles) == 50 and all(a.close == pytest.approx(b.open) for a, b in zip(candles, candles[1:]))
+    candles, start = sorted(got["synthetic_candles"], key=lambda r: (r.ticker, r.id)), {r.ticker: r.close for r in views.latest(spark, sf_dir).collect()}
+    assert len(candles) == 50 * len(start) and all(a.close == pytest.approx(b.open) for a, b in zip(candles, candles[1:]) if a.ticker == b.ticker)
+    assert all(r.open == pytest.approx(start[r.ticker]) for r in candles if r.id == 0)
     assert all(r.low <= min(r.open, r.close) <= max(r.open, r.close) <= r.high for r in candles)
     assert got["portfolio_var_monte_carlo"] and all(r.var_amount == pytest.approx(r.var_percentage / 100 * r.portfolio_value) for r in got["portfolio_var_monte_carlo"])
     moments = {r.ticker: (r.mu, r.sd) for r in views.returns(spark, sf_dir).groupBy("ticker").agg(F.avg("ret").alias("mu"), F.stddev_samp("ret").alias("sd")).collect()}
