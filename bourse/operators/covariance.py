@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import staged
+
 #: Tickers in a block and days in a span of dates, about: a product takes two blocks over one span (8 MB each at most).
 WIDTH, DAYS = 256, 2048
 
@@ -39,9 +41,10 @@ def upper(returns: DataFrame, width: int = WIDTH, days: int = DAYS) -> DataFrame
     Tickers are dealt into blocks by hash and dates into spans; a row goes to as many pairs of blocks as there are blocks, and a
     pair's span to one task, which returns a row for each pair of tickers: what is shuffled grows with blocks times dates, not
     with pairs of tickers times dates. Returns are less their ticker's mean, so nothing cancels. A date that one of the two
-    lacks counts for neither; below two common dates cov and corr are null. A (ticker, date) should have one return.
+    lacks counts for neither; below two common dates cov and corr are null. A (ticker, date) should have one return. The
+    returns are staged once, as they are read for the means and for the products.
     """
-    rows = returns.filter("ticker IS NOT NULL AND date IS NOT NULL AND ret IS NOT NULL")
+    rows = staged(returns.filter("ticker IS NOT NULL AND date IS NOT NULL AND ret IS NOT NULL").select("ticker", "date", "ret"), "returns")
     mean = rows.groupBy("ticker").agg(F.avg("ret").alias("_mean"))
     blocks = max(1, -(-mean.count() // width))
     rows = rows.join(mean, "ticker").select("ticker", "date", (F.col("ret") - F.col("_mean")).alias("x"), F.pmod(F.xxhash64("ticker"), F.lit(blocks)).alias("block"), F.floor(F.unix_date(F.to_date("date")) / days).alias("span"))

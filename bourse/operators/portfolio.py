@@ -65,6 +65,7 @@ def basis(transactions: DataFrame, days: int = CHUNK_DAYS) -> DataFrame:
 
     A purchase moves the average cost, a sale leaves it and realises price less cost; a position that is closed has no cost,
     so the next purchase starts a new basis. A sale of more than is held sells what is held; the rest is counted in oversold.
+    Without dates, all is of one day; without seq, a day's purchases come before its sales.
 
     A holding's transactions are dealt into chunks of days. A chunk needs the quantity at its start, which running sums and
     their least value give; its effect on average cost and realised profit is linear in the cost at its start, so the
@@ -72,7 +73,8 @@ def basis(transactions: DataFrame, days: int = CHUNK_DAYS) -> DataFrame:
     """
     keys = ["portfolio_id", "ticker"]
     signed = F.when(F.col("transaction_type") == "sell", -F.col("quantity")).when(F.col("transaction_type") == "buy", F.col("quantity")).cast("double")
-    rows = transactions.select(*keys, "date", "seq", signed.alias("d"), F.col("price").cast("double").alias("p"), F.floor(F.unix_date("date") / days).alias("chunk")).filter("d IS NOT NULL")
+    at = {"date": F.lit(None).cast("date"), "seq": (F.col("transaction_type") == "sell").cast("int")} | {c: F.col(c) for c in ("date", "seq") if c in transactions.columns}
+    rows = transactions.select(*keys, *[c.alias(n) for n, c in at.items()], signed.alias("d"), F.col("price").cast("double").alias("p")).filter("d IS NOT NULL").withColumn("chunk", F.floor(F.unix_date("date") / days))
     chunks = rows.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(F.struct("date", "seq", "d", "p"))).alias("moves"))
     zero = F.lit(0.0)
     run = F.aggregate("moves", F.struct(zero.alias("total"), zero.alias("least")), lambda s, m: F.struct((s["total"] + m["d"]).alias("total"), F.least(s["least"], s["total"] + m["d"]).alias("least")))

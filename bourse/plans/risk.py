@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import fix
 from ..operators import backtest, book_risk, covariance, portfolio, quantiles, risk, series
 from ..sources import views
+from ..sources.shared import staged
 from .holdings import _PAIRS
 from .registry import query, sql_fix
 
@@ -96,7 +97,7 @@ _PARITY = f"""{_PAIRS}, k AS (SELECT list(v ORDER BY a) AS m, count(*) AS n, lis
 @query(f"WITH RECURSIVE {_PARITY} SELECT ticker, {sql_fix('weight', 6)} AS weight, {sql_fix('part / whole', 6)} AS contribution FROM p")
 def risk_parity(spark, sf_dir):
     """The weights of equal risk and each ticker's share of the variance, from Spark's covariances."""
-    rets = views.returns(spark, sf_dir)
+    rets = staged(views.returns(spark, sf_dir), "returns")
     weights = portfolio.optimise(rets, "risk_parity")
     return portfolio.contributions(weights, rets).select("ticker", fix(F.col("weight"), 6).alias("weight"), fix(F.col("contribution"), 6).alias("contribution"))
 
@@ -106,9 +107,11 @@ _SERIES = """w AS (SELECT portfolio_id, ticker, quantity * close AS weight FROM
 
 
 def _book(spark, sf_dir):
-    """Portfolios' holdings by value, their values and return series."""
-    held = portfolio.valued(views.holdings(spark, sf_dir), views.latest(spark, sf_dir)).select("portfolio_id", "ticker", F.col("value").alias("weight"))
-    return held, held.groupBy("portfolio_id").agg(F.sum("weight").alias("value")), book_risk.returns_of(held, views.returns(spark, sf_dir))
+    """Portfolios' holdings by value, their values and return series; each is staged once, for the plans that read it several times."""
+    held = staged(portfolio.valued(views.holdings(spark, sf_dir), views.latest(spark, sf_dir)).select("portfolio_id", "ticker", F.col("value").alias("weight")), "held")
+    rets = staged(views.returns(spark, sf_dir), "returns")
+    series_of = staged(book_risk.returns_of(held, rets), "book")
+    return held, held.groupBy("portfolio_id").agg(F.sum("weight").alias("value")), series_of, rets
 
 
 @query(f"WITH {_SERIES} SELECT portfolio_id, date, {sql_fix('ret', 6)} AS ret FROM s")
@@ -126,7 +129,7 @@ _AT_RISK = {"historical": "quantile_cont(ret, 0.05)", "parametric": "avg(ret) -
     )
 )
 def portfolio_var(spark, sf_dir):
-    _, values, rets = _book(spark, sf_dir)
+    _, values, rets, _ = _book(spark, sf_dir)
     parts = [book_risk.value_at_risk(rets, values, 0.95, 1, method).withColumn("method", F.lit(method)) for method in _AT_RISK]
     rows = parts[0].unionByName(parts[1])
     return rows.select("portfolio_id", "method", fix(F.col("portfolio_value"), 2).alias("portfolio_value"), fix(F.col("var_percentage"), 4).alias("var_percentage"), fix(F.col("var_amount"), 2).alias("var_amount"))
@@ -134,8 +137,8 @@ def portfolio_var(spark, sf_dir):
 
 @query()
 def portfolio_var_monte_carlo(spark, sf_dir):
-    held, values, _ = _book(spark, sf_dir)
-    return book_risk.amounts(book_risk.monte_carlo(held, views.returns(spark, sf_dir)), values)
+    held, values, _, rets = _book(spark, sf_dir)
+    return book_risk.amounts(book_risk.monte_carlo(held, rets), values)
 
 
 _BOOK_CURVE = "e AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY portfolio_id ORDER BY date)) AS v FROM x), dd AS (SELECT *, v / max(v) OVER (PARTITION BY portfolio_id ORDER BY date) - 1 AS drawdown FROM e)"
@@ -148,8 +151,8 @@ _BOOK_CURVE = "e AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY portfolio
 )
 def portfolio_risk_bundle(spark, sf_dir):
     digits = {"sharpe": 5, "sortino": 5, "beta": 5, "correlation": 5}
-    market = views.returns(spark, sf_dir).groupBy("date").agg(F.avg("ret").alias("market"))
-    rows = risk.bundle(_book(spark, sf_dir)[2], key="portfolio_id", market=market)
+    _, _, own, rets = _book(spark, sf_dir)
+    rows = risk.bundle(own, key="portfolio_id", market=rets.groupBy("date").agg(F.avg("ret").alias("market")))
     return rows.select("portfolio_id", *[fix(F.col(c), digits.get(c, 6)).alias(c) for c in rows.columns if c != "portfolio_id"])
 
 
