@@ -5,16 +5,23 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components
 
 COSINE = 0.93
+#: The distance of unit vectors at the threshold.
+LIMIT = float(np.sqrt(2 - 2 * COSINE))
 #: Vectors of a label that stand for its regions: the nearest one decides a vector's block. A fixed number.
 PIVOTS = 8
 #: Vectors in a block at most, about: a region with more is dealt into several blocks.
 BLOCK = 2048
+#: Bytes of vectors in a group of blocks, about; a group has one block at least. Two groups meet in a tile, a task's work.
+GROUP_BYTES = 4 << 20
+#: Groups of a label whose blocks' centres meet the other blocks' in one task.
+STRIPE = 64
 #: Levels below the root, whose radius is 2 (the diameter of the unit sphere): radii 1, 1/2, ... 1/16.
 LEVELS = 5
 #: Slack of the pruning bounds for rounding.
@@ -81,7 +88,7 @@ def dual(a: Tree, b: Tree, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarr
     points are within it are taken whole: their links are counted by the nodes' sizes, and the nodes are tied
     together by an edge or two each, whatever the number of pairs. The rest is opened.
     """
-    limit, n = np.sqrt(2 - 2 * COSINE), len(a.unit)
+    limit, n = LIMIT, len(a.unit)
     count_a, count_b, edges = np.zeros(n, np.int64), np.zeros(len(b.unit), np.int64), []
     shift = 0 if same else n
     open_ = np.ones((1, 1), bool)
@@ -199,7 +206,10 @@ def prepared(vectors: DataFrame) -> DataFrame:
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """(block, label, width, ids, units, centre, radius): the vectors of a label dealt by nearest pivot, BLOCK at most, about."""
+    """(block, label, width, bundle, ids, units, centre, radius): the vectors of a label dealt by nearest pivot, BLOCK at most, about.
+
+    ``bundle``: the number of the group that the block is in, within its label and width; neighbours in pivot order share one.
+    """
     key = ["label", "width"]
     ranked = rows.select(*key, F.struct(F.xxhash64("vec_id").alias("h"), "vec_id", "unit").alias("x"))
     pivots = ranked.groupBy(*key, F.pmod("x.h", F.lit(PIVOTS)).alias("slot")).agg(F.min("x").alias("x")).groupBy(*key).agg(F.sort_array(F.collect_list("x.unit")).alias("pivots"))
@@ -217,9 +227,13 @@ def blocks(rows: DataFrame) -> DataFrame:
 
     placed = rows.join(pivots, key).select("vec_id", *key, "unit", "pivots").mapInArrow(common.batches(nearest, schema), "vec_id long, label string, width int, unit binary, region int")
     placed = common.materialise(placed, "placed")
-    sizes = common.materialise(placed.groupBy(*key, "region").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), "regions")
+    sizes = placed.groupBy(*key, "region").agg(F.count(F.lit(1)).alias("size")).withColumn("parts", F.ceil(F.col("size") / BLOCK))
+    earlier = F.sum("size").over(W.partitionBy(*key).orderBy("region")) - F.col("size")  # a label has PIVOTS regions at most
+    sizes = common.materialise(sizes.withColumn("earlier", earlier), "regions")
     dealt = placed.join(sizes, [*key, "region"]).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts")))
-    out = pa.schema([("label", pa.string()), ("width", pa.int32()), ("ids", pa.binary()), ("units", pa.binary()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64())])
+    span = F.greatest(F.lit(BLOCK), F.floor(F.lit(GROUP_BYTES) / (8 * F.col("width"))))
+    dealt = dealt.withColumn("bundle", F.floor((F.col("earlier") + F.floor(F.col("size") * F.col("part") / F.col("parts"))) / span).cast("long"))
+    out = pa.schema([("label", pa.string()), ("width", pa.int32()), ("bundle", pa.int64()), ("ids", pa.binary()), ("units", pa.binary()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64())])
 
     def packed(table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
@@ -228,22 +242,65 @@ def blocks(rows: DataFrame) -> DataFrame:
         centre = unit.mean(0)
         radius = float(np.sqrt(((unit - centre) ** 2).sum(1)).max())
         ids = np.array(table.column("vec_id").to_pylist(), np.int64).tobytes()
-        return pa.table([[table.column("label")[0].as_py()], [table.column("width")[0].as_py()], [ids], [raw], [centre.tolist()], [radius]], schema=out)
+        first = [[table.column(c)[0].as_py()] for c in ("label", "width", "bundle")]
+        return pa.table([*first, [ids], [raw], [centre.tolist()], [radius]], schema=out)
 
-    made = dealt.groupBy(*key, "region", "part").applyInArrow(packed, "label string, width int, ids binary, units binary, centre array<double>, radius double")
+    made = dealt.select(*key, "region", "part", "bundle", "vec_id", "unit").groupBy(*key, "region", "part").applyInArrow(packed, "label string, width int, bundle long, ids binary, units binary, centre array<double>, radius double")
     return common.materialise(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
+def tiles(own: DataFrame) -> DataFrame:
+    """(label, width, bundle_a, bundle_b, block): the pairs of groups that have near blocks, and the blocks that are near one.
+
+    Blocks of a label meet by stripes of its groups, so a label that holds most rows is spread over many tasks; a block's row
+    is its centre and radius.
+    """
+    ends = own.select("block", "label", "width", "bundle", "centre", "radius")
+    stripe = F.floor(F.col("bundle") / STRIPE)
+    left = ends.withColumn("stripe", stripe).select(*[F.col(c).alias(f"{c}_a") for c in [*ends.columns, "stripe"]])
+    right = ends.withColumn("stripe", F.explode(F.sequence(F.lit(0).cast("long"), stripe))).select(*[F.col(c).alias(f"{c}_b") for c in [*ends.columns, "stripe"]])
+    gap = F.sqrt(F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
+    once = (F.col("bundle_a") < F.col("bundle_b")) | ((F.col("bundle_a") == F.col("bundle_b")) & (F.col("block_a") <= F.col("block_b")))
+    same = (F.col("label_a") == F.col("label_b")) & (F.col("width_a") == F.col("width_b")) & (F.col("stripe_a") == F.col("stripe_b"))
+    pairs = left.join(right, same & once & (gap - F.col("radius_a") - F.col("radius_b") <= LIMIT + SLACK))
+    return pairs.select(F.col("label_a").alias("label"), F.col("width_a").alias("width"), "bundle_a", "bundle_b", F.explode(F.array("block_a", "block_b")).alias("block")).distinct()
+
+
+def linked(tile: pa.Table) -> pa.Table:
+    """The links between a tile's two groups of blocks: a row for each vector with links, their number and one that it leads to."""
+    tile = tile.sort_by("block")
+    places, low, high = tile.column("bundle").to_pylist(), tile.column("bundle_a")[0].as_py(), tile.column("bundle_b")[0].as_py()
+    ids = [np.frombuffer(x.as_buffer(), np.int64) for x in tile.column("ids")]
+    trees = [Tree(np.frombuffer(x.as_buffer()).reshape(len(i), -1)) for x, i in zip(tile.column("units"), ids)]
+    centres, radii = np.array(tile.column("centre").to_pylist()), tile.column("radius").to_pylist()
+    starts = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
+    count, edges = np.zeros(starts[-1], np.int64), []
+    for i, j in ((i, j) for i in range(len(ids)) for j in range(i if low == high else 0, len(ids)) if places[i] == low and places[j] == high):
+        if np.sqrt(((centres[i] - centres[j]) ** 2).sum()) - radii[i] - radii[j] > LIMIT + SLACK:
+            continue
+        n_i, n_j, least = dual(trees[i], trees[j], i == j)
+        count[starts[i] : starts[i + 1]] += n_i
+        at = np.arange(starts[i], starts[i + 1])
+        if i != j:
+            count[starts[j] : starts[j + 1]] += n_j
+            at = np.concatenate([at, np.arange(starts[j], starts[j + 1])])
+        led = np.flatnonzero(least != np.arange(len(least)))
+        edges.append(np.stack([at[led], at[least[led]]]))
+    ids, has = np.concatenate(ids), count > 0
+    return pa.table({"a": ids[has], "b": ids[_least(edges, len(ids))[has]], "n": count[has]})
+
+
 def near_vectors(vectors: DataFrame) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors of equal, non-null labels are linked when their cosine is COSINE or more in double precision.
     Vectors that are null, empty, zero or hold null or non-finite components are linked with nothing, and so
-    are vectors of different lengths. A label's vectors are dealt to blocks by their nearest pivot; pairs
-    of blocks too far apart by centres and radii are pruned; every other pair of blocks is a task's row: a
-    cover tree of each, and a dual traversal that prunes pairs of nodes by covering radius, and counts
-    pairs that are all within the threshold without listing them. Whatever a group's size, a pair of blocks gives
-    one row for each of its vectors that has links: their number, and a vector that it is connected with. All links are exact; each block has a
+    are vectors of different lengths. A label's vectors are dealt to blocks by their nearest pivot, and blocks to groups of
+    about GROUP_BYTES; two groups that have near blocks are a tile, a task's row of work: a cover tree of each block, made once
+    for all its pairs there; pairs of blocks too far apart by centres and radii are pruned; every other pair is a
+    dual traversal that prunes pairs of nodes by covering radius, and counts
+    pairs that are all within the threshold without listing them. Whatever a group's size, a tile gives
+    one row for each of its vectors that has links: their number, and a vector that it is connected with. All links are exact; each tile has a
     bounded size whatever a label's share of the rows.
 
     A row with a null vec_id has no links, a null component and isn't kept. Rows that repeat a vec_id are
@@ -251,33 +308,9 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     """
     since = common.mark()
     own = blocks(prepared(vectors))
-    ends = own.select("block", "label", "width", "centre", "radius")
-    left, right = (ends.select(*[F.col(c).alias(f"{c}_{s}") for c in ends.columns]) for s in "ab")
-    gap = F.sqrt(F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
-    near = (F.col("block_a") <= F.col("block_b")) & (gap - F.col("radius_a") - F.col("radius_b") <= float(np.sqrt(2 - 2 * COSINE)) + SLACK)
-    pairs = left.join(right, (F.col("label_a") == F.col("label_b")) & (F.col("width_a") == F.col("width_b")) & near).select("block_a", "block_b")
-    data = own.select("block", "ids", "units")
-    for s in "ab":
-        pairs = pairs.join(data.select(*[F.col(c).alias(f"{c}_{s}") for c in data.columns]), f"block_{s}")
-    found = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
-
-    def fn(batch):
-        out_a, out_b, out_n = [], [], []
-        for k in range(batch.num_rows):
-            row = {c: batch.column(c)[k].as_py() for c in ("block_a", "block_b", "ids_a", "ids_b", "units_a", "units_b")}
-            ids = [np.frombuffer(row[f"ids_{s}"], np.int64) for s in "ab"]
-            same = row["block_a"] == row["block_b"]
-            trees = [Tree(np.frombuffer(row[f"units_{s}"]).reshape(len(i), -1)) for s, i in zip("ab", ids) if s == "a" or not same]
-            n_a, n_b, least = dual(trees[0], trees[-1], same)
-            both, n = (ids[0], n_a) if same else (np.concatenate(ids), np.concatenate([n_a, n_b]))
-            has = n > 0  # a row for each vector with links: its links here, and one that it is connected with
-            out_a.append(both[has])
-            out_b.append(both[least[has]])
-            out_n.append(n[has])
-        return [np.concatenate(x) for x in (out_a, out_b, out_n)]
-
-    pairs = pairs.repartition(F.col("block_a"), F.col("block_b"))
-    links = common.materialise(pairs.mapInArrow(common.batches(fn, found), "a long, b long, n long"), "links")
+    met = common.materialise(tiles(own), "tiles")
+    work = own.select("block", "bundle", "ids", "units", "centre", "radius").join(met, "block")
+    links = common.materialise(work.groupBy("label", "width", "bundle_a", "bundle_b").applyInArrow(linked, "a long, b long, n long"), "links")
     counts = links.groupBy("a").agg(F.sum("n").alias("n"))
     groups = components(links.filter("a <> b").select("a", "b"))
     out = vectors.select(F.col("vec_id").cast("long"))

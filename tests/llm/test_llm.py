@@ -303,9 +303,10 @@ def brute_vectors(rows):
     return {i: (n[i], find(i), find(i) == i) for i in range(len(rows))}
 
 
-@pytest.mark.parametrize("block", [2048, 40])
-def test_vectors(spark, monkeypatch, block):
-    monkeypatch.setattr(vectors, "BLOCK", block)
+@pytest.mark.parametrize("block, group, stripe", [(2048, 4 << 20, 64), (40, 4 << 20, 64), (20, 64 * 50, 2), (20, 1, 1)])
+def test_vectors(spark, monkeypatch, block, group, stripe):
+    for name, value in (("BLOCK", block), ("GROUP_BYTES", group), ("STRIPE", stripe)):
+        monkeypatch.setattr(vectors, name, value)
     rng = np.random.default_rng(1)
     centre = rng.normal(size=8)
     rows = [((centre + rng.normal(size=8) * s).tolist(), 1) for s in (0.02, 0.1, 0.3, 0.5) for _ in range(40)]
