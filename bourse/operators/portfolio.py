@@ -322,29 +322,43 @@ def optimise(returns: DataFrame, kind: str = "max_sharpe", rf: float = 0.0, aver
 
 
 def replay_orders(orders: DataFrame, cash: float) -> DataFrame:
-    """Buys and sells in order, refused when cash or position is short: sequential by account, so grouped by it.
+    """Buys and sells in order, refused when cash or position is short: account, seq, ticker, side, quantity, price, accepted,
+    cash (after it), position (of its ticker).
 
-    Rows: account, seq, ticker, side, quantity, price, accepted, cash (after it), position (of its ticker).
+    Whether an order is accepted depends on all before it, so an account's orders pass through one task in order, batch by
+    batch; that task holds the account's open positions, not its orders. An order without quantity or price is refused; one without account is in an account of its own.
     """
-    ddl = "account long, seq long, ticker string, side string, quantity long, price double, accepted boolean, cash double, position long"
-
-    def run(frames):
-        import pandas as pd
-
-        account, money, held = None, cash, {}
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                if r.account != account:
-                    account, money, held = r.account, cash, {}
-                own = held.get(r.ticker, 0)
-                ok = r.quantity * r.price <= money if r.side == "buy" else own >= r.quantity
-                if ok:
-                    sign = 1 if r.side == "buy" else -1
-                    money -= sign * r.quantity * r.price
-                    held[r.ticker] = own + sign * r.quantity
-                out.append((r.account, r.seq, r.ticker, r.side, r.quantity, r.price, bool(ok), money, held.get(r.ticker, 0)))
-            yield pd.DataFrame(out, columns=["account", "seq", "ticker", "side", "quantity", "price", "accepted", "cash", "position"])
-
-    rows = orders.select("account", "seq", "ticker", "side", "quantity", "price").repartition("account").sortWithinPartitions("account", "seq")
-    return rows.mapInPandas(run, ddl)
+    import pyarrow as pa
+
+    schema = pa.schema([("account", pa.int64()), ("seq", pa.int64()), ("ticker", pa.string()), ("side", pa.string()), ("quantity", pa.int64()), ("price", pa.float64()), ("accepted", pa.bool_()), ("cash", pa.float64()), ("position", pa.int64())])
+    given = "account long, seq long, ticker string, side string, quantity long, price double"
+
+    def run(stream):
+        account, money, held, begun = None, cash, {}, False
+        for batch in stream:
+            accepted, moneys, positions = [], [], []
+            accounts, tickers, sides, quantities, prices = (batch.column(c).to_pylist() for c in ("account", "ticker", "side", "quantity", "price"))
+            for own, ticker, side, quantity, price in zip(accounts, tickers, sides, quantities, prices):
+                if own != account or not begun:
+                    account, money, held, begun = own, cash, {}, True
+                has = held.get(ticker, 0)
+                if quantity is None or price is None:
+                    ok = False
+                elif side == "buy":
+                    if ok := quantity * price <= money:
+                        money -= quantity * price
+                        held[ticker] = has = has + quantity
+                elif ok := has >= quantity:
+                    money += quantity * price
+                    has -= quantity
+                    if has:
+                        held[ticker] = has
+                    else:
+                        held.pop(ticker, None)
+                accepted.append(ok)
+                moneys.append(money)
+                positions.append(has)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted, pa.bool_()), pa.array(moneys, pa.float64()), pa.array(positions, pa.int64())], schema=schema)
+
+    rows = orders.select(*[F.col(name).cast(kind) for name, kind in map(str.split, given.split(", "))])
+    return rows.repartition("account").sortWithinPartitions("account", "seq").mapInArrow(run, f"{given}, accepted boolean, cash double, position long")

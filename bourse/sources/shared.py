@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names. Where none is named, in a temporary one if the executors
-    are threads of the driver (tests); on a cluster, an error."""
+    """A new path in a folder of this application's own, in the folder that spark.checkpoint.dir names. Where none is named,
+    in a temporary one if the executors are threads of the driver (tests); on a cluster, an error.
+
+    The application's folder goes when its driver ends, with what a failed query has left there.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
@@ -19,7 +22,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
         if not hasattr(shared_path, "fallback"):
             shared_path.fallback = tempfile.mkdtemp(prefix="bourse-")
         named = shared_path.fallback
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    own = f"{named.rstrip('/')}/bourse-{spark.sparkContext.applicationId}"
+    if getattr(spark.sparkContext, "bourse_folder", None) != own:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+        system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(folder)
+        system.deleteOnExit(folder)
+        spark.sparkContext.bourse_folder = own
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

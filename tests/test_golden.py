@@ -193,6 +193,22 @@ def test_orders_are_refused(spark):
     assert got[-1].cash == 110.0
 
 
+def test_orders_across_batches(spark):
+    """An account's state outlives a batch, ends with the account, and an order without quantity or price is refused."""
+    orders = [(1, 1, "A", "buy", 10, 5.0), (1, 2, "A", "buy", None, 5.0), (1, 3, "B", "buy", 5, 10.0), (1, 4, "A", "sell", 10, 7.0), (1, 5, "A", "sell", 1, 7.0), (1, 6, "B", "sell", 2, None)]
+    rows = [*orders, *[(2, *o[1:]) for o in orders], *[(None, *o[1:]) for o in orders]]
+    df = spark.createDataFrame(rows[::-1], "account long, seq long, ticker string, side string, quantity long, price double").withColumn("x", F.lit(1))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        got = portfolio.replay_orders(df, 100.0).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for account in (1, 2, None):
+        own = sorted((r for r in got if r.account == account), key=lambda r: r.seq)
+        assert [(r.accepted, r.cash, r.position) for r in own] == [(True, 50.0, 10), (False, 50.0, 10), (True, 0.0, 5), (True, 70.0, 0), (False, 70.0, 0), (False, 70.0, 5)]
+    assert portfolio.replay_orders(df.limit(0), 100.0).count() == 0
+
+
 def test_strategies(spark):
     got = backtest.figures(backtest.buy_hold(bars(spark, [10, 20, 10]))).first()
     assert got.final_value == pytest.approx(10_000.0) and got.max_drawdown == pytest.approx(-0.5)

@@ -166,6 +166,8 @@ def test_ladders_in_blocks(spark):
 
 def test_shared_folder(spark):
     assert shared.staged(spark.range(3), "three").count() == 3
+    one, two = (shared.shared_path(spark, "x") for _ in range(2))
+    assert one != two and f"/bourse-{spark.sparkContext.applicationId}/x-" in one and one.rpartition("/")[0] == two.rpartition("/")[0]
 
     class Session:
         class conf:
