@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,28 +22,51 @@ def in_chunks(rows: DataFrame, at: str, reach: int, chunk: int) -> DataFrame:
     return rows.withColumn("_next", F.explode(copies)).withColumns({"_chunk": own + F.col("_next"), "_own": F.col("_next") == 0}).drop("_next")
 
 
+def _moves(at: str, reach: int, chunk: int) -> Column:
+    """What a row does to the sums over (t - reach, t]: it enters at its time and goes ``reach`` later, with the sign -1. Structs
+    of _chunk, _when, _sign and _own, which tells its own time; a row still in the window at a chunk's start enters that one too.
+
+    So a window's sums are running ones within (key, chunk), whose cost doesn't grow with the rows in a window.
+    """
+    length = max(chunk, reach)
+    x, gone = F.col(at), F.col(at) + reach
+    of = lambda c: ((c - F.pmod(c, F.lit(length))) / length).cast("long")
+    move = lambda to, when, sign, own=False: F.struct(of(to).alias("_chunk"), when.alias("_when"), F.lit(sign).alias("_sign"), F.lit(own).alias("_own"))
+    enters, goes = move(x, x, 1, True), move(gone, gone, -1)
+    return F.when(x.isNull(), F.array(enters)).when(of(x) == of(gone), F.array(enters, goes)).otherwise(F.array(enters, move(gone, gone - F.pmod(gone, F.lit(length)), 1), goes))
+
+
 def rolling_vwap(trades: DataFrame, seconds: int, key: str = "ticker", sec: str = "sec", seq: str = "seq", cents: int = 10_000, chunk: int = CHUNK_SECONDS) -> DataFrame:
     """VWAP of the trades in (sec - seconds, sec] as each arrives: later arrivals at its own second are not seen.
 
-    Sums run in integers (price in units of 1/cents), so they don't depend on order; zero volume gives 0.
+    Sums run in integers (price in units of 1/cents), so they don't depend on order; zero volume gives 0. The windows' sums are
+    those of seconds, at most two moves for each, within chunks; then each second's trades are led by what its window has before it.
     """
-    rows = in_chunks(trades.withColumn("_pq", F.floor(F.col("price") * cents + 0.5) * F.col("qty")), sec, seconds - 1, chunk)
-    span = W.partitionBy(key, "_chunk").orderBy(sec).rangeBetween(-(seconds - 1), 0)
-    peers = W.partitionBy(key, "_chunk", sec)  # what arrives later in the second is its total less what has arrived
-    arrived = peers.orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
-    sums = {c: F.sum(c).over(span) - F.sum(c).over(peers) + F.sum(c).over(arrived) for c in ("_pq", "qty")}
-    out = rows.withColumns({"_num": sums["_pq"], "_den": sums["qty"]}).filter("_own")
-    return out.withColumn("vwap", F.when(F.col("_den") == 0, 0.0).otherwise(F.try_divide(F.col("_num"), F.col("_den")) / cents)).drop("_pq", "_num", "_den", "_chunk", "_own")
+    rows = trades.withColumns({"_pq": F.floor(F.col("price") * cents + 0.5) * F.col("qty"), "_q": F.col("qty").cast("long")})
+    summed = ("_pq", "_q")
+    moves = rows.select(key, *summed, F.explode(_moves(sec, seconds, chunk)).alias("_m")).select(key, *summed, "_m.*").groupBy(key, "_chunk", "_when")
+    net = [x for c in summed for x in (F.sum(F.col("_sign") * F.col(c)).alias(f"_in{c}"), F.sum(F.col("_sign") * F.col(c).isNotNull().cast("long")).alias(f"_n{c}"), F.sum(F.when(F.col("_own"), F.col(c))).alias(f"_own{c}"))]
+    running = W.partitionBy(key, "_chunk").orderBy("_when").rowsBetween(W.unboundedPreceding, 0)
+    before = [x for c in summed for x in ((F.coalesce(F.sum(f"_in{c}").over(running), F.lit(0)) - F.coalesce(f"_own{c}", F.lit(0))).alias(c), F.sum(f"_n{c}").over(running).alias(f"_n{c}"))]
+    lead = moves.agg(*net, F.max("_own").alias("_real")).select(key, F.col("_when").alias(sec), *before, "_real").filter("_real").withColumn("_real", F.lit(False))
+    arrived = W.partitionBy(key, sec).orderBy("_real", seq).rowsBetween(W.unboundedPreceding, 0)
+    sums = {f"_sum{c}": F.when(F.max(f"_n{c}").over(arrived) > 0, F.sum(c).over(arrived)) for c in summed}  # null if its window has no value
+    out = rows.withColumn("_real", F.lit(True)).unionByName(lead, allowMissingColumns=True).withColumns(sums).filter("_real")
+    vwap = F.when(F.col("_sum_q") == 0, 0.0).otherwise(F.try_divide(F.col("_sum_pq"), F.col("_sum_q")) / cents)
+    return out.select(*trades.columns, vwap.alias("vwap"))
 
 
 def rolling_vwap_continuous(trades: DataFrame, seconds: int, key: str = "ticker", ts: str = "ts", cents: int = 10_000, chunk: int = CHUNK_SECONDS) -> DataFrame:
     """VWAP over the half-open window (ts - seconds, ts] in microseconds, all peers of ts seen; null without volume."""
     micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
-    rows = trades.withColumns({"_us": micros, "_pq": F.floor(F.col("price") * cents + 0.5) * F.col("qty")})
-    rows = in_chunks(rows, "_us", seconds * 1_000_000 - 1, chunk * 1_000_000)
-    span = W.partitionBy(key, "_chunk").orderBy("_us").rangeBetween(1 - seconds * 1_000_000, 0)
-    out = rows.withColumn("vwap", F.try_divide(F.sum("_pq").over(span), F.nullif(F.sum("qty").over(span), F.lit(0))) / cents)
-    return out.filter("_own").drop("_us", "_pq", "_chunk", "_own")
+    rows = trades.withColumns({"_us": micros, "_pq": F.floor(F.col("price") * cents + 0.5) * F.col("qty"), "_q": F.col("qty").cast("long")})
+    rows = rows.withColumn("_m", F.explode(_moves("_us", seconds * 1_000_000, chunk * 1_000_000)))
+    own = [F.col(c) if c == key else F.when(F.col("_m._own"), F.col(c)).alias(c) for c in trades.columns]
+    rows = rows.select(*own, *[(F.col("_m._sign") * F.col(c)).alias(c) for c in ("_pq", "_q")], "_m.*")
+    seen = W.partitionBy(key, "_chunk").orderBy("_when").rangeBetween(W.unboundedPreceding, 0)
+    some = F.sum(F.col("_sign") * F.col("_pq").isNotNull().cast("long")).over(seen) > 0
+    out = rows.withColumn("vwap", F.when(some, F.try_divide(F.sum("_pq").over(seen), F.nullif(F.sum("_q").over(seen), F.lit(0)))) / cents)
+    return out.filter("_own").select(*trades.columns, "vwap")
 
 
 def duplicate_orders(orders: DataFrame, horizon: int, chunk: int = CHUNK_SECONDS) -> DataFrame:

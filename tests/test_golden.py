@@ -265,3 +265,46 @@ def test_streams_are_drained_into_files(spark, tmp_path):
     bars = trades.withColumn("ts", F.timestamp_seconds("sec"))
     got = S.drain(stream_of(spark, tmp_path / "b", bars), S.tumbling_bars)
     assert got.inputFiles() and column(got, "n", "start") == [4, 3, 1, 1]
+
+
+def _ticks_with_gaps(spark):
+    import datetime
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(700):
+        ms = None if i % 97 == 0 else rng.randrange(0, 400_000, 500)
+        ts = None if ms is None else datetime.datetime(2024, 1, 1, 23, 57) + datetime.timedelta(milliseconds=ms)
+        rows.append((rng.choice(["A", "B", None]), None if ms is None else ms // 1000, ts, None if rng.random() < 0.6 else 10 + rng.randrange(500) / 100, rng.choice([0, 0, None, 1, 7]), i))
+    return spark.createDataFrame(rows, "ticker string, sec long, ts timestamp_ntz, price double, qty long, seq long"), rows
+
+
+@pytest.mark.parametrize("seconds, chunk", [(3, 10), (60, 10), (5, 86_400)])
+def test_rolling_vwap_equals_sql_with_gaps(spark, seconds, chunk):
+    """Null prices, quantities, times and tickers, and windows without volume, as SQL has them."""
+    import duckdb
+    import pandas as pd
+
+    df, rows = _ticks_with_gaps(spark)
+    ticks = pd.DataFrame(rows, columns=["ticker", "sec", "ts", "price", "qty", "seq"]).astype({"sec": "Int64", "qty": "Int64"})
+    ticks["ts"] = pd.to_datetime(ticks["ts"])
+    con = duckdb.connect()
+    con.register("given", ticks)
+    con.sql("CREATE TABLE ticks AS SELECT *, floor(CASE WHEN price = price THEN price END * 10000 + 0.5) * qty AS pq FROM given")
+    flat = lambda x: sorted((a, None if b is None or b != b else round(b, 9)) for a, b in x)
+    want = con.sql(f"""WITH s AS (SELECT seq, sum(pq) OVER r - coalesce(sum(pq) OVER l, 0) AS num, sum(qty) OVER r - coalesce(sum(qty) OVER l, 0) AS den FROM ticks WINDOW r AS (PARTITION BY ticker ORDER BY sec RANGE BETWEEN {seconds - 1} PRECEDING AND CURRENT ROW),
+        l AS (PARTITION BY ticker, sec ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) SELECT seq, CASE WHEN den = 0 THEN 0.0 ELSE num / den / 10000 END FROM s""").fetchall()
+    got = orderflow.rolling_vwap(df, seconds, chunk=chunk)
+    assert got.columns == [*df.columns, "vwap"] and flat(got.select("seq", "vwap").collect()) == flat(want)
+    want = con.sql(f"SELECT seq, sum(pq) OVER w / nullif(sum(qty) OVER w, 0) / 10000 FROM ticks WINDOW w AS (PARTITION BY ticker ORDER BY epoch_us(ts) RANGE BETWEEN {seconds * 1_000_000 - 1} PRECEDING AND CURRENT ROW)").fetchall()
+    got = orderflow.rolling_vwap_continuous(df, seconds, chunk=chunk)
+    assert got.columns == [*df.columns, "vwap"] and flat(got.select("seq", "vwap").collect()) == flat(want)
+
+
+def test_rolling_windows_are_running_sums(spark):
+    """No frame slides: a sliding one is summed anew for each row, which grows with the square of a window's rows."""
+    df, _ = _ticks_with_gaps(spark)
+    for rows in (orderflow.rolling_vwap(df, 3600), orderflow.rolling_vwap_continuous(df, 3600)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "unboundedpreceding" in plan and "specifiedwindowframe(rangeframe, -" not in plan
