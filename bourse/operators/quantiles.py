@@ -54,9 +54,9 @@ def percentiles(rows: DataFrame, key: str, value: str, shares: list[float], smal
 
     Groups of up to ``small`` values are sorted in one task each; in larger ones, fewer than a ``small``-th of the rows, the values at
     the ranks below and above each share are selected over several passes, so that no task holds a group's values. Null values
-    and keys are left out.
+    and keys are left out. The values are staged, so that what makes them, and what it broadcasts, runs once and not in each pass.
     """
-    rows = rows.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"))
+    rows = staged(rows.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v")), "values")
     sizes = staged(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "sizes")
     light = rows.join(sizes.filter(F.col("n") <= small), key).groupBy(key).agg(F.first("n").alias("n"), F.percentile("v", shares).alias("p"))
     heavy = sizes.filter(F.col("n") > small)

@@ -73,3 +73,17 @@ def test_percentiles(spark, small, bins):
     want = {r.key: (r.n, r.p) for r in df.filter("key IS NOT NULL AND x IS NOT NULL").groupBy("key").agg(F.count("x").alias("n"), F.percentile("x", shares).alias("p")).collect()}
     assert {r.key: (r.n, r.p) for r in quantiles.percentiles(df, "key", "x", shares, small, bins).collect()} == want
     assert quantiles.percentiles(df.limit(0), "key", "x", shares, small, bins).count() == 0
+
+
+def test_percentiles_make_their_values_once(spark):
+    """However many passes select the ranks, the rows' own plan runs once."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for frame in frames:
+            runs.add(len(frame))
+            yield frame
+
+    df = spark.range(0, 3000, 1, 2).selectExpr("CAST(id % 2 AS STRING) AS key", "CAST(id * 7919 % 3001 AS DOUBLE) AS x").mapInPandas(seen, "key string, x double")
+    got = quantiles.percentiles(df, "key", "x", [0.5], small=100)
+    assert got.count() == 2 and runs.value == 3000
