@@ -52,19 +52,27 @@ def returns_of(weights: DataFrame, returns: DataFrame, key: str = "portfolio_id"
         return pd.DataFrame({"k": keys.to_numpy()[line], "date": dates[column], "num": num[line, column], "den": den[line, column]})
 
     parts = left.groupBy("pb", "tb").cogroup(right.groupBy("pb", "tb")).applyInPandas(product, "k long, date date, num double, den double")
-    out = parts.groupBy(F.col("k").alias(key), "date").agg(F.sum("num").alias("num"), F.sum("den").alias("den")).filter("den <> 0")
-    return out.select(key, "date", (F.col("num") / F.col("den")).alias("ret"))
+    if m > 1:  # else a portfolio's date is in one product only
+        parts = parts.groupBy("k", "date").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+    return parts.filter("den <> 0").select(F.col("k").alias(key), "date", (F.col("num") / F.col("den")).alias("ret"))
 
 
 def value_at_risk(rets: DataFrame, values: DataFrame, confidence: float = 0.95, horizon: int = 1, method: str = "historical", key: str = "portfolio_id") -> DataFrame:
     """Value at risk of each portfolio as a return and an amount: key, portfolio_value, var_percentage, var_amount."""
-    share = {"historical": risk.var_historical, "parametric": risk.var_parametric}[method]("ret", confidence, horizon)
-    return amounts(rets.groupBy(key).agg(share.alias("var")), values, key)
+    return values_at_risk(rets, values, confidence, horizon, (method,), key).drop("method")
 
 
-def amounts(shares: DataFrame, values: DataFrame, key: str = "portfolio_id") -> DataFrame:
+def values_at_risk(rets: DataFrame, values: DataFrame, confidence: float = 0.95, horizon: int = 1, methods: tuple[str, ...] = ("historical", "parametric"), key: str = "portfolio_id") -> DataFrame:
+    """The same by several methods, from one pass over the returns, with a row for each ``method``."""
+    share = {"historical": risk.var_historical, "parametric": risk.var_parametric}
+    found = rets.groupBy(key).agg(*[share[m]("ret", confidence, horizon).alias(m) for m in methods])
+    shares = found.select(key, F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("var")) for m in methods])).alias("x")).select(key, "x.*")
+    return amounts(shares, values, key, "method")
+
+
+def amounts(shares: DataFrame, values: DataFrame, key: str = "portfolio_id", *more: str) -> DataFrame:
     rows = shares.join(values.select(key, F.col("value").alias("portfolio_value")), key)
-    return rows.select(key, "portfolio_value", (100 * F.col("var")).alias("var_percentage"), (F.col("var") * F.col("portfolio_value")).alias("var_amount"))
+    return rows.select(key, *more, "portfolio_value", (100 * F.col("var")).alias("var_percentage"), (F.col("var") * F.col("portfolio_value")).alias("var_amount"))
 
 
 def monte_carlo(weights: DataFrame, returns: DataFrame, confidence: float = 0.95, horizon: int = 1, paths: int = 10_000, seed: int = 7, key: str = "portfolio_id", known=None) -> DataFrame:

@@ -18,6 +18,16 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def counts(bag: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """How often a bag holds each value of ``keys``: keys, n.
+
+    Keys are about as many as rows, so rows aren't counted in the tasks that make them, whose number is chosen by the bytes that they
+    read, but in ``spark.sql.shuffle.partitions`` tasks; ``spread`` deals a frequent key's rows to several of them.
+    """
+    tasks = int(bag.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bag.repartition(tasks, *keys, spread).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
 def add_asset(positions: DataFrame, asset: dict, unique: bool = False) -> DataFrame:
     """One position more; a type that bags don't hold is an error, and with ``unique`` an asset that is there already."""
     if asset["asset_type"] not in (*ASSET_TYPES, "Forex"):
@@ -75,7 +85,8 @@ def basis(transactions: DataFrame, days: int = CHUNK_DAYS) -> DataFrame:
     signed = F.when(F.col("transaction_type") == "sell", -F.col("quantity")).when(F.col("transaction_type") == "buy", F.col("quantity")).cast("double")
     at = {"date": F.lit(None).cast("date"), "seq": (F.col("transaction_type") == "sell").cast("int")} | {c: F.col(c) for c in ("date", "seq") if c in transactions.columns}
     rows = transactions.select(*keys, *[c.alias(n) for n, c in at.items()], signed.alias("d"), F.col("price").cast("double").alias("p")).filter("d IS NOT NULL").withColumn("chunk", F.floor(F.unix_date("date") / days))
-    chunks = rows.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(F.struct("date", "seq", "d", "p"))).alias("moves"))
+    moves = F.transform(F.sort_array(F.collect_list(F.struct("date", "seq", "d", "p"))), lambda m: F.struct(m["d"].alias("d"), m["p"].alias("p")))
+    chunks = rows.groupBy(*keys, "chunk").agg(moves.alias("moves"))  # what has put them in order isn't shuffled again
     zero = F.lit(0.0)
     run = F.aggregate("moves", F.struct(zero.alias("total"), zero.alias("least")), lambda s, m: F.struct((s["total"] + m["d"]).alias("total"), F.least(s["least"], s["total"] + m["d"]).alias("least")))
     before = W.partitionBy(*keys).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)

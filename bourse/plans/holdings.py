@@ -20,8 +20,8 @@ def _positions(spark, sf_dir):
 @query("SELECT portfolio_id, ticker, CAST(count(*) AS BIGINT) AS n FROM (SELECT portfolio_id, ticker FROM transactions UNION ALL SELECT portfolio_id, ticker FROM transactions WHERE transaction_type = 'sell') GROUP BY 1, 2")
 def portfolio_union(spark, sf_dir):
     rows = _positions(spark, sf_dir)
-    both = portfolio.union(rows.select("portfolio_id", "ticker"), rows.filter("transaction_type = 'sell'").select("portfolio_id", "ticker"))
-    return both.groupBy("portfolio_id", "ticker").agg(F.count(F.lit(1)).alias("n"))
+    both = portfolio.union(rows.select("portfolio_id", "ticker", "quantity"), rows.filter("transaction_type = 'sell'").select("portfolio_id", "ticker", "quantity"))
+    return portfolio.counts(both, ["portfolio_id", "ticker"], "quantity")
 
 
 @query("SELECT portfolio_id, ticker FROM transactions WHERE transaction_type = 'buy' EXCEPT ALL SELECT portfolio_id, ticker FROM transactions WHERE transaction_type = 'sell'")

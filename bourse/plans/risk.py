@@ -107,16 +107,17 @@ _SERIES = """w AS (SELECT portfolio_id, ticker, quantity * close AS weight FROM
 
 
 def _book(spark, sf_dir):
-    """Portfolios' holdings by value, their values and return series; each is staged once, for the plans that read it several times."""
+    """Portfolios' holdings by value, their values and the tickers' returns; what several plans read is staged once. Each query
+    makes the portfolios' series, which are far larger, in the plan that reads them."""
     held = staged(portfolio.valued(views.holdings(spark, sf_dir), views.latest(spark, sf_dir)).select("portfolio_id", "ticker", F.col("value").alias("weight")), "held")
     rets = staged(views.returns(spark, sf_dir), "returns")
-    series_of = staged(book_risk.returns_of(held, rets), "book")
-    return held, held.groupBy("portfolio_id").agg(F.sum("weight").alias("value")), series_of, rets
+    return held, held.groupBy("portfolio_id").agg(F.sum("weight").alias("value")), rets
 
 
 @query(f"WITH {_SERIES} SELECT portfolio_id, date, {sql_fix('ret', 6)} AS ret FROM s")
 def portfolio_returns(spark, sf_dir):
-    return _book(spark, sf_dir)[2].withColumn("ret", fix(F.col("ret"), 6))
+    held, _, rets = _book(spark, sf_dir)
+    return book_risk.returns_of(held, rets).withColumn("ret", fix(F.col("ret"), 6))
 
 
 _AT_RISK = {"historical": "quantile_cont(ret, 0.05)", "parametric": "avg(ret) - 1.6448536269514722 * stddev_samp(ret)"}
@@ -129,15 +130,14 @@ _AT_RISK = {"historical": "quantile_cont(ret, 0.05)", "parametric": "avg(ret) -
     )
 )
 def portfolio_var(spark, sf_dir):
-    _, values, rets, _ = _book(spark, sf_dir)
-    parts = [book_risk.value_at_risk(rets, values, 0.95, 1, method).withColumn("method", F.lit(method)) for method in _AT_RISK]
-    rows = parts[0].unionByName(parts[1])
+    held, values, rets = _book(spark, sf_dir)
+    rows = book_risk.values_at_risk(book_risk.returns_of(held, rets), values, 0.95, 1, tuple(_AT_RISK))
     return rows.select("portfolio_id", "method", fix(F.col("portfolio_value"), 2).alias("portfolio_value"), fix(F.col("var_percentage"), 4).alias("var_percentage"), fix(F.col("var_amount"), 2).alias("var_amount"))
 
 
 @query()
 def portfolio_var_monte_carlo(spark, sf_dir):
-    held, values, _, rets = _book(spark, sf_dir)
+    held, values, rets = _book(spark, sf_dir)
     return book_risk.amounts(book_risk.monte_carlo(held, rets), values)
 
 
@@ -151,8 +151,8 @@ _BOOK_CURVE = "e AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY portfolio
 )
 def portfolio_risk_bundle(spark, sf_dir):
     digits = {"sharpe": 5, "sortino": 5, "beta": 5, "correlation": 5}
-    _, _, own, rets = _book(spark, sf_dir)
-    rows = risk.bundle(own, key="portfolio_id", market=rets.groupBy("date").agg(F.avg("ret").alias("market")))
+    held, _, rets = _book(spark, sf_dir)
+    rows = risk.bundle(book_risk.returns_of(held, rets), key="portfolio_id", market=rets.groupBy("date").agg(F.avg("ret").alias("market")))
     return rows.select("portfolio_id", *[fix(F.col(c), digits.get(c, 6)).alias(c) for c in rows.columns if c != "portfolio_id"])
 
 

@@ -106,11 +106,11 @@ def symbols(spark, sf_dir) -> DataFrame:
 
 
 def transactions(spark, sf_dir) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(*LINE, "l_returnflag", F.col("l_quantity").cast("long").alias("quantity"), _price().alias("price"), F.to_date("l_shipdate").alias("date"))
+    lines = table(spark, sf_dir, "lineitem").select(*LINE, "l_returnflag", "l_quantity", F.to_date("l_shipdate").alias("date"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("portfolio_id"))
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
     rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.select("portfolio_id", "ticker", F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("transaction_type"), "quantity", "price", "date", F.struct(*LINE).alias("seq"))
+    return rows.select("portfolio_id", "ticker", F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("transaction_type"), F.col("l_quantity").cast("long").alias("quantity"), _price().alias("price"), "date", F.struct(*LINE).alias("seq"))
 
 
 def holdings(spark, sf_dir) -> DataFrame:

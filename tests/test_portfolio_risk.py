@@ -183,3 +183,48 @@ def test_value_at_risk(spark):
     values = spark.createDataFrame([(1, 200.0)], "portfolio_id long, value double")
     r = book_risk.value_at_risk(rets, values, 0.95, 4).select(fix(F.col("var_percentage"), 6).alias("p"), fix(F.col("var_amount"), 6).alias("a")).first()
     assert (r.p, r.a) == pytest.approx((-7.2, -14.4))
+
+
+def test_series_are_made_where_they_are_read(spark, sf_dir, monkeypatch):
+    """The portfolios' series aren't written for plans that read them once, and aren't made for the draws, which don't read them."""
+    from bourse.plans import registry
+    from bourse.plans import risk as plans
+
+    made, kept, returns_of, staged = [], [], book_risk.returns_of, plans.staged
+    monkeypatch.setattr(book_risk, "returns_of", lambda *a, **k: made.append(1) or returns_of(*a, **k))
+    monkeypatch.setattr(plans, "staged", lambda df, name: kept.append(name) or staged(df, name))
+    for name, times in (("portfolio_var_monte_carlo", 0), ("portfolio_var", 1), ("portfolio_returns", 1)):
+        made.clear()
+        kept.clear()
+        registry.QUERIES[name](spark, sf_dir)
+        assert len(made) == times and kept == ["held", "returns"], name
+
+
+def test_series_of_one_block_of_tickers_are_not_summed_again(spark):
+    rng = np.random.default_rng(3)
+    weights = spark.createDataFrame(book(spark, rng, 5, 4), "portfolio_id long, ticker string, weight double")
+    plan = lambda tickers: book_risk.returns_of(weights, returns_frame(spark, rng.normal(size=(6, 4))), tickers=tickers)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan(256) and "Aggregate" in plan(2)
+
+
+def test_moves_are_shuffled_without_what_orders_them(spark):
+    ddl = "portfolio_id long, ticker string, transaction_type string, quantity long, price double, date date, seq long"
+    plan = portfolio.basis(spark.createDataFrame([], ddl))._jdf.queryExecution().optimizedPlan()
+
+    def nodes(at):
+        yield at
+        for i in range(at.children().size()):
+            yield from nodes(at.children().apply(i))
+
+    windows = [n for n in nodes(plan) if n.nodeName() == "Window"]
+    moves = [a.dataType().simpleString() for n in windows for a in map(n.output().apply, range(n.output().size())) if a.name() == "moves"]
+    assert moves and all(kind == "array<struct<d:double,p:double>>" for kind in moves)
+
+
+def test_counts_of_bags_are_dealt_before_they_are_made(spark):
+    """A hash map of all the keys that a task of the join makes isn't held there: rows are dealt to a fixed number of tasks first."""
+    bag = spark.createDataFrame([(i % 5, "AB"[i % 2], i % 7) for i in range(70)] + [(None, "A", 1)] * 2, "portfolio_id long, ticker string, quantity long")
+    got = portfolio.counts(bag, ["portfolio_id", "ticker"], "quantity")
+    assert {(r.portfolio_id, r.ticker): r.n for r in got.collect()} == {(k, t): 7 for k in range(5) for t in "AB"} | {(None, "A"): 2}
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.rindex("REPARTITION_BY_NUM") > plan.rindex("partial_count")
